@@ -13,6 +13,7 @@ driver and a key that every document has costs one entry per chunk.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zlib
 
@@ -61,12 +62,13 @@ def chunk_count(total_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> int:
     return max(MIN_CHUNKS, -(-total_bytes // chunk_bytes))
 
 
-def chunked(docs: DataFrame, n_chunks: int) -> DataFrame:
-    """(chunk int, doc_id long, body binary); a chunk is a hash range of doc_id."""
+def chunked(docs: DataFrame, n_chunks: int, *more: Column) -> DataFrame:
+    """(chunk int, doc_id long, body binary, and more); a chunk is a hash range of doc_id."""
     return docs.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int").alias("chunk"),
         id_or_last(docs),
         F.col("text").cast("binary").alias("body"),
+        *more,
     )
 
 
@@ -170,8 +172,19 @@ def shard_bits_for(total_bytes: int, bits: int, bytes_per_shard: int = 24 << 20)
     return min(bits, max(4, int(np.ceil(np.log2(max(1, total_bytes / bytes_per_shard))))))
 
 
-def per_row_chunks(it, size: int):
-    """Cuts incoming Arrow-backed frames to at most `size` rows."""
-    for pdf in it:
-        for i in range(0, len(pdf), size):
-            yield pdf.iloc[i : i + size]
+def by_bytes(frames, column: str, limit: int):
+    """Cuts incoming frames so that a column's values in one add up to about `limit` bytes at most."""
+    for pdf in frames:
+        sizes = np.fromiter((len(b) if b is not None else 0 for b in pdf[column]), np.int64, len(pdf))
+        part = np.cumsum(sizes) // limit
+        for a, b in zip(*(lambda e: (e, [*e[1:], len(pdf)]))(np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist())) if len(pdf) else ():
+            yield pdf.iloc[a:b].reset_index(drop=True)
+
+
+def vocabulary_path(name: str) -> str:
+    """A path is taken as it is; a name is looked up among the public vocabularies."""
+    if os.path.isabs(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -4,16 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import jaccard, langid, license_scan, lm_score, mixing, mpeg, packing, quality, sharding, substring
 from .common import read_table
 
 
+def op1_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op2_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.media_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op9_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_karmarkar_karp_sharding": op1_karmarkar_karp_sharding,
+    "op2_first_fit_packing": op2_first_fit_packing,
+    "op3_tokeniser_fertility": op3_tokeniser_fertility,
+    "op4_license_scan": op4_license_scan,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_mpeg_audio": op6_mpeg_audio,
+    "op7_mix_sources": op7_mix_sources,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_lattice_likelihood": op9_lattice_likelihood,
+    "op10_language_id": op10_language_id,
 }
 
 #: Words of a document in DuckDB.
