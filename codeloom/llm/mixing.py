@@ -58,10 +58,11 @@ def seeded(seed: int, *columns: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, budget_pct: int = BUDGET_PCT, max_epochs: int = MAX_EPOCHS, seed: int = 0, keep: tuple = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats, taken, and the columns of `keep`."""
-    rows = docs.select("doc_id", "source", *keep, C.word_count(F.col("text")).alias("size")).withColumn("u", seeded(seed, "doc_id", "size"))
-    sized = docs.select("doc_id", "source", C.word_count(F.col("text")).alias("size")).withColumn("u", seeded(seed, "doc_id", "size"))
+def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, budget_pct: int = BUDGET_PCT, max_epochs: int = MAX_EPOCHS, seed: int = 0, whole: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats, taken; with `whole`, the input row as the struct `_row` as well."""
+    keep = ["_row"] if whole else []
+    sized = docs.select("doc_id", "source", C.word_count(F.col("text")).alias("size"), *([F.struct("*").alias("_row")] if whole else [])).withColumn("u", seeded(seed, "doc_id", "size"))
+    rows, sized = sized, sized.drop("_row")
     n_rows = docs.count()
     buckets = max(64, n_rows // BUCKET_ROWS)
     width = (1 << 52) // buckets + 1
@@ -95,6 +96,12 @@ def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, budget_pct: int = B
     return mixed.select(*columns, "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def repeat_rows(docs: DataFrame) -> DataFrame:
+    """The mix itself: every row of docs as often as the mix takes it."""
+    mixed = mix_documents(docs, whole=True).filter("repeats > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("_row.*")
+
+
 def mix_digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target (to 6 digits), taken."""
     return mix_documents(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")

@@ -143,10 +143,10 @@ def _exact(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"], "kind": EXACT, "shard": pdf["shard"], "n": pdf["n"], "body": [C.pack_bits(smaller[e - n : e]) for e, n in zip(ends, pdf["n"])]})
 
 
-def _mark(k: int, bits: int):
+def _mark(k: int, bits: int, layout: bool, more: tuple):
     def run(key, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept": []})
+            return pd.DataFrame({c: [] for c in ("doc_id", "n_words", "n_removed", "kept", *more)})
         w = _Windows(pdf, k)
         pick = _estimated(w, replies, bits)
         elsewhere = np.zeros(len(w.keys), bool)
@@ -158,29 +158,49 @@ def _mark(k: int, bits: int):
         kept = np.cumsum(steps)[:-1] == 0
         ends = np.cumsum(w.lens)
         texts, removed = [], []
-        for words, end, n in zip(w.words, ends, w.lens):
+        for body, words, end, n in zip(pdf["body"], w.words, ends, w.lens):
             keep = kept[end - n : end]
             removed.append(int(n - keep.sum()))
-            texts.append(b" ".join(words if not removed[-1] else [x for x, y in zip(words, keep.tolist()) if y]))
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": w.lens, "n_removed": removed, "kept": texts})
+            if removed[-1]:
+                words = [x for x, y in zip(words, keep.tolist()) if y]
+            texts.append(body if layout and not removed[-1] else b" ".join(words))
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": w.lens, "n_removed": removed, "kept": texts, **{c: pdf[c] for c in more}})
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
-    """doc_id, n_words, n_removed and `kept` (binary: the words that stay, joined by one space)."""
+def dedup_substrings(docs: DataFrame, window: int = 13, layout: bool = False, more: dict | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and `kept` (binary: the words that stay, joined by one space).
+
+    With `layout`, texts that lose nothing stay as they are, null included. `more` names further
+    string columns to carry along.
+    """
+    more = more or {}
+    carried = "".join(f", {c} string" for c in more)
     _, total = C.volume(docs)
     bits = C.sketch_bits(total)
     shard_bits = C.shard_bits_for(total, bits)
-    texts = C.chunked(docs, C.chunk_count(total))
+    texts = C.chunked(docs, C.chunk_count(total), *[x.alias(c) for c, x in more.items()])
     packets = texts.groupBy("chunk").applyInPandas(_sketch(window, bits, shard_bits), "kind int, shard int, chunk int, n long, flags binary, body binary")
     reply = "chunk int, kind int, shard int, n long, body binary"
     rows = packets.groupBy("kind", "shard").applyInPandas(_merge_sketch, reply)
     asked = texts.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInPandas(_candidates(window, bits, shard_bits), "shard int, chunk int, n long, k1 binary, k2 binary, low binary")
     exact = asked.groupBy("shard").applyInPandas(_exact, reply)
     both = rows.unionByName(exact)
-    marked = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(_mark(window, bits), "doc_id long, n_words long, n_removed long, kept binary")
-    return marked.select(C.id_or_null(), "n_words", "n_removed", "kept")
+    marked = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(_mark(window, bits, layout, tuple(more)), "doc_id long, n_words long, n_removed long, kept binary" + carried)
+    return marked.select(C.id_or_null(), "n_words", "n_removed", "kept", *more)
+
+
+def cut_repeats(docs: DataFrame, window: int) -> DataFrame:
+    """docs with repeated passages cut from `text`, and `n_chars`, where there is one, brought up to date."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    row = F.to_json(F.struct(*others)) if others else F.lit("{}")
+    cut = dedup_substrings(docs, window, layout=True, more={"_row": row})
+    schema = docs.select(*others).schema if others else "a int"
+    text = F.col("kept").cast("string")
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text, "n_chars": F.length(text).cast("long")}
+    restored = cut.withColumn("_row", F.from_json("_row", schema))
+    return restored.select(*[(made[c] if c in made else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def substring_digest(docs: DataFrame, window: int = 13) -> DataFrame:
