@@ -1,0 +1,4 @@
+"""Registered queries of the library over the driver's tables."""
+
+from codeloom.plans import data_queries, graph_queries  # noqa: F401
+from codeloom.plans.registry import ORACLES, QUERIES  # noqa: F401
