@@ -23,7 +23,7 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def extract_refs(text: Column) -> Column:
     """backtick tokens without double spaces, then path-like tokens, each once."""
-    ticks = F.transform(_all(text, BACKTICK, 1), F.trim)
+    ticks = F.transform(_all(text, BACKTICK, 1), lambda t: F.trim(t))
     return F.array_distinct(F.concat(F.filter(ticks, lambda t: (F.length(t) >= 2) & ~t.contains("  ")), _all(text, PATH_TOKEN)))
 
 

@@ -169,7 +169,7 @@ def extract_calls(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def doc_tags(comment: Column) -> Column:
     """struct(description, params, returns, examples, deprecated, tags) of a doc comment."""
     plain = F.regexp_replace(F.regexp_replace(comment, r"^\s*/\*\*|\*/\s*$", ""), r"(?m)^\s*\*[ \t]?", "")
-    every = lambda p, g=1: F.transform(F.regexp_extract_all(plain, F.lit(p), F.lit(g)), F.trim)
+    every = lambda p, g=1: F.transform(F.regexp_extract_all(plain, F.lit(p), F.lit(g)), lambda t: F.trim(t))
     params = F.transform(every(r"(?m)^@param[ \t]+(.+)$"), lambda x: F.regexp_replace(x, r"^\{[^}]*\}\s*", ""))
     return F.struct(
         F.trim(F.regexp_extract(plain, r"(?s)^(.*?)(?=\n\s*@|$)", 1)).alias("description"),

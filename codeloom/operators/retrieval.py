@@ -78,7 +78,7 @@ def text_match(toks: Column, query: str, stem: bool = False) -> tuple[Column, Co
             if not negated:
                 for w in phrase:
                     word = light_stem(F.lit(w)) if stem else F.lit(w)
-                    tf = F.size(F.filter(toks, lambda t, word=word: t == word)).cast("double")
+                    tf = (F.size(toks) - F.size(F.array_remove(toks, word))).cast("double")
                     score = score + tf / (tf + 1.5)
         match = match & (~held if negated else held)
     return (match if parts else F.lit(False)), score / F.log(F.size(toks) + F.lit(2.718281828459045))

@@ -126,8 +126,8 @@ def call_hierarchy(spark, d):
     return graph.hierarchy_children(star.edges(spark, d), ids, "callers")
 
 
-@query(f"""WITH {star.NODES_SQL}, {star.EDGES_SQL} SELECT id, name, type, count(*) AS degree FROM nodes JOIN edges e ON e.dst = id AND e.type IN ('imports', 'calls')
-WHERE nodes.type IN ('part', 'supplier', 'customer') GROUP BY ALL ORDER BY degree DESC, name, id LIMIT 10""")
+@query(f"""WITH {star.NODES_SQL}, {star.EDGES_SQL} SELECT id, name, nodes.type AS type, count(*) AS degree FROM nodes JOIN edges e ON e.dst = id AND e.type IN ('imports', 'calls')
+WHERE nodes.type IN ('part', 'supplier', 'customer') GROUP BY 1, 2, 3 ORDER BY degree DESC, name, id LIMIT 10""")
 def core_abstractions(spark, d):
     """O6."""
     return overview.core_abstractions(star.nodes(spark, d), star.edges(spark, d), ("part", "supplier", "customer"), ("imports", "calls"))
@@ -205,15 +205,16 @@ def short_name_index(spark, d):
     return build.short_names(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seq")))
 
 
-@query("""SELECT l_orderkey * 10 + l_linenumber AS seq, 'o:' || l_orderkey AS src, min('p:' || q.p) AS dst, CASE WHEN l_linenumber % 3 = 0 THEN 'exact' WHEN l_linenumber % 3 = 1 THEN 'path' ELSE 'short' END AS how
-FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN (SELECT lower(p_name) AS s, min(p_partkey) AS p FROM part GROUP BY 1) f ON s = lower(p_name)
-JOIN (SELECT p_partkey AS k, p_partkey AS p FROM part) q ON q.k = CASE WHEN l_linenumber % 3 = 2 THEN f.p ELSE l_partkey END GROUP BY ALL""")
+@query("""WITH f AS (SELECT lower(p_name) AS s, min(p_partkey) AS p FROM part GROUP BY 1), i AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem),
+k AS (SELECT i.*, p.p_name, CASE WHEN l_linenumber % 3 = 2 THEN f.p ELSE l_partkey END AS hit FROM i JOIN part p ON p.p_partkey = l_partkey JOIN f ON f.s = lower(p.p_name))
+SELECT l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS seq, 'o:' || l_orderkey AS src, 'p:' || hit AS dst, CASE l_linenumber % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'path' ELSE 'short' END AS how
+FROM k JOIN orders ON o_orderkey = l_orderkey""")
 def resolve_edges(spark, d):
     """A third of the line items by exact name, a third through an extension, a third by short name."""
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     third = F.pmod("l_linenumber", F.lit(3))
     target = F.when(third == 0, F.concat(F.lit("part/"), F.col("l_partkey").cast("string"), F.lit(".ts"))).when(third == 1, F.concat(F.lit("part/"), F.col("l_partkey").cast("string"))).otherwise(F.lit("nowhere"))
-    edges = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), star.ident("order", "l_orderkey").alias("from_qualified"), target.alias("to_qualified"), F.col("p_name").alias("to_name"), F.lit("imports").alias("type"))
+    edges = items.select((F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("seq"), star.ident("order", "l_orderkey").alias("from_qualified"), target.alias("to_qualified"), F.col("p_name").alias("to_name"), F.lit("imports").alias("type"))
     parts = table(spark, d, "part").select(star.ident("p", "p_partkey").alias("id"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("qualified_name"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seq"))
     orders = table(spark, d, "orders").select(star.ident("o", "o_orderkey").alias("id"), star.ident("order", "o_orderkey").alias("qualified_name"), F.lit(None).cast("string").alias("name"), (F.col("o_orderkey") + (1 << 40)).alias("seq"))
     return build.resolve_edges(edges, parts.unionByName(orders)).select("seq", "src", "dst", "how")
