@@ -16,20 +16,24 @@ texts costs one document whatever its size.
   n - ceil(t * n) + 1. The last tokens of the two prefixes being ordered, the shared
   combination lies in both. A token that occurs nowhere else counts, but isn't indexed.
 * Verification without all pairs of a posting list: first every document is held against the
-  smallest document of each of its lists. Lists whose documents then lie in one component need
-  no more. In the others, documents outside the list's largest component are held against
-  those of other components, so every pair that could join two components is tested.
+  most central document of each of its lists, the one with the smallest share of tokens of its
+  own. Lists whose documents then lie in one component need no more. In the others, documents
+  outside the list's largest component are held against those of other components, so every
+  pair that could join two components is met. Two bounds end most such pairs within the join
+  (near copies of one text differ from each other by both their changes): tokens that occur
+  nowhere else, and a bitmap of token parities, which can't differ in more bits than the sets
+  differ in tokens. Neither rejects a pair that links.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; a text with
 fewer words than a shingle is one shingle; equal sets always link; rows with the same doc_id
-count as one document; a null doc_id comes back null and alone.
+count as one document; rows with a null doc_id count as one document with the largest id.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -37,6 +41,7 @@ from .components import connected
 from .sharding import text_key
 
 FREQUENT = 256
+PARITY_WORDS = 8
 SHINGLE = 4
 THRESHOLD_PCT = 85
 
@@ -104,6 +109,17 @@ def _ranks(group: np.ndarray) -> np.ndarray:
     return np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
 
 
+def _parity(s: _Sets) -> np.ndarray:
+    """PARITY_WORDS longs a document: the parity of its tokens in each hashed bit.
+
+    Two bitmaps differ in no more bits than the sets differ in tokens.
+    """
+    width = 64 * PARITY_WORDS
+    bit = (C.mix(s.hash, 33) % np.uint64(width)).astype(np.int64)
+    odd = np.bincount(s.doc * width + bit, minlength=len(s.ids) * width) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, width), axis=1).view(np.int64).reshape(-1, PARITY_WORDS)
+
+
 def waste_classes(pct: int) -> int:
     """How many classes of frequent tokens even the smallest linkable pair of different sets can afford."""
     least = -(-pct // (100 - pct))  # the smallest n with n / (n + 1) >= pct / 100
@@ -154,9 +170,11 @@ def _signatures(k: int, bits: int, pct: int, frequent: int):
         return pd.DataFrame({
             "doc_id": s.ids,
             "n": s.size.astype(np.int64),
+            "u": np.bincount(s.doc[klass == 1], minlength=len(s.ids)),
+            "parity": pd.Series(_parity(s).tolist(), dtype=object),
             "s1": [int.from_bytes(m[:8], "little", signed=True) for m in marks],
             "s2": [int.from_bytes(m[8:], "little", signed=True) for m in marks],
-            "keys": key_lists,
+            "keys": pd.Series([x.tolist() for x in key_lists], dtype=object),
             "tokens": [x.tobytes() if len(y) else None for x, y in zip(sets, key_lists)],
         })
 
@@ -177,18 +195,36 @@ def _verify(pct: int):
     return run
 
 
+def _possible(x: str, y: str, pct: int) -> Column:
+    """Whether documents of n tokens, u of them found nowhere else, can be similar enough.
+
+    What only one of them has lies outside the intersection and inside the union.
+    """
+    most = F.least(F.col(f"n{x}") - F.col(f"u{x}"), F.col(f"n{y}") - F.col(f"u{y}"))
+    return (most * 100 >= (most + F.col(f"u{x}") + F.col(f"u{y}")) * pct) & (F.least(f"n{x}", f"n{y}") * 100 >= F.greatest(f"n{x}", f"n{y}") * pct)
+
+
+def _bits(x: str) -> list[Column]:
+    return [F.col(f"parity{x}")[i].alias(f"b{i}{x}") for i in range(PARITY_WORDS)]
+
+
+def _few_differ(x: str, y: str, pct: int) -> Column:
+    """Whether the parity bitmaps allow a symmetric difference small enough for the threshold."""
+    differ = sum((F.bit_count(F.col(f"b{i}{x}").bitwiseXOR(F.col(f"b{i}{y}"))) for i in range(PARITY_WORDS)), F.lit(0))
+    return differ * (100 + pct) <= (F.col(f"n{x}") + F.col(f"n{y}")) * (100 - pct)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    with_x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("m")), "a")
-    with_y = with_x.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"), "n"), "b")
-    close = with_y.filter(F.least("m", "n") * 100 >= F.greatest("m", "n") * pct)
-    return close.select("a", "b", "x", "y").mapInPandas(_verify(pct), "a long, b long")
+    with_x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+    with_y = with_x.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
+    return with_y.select("a", "b", "x", "y").mapInPandas(_verify(pct), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     _, total = C.volume(docs)
-    n_chunks, bits = C.chunk_count(total), C.sketch_bits(total)
+    n_chunks, bits = C.chunk_count(total), C.sketch_bits(total, 4.0)
     shard_bits = C.shard_bits_for(total, bits)
     rows = docs.select(C.id_or_last(docs), *text_key(F.col("text")), F.col("text").rlike(C.WORD_SQL).alias("worded"))
     copies = C.checkpoint(rows.filter("worded").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
@@ -198,23 +234,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int
     replies = packets.groupBy("shard").applyInPandas(_merge_frequencies, "chunk int, kind int, shard int, n long, body binary")
     side = wanted.unionByName(replies)
     signed = C.checkpoint(
-        texts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInPandas(_signatures(shingle, bits, threshold_pct, frequent), "doc_id long, n long, s1 long, s2 long, keys array<long>, tokens binary")
+        texts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInPandas(_signatures(shingle, bits, threshold_pct, frequent), "doc_id long, n long, u long, parity array<long>, s1 long, s2 long, keys array<long>, tokens binary")
     )
     classes = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
     equal = signed.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    postings = signed.filter(F.size("keys") > 0).select("doc_id", "keys").join(classes.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    first = postings.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "a")
+    postings = signed.filter(F.size("keys") > 0).select("doc_id", "n", "u", "keys").join(classes.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "u", F.explode("keys").alias("key"))
+    centre = F.struct((F.col("u") * 10000 / F.col("n")).cast("int").alias("alone"), "doc_id", "n", "u")
+    first = postings.groupBy("key").agg(F.min(centre).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("m.doc_id").alias("p"), F.col("m.n").alias("np"), F.col("m.u").alias("up"))
     shared = C.checkpoint(postings.join(first, "key"))
-    sets = signed.filter(F.size("keys") > 0).select("doc_id", "n", "tokens")
-    tested = C.checkpoint(shared.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    sets = signed.filter(F.size("keys") > 0).select("doc_id", "tokens")
+    near = shared.withColumnsRenamed({"n": "nx", "u": "ux"}).filter("doc_id <> p").filter(_possible("x", "p", threshold_pct))
+    tested = C.checkpoint(near.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct())
     links = C.checkpoint(_linked(tested, sets, threshold_pct).unionByName(equal))
     label = connected(links)
     # Lists that still hold several components: the documents outside the largest one meet those of other components.
-    listed = shared.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    per_list = listed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = C.checkpoint(listed.join(per_list.select("key", "main"), "key"))
-    minor = mixed.filter("root <> main").select("key", F.col("doc_id").alias("u"), F.col("root").alias("ru"))
-    pairs = mixed.join(minor, "key").filter("root <> ru").select(F.least("doc_id", "u").alias("a"), F.greatest("doc_id", "u").alias("b")).distinct()
+    listed = shared.select("key", "doc_id", "n", "u").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    per_list = listed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = listed.join(per_list.select("key", F.col("main.root").alias("main")), "key").join(signed.select("doc_id", F.col("parity").alias("parityx")), "doc_id")
+    mixed = C.checkpoint(mixed.select("key", "doc_id", "root", "main", F.col("n").alias("nx"), F.col("u").alias("ux"), *_bits("x")))
+    minor = mixed.filter("root <> main").withColumnsRenamed({"key": "k", "doc_id": "y", "root": "ry", "nx": "ny", "ux": "uy"} | {f"b{i}x": f"b{i}y" for i in range(PARITY_WORDS)}).drop("main")
+    # A pair of documents outside the largest component is met from one side only.
+    apart = (F.col("root") != F.col("ry")) & ((F.col("root") == F.col("main")) | (F.col("doc_id") < F.col("y")))
+    met = mixed.join(minor, (F.col("key") == F.col("k")) & apart & _possible("x", "y", threshold_pct) & _few_differ("x", "y", threshold_pct))
+    pairs = met.select(F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")).distinct()
     more = C.checkpoint(_linked(pairs.join(tested, ["a", "b"], "left_anti"), sets, threshold_pct))
     if not more.isEmpty():
         label = connected(links.unionByName(more))
