@@ -66,7 +66,7 @@ def section_chunks(docs: DataFrame, key: str = "file_path", heading: str = r"^#{
     Text before the first heading is section 0; empty texts give none. Sections are cut within
     each text by array functions, so lines are never shuffled.
     """
-    lines = docs.filter(F.length(F.trim("text")) > 0).select(key, F.split("text", "\n", -1).alias("lines"))
+    lines = docs.filter(F.col("text").rlike(r"\S")).select(key, F.split("text", "\n", -1).alias("lines"))
     n = F.size("lines")
     starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | F.element_at("lines", i).rlike(heading))
     cut = lines.select(key, "lines", F.posexplode(starts).alias("section", "start_line"), starts.alias("starts"))
@@ -75,7 +75,7 @@ def section_chunks(docs: DataFrame, key: str = "file_path", heading: str = r"^#{
     title = F.when(first.rlike(heading), F.trim(F.regexp_replace(first, r"^#+\s*", "")))
     body = F.array_join(F.slice("lines", F.col("start_line"), end - F.col("start_line") + 1), "\n")
     rows = cut.select(key, F.col("section").cast("int").alias("section"), title.alias("title"), "start_line", end.alias("end_line"), body.alias("text"))
-    return rows.filter(F.length(F.trim("text")) > 0)
+    return rows.filter(F.col("text").rlike(r"\S"))
 
 
 def resolve_import(from_path: Column, target: Column) -> Column:

@@ -146,8 +146,9 @@ def embed_pending(rows: DataFrame, model: Callable[[list[str]], list[list[float]
             vectors: list = []
             for a in range(0, len(pdf), batch):
                 vectors += model(pdf[text].iloc[a : a + batch].fillna("").tolist())
-            yield pd.DataFrame({c: pdf[c] for c in pending.columns if c != "embedding"} | {"embedding": vectors})[pending.columns]
+            yield pd.DataFrame({c: pdf[c] for c in columns if c != "embedding"} | {"embedding": vectors})[columns]
 
+    columns = rows.columns
     pending = rows.filter("embedding is null")
     return rows.filter("embedding is not null").unionByName(pending.mapInPandas(run, pending.schema))
 

@@ -1,9 +1,9 @@
 """Streaming operators (T1-T9), each with a batch twin over the same rows.
 
-Rate limit, cooldown, quota and change feed keep state by key in transformWithStateInPandas;
-spend, rates and quantiles are windowed aggregates under a watermark. State is bounded: the
-rate limit keeps a window's timestamps, the others one value a key, and idle keys expire by
-time to live.
+Rate limit, cooldown and change feed keep state by key in applyInPandasWithState; spend, rates
+and quantiles are windowed aggregates under a watermark. State is bounded: the rate limit
+keeps a window's timestamps, the others one value a key. A stream that runs on can let idle
+keys expire (idle_ms); an available-now run can't, as timeouts keep it from ending.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TERMINAL = ("ready", "failed")
 BUCKETS_MS = (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 20000)
 
@@ -37,32 +36,43 @@ def rate_limit(events: DataFrame, limit: int, window_s: int) -> DataFrame:
     return rows.select(*events.columns, F.col("in_window").cast("long").alias("in_window"), (F.col("in_window") <= limit).alias("ok"), F.greatest(F.lit(limit) - F.col("in_window"), F.lit(0)).cast("long").alias("remaining"), F.when(F.col("in_window") > limit, F.col("_first") + w_ms - F.col("_ms")).otherwise(0).cast("long").alias("retry_after_ms"))
 
 
-class _RateLimit(StatefulProcessor):
-    def __init__(self, limit: int, window_s: int):
-        self.limit, self.window_ms = limit, window_s * 1000
+def _with_state(step: Callable, order: list[str], columns: list[str], first: tuple, idle_ms: int | None) -> Callable:
+    """A state function: the key's new rows in order go through step(key, row tuples, state) -> (out rows, state)."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "ms long", ttlDurationMs=2 * self.window_ms + 86_400_000)
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = pd.concat(list(frames)).sort_values(order)
+        out, new = step(key[0], batch, state.get if state.exists else first)
+        state.update(new)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=columns)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["ms", "event_id"])
-        seen = [x[0] for x in self.seen.get()]
-        out = []
+    return run
+
+
+def _stateful(rows: DataFrame, step: Callable, order: list[str], out: str, state: str, first: tuple, idle_ms: int | None) -> DataFrame:
+    names = [x.split()[0] for x in out.split(", ")]
+    return rows.groupBy("key").applyInPandasWithState(_with_state(step, order, names, first, idle_ms), out, state, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+
+
+def _rate_step(limit: int, window_ms: int) -> Callable:
+    def step(key, batch: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
+        seen, out = list(state[0]), []
         for event_id, ms in zip(batch["event_id"], batch["ms"]):
-            seen = [x for x in seen if x > ms - self.window_ms] + [ms]
-            n = len(seen)
-            out.append((key[0], event_id, n, n <= self.limit))
-        self.seen.put([(int(x),) for x in seen])
-        yield pd.DataFrame(out, columns=["key", "event_id", "in_window", "ok"])
+            seen = [x for x in seen if x > ms - window_ms] + [int(ms)]
+            out.append((key, event_id, len(seen), len(seen) <= limit))
+        return out, (seen,)
 
-    def close(self) -> None:
-        pass
+    return step
 
 
-def rate_limit_stream(events: DataFrame, limit: int, window_s: int) -> DataFrame:
+def rate_limit_stream(events: DataFrame, limit: int, window_s: int, idle_ms: int | None = None) -> DataFrame:
     """T1, stream: (key, event_id, in_window, ok)."""
     rows = events.select("key", "event_id", millis(F.col("ts")).alias("ms"))
-    return rows.groupBy("key").transformWithStateInPandas(_RateLimit(limit, window_s), f"key {_kind(events, 'key')}, event_id long, in_window long, ok boolean", "append", "processingTime")
+    return _stateful(rows, _rate_step(limit, window_s * 1000), ["ms", "event_id"], f"key {_kind(events, 'key')}, event_id long, in_window long, ok boolean", "seen array<long>", ([],), idle_ms)
 
 
 def daily_spend(costs: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -101,32 +111,22 @@ def alert_cooldown(events: DataFrame, cooldown_s: int) -> DataFrame:
     return rows.groupBy("key").applyInPandas(_cooldown(cooldown_s * 1000), f"key {_kind(events, 'key')}, event_id long, sent boolean")
 
 
-class _Cooldown(StatefulProcessor):
-    def __init__(self, cooldown_s: int):
-        self.ms = cooldown_s * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ms long", ttlDurationMs=2 * self.ms + 86_400_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["ms", "event_id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
+def _cooldown_step(cooldown_ms: int) -> Callable:
+    def step(key, batch: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
+        last, out = state[0], []
         for event_id, ms in zip(batch["event_id"], batch["ms"]):
-            fire = last is None or ms - last >= self.ms
-            last = ms if fire else last
-            out.append((key[0], event_id, fire))
-        self.last.update((int(last),))
-        yield pd.DataFrame(out, columns=["key", "event_id", "sent"])
+            fire = last is None or ms - last >= cooldown_ms
+            last = int(ms) if fire else last
+            out.append((key, event_id, fire))
+        return out, (last,)
 
-    def close(self) -> None:
-        pass
+    return step
 
 
-def alert_cooldown_stream(events: DataFrame, cooldown_s: int) -> DataFrame:
+def alert_cooldown_stream(events: DataFrame, cooldown_s: int, idle_ms: int | None = None) -> DataFrame:
     """T4, stream."""
     rows = events.select("key", "event_id", millis(F.col("ts")).alias("ms"))
-    return rows.groupBy("key").transformWithStateInPandas(_Cooldown(cooldown_s), f"key {_kind(events, 'key')}, event_id long, sent boolean", "append", "processingTime")
+    return _stateful(rows, _cooldown_step(cooldown_s * 1000), ["ms", "event_id"], f"key {_kind(events, 'key')}, event_id long, sent boolean", "last long", (None,), idle_ms)
 
 
 def daily_quota(events: DataFrame, limit: float) -> DataFrame:
@@ -145,32 +145,22 @@ def change_feed(snapshots: DataFrame) -> DataFrame:
     return rows.filter("_changed and _ended = 0").drop("_changed", "_ended")
 
 
-class _ChangeFeed(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "snapshot string, ended boolean", ttlDurationMs=7 * 86_400_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values("seq")
-        known = self.last.exists()
-        last, ended = self.last.get() if known else (None, False)
-        out = []
-        for seq, status, snapshot in zip(batch["seq"], batch["status"], batch["snapshot"]):
-            if ended:
-                break
-            if not known or snapshot != last:
-                out.append((key[0], seq, status, snapshot))
-            known, last, ended = True, snapshot, status in TERMINAL
-        self.last.update((last, bool(ended)))
-        yield pd.DataFrame(out, columns=["key", "seq", "status", "snapshot"])
-
-    def close(self) -> None:
-        pass
+def _feed_step(key, batch: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
+    last, known, ended = state
+    out = []
+    for seq, status, snapshot in zip(batch["seq"], batch["status"], batch["snapshot"]):
+        if ended:
+            break
+        if not known or snapshot != last:
+            out.append((key, seq, status, snapshot))
+        last, known, ended = snapshot, True, status in TERMINAL
+    return out, (last, known, ended)
 
 
-def change_feed_stream(snapshots: DataFrame) -> DataFrame:
+def change_feed_stream(snapshots: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """T6, stream."""
     rows = snapshots.select("key", "seq", "status", "snapshot")
-    return rows.groupBy("key").transformWithStateInPandas(_ChangeFeed(), f"key {_kind(snapshots, 'key')}, seq long, status string, snapshot string", "append", "processingTime")
+    return _stateful(rows, _feed_step, ["seq"], f"key {_kind(snapshots, 'key')}, seq long, status string, snapshot string", "last string, known boolean, ended boolean", (None, False, False), idle_ms)
 
 
 def counter_rate(events: DataFrame, label: str, duration: str, slide: str, seconds: int, watermark: str | None = None) -> DataFrame:
