@@ -64,7 +64,35 @@ QUERIES = {
 #: Words of a document in DuckDB.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 ORACLES = {
+    "op5_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+        f AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS x FROM f
+              UNION ALL SELECT doc_id, '#' || array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS node, doc_id AS origin FROM d UNION SELECT b, origin FROM r JOIN l ON a = node),
+        m AS (SELECT node, min(origin) AS component_id FROM r GROUP BY 1)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN m ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op7_mix_sources": f"""
+        WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+        w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2 * source_size AS cap FROM s),
+        o AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 150 / 100 AS budget, coalesce(sum(cap) OVER q, 0)::DOUBLE AS cap_before,
+                     (sum(w) OVER () - coalesce(sum(w) OVER q, 0))::DOUBLE AS w_left, cap / w AS ratio
+              FROM w WINDOW q AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        v AS (SELECT *, (budget - cap_before) / w_left AS level FROM o),
+        x AS (SELECT arg_min(level, ratio) FILTER (cap > level * w) AS level FROM v),
+        t AS (SELECT v.source, source_size, CASE WHEN x.level IS NULL THEN cap ELSE least(cap, x.level * w) END::DOUBLE AS target FROM v, x),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+        c AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY ('0x' || md5('0:' || doc_id || ':' || size)[1:13])::BIGINT, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d)
+        SELECT doc_id, size, source_size, round(target, 6) AS target,
+               (size * (whole + CASE WHEN 2 * upto - size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source""",
     "op8_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
