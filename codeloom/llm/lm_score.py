@@ -112,7 +112,7 @@ def _score(shards: int, path: str, logp: np.ndarray, log_end: float, end_count:
     def run(key, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if not len(pdf):
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({c: [] for c in columns}, dtype=object)
         words, by_shard = _distinct(pdf["body"].tolist(), shards)
         distinct = [w for own in by_shard for w in own]
         own = replies.sort_values("shard")

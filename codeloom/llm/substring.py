@@ -146,7 +146,7 @@ def _exact(key, pdf: pd.DataFrame) -> pd.DataFrame:
 def _mark(k: int, bits: int, layout: bool, more: tuple):
     def run(key, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({c: [] for c in ("doc_id", "n_words", "n_removed", "kept", *more)})
+            return pd.DataFrame({c: [] for c in ("doc_id", "n_words", "n_removed", "kept", *more)}, dtype=object)
         w = _Windows(pdf, k)
         pick = _estimated(w, replies, bits)
         elsewhere = np.zeros(len(w.keys), bool)
