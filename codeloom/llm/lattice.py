@@ -39,16 +39,50 @@ class Pieces:
         # Merge scores are negated ranks; a rank-frequency law makes them probabilities.
         prior = np.where(usable, 1.0 / (rank + 3.0), 0.0)
         self.prior = prior / prior.sum()
-        self._spans: dict[int, list] = {}
-
-    def spans(self, length: int) -> list[tuple[slice, int, int]]:
-        """(slice, start, end) by end, so that the terms of one end lie together."""
-        if length not in self._spans:
-            made = [(slice(i, j), i, j) for j in range(1, length + 1) for i in range(max(0, j - self.longest), j)]
-            if length > 64:
-                return made
-            self._spans[length] = made
-        return self._spans[length]
+        self._index()
+
+    def _index(self) -> None:
+        """Piece hashes in two direct-address tables, so that whole arrays of spans are looked up at once."""
+        names = list(self.ids)
+        keys = np.array([int(_extend(np.zeros(1, np.uint64), [np.array([ord(c)], np.uint64) for c in w])[0]) for w in names], np.uint64)
+        values = np.array([self.ids[w] for w in names], np.int32)
+        self.tables = []
+        left = np.arange(len(names))
+        for seed in range(1, 20):
+            slot = _slot(keys[left], seed)
+            _, first = np.unique(slot, return_index=True)
+            table = np.full(1 << SLOT_BITS, -1, np.int32)
+            table[slot[first]] = left[first]
+            self.tables.append((seed, table))
+            left = np.delete(left, first)
+            if not len(left):
+                break
+        self.keys, self.values = np.append(keys, np.uint64(0)), np.append(values, np.int32(-1))
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """Piece ids of span hashes; -1 for spans that are no piece."""
+        out = np.full(h.shape, -1, np.int32)
+        for seed, table in self.tables:
+            at = table[_slot(h, seed)]
+            hit = self.keys[at] == h
+            out = np.where(hit & (at >= 0), self.values[at], out)
+        return out
+
+
+SLOT_BITS = 19
+
+
+def _extend(h: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        for c in codes:
+            h = (h + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h = h ^ (h >> np.uint64(29))
+    return h
+
+
+def _slot(h: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((h * np.uint64(0xC2B2AE3D27D4EB4F + 2 * seed)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -60,21 +94,26 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def _edges(vocabulary: Pieces, words: list[str], length: int):
-    """Piece id of every span of every word; -1 where there is none, ids from vocabulary.size for spelled characters."""
-    spans = vocabulary.spans(length)
-    get = vocabulary.ids.get
-    slices = [s for s, _, _ in spans]
-    ids = np.array([[get(w[s], -1) for s in slices] for w in words], np.int64).reshape(len(words), len(spans))
-    spelled: dict[str, int] = {}
-    for k, (_, i, j) in enumerate(spans):
-        if j - i == 1:
-            for row in np.flatnonzero(ids[:, k] < 0).tolist():
-                ids[row, k] = vocabulary.size + spelled.setdefault(words[row][i], len(spelled))
-    return spans, ids, list(spelled)
+def _edges(vocabulary: Pieces, words: list[str], length: int) -> tuple[np.ndarray, str]:
+    """ids[word, end - 1, span length - 1] and the characters that are spelled by bytes.
+
+    An id is that of the span's piece, -1 where there is none, and vocabulary.size + i for the
+    i-th spelled character.
+    """
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).reshape(len(words), length).astype(np.uint64)
+    most = min(length, vocabulary.longest)
+    ids = np.full((len(words), length, most), -1, np.int32)
+    h = np.zeros(codes.shape, np.uint64)
+    for n in range(1, most + 1):
+        h = _extend(h[:, : length - n + 1], [codes[:, n - 1 :]])
+        ids[:, n - 1 :, n - 1] = vocabulary.lookup(h)
+    missing = ids[:, :, 0] < 0
+    spelled, which = np.unique(codes[missing], return_inverse=True)
+    ids[:, :, 0][missing] = vocabulary.size + which
+    return ids, "".join(map(chr, spelled.tolist()))
 
 
-def _table(vocabulary: Pieces, logp: np.ndarray, spelled: list[str]) -> np.ndarray:
+def _table(vocabulary: Pieces, logp: np.ndarray, spelled: str) -> np.ndarray:
     """logp by piece, then the spelled characters, then -inf for no piece (reached as -1)."""
     extra = [logp[vocabulary.bytes[list(c.encode("utf-8", "replace"))]].sum(0, keepdims=True) for c in spelled]
     return np.concatenate([logp, *extra, np.full((1, logp.shape[1]), -np.inf)])
@@ -97,27 +136,53 @@ def _by_length(words: list[str]):
             yield length, rows[a : a + step]
 
 
-def _forward(spans, edge: np.ndarray, length: int) -> np.ndarray:
-    """alpha[word, position, column]."""
-    alpha = np.full((edge.shape[0], length + 1, edge.shape[2]), -np.inf)
+def _forward(edge: np.ndarray) -> np.ndarray:
+    """alpha[word, position, column] of edge[word, end - 1, span length - 1, column]."""
+    n, length, most, columns = edge.shape
+    alpha = np.full((n, length + 1, columns), -np.inf)
     alpha[:, 0] = 0.0
-    k = 0
-    while k < len(spans):
-        j, i = spans[k][2], spans[k][1]
-        m = j - i
-        alpha[:, j] = _lse(alpha[:, i:j] + edge[:, k : k + m])
-        k += m
+    for j in range(1, length + 1):
+        m = min(j, most)
+        alpha[:, j] = _lse(alpha[:, j - m : j][:, ::-1] + edge[:, j - 1, :m])
     return alpha
 
 
-def word_logprobs(vocabulary: Pieces, words: list[str], logp: np.ndarray) -> np.ndarray:
-    """Natural log probability of each word, summed over its segmentations, for each column of logp."""
+def _scaled(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The last column of _forward by products: every few positions the values are divided by
+    their largest one and the divisor's logarithm is kept, so that long words don't underflow."""
+    n, length, most = ids.shape
+    alpha = np.zeros((n, length + 1, p.shape[1]))
+    alpha[:, 0] = 1.0
+    log_scale = np.zeros((n, p.shape[1]))
+    for j in range(1, length + 1):
+        m = min(j, most)
+        alpha[:, j] = np.einsum("nmk,nmk->nk", alpha[:, j - m : j][:, ::-1], p[ids[:, j - 1, :m]])
+        if j % 8 == 0:
+            recent = alpha[:, max(0, j + 1 - most) : j + 1]
+            top = recent.max(1)
+            recent /= top[:, None]
+            log_scale += np.log(top)
+    return np.log(alpha[:, length]) + log_scale
+
+
+def word_logprobs(vocabulary: Pieces, words: list[str], logp: np.ndarray, scaled: bool = False) -> np.ndarray:
+    """Natural log probability of each word, summed over its segmentations, for each column of logp.
+
+    The recursion runs in log space or, with `scaled`, on scaled probabilities, which is faster
+    for several columns.
+    """
     out = np.zeros((len(words), logp.shape[1]))
     marked = [MARK + w for w in words]
     for length, rows in _by_length(marked):
-        spans, ids, spelled = _edges(vocabulary, [marked[r] for r in rows], length)
-        edge = _table(vocabulary, logp, spelled)[ids]
-        out[rows] = _forward(spans, edge, length)[:, length]
+        ids, spelled = _edges(vocabulary, [marked[r] for r in rows], length)
+        table = _table(vocabulary, logp, spelled)
+        # Spelled characters are too unlikely for a common scale; their words take the log-space way.
+        plain = ~(ids[:, 1:, 0] >= vocabulary.size).any(1) & scaled
+        rows = np.array(rows)
+        if plain.any():
+            out[rows[plain]] = _scaled(ids[plain], np.exp(table))
+        if not plain.all():
+            out[rows[~plain]] = _forward(table[ids[~plain]])[:, length]
     return out
 
 
@@ -125,31 +190,30 @@ def expected_counts(vocabulary: Pieces, words: list[str], weights: np.ndarray, l
     """Expected uses of each piece over all segmentations under logp (one column), for each column of weights."""
     total = np.zeros((vocabulary.size, weights.shape[1]))
     marked = [MARK + w for w in words]
-    table_in = logp[:, None]
     for length, rows in _by_length(marked):
-        spans, ids, spelled = _edges(vocabulary, [marked[r] for r in rows], length)
-        edge = _table(vocabulary, table_in, spelled)[ids]
-        alpha = _forward(spans, edge, length)[:, :, 0]
-        edge = edge[:, :, 0]
-        start = np.array([s[1] for s in spans])
-        end = np.array([s[2] for s in spans])
+        ids, spelled = _edges(vocabulary, [marked[r] for r in rows], length)
+        edge = _table(vocabulary, logp[:, None], spelled)[ids]
+        alpha = _forward(edge)[:, :, 0]
+        edge = edge[:, :, :, 0]
+        most = edge.shape[2]
         beta = np.full_like(alpha, -np.inf)
         beta[:, length] = 0.0
-        by_start = np.argsort(start, kind="stable")
-        bounds = np.searchsorted(start[by_start], np.arange(length + 1))
         for i in range(length - 1, -1, -1):
-            own = by_start[bounds[i] : bounds[i + 1]]
-            beta[:, i] = _lse((beta[:, end[own]] + edge[:, own])[:, :, None])[:, 0]
-        post = np.exp(alpha[:, start] + edge + beta[:, end] - alpha[:, length, None])
+            m = min(length - i, most)
+            ends = np.arange(i, i + m)
+            beta[:, i] = _lse((beta[:, ends + 1] + edge[:, ends, ends - i])[:, :, None])[:, 0]
+        post = edge
+        post += beta[:, 1:, None]
+        for n in range(most):
+            post[:, n:, n] += alpha[:, : length - n]
+        post -= alpha[:, length, None, None]
+        np.exp(post, out=post)
         post[~np.isfinite(post)] = 0.0
-        w = weights[rows]
-        used = np.flatnonzero(post > 0)
-        r, _ = np.divmod(used, post.shape[1])
-        piece, p = ids.ravel()[used], post.ravel()[used]
-        known = (piece >= 0) & (piece < vocabulary.size)
+        flat = ids.ravel() + 1
         for c in range(weights.shape[1]):
-            total[:, c] += np.bincount(piece[known], weights=p[known] * w[r[known], c], minlength=vocabulary.size)
-            for s in np.flatnonzero(piece >= vocabulary.size).tolist():
-                for b in spelled[piece[s] - vocabulary.size].encode("utf-8", "replace"):
-                    total[vocabulary.bytes[b], c] += p[s] * w[r[s], c]
+            found = np.bincount(flat, weights=(post * weights[rows, c][:, None, None]).ravel(), minlength=vocabulary.size + 1 + len(spelled))
+            total[:, c] += found[1 : vocabulary.size + 1]
+            for char, e in zip(spelled, found[vocabulary.size + 1 :]):
+                for b in char.encode("utf-8", "replace"):
+                    total[vocabulary.bytes[b], c] += e
     return total

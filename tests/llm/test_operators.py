@@ -310,14 +310,17 @@ def _brute_word(vocabulary, word, logp):
 def test_lattice_sums_all_segmentations():
     v = lattice.pieces(common.vocabulary_path("piece_bpe_32k.model"))
     logp = np.log(np.where(v.prior > 0, v.prior, 1e-300))
-    words = ["the", "unbelievable", "überaus", "x", "☃ok", "abcdefghijklmnopqrstuv"]
+    words = ["the", "unbelievable", "überaus", "x", "☃ok", "abcdefghijklmnopqrstuv", "\U0001f9ff!"]
     got = lattice.word_logprobs(v, words, np.stack([logp, logp - 0.1], 1))
     for w, (a, b) in zip(words, got):
         assert abs(a - math.log(_brute_word(v, w, logp))) < 1e-9 and b < a
+    odd = [*words, "\U0001f9ff" * 60, "q" * 300]
+    both = [lattice.word_logprobs(v, odd, np.stack([logp, logp - 0.1], 1), scaled=x) for x in (False, True)]
+    assert np.allclose(*both, rtol=1e-10)
     counts = lattice.expected_counts(v, words, np.ones((len(words), 1)), logp)
-    chars = sum(counts[i, 0] * len(p) for p, i in v.ids.items())
-    snowman = len("☃".encode())
-    assert abs(chars - sum(len(w) + 1 for w in words) + 1) < 1e-6 and abs(sum(counts[b, 0] for b in set(v.bytes["☃".encode()[i]] for i in range(snowman))) - snowman) < 1e-6
+    spelled = counts[v.bytes[v.bytes >= 0], 0].sum()
+    covered = sum(counts[i, 0] * len(p.encode()) for p, i in v.ids.items()) + spelled
+    assert abs(covered - sum(len((lattice.MARK + w).encode()) for w in words)) < 1e-6 and spelled > 0
 
 
 def test_lattice_is_fast_on_long_words():
