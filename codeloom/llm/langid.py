@@ -97,7 +97,7 @@ def _predict(path: str, languages: list[str], logp: np.ndarray):
             table = np.zeros((len(distinct), len(languages)))
             place = {w: i for i, w in enumerate(distinct)}
             if unseen:
-                fresh = word_logprobs(vocabulary, [w.decode("utf-8", "replace") for w in unseen], logp)
+                fresh = word_logprobs(vocabulary, [w.decode("utf-8", "replace") for w in unseen], logp, scaled=True)
                 table[[place[w] for w in unseen]] = fresh
             seen = [w for w in distinct if w in known]
             if seen:
