@@ -24,16 +24,17 @@ def test_empty(spark, empty):
 def test_decisions_take_effect(spark):
     prose = [f"w{i * 7919 % 1009} and then word{i % 37}x{i}" for i in range(40)]
     base = " ".join(prose)
-    passage = " ".join(f"q{i}" for i in range(70))
+    stems = ("stone", "river", "winter", "garden", "letter", "bridge", "market", "summer", "window", "silver")
+    passage = " ".join(a + b for a in stems[:7] for b in stems)
     near = base.replace("w0 ", "changed ", 1)
-    rows = [(1, base, "en", "a", 0), (2, near, "en", "a", 0), (3, "junk " * 50, "en", "a", 0), (4, passage + " first document ends in its own way here and now", "en", "a", 0), (5, "another one starts here, unlike the rest of them all " + passage + " " + " ".join(f"z{i}" for i in range(40)), "en", "b", 0)]
+    rows = [(1, base, "en", "a", 0), (2, near, "en", "a", 0), (3, "junk " * 50, "en", "a", 0), (4, passage + " first document ends in its own way here and now", "en", "a", 0), (5, "another one starts here, unlike the rest of them all " + passage + " " + " ".join(b + "s" + a for a in stems[:4] for b in stems), "en", "b", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     good = corpus_pipeline.quality_rules(spark, docs, SMALL)
     assert {r.doc_id for r in good.collect()} == {1, 2, 4, 5}
     kept = corpus_pipeline.near_duplicates(spark, good, SMALL)
     assert {r.doc_id for r in kept.collect()} == {1, 4, 5}
     cut = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, kept, SMALL).collect()}
-    assert cut[1] == base and "q5 " not in cut[5] and "q5 " in cut[4]
+    assert cut[1] == base and "stonebridge " not in cut[5] and "stonebridge " in cut[4]
 
 
 def test_run_matches_stages(spark):
