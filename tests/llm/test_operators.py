@@ -188,6 +188,49 @@ def test_license_bound_loses_nothing():
         assert (hit is not None) == (best >= 0.5) and (hit is None or abs(hit[1] - best) < 1e-9)
 
 
+def test_license_notices_with_words_around_them(spark):
+    notices = {
+        "Copyright 2024 Acme Corp. All rights reserved.": "Proprietary", "# Released under the MIT License. See LICENSE for details.": "MIT", "MIT License": "MIT",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "# Licensed under the Apache\n# License, Version 2.0 by Acme\n": "Apache-2.0", "SPDX-License-Identifier: Zlib": None, "one may read of the MIT License in old books": None,
+    }
+    with open(f"{license_scan.TEXTS}/MPL-2.0.txt") as f:
+        notices["Acme widgets\n\n" + f.read() + "\nAcme again"] = "MPL-2.0"
+    prose = "mit der and the river by bridges of old stone near a green field"
+    texts = [(f"n{i}", f"{prose} {i}\n{x}\n{prose} x{i}") for i, x in enumerate(notices)] + [(f"f{i}", f"{prose} w{i}") for i in range(60)]
+    got = {r.path: r for r in license_scan.detect(spark.createDataFrame(texts, "path string, text string")).collect()}
+    assert {x: got[f"n{i}"].own_license for i, x in enumerate(notices)} == notices and all(got[f"f{i}"].own_license is None for i in range(60))
+
+
+def test_license_scores_match_brute_force(spark):
+    """Every passage of every text, with the document frequencies of all terms."""
+    rng = random.Random(3)
+    words = sorted({t for x in license_scan.TEMPLATES.values() for t in license_scan.terms(x)}) + ["river", "stone", "field", "bridge"] * 9
+    texts = []
+    for i in range(80):
+        near = [w for w in license_scan.terms(rng.choice(sorted(license_scan.TEMPLATES.values()))) if rng.random() < 0.9]
+        texts.append("\n".join([" ".join(rng.choices(words, k=6)), " ".join([*rng.choices(words, k=2), *near, f"w{i % 7}"]), " ".join(rng.choices(words, k=6))]))
+    df = Counter(t for x in texts for t in set(license_scan.terms(x)))
+    idf = lambda t: license_scan.weight(len(texts), df[t])
+    found = license_scan.detect(spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "path string, text string"), license_scan.TEMPLATES)
+    got = {int(r.path): (r.own_license, r.own_score) for r in found.collect()}
+    matched = 0
+    for i, text in enumerate(texts):
+        every, best = license_scan.terms(text), (None, 0.0)
+        for name, template in sorted(license_scan.TEMPLATES.items()):
+            v = Counter(license_scan.terms(template))
+            n = min(len(every), sum(v.values()))
+            for passage in [every, *map(license_scan.terms, text.split("\n")), *(every[a : a + n] for a in range(len(every) - n + 1))]:
+                tf = Counter(passage)
+                norm = math.sqrt(sum((c * idf(t)) ** 2 for t, c in v.items()) * sum((c * idf(t)) ** 2 for t, c in tf.items()))
+                score = sum(c * tf[t] * idf(t) ** 2 for t, c in v.items()) / norm
+                if score >= license_scan.THRESHOLD and score > best[1] + 1e-9:
+                    best = (name, score)
+        assert got[i][0] == best[0] and abs((got[i][1] or 0.0) - best[1]) < 1e-6
+        matched += best[0] is not None
+    assert 40 < matched
+
+
 # 6
 
 
