@@ -162,6 +162,19 @@ def test_quality_bands(spark):
     assert [tuple(r) for r in quality.keep_good(df).orderBy("doc_id").collect()] == [(1, good, "en", 1), (3, good, None, 1)]
 
 
+def test_quality_fences_of_the_table(spark):
+    """Random letters, base64 and a text of another language lie in the fixed bands, but not among the table's texts."""
+    rng = random.Random(5)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    words = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(120))
+    odd = [(10**9, words("abcdefghijklmnopqrstuvwxyz"), "en"), (10**9 + 1, words("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), "fr")]
+    found = quality.quality_digest(table.unionByName(spark.createDataFrame(odd, table.schema))).toPandas().set_index("doc_id")
+    assert not found.base_failed[[x[0] for x in odd]].any() and not found.kept[[x[0] for x in odd]].any()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id").quality
+    judged = found[~found.base_failed & (found.n_tokens >= 64)].join(labels, how="inner")
+    assert judged.kept[judged.quality == 1].mean() > 0.97 and judged.kept[judged.quality == 0].mean() < 0.5
+
+
 # 4
 
 
