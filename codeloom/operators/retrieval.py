@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.functions.vectors import cosine
-from codeloom.runtime import top, union
+from codeloom.runtime import checkpoint, top, union
 
 RRF_K = 60
 ARM = 4
@@ -99,17 +99,29 @@ def nearest(chunks: DataFrame, query: list[float] | Column, limit: int) -> DataF
 def nearest_batch(chunks: DataFrame, queries: DataFrame, limit: int, max_queries: int = 1000) -> DataFrame:
     """V2 for a table of queries (query_id, vector): (query_id, chunk_id, distance, rank).
 
-    The queries are broadcast once their number is checked; each chunk is scored against all of
-    them where it lies, and only each query's best rows move (the rank limit is pushed below
-    the exchange).
+    Any number of queries: more than max_queries are dealt by a hash to blocks of half as many on
+    average, small enough to broadcast; each block is a pass over the chunks whose best rows are
+    kept before the next, and the rows of all blocks are ranked once more. Each chunk is scored
+    against a block where it lies, and only each query's best rows move (the rank limit is pushed
+    below the exchange).
     """
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"{n} queries; split them into blocks of at most {max_queries}")
-    pairs = chunks.filter("embedding is not null").crossJoin(F.broadcast(queries))
-    scored = pairs.select("query_id", "chunk_id", (1 - cosine(F.col("embedding"), F.col("vector"))).alias("distance"))
     by = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
+    held = chunks.filter("embedding is not null")
+
+    def best(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
+
+    def block(asked: DataFrame) -> DataFrame:
+        pairs = held.crossJoin(F.broadcast(asked))
+        return best(pairs.select("query_id", "chunk_id", (1 - cosine(F.col("embedding"), F.col("vector"))).alias("distance")))
+
+    n = queries.count()
+    if n <= max_queries:
+        return block(queries)
+    numbered = checkpoint(queries.select("query_id", "vector").withColumn("_row", F.monotonically_increasing_id()))
+    blocks = -(-2 * n // max_queries)
+    found = [checkpoint(block(numbered.filter(F.pmod(F.xxhash64("_row"), F.lit(blocks)) == i).drop("_row"))) for i in range(blocks)]
+    return best(union(found).drop("rank"))
 
 
 def search_text(chunks: DataFrame, query: str, limit: int, stem: bool = False) -> DataFrame:

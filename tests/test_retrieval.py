@@ -55,3 +55,19 @@ def test_context_and_citations(spark):
     u = "01234567-89ab-cdef-0123-456789abcdef"
     messages = spark.createDataFrame([("m", f"[chunk:{u}]"), ("n", "none")], "message_id string, content string")
     assert retrieval.unknown_citations(messages, spark.createDataFrame([], "chunk_id string")).collect()[0].chunk_id == u
+
+
+def test_nearest_batch_of_more_queries_than_a_block(spark):
+    rows = spark.range(60).select(F.col("id").alias("chunk_id"), F.array(F.cos("id").cast("float"), F.sin("id").cast("float")).alias("embedding"))
+    asked = rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    key = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.distance, 9)) for r in df.collect())
+    cut = key(retrieval.nearest_batch(rows, asked, 3, max_queries=20))
+    assert len(cut) == 180 and cut == key(retrieval.nearest_batch(rows, asked, 3))
+
+
+def test_nearest_batch_twentieth_grows_with_the_table(spark):
+    from codeloom.plans import QUERIES
+
+    for sf in ("sf0.001", "sf0.01"):
+        n = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+        assert QUERIES["nearest_batch_twentieth"](spark, f"/root/testdata/{sf}").count() == 5 * n
