@@ -62,10 +62,15 @@ def chunk_count(total_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> int:
     return max(MIN_CHUNKS, -(-total_bytes // chunk_bytes))
 
 
+def chunk_of(doc_id: Column, text_hash: Column, n_chunks: int) -> Column:
+    """The chunk of a document: a hash of its id and text, so that null or repeated ids spread by their texts."""
+    return F.pmod(F.xxhash64(doc_id, text_hash), F.lit(n_chunks)).cast("int").alias("chunk")
+
+
 def chunked(docs: DataFrame, n_chunks: int, *more: Column) -> DataFrame:
-    """(chunk int, doc_id long, body binary, and more); a chunk is a hash range of doc_id."""
+    """(chunk int, doc_id long, body binary, and more)."""
     return docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int").alias("chunk"),
+        chunk_of(id_or_last(docs), F.xxhash64("text"), n_chunks),
         id_or_last(docs),
         F.col("text").cast("binary").alias("body"),
         *more,

@@ -1,8 +1,8 @@
 """N-gram Jaccard join by token-combination prefixes, and the components of its links.
 
 Tokens are the distinct word shingles of a document; two documents link when
-100 * intersection >= threshold_pct * union. Copies are collapsed first, so a class of equal
-texts costs one document whatever its size.
+100 * intersection >= threshold_pct * union. Equal texts are collapsed first, so a class of copies
+costs one node whatever its size.
 
 * Token order: rarest first. Document frequencies are counted over all documents in one row
   of hashed cells as wide as the text, merged shard by shard (see common.py); a document
@@ -14,19 +14,25 @@ texts costs one document whatever its size.
   hash and are indexed as pairs within a class; each class can waste one token, so the prefix
   is extended until its single tokens and its second and later tokens of each class number
   n - ceil(t * n) + 1. The last tokens of the two prefixes being ordered, the shared
-  combination lies in both. A token that occurs nowhere else counts, but isn't indexed.
-* Verification without all pairs of a posting list: first every document is held against the
-  most central document of each of its lists, the one with the smallest share of tokens of its
-  own. Lists whose documents then lie in one component need no more. In the others, documents
-  outside the list's largest component are held against those of other components, so every
-  pair that could join two components is met. Two bounds end most such pairs within the join
-  (near copies of one text differ from each other by both their changes): tokens that occur
-  nowhere else, and a bitmap of token parities, which can't differ in more bits than the sets
-  differ in tokens. Neither rejects a pair that links.
+  combination lies in both. The number of classes grows with the length: sizes are cut into bands
+  so that the two documents of a link lie in one band or in neighbours, and a document is indexed
+  with the classes of its own band and of the next. A class then has two tokens of a prefix on
+  average, and a document has keys in proportion to its length. A token that occurs nowhere else
+  counts, but isn't indexed.
+* Verification without all pairs of a posting list: every document is held against the centre of
+  each of its lists, the document with the smallest share of tokens of its own. That gives links,
+  and for those that lie outside the component of their centre c the exact way on: the *delta* of a
+  document is its symmetric difference with c. With m tokens of c missing and e further ones, a
+  document links with c iff cost = m + t * e <= (1 - t) * |c|; two documents x, y link iff their
+  deltas share at least (cost x + cost y - (1 - t) * |c|) / (1 + t) tokens. That is more than half
+  of what a close copy has, so prefixes of the deltas are indexed as those of the texts were, and
+  pairs whose deltas have too few tokens to share are left out by the join. Near copies of one text that
+  each have changes of their own drop out here, whatever the size of their group.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; a text with
-fewer words than a shingle is one shingle; equal sets always link; rows with the same doc_id
-count as one document; rows with a null doc_id count as one document with the largest id.
+fewer words than a shingle is one shingle; equal sets always link; rows with one doc_id, or with
+none, and different texts are different documents, each with its own shingles and links; a component's
+id is the smallest doc_id of its rows, null where none has one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,18 +47,18 @@ from .components import connected
 from .sharding import text_key
 
 FREQUENT = 256
-PARITY_WORDS = 8
 SHINGLE = 4
 THRESHOLD_PCT = 85
 
 
 class _Sets:
-    """Distinct shingle hashes of a chunk's documents: (document, hash) in order."""
+    """Distinct shingle hashes of a chunk's texts: (text, hash) in order. A text is one row of `wanted`."""
 
-    def __init__(self, pdf: pd.DataFrame, k: int, wanted: np.ndarray):
-        pdf = pdf[np.isin(pdf["doc_id"].to_numpy(np.int64), wanted)].drop_duplicates("doc_id")
-        words = [C.ascii_lower(b).split() if b is not None else [] for b in pdf["body"]]
-        ids = pdf["doc_id"].to_numpy(np.int64)
+    def __init__(self, pdf: pd.DataFrame, k: int, side: pd.DataFrame):
+        wanted = side.loc[side["kind"] == 0, ["doc_id", "h1", "h2", "node"]]
+        pdf = pdf.merge(wanted, on=["doc_id", "h1", "h2"]).drop_duplicates("node")
+        words = [C.ascii_lower(b).split() for b in pdf["body"]]
+        self.nodes = pdf["node"].to_numpy(np.int64)
         h, doc, lens = C.joined(words)
         n = len(h) - k + 1
         start = np.flatnonzero(doc[: max(n, 0)] == doc[k - 1 :]) if n > 0 else np.empty(0, np.int64)
@@ -66,22 +72,17 @@ class _Sets:
         new = np.ones(len(order), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
         self.hash, self.doc = hashes[new], owners[new].astype(np.int64)
-        self.size = np.bincount(self.doc, minlength=len(ids))
-        self.ids = ids
+        self.size = np.bincount(self.doc, minlength=len(self.nodes))
 
 
 def _cells(s: _Sets, bits: int):
     return np.unique(C.mix(s.hash, 5) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
 
 
-def _wanted(side: pd.DataFrame) -> np.ndarray:
-    return side.loc[side["kind"] == 0, "n"].to_numpy(np.int64)
-
-
 def _frequencies(k: int, bits: int, shard_bits: int):
     def run(key, pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         out = []
-        s = _Sets(pdf, k, _wanted(side))
+        s = _Sets(pdf, k, side)
         cells, _, counts = _cells(s, bits)
         for shard, a, b in C.shard_slices(cells, bits, shard_bits):
             out.append((shard, int(key[0]), b - a, C.pack_sorted(cells[a:b]), C.zlib.compress(C.planes(counts[a:b].astype(np.uint32)), 1)))
@@ -98,7 +99,8 @@ def _merge_frequencies(key, pdf: pd.DataFrame) -> pd.DataFrame:
     # 1: one document; otherwise the number of binary digits of the count.
     klass = np.frexp(total)[1].astype(np.uint8)[inverse]
     ends = np.cumsum(pdf["n"].to_numpy())
-    return pd.DataFrame({"chunk": pdf["chunk"], "kind": 1, "shard": pdf["shard"], "n": pdf["n"], "body": [C.zlib.compress(klass[e - n : e].tobytes(), 1) for e, n in zip(ends, pdf["n"])]})
+    bodies = [C.zlib.compress(klass[e - n : e].tobytes(), 1) for e, n in zip(ends, pdf["n"])]
+    return pd.DataFrame({"chunk": pdf["chunk"], "kind": 1, "shard": pdf["shard"], "body": bodies, "doc_id": 0, "h1": 0, "h2": 0, "node": 0})
 
 
 def _ranks(group: np.ndarray) -> np.ndarray:
@@ -109,157 +111,228 @@ def _ranks(group: np.ndarray) -> np.ndarray:
     return np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
 
 
-def _parity(s: _Sets) -> np.ndarray:
-    """PARITY_WORDS longs a document: the parity of its tokens in each hashed bit.
-
-    Two bitmaps differ in no more bits than the sets differ in tokens.
-    """
-    width = 64 * PARITY_WORDS
-    bit = (C.mix(s.hash, 33) % np.uint64(width)).astype(np.int64)
-    odd = np.bincount(s.doc * width + bit, minlength=len(s.ids) * width) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, width), axis=1).view(np.int64).reshape(-1, PARITY_WORDS)
-
-
-def waste_classes(pct: int) -> int:
-    """How many classes of frequent tokens even the smallest linkable pair of different sets can afford."""
-    least = -(-pct // (100 - pct))  # the smallest n with n / (n + 1) >= pct / 100
-    return max(1, -(-pct * least // 100) - 1)
+def size_bands(sizes: np.ndarray, pct: int) -> np.ndarray:
+    """The band of each size; sizes within the threshold of each other lie in one band or in neighbours."""
+    edges = band_edges(int(sizes.max()) if len(sizes) else 1, pct)
+    return np.searchsorted(np.array(edges), sizes, side="right") - 1
+
+
+def band_edges(most: int, pct: int) -> list[int]:
+    """First sizes of the bands, up to the band after that of `most`."""
+    edges = [1]
+    while edges[-1] <= most:
+        edges.append(edges[-1] * 100 // pct + 1)
+    return [*edges, edges[-1] * 100 // pct + 1]
+
+
+def class_counts(edges: list[int], pct: int) -> np.ndarray:
+    """Classes of frequent tokens for documents of a band and the one before it: as many as the smallest
+    of them has tokens to look at, and no more than it has shared tokens to waste."""
+    least = np.array([edges[max(i - 1, 0)] for i in range(len(edges))])
+    shared = -(-pct * least // 100)
+    return np.maximum(1, np.minimum(least - shared + 1, shared - 1))
+
+
+def _keys(s: _Sets, klass: np.ndarray, pct: int, frequent_class: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys and the text each belongs to."""
+    smallest = -(-pct // (100 - pct))  # the smallest n with n / (n + 1) >= pct / 100
+    order = np.lexsort((s.hash, klass, s.doc))
+    h, c, d = s.hash[order], klass[order], s.doc[order]
+    need = s.size - (pct * s.size + 99) // 100 + 1
+    common = c > frequent_class
+    begin = np.cumsum(s.size) - s.size
+    band = size_bands(s.size, pct)
+    counts = class_counts(band_edges(int(s.size.max()) if len(s.size) else 1, pct), pct)
+    single = np.zeros(len(h), bool)
+    keys, owners = [], []
+    for scheme in (band, band + 1):
+        classes = counts[scheme][d]
+        group = np.where(common, (C.mix(h, 9) % classes.astype(np.uint64)).astype(np.int64), -1)
+        by_class = np.lexsort((np.arange(len(h)), group, d))
+        run = d[by_class] * (int(counts.max()) + 1) + group[by_class] + 1
+        weight = np.ones(len(h), np.int64)
+        weight[by_class[(_ranks(run) == 0) & (group[by_class] >= 0)]] = 0
+        total = np.cumsum(weight)
+        before = total - weight - np.where(begin[d] > 0, total[np.maximum(begin[d] - 1, 0)], 0)
+        inside = (before < need[d]) & (s.size[d] >= smallest)
+        single |= inside & ~common & (c > 1)
+        pick = by_class[(inside & common)[by_class]]
+        runs = d[pick] * (int(counts.max()) + 1) + group[pick] + 1
+        rank = _ranks(runs)
+        for step in range(1, int(rank.max()) + 1 if len(rank) else 1):
+            second = np.flatnonzero(rank >= step)  # joined with the token `step` places before it in its class
+            with np.errstate(over="ignore"):
+                pair = C.mix(h[pick[second - step]] * np.uint64(0x9E3779B97F4A7C15) + h[pick[second]], 22)
+            keys.append(C.mix(pair ^ C.mix(scheme[d[pick[second]]].astype(np.uint64), 23)))
+            owners.append(d[pick[second]])
+    keys.append(C.mix(h[single], 21))
+    owners.append(d[single])
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
 def _signatures(k: int, bits: int, pct: int, frequent: int):
     frequent_class = int(np.frexp(frequent)[1])  # counts of more digits are frequent
-    classes = waste_classes(pct)
-    least = -(-pct // (100 - pct))
 
     def run(key, pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        s = _Sets(pdf, k, _wanted(side))
+        s = _Sets(pdf, k, side)
         cells, inverse, _ = _cells(s, bits)
         own = side[side["kind"] == 1].sort_values("shard")
         klass = np.concatenate([np.frombuffer(C.zlib.decompress(b), np.uint8) for b in own["body"]]) if len(own) else np.empty(0, np.uint8)
         assert len(klass) == len(cells), "a shard's reply is missing"
         klass = klass[inverse]
-        order = np.lexsort((s.hash, klass, s.doc))
-        h, c, d = s.hash[order], klass[order], s.doc[order]
-        need = s.size - (pct * s.size + 99) // 100 + 1
-        common = c > frequent_class
-        group = np.where(common, (C.mix(h, 9) % np.uint64(classes)).astype(np.int64), -1)
-        weight = np.ones(len(h), np.int64)
-        by_class = np.lexsort((np.arange(len(h)), group, d))
-        first = _ranks(d[by_class] * (classes + 1) + group[by_class] + 1) == 0
-        weight[by_class[first & (group[by_class] >= 0)]] = 0
-        total = np.cumsum(weight)
-        begin = np.cumsum(s.size) - s.size
-        before = total - weight - np.where(begin[d] > 0, total[np.maximum(begin[d] - 1, 0)], 0)
-        inside = (before < need[d]) & (s.size[d] >= least)
-        single = inside & ~common & (c > 1)
-        keys, owners = [C.mix(h[single], 21)], [d[single]]
-        pick = by_class[(inside & common)[by_class]]
-        edges = np.flatnonzero(np.r_[True, (d[pick][1:] != d[pick][:-1]) | (group[pick][1:] != group[pick][:-1])]) if len(pick) else []
-        for a, b in zip(edges, [*edges[1:], len(pick)]):
-            run_h = h[pick[a:b]]
-            i, j = np.triu_indices(b - a, 1)
-            with np.errstate(over="ignore"):
-                keys.append(C.mix(run_h[i] * np.uint64(0x9E3779B97F4A7C15) + run_h[j], 22))
-            owners.append(np.full(len(i), d[pick[a]]))
-        keys, owners = np.concatenate(keys).view(np.int64), np.concatenate(owners)
+        keys, owners = _keys(s, klass, pct, frequent_class)
         by_doc = np.argsort(owners, kind="stable")
-        keys, per_doc = keys[by_doc], np.bincount(owners, minlength=len(s.ids))
-        key_lists = np.split(keys, np.cumsum(per_doc)[:-1]) if len(s.ids) else []
-        sets = np.split(s.hash, np.cumsum(s.size)[:-1]) if len(s.ids) else []
-        marks = [(C.xxhash.xxh3_128_digest(x.tobytes())) for x in sets]
+        per_doc = np.bincount(owners, minlength=len(s.nodes))
+        places = np.cumsum(s.size)[:-1]
+        sets = np.split(s.hash, places) if len(s.nodes) else []
+        key_lists = np.split(keys[by_doc], np.cumsum(per_doc)[:-1]) if len(s.nodes) else []
+        marks = [C.xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
         return pd.DataFrame({
-            "doc_id": s.ids,
+            "node": s.nodes,
             "n": s.size.astype(np.int64),
-            "u": np.bincount(s.doc[klass == 1], minlength=len(s.ids)),
-            "parity": pd.Series(_parity(s).tolist(), dtype=object),
+            "u": np.bincount(s.doc[klass == 1], minlength=len(s.nodes)),
             "s1": [int.from_bytes(m[:8], "little", signed=True) for m in marks],
             "s2": [int.from_bytes(m[8:], "little", signed=True) for m in marks],
-            "keys": pd.Series([x.tolist() for x in key_lists], dtype=object),
+            "keys": pd.Series(key_lists, dtype=object),
             "tokens": [x.tobytes() if len(y) else None for x, y in zip(sets, key_lists)],
+            "classes": [x.tobytes() if len(y) else None for x, y in zip(np.split(klass, places) if len(s.nodes) else [], key_lists)],
         })
 
     return run
 
 
+DELTAS = "node long, p long, linked boolean, n long, cost long, room long, able long, delta array<long>"
+
+
+def _compare(pct: int):
+    """Each document against a centre: whether they link, and the document's delta.
+
+    cost, room: 100 m + pct e and (100 - pct) |c|; able: tokens of the delta that another delta can
+    share; delta: those tokens in an order that all deltas with this centre follow, as far as any use needs them.
+    """
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for node, p, x, classes, c in zip(pdf["node"], pdf["p"], pdf["x"], pdf["classes"], pdf["c"]):
+                x, c, classes = np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint64), np.frombuffer(classes, np.uint8)
+                extra = ~np.isin(x, c, assume_unique=True)
+                missing = c[~np.isin(c, x, assume_unique=True)]
+                e, m = int(extra.sum()), len(missing)
+                both = len(x) - e
+                cost, room = 100 * m + pct * e, (100 - pct) * len(c)
+                shareable = extra & (classes > 1)
+                tokens, klass = x[shareable], classes[shareable]
+                tokens = np.concatenate([tokens[np.lexsort((tokens, klass))], missing])
+                least = -(-(cost + 1 if cost <= room else cost - room + pct) // (100 + pct))
+                delta = C.mix(tokens[: max(0, len(tokens) - least + 1)], 41) ^ C.mix(np.array([p]).view(np.uint64), 42)
+                out.append((node, p, 100 * both >= pct * (len(x) + m), len(x), cost, room, len(tokens), delta.view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "p", "linked", "n", "cost", "room", "able", "delta"])
+
+    return run
+
+
 def _verify(pct: int):
     def run(frames):
         for pdf in frames:
             ok = []
             for x, y in zip(pdf["x"], pdf["y"]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                m, n = len(x), len(y)
-                both = 0 if 100 * min(m, n) < pct * max(m, n) else m + n - len(np.unique(np.concatenate([x, y])))
-                ok.append(100 * both >= pct * (m + n - both))
+                both = int(np.isin(x, y, assume_unique=True).sum())
+                ok.append(100 * both >= pct * (len(x) + len(y) - both))
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
     return run
 
 
-def _possible(x: str, y: str, pct: int) -> Column:
-    """Whether documents of n tokens, u of them found nowhere else, can be similar enough.
+def _met_by_deltas(deltas: DataFrame, label: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list and whose deltas share a prefix token; none that links is missing.
 
-    What only one of them has lies outside the intersection and inside the union.
+    x: documents outside their centre's component; y: all documents of the same centre. The smallest
+    cost among the others of a centre bounds from below what two deltas must share.
     """
-    most = F.least(F.col(f"n{x}") - F.col(f"u{x}"), F.col(f"n{y}") - F.col(f"u{y}"))
-    return (most * 100 >= (most + F.col(f"u{x}") + F.col(f"u{y}")) * pct) & (F.least(f"n{x}", f"n{y}") * 100 >= F.greatest(f"n{x}", f"n{y}") * pct)
-
-
-def _bits(x: str) -> list[Column]:
-    return [F.col(f"parity{x}")[i].alias(f"b{i}{x}") for i in range(PARITY_WORDS)]
-
-
-def _few_differ(x: str, y: str, pct: int) -> Column:
-    """Whether the parity bitmaps allow a symmetric difference small enough for the threshold."""
-    differ = sum((F.bit_count(F.col(f"b{i}{x}").bitwiseXOR(F.col(f"b{i}{y}"))) for i in range(PARITY_WORDS)), F.lit(0))
-    return differ * (100 + pct) <= (F.col(f"n{x}") + F.col(f"n{y}")) * (100 - pct)
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    with_x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-    with_y = with_x.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
-    return with_y.select("a", "b", "x", "y").mapInPandas(_verify(pct), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+    root = label.withColumnRenamed("node", "at")
+    placed = deltas.join(root.select(F.col("at").alias("node"), "root"), "node", "left").join(root.select(F.col("at").alias("p"), F.col("root").alias("main")), "p", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "node")).withColumn("main", F.coalesce("main", "p"))
+    outside = F.col("root") != F.col("main")
+    least = placed.groupBy("p").agg(F.min("cost").alias("least_y"), F.min(F.when(outside, F.col("cost"))).alias("least_x")).filter("least_x is not null")
+    placed = placed.join(least, "p")
+
+    def prefix(other: str) -> Column:
+        shared = F.ceil((F.col("cost") + F.col(other) - F.col("room")) / (100 + pct))
+        length = F.col("able") - F.greatest(shared, F.lit(1)) + 1
+        return F.explode(F.when(length > 0, F.slice("delta", F.lit(1), length.cast("int"))))
+
+    y = placed.select(prefix("least_x").alias("token"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("cost").alias("cy"), F.col("able").alias("ay"), F.col("n").alias("ny"))
+    x = placed.filter(outside).select(prefix("least_y").alias("token"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("cost").alias("cx"), F.col("able").alias("ax"), F.col("n").alias("nx"), "room")
+    enough = F.col("cx") + F.col("cy") - F.col("room") <= F.least("ax", "ay") * (100 + pct)
+    sizes = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * pct
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("rx") != F.col("ry")) & enough & sizes)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame, shingle: int, threshold_pct: int, frequent: int) -> DataFrame:
+    """h1, h2, rep, n, component, first for each text with a word: its smallest doc_id, number of shingles,
+    smallest doc_id of its component, and whether it is the text that stands for the component."""
     _, total = C.volume(docs)
     n_chunks, bits = C.chunk_count(total), C.sketch_bits(total, 4.0)
     shard_bits = C.shard_bits_for(total, bits)
-    rows = docs.select(C.id_or_last(docs), *text_key(F.col("text")), F.col("text").rlike(C.WORD_SQL).alias("worded"))
-    copies = C.checkpoint(rows.filter("worded").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    wanted = copies.select(F.pmod(F.xxhash64("rep"), F.lit(n_chunks)).cast("int").alias("chunk"), F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.col("rep").alias("n"), F.lit(None).cast("binary").alias("body"))
-    texts = C.chunked(docs, n_chunks)
+    rows = docs.filter(F.col("text").rlike(C.WORD_SQL)).select(C.id_or_last(docs), *text_key(F.col("text")))
+    # Node numbers hold from the checkpoint on.
+    copies = C.checkpoint(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    none = F.lit(None).cast("binary")
+    wanted = copies.select(C.chunk_of(F.col("rep"), F.col("h1"), n_chunks), F.lit(0).alias("kind"), F.lit(0).alias("shard"), none.alias("body"), F.col("rep").alias("doc_id"), "h1", "h2", "node")
+    texts = C.chunked(docs, n_chunks, *text_key(F.col("text")))
     packets = texts.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInPandas(_frequencies(shingle, bits, shard_bits), "shard int, chunk int, n long, body binary, counts binary")
-    replies = packets.groupBy("shard").applyInPandas(_merge_frequencies, "chunk int, kind int, shard int, n long, body binary")
-    side = wanted.unionByName(replies)
+    replies = packets.groupBy("shard").applyInPandas(_merge_frequencies, "chunk int, kind int, shard int, body binary, doc_id long, h1 long, h2 long, node long")
     signed = C.checkpoint(
-        texts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInPandas(_signatures(shingle, bits, threshold_pct, frequent), "doc_id long, n long, u long, parity array<long>, s1 long, s2 long, keys array<long>, tokens binary")
+        texts.groupBy("chunk").cogroup(wanted.unionByName(replies).groupBy("chunk")).applyInPandas(_signatures(shingle, bits, threshold_pct, frequent), "node long, n long, u long, s1 long, s2 long, keys array<long>, tokens binary, classes binary")
     )
-    classes = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
-    equal = signed.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    postings = signed.filter(F.size("keys") > 0).select("doc_id", "n", "u", "keys").join(classes.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "u", F.explode("keys").alias("key"))
-    centre = F.struct((F.col("u") * 10000 / F.col("n")).cast("int").alias("alone"), "doc_id", "n", "u")
-    first = postings.groupBy("key").agg(F.min(centre).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("m.doc_id").alias("p"), F.col("m.n").alias("np"), F.col("m.u").alias("up"))
-    shared = C.checkpoint(postings.join(first, "key"))
-    sets = signed.filter(F.size("keys") > 0).select("doc_id", "tokens")
-    near = shared.withColumnsRenamed({"n": "nx", "u": "ux"}).filter("doc_id <> p").filter(_possible("x", "p", threshold_pct))
-    tested = C.checkpoint(near.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct())
-    links = C.checkpoint(_linked(tested, sets, threshold_pct).unionByName(equal))
+    equal_sets = signed.groupBy("s1", "s2").agg(F.min("node").alias("least"))
+    equal = signed.select("node", "s1", "s2").join(equal_sets, ["s1", "s2"]).filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    postings = signed.filter(F.size("keys") > 0).select("node", "n", "u", "keys").join(equal_sets.select(F.col("least").alias("node")), "node", "left_semi").select("node", F.struct((F.col("u") * 10000 / F.col("n")).cast("int").alias("alone"), "node").alias("rank"), F.explode("keys").alias("key"))
+    centres = postings.groupBy("key").agg(F.min("rank")["node"].alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "p")
+    near = postings.join(centres, "key").filter("node <> p").select("node", "p").distinct()
+    sets = signed.filter(F.size("keys") > 0)
+    with_x = near.join(sets.select("node", F.col("tokens").alias("x"), "classes"), "node")
+    with_c = with_x.join(sets.select(F.col("node").alias("p"), F.col("tokens").alias("c")), "p")
+    deltas = C.checkpoint(with_c.select("node", "p", "x", "classes", "c").mapInPandas(_compare(threshold_pct), DELTAS))
+    ordered = deltas.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"), "linked")
+    links = C.checkpoint(ordered.filter("linked").select("a", "b").unionByName(equal))
     label = connected(links)
-    # Lists that still hold several components: the documents outside the largest one meet those of other components.
-    listed = shared.select("key", "doc_id", "n", "u").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    per_list = listed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = listed.join(per_list.select("key", F.col("main.root").alias("main")), "key").join(signed.select("doc_id", F.col("parity").alias("parityx")), "doc_id")
-    mixed = C.checkpoint(mixed.select("key", "doc_id", "root", "main", F.col("n").alias("nx"), F.col("u").alias("ux"), *_bits("x")))
-    minor = mixed.filter("root <> main").withColumnsRenamed({"key": "k", "doc_id": "y", "root": "ry", "nx": "ny", "ux": "uy"} | {f"b{i}x": f"b{i}y" for i in range(PARITY_WORDS)}).drop("main")
-    # A pair of documents outside the largest component is met from one side only.
-    apart = (F.col("root") != F.col("ry")) & ((F.col("root") == F.col("main")) | (F.col("doc_id") < F.col("y")))
-    met = mixed.join(minor, (F.col("key") == F.col("k")) & apart & _possible("x", "y", threshold_pct) & _few_differ("x", "y", threshold_pct))
-    pairs = met.select(F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")).distinct()
-    more = C.checkpoint(_linked(pairs.join(tested, ["a", "b"], "left_anti"), sets, threshold_pct))
-    if not more.isEmpty():
-        label = connected(links.unionByName(more))
-    found = copies.join(signed.select(F.col("doc_id").alias("rep"), "n"), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
-    out = rows.join(found, ["h1", "h2"], "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    pairs = C.checkpoint(_met_by_deltas(deltas, label, threshold_pct).join(ordered.select("a", "b"), ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        token_sets = sets.select("node", "tokens")
+        with_y = pairs.join(token_sets.withColumnsRenamed({"node": "a", "tokens": "x"}), "a").join(token_sets.withColumnsRenamed({"node": "b", "tokens": "y"}), "b")
+        more = C.checkpoint(with_y.select("a", "b", "x", "y").mapInPandas(_verify(threshold_pct), "a long, b long"))
+        if not more.isEmpty():
+            label = connected(links.unionByName(more))
+    found = copies.join(signed.select("node", "n"), "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = found.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("head"))
+    return found.join(heads, "root").select("h1", "h2", "rep", "n", F.col("head.rep").alias("component"), (F.col("head.node") == F.col("node")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    found = _classes(docs, shingle, threshold_pct, frequent).select("h1", "h2", "n", "component")
+    rows = docs.select(C.id_or_last(docs), *text_key(F.col("text")))
+    out = rows.join(found, ["h1", "h2"], "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.select(C.id_or_null(), "n_shingles", F.nullif(F.col("component_id"), F.lit(C.NULL_ID)).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int, threshold_pct: int) -> DataFrame:
+    """One row of each component: that with the smallest doc_id (null last); texts without a word all stay.
+
+    Of rows that repeat both doc_id and text, any one stays.
+    """
+    found = C.checkpoint(_classes(docs, shingle, threshold_pct, FREQUENT))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), C.id_or_last(docs).alias("_id"), *text_key(F.col("text")))
+    again = keyed.groupBy("h1", "h2", "_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h1", "h2", F.col("_id").alias("rep"), F.lit(True).alias("again"))
+    heads = found.filter("first").select("h1", "h2", "rep").join(again, ["h1", "h2", "rep"], "left").withColumnRenamed("rep", "_id")
+    # Keyed by doc_id as well, so that a text of very many copies is no hot key.
+    worded = F.col("text").rlike(C.WORD_SQL)
+    matched = keyed.filter(F.col("_row")["text"].rlike(C.WORD_SQL)).join(heads, ["h1", "h2", "_id"])
+    wordless = docs.filter(~F.coalesce(worded, F.lit(False)))
+    once = matched.filter("again is null")
+    repeated = matched.filter("again").dropDuplicates(["h1", "h2", "_id"])
+    return once.unionByName(repeated).select("_row.*").unionByName(wordless)
