@@ -7,7 +7,6 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codeloom.llm import common, jaccard, mixing, packing, quality, substring
 
@@ -23,10 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; a null doc_id stays."""
-    found = jaccard.near_duplicates(docs, SHINGLE, THRESHOLD_PCT)
-    extra = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the row with the smallest doc_id stays; texts without a word are no duplicates."""
+    return jaccard.one_of_each(docs, SHINGLE, THRESHOLD_PCT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
