@@ -93,7 +93,6 @@ def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r[0]: t.encode(r[1], add_special_tokens=False).ids + [1] for r in rows}
     found = packing.pack_documents(docs).collect()
     covered, sequences = defaultdict(list), defaultdict(list)
@@ -109,6 +108,26 @@ def test_packing_round_trip(docs, rows):
     assert sum(map(len, ids.values())) / (2048 * len(sequences)) > 0.97
 
 
+def test_added_tokens_and_odd_texts(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n<|endoftext", "", None, "long " * 30_000, "y" * 9000]
+    rows = [(i, x) for i, x in enumerate(texts)] + [(None, "one"), (None, "two words"), (3, "a second text of an id")]
+    found = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=4).collect()
+    have = sorted((r.doc_id if r.doc_id is not None else -1, r.doc_tokens, r.start, r.length, r.ids_crc32) for r in found)
+    want = []
+    for i, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids + [1]
+        for a in range(0, len(ids), 2048):
+            part = ids[a : a + 2048]
+            want.append((i if i is not None else -1, len(ids), a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert have == sorted(want)
+    full = [r.sequence_id for r in found if r.length == 2048]
+    assert len(set(full)) == len(full) and not {r.sequence_id for r in found if r.length < 2048} & set(full)
+
+
 def test_tokeniser_cache_agrees_on_odd_spaces():
     tokens = packing.token_bytes("byte_bpe_50k.tiktoken")
     for text in ("a  b", " a b", "a b ", "a \n b", "a\n\nb c", "don't  they've 12 34!? ", " x  y", "tab\tbed x", "é ü <|endoftext|> z", "a b's c"):
