@@ -131,7 +131,7 @@ def test_added_tokens_and_odd_texts(spark):
 def test_tokeniser_cache_agrees_on_odd_spaces():
     tokens = packing.token_bytes("byte_bpe_50k.tiktoken")
     for text in ("a  b", " a b", "a b ", "a \n b", "a\n\nb c", "don't  they've 12 34!? ", " x  y", "tab\tbed x", "é ü <|endoftext|> z", "a b's c"):
-        assert tokens.of(text) == np.array(tokens.encode(text), "<u4").tobytes()
+        assert tokens.plain(text) == np.array(tokens.encode(text), "<u4").tobytes()
 
 
 def test_first_fit_decreasing_matches_plain_scan():
