@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 NULL_ID = np.iinfo(np.int64).max
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 MIN_CHUNKS = 48
 
 _B1 = np.uint64(0x9E3779B97F4A7C15)

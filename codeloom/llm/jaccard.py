@@ -325,14 +325,15 @@ def one_of_each(docs: DataFrame, shingle: int, threshold_pct: int) -> DataFrame:
 
     Of rows that repeat both doc_id and text, any one stays.
     """
-    found = C.checkpoint(_classes(docs, shingle, threshold_pct, FREQUENT))
+    key = ["h1", "h2", "_id"]
+    found = C.checkpoint(_classes(docs, shingle, threshold_pct, FREQUENT)).select("h1", "h2", "rep", "first")
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), C.id_or_last(docs).alias("_id"), *text_key(F.col("text")))
-    again = keyed.groupBy("h1", "h2", "_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h1", "h2", F.col("_id").alias("rep"), F.lit(True).alias("again"))
-    heads = found.filter("first").select("h1", "h2", "rep").join(again, ["h1", "h2", "rep"], "left").withColumnRenamed("rep", "_id")
-    # Keyed by doc_id as well, so that a text of very many copies is no hot key.
-    worded = F.col("text").rlike(C.WORD_SQL)
-    matched = keyed.filter(F.col("_row")["text"].rlike(C.WORD_SQL)).join(heads, ["h1", "h2", "_id"])
-    wordless = docs.filter(~F.coalesce(worded, F.lit(False)))
-    once = matched.filter("again is null")
-    repeated = matched.filter("again").dropDuplicates(["h1", "h2", "_id"])
-    return once.unionByName(repeated).select("_row.*").unionByName(wordless)
+    worded = keyed.filter(F.col("_row")["text"].rlike(C.WORD_SQL))
+    standing = F.col("first") & (F.col("_id") == F.col("rep"))
+    named = worded.groupBy(*key).agg(F.count(F.lit(1)).alias("times")).join(found, ["h1", "h2"]).withColumn("stays", standing)
+    # What goes is known by id and text, so that neither the texts nor a text of very many copies are dealt by a hot key.
+    kept = keyed.join(named.filter("not stays").select(*key), key, "left_anti")
+    again = C.checkpoint(named.filter("stays and times > 1").select(*key))
+    if not again.isEmpty():
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
+    return kept.select("_row.*")

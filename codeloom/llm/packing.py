@@ -37,9 +37,9 @@ from . import common as C
 SEQUENCE = 2048
 END_ID = 1
 GROUP_ROWS = 4096
-KNOWN = 300_000
+KNOWN = 100_000
 #: Longer words are not remembered, so that the words kept stay small.
-LONGEST_KNOWN = 64
+LONGEST_KNOWN = 32
 _MIXED = re.compile(r" \s|\s ")
 
 

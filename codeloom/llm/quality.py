@@ -67,7 +67,8 @@ SECOND = "byte_bpe_multi_50k.tiktoken"
 MIN_WORDS = 10
 REPEAT_PCT = 20
 REPEAT_WINDOW = 5
-KNOWN = 250_000
+#: Words that a worker remembers, and the longest of them in bytes.
+KNOWN, LONGEST_KNOWN = 160_000, 32
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 #: Unicode ranges of the scripts that have a band.
@@ -105,7 +106,7 @@ class WordTokens(dict):
         fresh = {w: np.array(i, np.uint16).tobytes() for w, i in zip(words, ids)}
         room = KNOWN - len(self)
         if room > 0:
-            kept = fresh if len(fresh) <= room else dict(list(fresh.items())[:room])
+            kept = dict([x for x in fresh.items() if len(x[0]) <= LONGEST_KNOWN][:room])
             self.update(kept)
             self.others.update({w: others[w] for w in kept})
         return fresh, others
@@ -116,9 +117,15 @@ _LOADED: dict[str, WordTokens] = {}
 
 def script_of(text: str) -> str:
     """The script of most letters, by the ranges above; '' without any."""
-    found = {name: len(p.findall(text)) for name, p in SCRIPTS.items()}
-    best = max(found, key=found.get)
-    return best if found[best] else ""
+    letters = len(text)
+    found = {}
+    for name, p in SCRIPTS.items():
+        if letters <= max(found.values(), default=0):
+            break  # the rest can't outnumber the script found
+        found[name] = len(text) - len(p.sub("", text))
+        letters -= found[name]
+    best = max(found, key=found.get, default="")
+    return best if found.get(best) else ""
 
 
 def _repeat_words(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int = REPEAT_WINDOW) -> np.ndarray:
@@ -183,7 +190,7 @@ def _measure(path: str, keep_text: bool):
     def run(batches):
         if path not in _LOADED:
             _LOADED[path] = WordTokens(path)
-        for batch in C.slices(batches, "_text", 4 << 20):
+        for batch in C.slices(batches, "_text", 2 << 20):
             bodies = [b or b"" for b in batch.column("_text").cast(pa.binary()).to_pylist()]
             kept = [n for n in batch.schema.names if keep_text or n != "_text"]
             columns = [batch.column(n) for n in kept] + _measured(_LOADED[path], bodies)
