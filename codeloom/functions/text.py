@@ -7,32 +7,42 @@ from pyspark.sql import functions as F
 
 # Fixed patterns; values that callers rely on.
 BACKTICK = r"`([^`\n]{2,80})`"
-PATH_TOKEN = r"(?:[\w.\-]+/)+[\w.\-]+\.[A-Za-z]{1,5}"
-CLOSING = r"(?i)(?:fix(?:e[sd])?|close[sd]?|resolve[sd]?)"
-FIX_EDGES = {"index": r"\s*:?\s+#(\d{1,7})", "commit": r"\s*:?\s+#(\d+)(?!\d)", "pull": r"\s*:?\s+#(\d+)\b"}
-CONVENTIONAL = r"^([a-zA-Z]+)(?:\([^)]*\))?(!)?:"
+PATH_TOKEN = r"(?<![\w/])([a-zA-Z0-9_.-]+/[a-zA-Z0-9_./-]+\.(?:ts|tsx|js|jsx|py|go|rs|java|rb|md))"
+CLOSING = r"(?i)(?:fix(?:es|ed)?|close[sd]?|resolve[sd]?)"
+FIX_EDGES = {"index": r"\s+#(\d{1,7})", "commit": r"\s+#(\d+)(?!\d)", "pull": r"\s+#(\d+)\b"}
+CONVENTIONAL = r"^(\w+)(?:\([^)]*\))?(!)?\s*:"
 CITATION = r"(?i)\[(?:chunk|entity):[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\]"
 ENTITY_CITATION = r"(?i)\[entity:([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\]"
 DIFF_PATHS = (r"(?m)^diff --git a/\S+ b/(\S+)", r"(?m)^\+\+\+ (?:b/)?(\S+)", r"(?m)^--- (?:a/)?(\S+)")
-EXCLUDED_PATH = r"(?i)(?:^|/)(?:node_modules|vendor|dist|build|generated|__generated__|fixtures|migrations|examples?|third_party|\.github|docs?)/|\.min\.|\.lock$|\.d\.ts$|\.snap$|(?:^|/)(?:package-lock\.json|license|changelog[^/]*)$"
+EXCLUDED_PATHS = (
+    r"(?:^|/)node_modules/", r"(?:^|/)vendor/", r"(?:^|/)\.git/", r"(?:^|/)dist/", r"(?:^|/)build/", r"(?:^|/)\.next/", r"(?:^|/)\.nuxt/", r"\.min\.(?:js|css)$", r"\.lock$",
+    r"(?i:(?:^|/)tests?/)", r"(?:^|/)__tests?__/", r"\.test\.[tj]sx?$", r"\.spec\.[tj]sx?$", r"_test\.go$", r"(?:^|/)test_[^/]+\.py$", r"(?:^|/)[^/]+\.config\.[tj]s$",
+    r"(?i:(?:^|/)(?:package|tsconfig|pnpm-lock|yarn|composer)\.[a-z]+$)",
+)
+QUICKSTART = r"install|installation|quick.?start|getting.?started|setup|usage|development|running.?locally"
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
 
 
+def _trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def extract_refs(text: Column) -> Column:
     """backtick tokens without double spaces, then path-like tokens, each once."""
-    ticks = F.transform(_all(text, BACKTICK, 1), lambda t: F.trim(t))
-    return F.array_distinct(F.concat(F.filter(ticks, lambda t: (F.length(t) >= 2) & ~t.contains("  ")), _all(text, PATH_TOKEN)))
+    ticks = F.transform(_all(text, BACKTICK, 1), _trimmed)
+    return F.array_distinct(F.concat(F.filter(ticks, lambda t: (F.length(t) >= 2) & ~t.rlike(r"\s{2,}")), _all(text, PATH_TOKEN, 1)))
 
 
 def excerpt(text: Column, limit: int = 280) -> Column:
-    """without fenced code and markdown marks, blank lines collapsed, cut with an ellipsis."""
+    """without fenced code and markdown marks, blank lines to a space, cut to `limit` with an ellipsis for the last three."""
     t = F.regexp_replace(text, r"(?s)```.*?```", "")
-    t = F.regexp_replace(t, r"[#*_>`]+", "")
-    t = F.trim(F.regexp_replace(t, r"\n{2,}", "\n"))
-    return F.when(F.length(t) > limit, F.concat(F.rtrim(F.substring(t, 1, limit)), F.lit("…"))).otherwise(t)
+    t = F.regexp_replace(t, r"\n{2,}", " ")
+    t = _trimmed(F.regexp_replace(t, r"[#*_`>]", ""))
+    return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 3), F.lit("…"))).otherwise(t)
 
 
 def fix_refs(text: Column, edge: str = "index") -> Column:
@@ -40,14 +50,18 @@ def fix_refs(text: Column, edge: str = "index") -> Column:
     return F.array_distinct(F.transform(_all(text, CLOSING + FIX_EDGES[edge], 1), lambda x: x.cast("long")))
 
 
+def _subject(message: Column) -> Column:
+    return _trimmed(F.substring_index(message, "\n", 1))
+
+
 def conventional_type(message: Column) -> Column:
     """the commit's conventional type, lower-cased; '' without one."""
-    return F.lower(F.regexp_extract(message, CONVENTIONAL, 1))
+    return F.lower(F.regexp_extract(_subject(message), CONVENTIONAL, 1))
 
 
 def is_breaking(message: Column) -> Column:
     """a `!` before the colon or a BREAKING CHANGE line."""
-    return (F.regexp_extract(message, CONVENTIONAL, 2) == "!") | message.rlike(r"(?m)^BREAKING[- ]CHANGE:")
+    return (F.regexp_extract(_subject(message), CONVENTIONAL, 2) == "!") | message.rlike(r"(?m)^BREAKING[- ]CHANGE:")
 
 
 def month_utc(ts: Column) -> Column:
@@ -62,16 +76,16 @@ def folder2(path: Column) -> Column:
     return F.coalesce(F.nullif(two, F.lit("")), F.nullif(one, F.lit("")), F.lit("(root)"))
 
 
-def sanitize_label(text: Column, limit: int = 48, default: str = "node") -> Column:
-    """quotes, brackets and line breaks out, white space collapsed, cut; a default when empty."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\"'`<>{}\[\]();:|#]", ""), r"\s+", " "))
-    return F.coalesce(F.nullif(F.substring(t, 1, limit), F.lit("")), F.lit(default))
+def sanitize_label(text: Column, limit: int = 48, default: str = "unknown") -> Column:
+    """what is no ASCII letter, digit or underscore becomes an underscore; cut; a default when empty."""
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(text, r"[^A-Za-z0-9_]", "_"), 1, limit), F.lit("")), F.lit(default))
 
 
 def truncate_marked(text: Column, limit: int) -> Column:
-    """F8: the text, or its start and the number of characters taken off."""
+    """F8: the text, or its start and the number of characters taken off; null gives an empty text."""
     over = (F.length(text) - limit).cast("string")
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("… ["), over, F.lit(" chars truncated]"))).otherwise(text)
+    cut = F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("… [truncated "), over, F.lit(" chars]"))).otherwise(text)
+    return F.coalesce(cut, F.lit(""))
 
 
 def extract_citations(text: Column) -> Column:
@@ -117,29 +131,33 @@ def first_line(text: Column, limit: int = 200) -> Column:
 
 def make_targets(text: Column) -> Column:
     """F16: targets of a makefile in order, each once."""
-    return F.array_distinct(_all(text, r"(?m)^([A-Za-z][\w\-]*)\s*:(?!=)", 1))
+    return F.array_distinct(_all(text, r"(?m)^([a-zA-Z_][a-zA-Z0-9_-]*):", 1))
 
 
 def readme_quickstart(text: Column, limit: int = 800) -> Column:
-    """F16: the first section under a heading about starting, installing or using."""
-    body = F.regexp_extract(text, r"(?is)(?:^|\n)#{1,3}[^\n]*(?:quick ?start|getting started|installation|install|usage|setup)[^\n]*\n(.*?)(?=\n#{1,3} |$)", 1)
-    return F.nullif(F.substring(F.trim(body), 1, limit), F.lit(""))
+    """F16: the section under the first heading that begins with a word for starting or using; null without one."""
+    section = rf"(?im)^#{{1,3}}\s+(?:{QUICKSTART}).*$((?s:.*?))(?:^(#{{1,3}})\s+.+$|\z)"
+    body, following = F.regexp_extract(text, section, 1), F.regexp_extract(text, section, 2)
+    last = F.when(following == "", F.substring(body, 1, limit)).otherwise(body)
+    return F.when(text.rlike(section), F.substring(_trimmed(last), 1, limit))
 
 
-def package_manager(lockfiles: Column) -> Column:
-    """F16: from the names of the lock files in a directory."""
-    has = lambda name: F.array_contains(lockfiles, name)
-    return F.when(has("pnpm-lock.yaml"), "pnpm").when(has("yarn.lock"), "yarn").when(has("bun.lockb"), "bun").otherwise("npm")
+def package_manager(field: Column) -> Column:
+    """F16: by the start of a manifest's packageManager field; npm without one."""
+    named = F.lit("npm")
+    for name in ("bun", "yarn", "pnpm"):
+        named = F.when(field.startswith(name), name).otherwise(named)
+    return named
 
 
 def pick_script(scripts: Column, names: list[str]) -> Column:
-    """F16: the first of the names that a map of scripts has."""
-    return F.coalesce(*[F.when(F.map_contains_key(scripts, n), F.lit(n)) for n in names])
+    """F16: the first of the names that a map of scripts has with a command."""
+    return F.coalesce(*[F.when(F.coalesce(scripts[n], F.lit("")) != "", F.lit(n)) for n in names])
 
 
 def is_excluded_path(path: Column) -> Column:
-    """generated, vendored, sample and metadata files."""
-    return path.rlike(EXCLUDED_PATH)
+    """vendored, built, test, lock and configuration files."""
+    return path.rlike("|".join(EXCLUDED_PATHS))
 
 
 def parse_sse(block: Column) -> Column:

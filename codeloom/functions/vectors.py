@@ -21,8 +21,8 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
-    """V6: digest bytes in turn, disturbed by a sine and scaled to unit length."""
-    digest = F.sha2(text, 256)
+    """V6: digest bytes of the lower-cased text in turn, disturbed by a sine and scaled to unit length."""
+    digest = F.sha2(F.lower(text), 256)
     raw = F.transform(
         F.sequence(F.lit(0), F.lit(dims - 1)),
         lambda i: F.conv(F.substring(digest, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1 + F.sin(i * 0.013),

@@ -10,7 +10,9 @@ from codeloom.functions.vectors import micro_cents, token_estimate
 from codeloom.operators.issues import path_suffixes, ranked_in
 from codeloom.runtime import any_of, top
 
-LIMITS = {"guest": {"workspaces": 1, "messages": 20}, "user": {"workspaces": 5, "messages": 200}}
+# Daily limits by kind of identity.
+COUNTERS = ("workspaces", "messages", "tokens")
+LIMITS = {"guest": {"workspaces": 0, "messages": 10, "tokens": 40_000}, "user": {"workspaces": 3, "messages": 50, "tokens": 200_000}}
 
 
 def days_before(as_of: Column, days: int) -> Column:
@@ -37,7 +39,7 @@ def git_insights(commits: DataFrame, as_of: Column) -> DataFrame:
     totals = commits.agg(
         F.max("ts").alias("last_commit"), F.count(F.lit(1)).alias("commits"), F.count_if(within(30)).alias("commits_30d"), F.count_if(within(90)).alias("commits_90d"),
         F.count_distinct(F.when(within(90), F.col("author"))).alias("active_authors"), fix.alias("fixes"), feat.alias("features"),
-        F.when(feat > 0, F.round(fix / feat, 2)).alias("fix_feat_ratio"), F.count_if(X.is_breaking(F.col("message"))).alias("breaking"),
+        F.when(feat > 0, F.round(fix / feat, 2)).alias("fix_feat_ratio"), F.count_if(within(90) & X.is_breaking(F.col("message"))).alias("breaking"),
     )
     return totals.crossJoin(bus_factor(commits))  # one row each
 
@@ -107,20 +109,21 @@ def transcript(messages: DataFrame, session_id) -> DataFrame:
 def prior_turns(messages: DataFrame, n: int = 16, cut: int = 3000, take: str = "oldest") -> DataFrame:
     """A10: the oldest (as the source has it) or latest n turns of each session, each cut with a mark."""
     order = [F.col("created_at"), F.col("id")] if take == "oldest" else [F.desc("created_at"), F.desc("id")]
-    return ranked_in(messages, ["session_id"], n, *order).withColumn("content", X.truncate_marked(F.col("content"), cut))
+    short = F.when(F.length("content") > cut, F.concat(F.substring("content", 1, cut), F.lit("… [truncated]"))).otherwise(F.col("content"))
+    return ranked_in(messages, ["session_id"], n, *order).withColumn("content", short)
 
 
 def quota_status(usage: DataFrame, identities: DataFrame, limits: dict = LIMITS) -> DataFrame:
     """(identity, day, used and exceeded by counter). usage: identity, ts, counter, amount. identities: identity, kind, bypass."""
-    daily = usage.groupBy("identity", F.to_date("ts").alias("day")).pivot("counter", ["workspaces", "messages"]).agg(F.sum("amount"))
+    daily = usage.groupBy("identity", F.to_date("ts").alias("day")).pivot("counter", list(COUNTERS)).agg(F.sum("amount"))
     rows = daily.join(identities, "identity")
-    for c in ("workspaces", "messages"):
+    for c in COUNTERS:
         most = F.lit(None).cast("int")
         for kind, m in limits.items():
             most = F.when(F.col("kind") == kind, m[c]).otherwise(most)
         used = F.when(F.col("bypass"), 0).otherwise(F.coalesce(c, F.lit(0)))
         rows = rows.withColumn(f"{c}_used", used).withColumn(f"{c}_exceeded", used >= most)
-    return rows.select("identity", "day", *[f"{c}_{x}" for c in ("workspaces", "messages") for x in ("used", "exceeded")])
+    return rows.select("identity", "day", *[f"{c}_{x}" for c in COUNTERS for x in ("used", "exceeded")])
 
 
 def owner_workspaces(workspaces: DataFrame, owner, limit: int = 100) -> DataFrame:

@@ -1,6 +1,8 @@
 """Graph build (G1-G9): derived edges, target resolution, links, history nodes and hotness.
 
-Resolution cascades are candidate lists with a priority: explode, equi join, keep the best.
+A resolution cascade indexes the known paths instead of the edges: a path is found under itself and
+under what is left without its extension or index name, each with its priority. An edge then takes
+part in one equi join, whatever the number of extensions.
 """
 
 from __future__ import annotations
@@ -9,33 +11,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed lists of the file extensions that an import path may leave out.
-IMPORT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-TARGET_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".py", ".pyi", ".go")
-INDEX_NAMES = {".py": "__init__", ".pyi": "__init__"}
+IMPORT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts")
+TARGET_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs", ".cts", ".cjs", ".vue", ".py", ".go")
 
 
-def candidates(target: Column, extensions: tuple[str, ...]) -> Column:
-    """array<struct(priority, path)>: the path itself, with each extension, and as a directory's index."""
-    paths = [target, *[F.concat(target, F.lit(e)) for e in extensions], *[F.concat(target, F.lit(f"/{INDEX_NAMES.get(e, 'index')}{e}")) for e in extensions]]
-    return F.array(*[F.struct(F.lit(i).alias("priority"), p.alias("path")) for i, p in enumerate(paths)])
+def stems(path: Column, extensions: tuple[str, ...], interleaved: bool) -> Column:
+    """array<struct(priority, stem)>: the targets that a path is found by.
 
-
-def resolved(rows: DataFrame, key: str, target: str, known: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
-    """(key, hit): for each row's target the first candidate that `known` (column path) has."""
-    tried = rows.select(key, F.explode(candidates(F.col(target), extensions)).alias("c")).select(key, "c.priority", "c.path")
-    return tried.join(known.select("path").distinct(), "path").groupBy(key).agg(F.min_by("path", "priority").alias("hit"))
+    Priorities: the path itself, then extensions and index files in turn (interleaved) or all
+    extensions before all index files.
+    """
+    n = len(extensions)
+    found = [F.struct(F.lit(0).alias("priority"), path.alias("stem"))]
+    for i, ext in enumerate(extensions):
+        plain, index = (1 + 2 * i, 2 + 2 * i) if interleaved else (1 + i, 1 + n + i)
+        for priority, end in ((plain, ext), (index, f"/index{ext}")):
+            left = F.substring(path, F.lit(1), F.length(path) - len(end))
+            found.append(F.when(path.endswith(end), F.struct(F.lit(priority).alias("priority"), left.alias("stem"))))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def tested_by_edges(imports: DataFrame, files: DataFrame, entities: DataFrame) -> DataFrame:
-    """G1: (src entity, dst test file, type) for the top-level entities of the files a test imports.
+def tested_by_edges(imports: DataFrame, entities: DataFrame) -> DataFrame:
+    """G1: (src entity, dst test file, type) for the top-level entities of the file each import of a test reaches.
 
-    imports: test_file, target. files: path. entities: id, file_path, qualified_name.
+    imports: test_file, target. entities: id, type, file_path, qualified_name. Targets have a slash
+    and no colon; only files with top-level entities (path::name) are reached.
     """
-    paired = imports.filter(F.col("target").contains("/") | F.col("target").startswith(".")).distinct().withColumn("key", F.concat_ws(" ", "test_file", "target"))
-    hit = resolved(paired, "key", "target", files, IMPORT_EXTENSIONS)
-    reached = paired.join(hit, "key").select("test_file", F.col("hit").alias("file_path")).distinct()
-    one_level = F.size(F.split("qualified_name", "::")) == 2
-    return entities.filter(one_level).join(reached, "file_path").select(F.col("id").alias("src"), F.col("test_file").alias("dst"), F.lit("tested_by").alias("type")).distinct()
+    top_level = entities.filter((F.size(F.split("qualified_name", "::")) == 2) & ~F.col("type").isin("file", "test", "document"))
+    index = top_level.select("file_path").distinct().select("file_path", F.explode(stems(F.col("file_path"), IMPORT_EXTENSIONS, True)).alias("s"))
+    best = index.groupBy(F.col("s.stem").alias("target")).agg(F.min_by("file_path", "s.priority").alias("file_path"))
+    reached = imports.filter(F.col("target").contains("/") & ~F.col("target").contains(":")).join(best, "target").select("test_file", "file_path").distinct()
+    return top_level.join(reached, "file_path").select(F.col("id").alias("src"), F.col("test_file").alias("dst"), F.lit("tested_by").alias("type")).distinct()
 
 
 def short_names(entities: DataFrame) -> DataFrame:
@@ -51,12 +57,12 @@ def resolve_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """
     by_name = entities.filter("qualified_name is not null").groupBy(F.col("qualified_name").alias("path")).agg(F.min_by("id", F.struct("seq", "id")).alias("node"))
     rows = edges.join(by_name.select(F.col("path").alias("from_qualified"), F.col("node").alias("src")), "from_qualified")
-    exact = F.array(F.struct(F.lit(0).alias("priority"), F.col("to_qualified").alias("path")))
-    tries = F.when(F.col("to_qualified").contains("::"), exact).otherwise(candidates(F.col("to_qualified"), TARGET_EXTENSIONS))
-    tried = rows.filter("to_qualified is not null").select("seq", F.explode(tries).alias("c")).select("seq", "c.priority", "c.path")
-    direct = tried.join(by_name, "path").groupBy("seq").agg(F.min_by(F.struct("node", "priority"), "priority").alias("d"))
+    indexed = by_name.select("node", F.explode(stems(F.col("path"), TARGET_EXTENSIONS, False)).alias("s"))
+    # A target with `::` is found by its exact name only.
+    indexed = indexed.filter((F.col("s.priority") == 0) | ~F.col("s.stem").contains("::"))
+    direct = indexed.groupBy(F.col("s.stem").alias("to_qualified")).agg(F.min_by(F.struct("node", "s.priority"), "s.priority").alias("d"))
     short = short_names(entities).select("short", F.col("id").alias("by_short"))
-    found = rows.join(direct, "seq", "left").join(short, F.lower("to_name") == F.col("short"), "left")
+    found = rows.join(direct, "to_qualified", "left").join(short, F.lower("to_name") == F.col("short"), "left")
     how = F.when(F.col("d").isNull(), "short").when(F.col("d.priority") == 0, "exact").otherwise("path")
     return found.select("seq", "src", F.coalesce("d.node", "by_short").alias("dst"), "type", how.alias("how")).filter("dst is not null")
 

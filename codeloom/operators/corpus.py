@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.runtime import top
+from codeloom.sources.files import language_of
 
 # Fixed names.
-EXAMPLE_SEGMENTS = ("example", "examples", "demo", "demos", "sample", "samples", "fixtures", "playground")
-TEST_SEGMENTS = ("test", "tests", "__tests__", "spec", "e2e")
-TEST_SUFFIX = r"(?:\.(?:test|spec)\.[cm]?[jt]sx?|_test\.(?:go|py)|(?:^|/)test_[^/]*\.py)$"
+EXAMPLE_SEGMENTS = ("examples", "example", "samples", "sample", "demo", "demos", "sandbox", "playground")
+TEST_SEGMENTS = ("__tests__", "tests", "test")
+TEST_SUFFIX = r"(?i)(?:\.|/)(?:test|spec)\.(?:ts|tsx|js|jsx|mts|cts|mjs|cjs)$"
 SMALL_FILE, LEAST_SPAN, LARGE_ENTITY = 150, 4, 200
 
 
@@ -38,26 +39,30 @@ def slice_lines(text: Column, start: Column, end: Column) -> Column:
 
 
 def chunk_code(files: DataFrame, entities: DataFrame) -> DataFrame:
-    """(file_path, start_line, end_line, qualified_name, text) of each file.
+    """(file_path, start_line, end_line, qualified_name, text, entity_type, language, source_type) of each file.
 
     files: file_path, text. entities: file_path, type, qualified_name, parent, start_line, end_line
-    (parent: qualified name of the enclosing entity). Small files and files without entities stay
+    (parent: qualified name of the enclosing entity; none, or the file itself, at the top). Small files and files without entities stay
     whole; otherwise one chunk for each top-level entity of LEAST_SPAN lines, a large one giving
     way to its children; a file that ends up without chunks stays whole.
     """
     sized = files.withColumn("n_lines", F.size(F.split("text", "\n", -1)))
     spans = entities.filter(F.col("type") != "file").withColumn("span", F.col("end_line") - F.col("start_line") + 1)
-    children = spans.filter("parent is not null").select("file_path", F.col("parent").alias("p"), F.struct("start_line", "end_line", "qualified_name", "span").alias("child"))
-    tops = spans.filter(F.col("parent").isNull() & (F.col("span") >= LEAST_SPAN))
+    at_top = F.col("parent").isNull() | (F.col("parent") == F.col("file_path"))
+    children = spans.filter(~at_top).select("file_path", F.col("parent").alias("p"), F.struct("start_line", "end_line", "qualified_name", "type").alias("child"))
+    tops = spans.filter(at_top & (F.col("span") >= LEAST_SPAN))
     kids = tops.filter(F.col("span") > LARGE_ENTITY).join(children.withColumnRenamed("p", "qualified_name"), ["file_path", "qualified_name"])
-    by_child = kids.select("file_path", "child.start_line", "child.end_line", "child.qualified_name")
+    by_child = kids.select("file_path", "child.start_line", "child.end_line", "child.qualified_name", "child.type")
     replaced = kids.select("file_path", "qualified_name").distinct()
-    by_top = tops.join(replaced, ["file_path", "qualified_name"], "left_anti").select("file_path", "start_line", "end_line", "qualified_name")
-    picked = by_top.unionByName(by_child).join(sized.filter(F.col("n_lines") > SMALL_FILE).select("file_path", "text"), "file_path")
-    cut = picked.select("file_path", "start_line", "end_line", "qualified_name", slice_lines(F.col("text"), F.col("start_line"), F.col("end_line")).alias("text"))
+    by_top = tops.join(replaced, ["file_path", "qualified_name"], "left_anti").select("file_path", "start_line", "end_line", "qualified_name", "type")
+    picked = by_top.unionByName(by_child).join(sized.filter(F.col("n_lines") > SMALL_FILE).select("file_path", "text", "n_lines"), "file_path")
+    first, last = F.greatest("start_line", F.lit(1)).cast("int"), F.least("end_line", "n_lines").cast("int")
+    cut = picked.select("file_path", first.alias("start_line"), last.alias("end_line"), "qualified_name", slice_lines(F.col("text"), first, last).alias("text"), F.col("type").alias("entity_type"))
     rest = sized.join(cut.select("file_path").distinct(), "file_path", "left_anti")
-    whole = rest.select("file_path", F.lit(1).alias("start_line"), F.col("n_lines").alias("end_line"), F.lit(None).cast("string").alias("qualified_name"), "text")
-    return cut.unionByName(whole)
+    none = F.lit(None).cast("string")
+    whole = rest.select("file_path", F.lit(1).alias("start_line"), F.col("n_lines").alias("end_line"), none.alias("qualified_name"), "text", none.alias("entity_type"))
+    kind = F.when(is_example_path(F.col("file_path")), "example").otherwise("code")
+    return cut.unionByName(whole).withColumn("language", language_of(F.col("file_path"))).withColumn("source_type", kind)
 
 
 def section_chunks(docs: DataFrame, key: str = "file_path", heading: str = r"^#{1,3}\s+\S") -> DataFrame:

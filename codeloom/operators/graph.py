@@ -113,18 +113,22 @@ def walkthrough(edges: DataFrame, targets: DataFrame, limit: int | None = 20, pa
 
 
 def sequence_text(steps: DataFrame, entities: DataFrame, callees: int = 8, tests: int = 4) -> DataFrame:
-    """One row `diagram`, a sequence diagram of a walkthrough's first callees and tests."""
-    named = steps.join(entities.select("id", "name"), "id")
-    rank = F.row_number().over(Window.partitionBy("role").orderBy("id"))
-    kept = named.withColumn("r", rank).filter(((F.col("role") == "target") & (F.col("r") == 1)) | ((F.col("role") == "callee") & (F.col("r") <= callees)) | ((F.col("role") == "test") & (F.col("r") <= tests)))
+    """One row `diagram`, a sequence diagram of a walkthrough's first target, callees and tests. entities: id, name, type."""
+    kept = {"target": 1, "callee": callees, "test": tests}
+    rows = union([top(steps.filter(F.col("role") == role), n, "id") for role, n in kept.items()])
     label = X.sanitize_label(F.col("name"), 48)
-    centre = F.first(F.when(F.col("role") == "target", label), ignorenulls=True)
-    lines = F.sort_array(F.collect_list(F.when(F.col("role") != "target", F.struct("ord", "r", label.alias("label"), "role"))))
-    text = F.transform(
-        F.col("lines"),
-        lambda x: F.when(x.role == "callee", F.concat(F.lit("  "), F.col("centre"), F.lit("->>"), x.label, F.lit(": calls"))).otherwise(F.concat(F.lit("  "), x.label, F.lit("-->>"), F.col("centre"), F.lit(": tests"))),
+    named = rows.join(entities.select("id", label.alias("label"), F.when(F.col("type") == "function", "call").otherwise("use").alias("verb")), "id")
+    root = F.first(F.when(F.col("role") == "target", F.col("label")), ignorenulls=True)
+    of = lambda role: F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("id", "label", "verb"))))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    root_, one = F.col("root"), named.agg(root.alias("root"), of("callee").alias("callees"), of("test").alias("tests")).filter("root is not null")
+    lines = F.concat(
+        F.array(F.lit("sequenceDiagram"), F.lit("    participant Caller"), text("    participant ", root_), text("    Caller->>+", root_, ": invoke")),
+        F.flatten(F.transform("callees", lambda c: F.array(text("    ", root_, "->>+", c.label, ": ", c.verb), text("    ", c.label, "-->>-", root_, ": ok")))),
+        F.array(text("    ", root_, "-->>-Caller: return")),
+        F.transform("tests", lambda t: text("    Note over ", root_, ": covered by ", t.label)),
     )
-    return kept.agg(centre.alias("centre"), lines.alias("lines")).filter("centre is not null").select(F.concat_ws("\n", F.array(F.lit("sequenceDiagram")), text).alias("diagram"))
+    return one.select(F.array_join(lines, "\n").alias("diagram"))
 
 
 def read_file(chunks: DataFrame, path: str, limit: int = 6, files: int = 5) -> DataFrame:

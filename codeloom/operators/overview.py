@@ -10,10 +10,15 @@ from codeloom.operators.graph import degree
 from codeloom.operators.issues import path_suffixes, ranked_in
 from codeloom.runtime import top, union
 
-# Fixed rules: document kinds by path, first match wins.
-CONTRIB_KINDS = (("contributing", r"(?i)(?:^|/)contributing[^/]*$"), ("code_of_conduct", r"(?i)(?:^|/)code[_-]of[_-]conduct[^/]*$"), ("pr_template", r"(?i)pull_request_template"), ("issue_template", r"(?i)issue_template"), ("readme", r"(?i)(?:^|/)readme[^/]*$"))
-CORE_TYPES = ("class", "function", "type", "module", "concept")
-CORE_EDGES = ("calls", "imports", "extends", "implements", "depends_on", "uses")
+# Fixed rules: paths that are looked at, and document kinds by path, first match wins.
+CONTRIB_PATHS = r"(?i)CONTRIBUTING|PULL_REQUEST_TEMPLATE|ISSUE_TEMPLATE|CODE_OF_CONDUCT|(?:^|/)SECURITY\.MD$"
+CONTRIB_KINDS = (
+    ("contributing", r"(?i)(?:^|/)CONTRIBUTING(?:\.md|\.txt|\.rst)?$"), ("contributing", r"(?i)(?:^|/)\.github/CONTRIBUTING(?:\.md)?$"),
+    ("pr_template", r"(?i)(?:^|/)\.github/PULL_REQUEST_TEMPLATE(?:\.md)?$"), ("pr_template", r"(?i)(?:^|/)\.github/PULL_REQUEST_TEMPLATE/"),
+    ("issue_template", r"(?i)(?:^|/)\.github/ISSUE_TEMPLATE/"), ("code_of_conduct", r"(?i)(?:^|/)CODE_OF_CONDUCT(?:\.md)?$"), ("security", r"(?i)(?:^|/)SECURITY(?:\.md)?$"),
+)
+CORE_TYPES = ("class", "function", "type", "component", "module")
+CORE_EDGES = ("calls", "imports", "depends_on", "extends", "implements", "uses")
 
 
 def folder_profile(entities: DataFrame, least: int = 3, limit: int | None = 12) -> DataFrame:
@@ -37,46 +42,58 @@ def folder_dependencies(entities: DataFrame, edges: DataFrame, folders: DataFram
 
 
 def flowchart(folders: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """O3: one row `chart`, null without an edge."""
-    label = lambda c: X.sanitize_label(F.col(c), 32)
-    node = lambda c: F.concat(F.lit("f_"), F.substring(F.md5(F.col(c)), 1, 8))
-    nodes = folders.select(F.lit(0).alias("o"), F.concat(F.lit("  "), node("folder"), F.lit('["'), label("folder"), F.lit('"]')).alias("line"))
-    arrows = dependencies.select(F.lit(1).alias("o"), F.concat(F.lit("  "), node("from_folder"), F.lit(" -->|"), F.col("n").cast("string"), F.lit("| "), node("to_folder")).alias("line"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "line"))), lambda x: x.line), "\n")
-    return nodes.unionByName(arrows).agg(F.when(F.max("o") == 1, F.concat(F.lit("flowchart LR\n"), text)).alias("chart"))
+    """O3: one row `chart` of O1's folders and O2's dependencies; null without an edge."""
+    node = lambda c: X.sanitize_label(F.col(c), 32, "node")
+    n = F.col("n").cast("string")
+    line = lambda o, first, second, *parts: F.struct(F.lit(o).alias("o"), (-F.col("n")).alias("most"), first.alias("a"), second.alias("b"), F.concat(*parts).alias("line"))
+    boxes = folders.select(line(0, F.col("folder"), F.lit(""), F.lit("    "), node("folder"), F.lit('["'), F.col("folder"), F.lit("<br/>"), n, F.lit('"]')).alias("x"))
+    arrows = dependencies.select(line(1, F.col("from_folder"), F.col("to_folder"), F.lit("    "), node("from_folder"), F.lit(" -->|"), n, F.lit("| "), node("to_folder")).alias("x"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.line), "\n")
+    return boxes.unionByName(arrows).agg(F.when(F.max("x.o") == 1, F.concat(F.lit("flowchart LR\n"), text)).alias("chart"))
 
 
 def contribution_documents(chunks: DataFrame, per_kind: int = 2, limit: int | None = 20, excerpt: int = 1500) -> DataFrame:
-    """(kind, file_path, excerpt), shortest paths first."""
+    """(kind, file_path, excerpt): of the shortest paths looked at, those of a kind."""
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(CONTRIB_KINDS):
         kind = F.when(F.col("file_path").rlike(pattern), name).otherwise(kind)
-    rows = chunks.withColumn("kind", kind).filter("kind is not null")
-    once = rows.groupBy("kind", "file_path").agg(F.min_by("text", F.struct("start_line", "chunk_id")).alias("text"))
-    first = top(once, limit, F.length("file_path"), "file_path")
-    return ranked_in(first, ["kind"], per_kind, F.length("file_path"), "file_path").select("kind", "file_path", F.substring("text", 1, excerpt).alias("excerpt"))
+    rows = chunks.filter(F.col("file_path").rlike(CONTRIB_PATHS))
+    first = top(rows, limit, F.length("file_path"), "file_path", "start_line", "chunk_id").withColumn("kind", kind).filter("kind is not null")
+    return ranked_in(first, ["kind"], per_kind, F.length("file_path"), "file_path", "start_line", "chunk_id").select("kind", "file_path", F.substring("text", 1, excerpt).alias("excerpt"))
 
 
-def entry_points(files: DataFrame, manifests: DataFrame, entities: DataFrame, limit: int | None = 8) -> DataFrame:
-    """(kind, path, id). Shallowest manifests' main and bin, Go and Python mains, routes; first mention of a kind and path kept.
+def entry_points(manifests: DataFrame, entities: DataFrame, limit: int | None = 8) -> DataFrame:
+    """(kind, name, file_path, id, description); the first of a kind and path is kept.
 
-    files: rel_path. manifests: rel_path, text (JSON). entities: id, type, name, file_path.
+    In this order: main and bin of the shallowest package manifests (of the ten with the shortest
+    paths), Go commands, Python mains, routes. manifests: file_path, text. entities: id, type, name,
+    qualified_name, file_path.
     """
-    depth = F.size(F.split("rel_path", "/"))
-    shallow = manifests.withColumn("depth", depth).withColumn("least", F.min("depth").over(Window.partitionBy("workspace_id"))).filter("depth = least")
-    base = F.regexp_extract("rel_path", r"^(.*/)?[^/]+$", 1)
-    here = lambda x: F.concat(base, X.normalize_path(x))
-    main = shallow.select(F.lit(0).alias("o"), F.lit("main").alias("kind"), here(F.get_json_object("text", "$.main")).alias("path"))
-    bins = F.from_json(F.get_json_object("text", "$.bin"), "map<string,string>")
-    one = shallow.filter(~F.get_json_object("text", "$.bin").startswith("{")).select(F.lit(1).alias("o"), F.lit("bin").alias("kind"), here(F.get_json_object("text", "$.bin")).alias("path"))
-    many = shallow.filter(F.get_json_object("text", "$.bin").startswith("{")).select(base.alias("b"), F.explode(F.map_values(bins)).alias("v")).select(F.lit(1).alias("o"), F.lit("bin").alias("kind"), F.concat("b", X.normalize_path(F.col("v"))).alias("path"))
-    go = top(files.filter(F.col("rel_path").rlike(r"(?:^|/)cmd/[^/]+/main\.go$")), 10, "rel_path").select(F.lit(2).alias("o"), F.lit("go").alias("kind"), F.col("rel_path").alias("path"))
-    py = top(files.filter(F.col("rel_path").rlike(r"(?:^|/)__main__\.py$")), 10, "rel_path").select(F.lit(3).alias("o"), F.lit("python").alias("kind"), F.col("rel_path").alias("path"))
-    routes = top(entities.filter(F.col("type") == "route"), 8, "name", "id").select(F.lit(4).alias("o"), F.lit("route").alias("kind"), F.col("name").alias("path"))
-    found = union([main, one, many, go, py, routes]).filter("path is not null and path <> ''").groupBy("kind", "path").agg(F.min("o").alias("o"))
-    ids = entities.filter(F.col("type") == "file").select(F.col("id"), F.explode(path_suffixes(F.col("file_path"))).alias("path"))
-    with_id = found.join(ids, "path", "left").groupBy("kind", "path", "o").agg(F.min("id").alias("id"))
-    return top(with_id, limit, "o", "path").select("kind", "path", "id")
+    field = lambda name: F.get_json_object("text", f"$.{name}")
+    depth = F.size(F.split("file_path", "/"))
+    nearest = top(manifests.filter(F.col("file_path").endswith("package.json")), 10, F.length("file_path"), "file_path").withColumn("depth", depth)
+    least = nearest.agg(F.min("depth").alias("least"))  # one row
+    shallow = nearest.crossJoin(F.broadcast(least)).filter("depth = least").select("file_path", F.length("file_path").alias("seq"), "text")
+    row = lambda o, kind, name, path, ident, description: [F.lit(o).alias("o"), "seq", F.lit(kind).alias("kind"), name.alias("name"), path.alias("file_path"), ident.alias("id"), description.alias("description")]
+    none = F.lit(None).cast(entities.schema["id"].dataType)
+    main = shallow.filter(field("main").isNotNull()).withColumn("seq", F.col("seq") * 2).select(*row(0, "main", field("main"), field("main"), none, F.concat(F.lit("Package main from "), "file_path")))
+    bins = F.when(field("bin").startswith("{"), F.from_json(field("bin"), "map<string,string>")).otherwise(F.create_map(F.coalesce(field("name"), F.lit("cli")), field("bin")))
+    commands = shallow.filter(field("bin").isNotNull()).select((F.col("seq") * 2 + 1).alias("seq"), F.explode(bins).alias("cmd", "target"))
+    cli = lambda words, name: F.concat(F.lit(f"{words} `"), name, F.lit("`"))
+    many = commands.select(*row(0, "cli", F.col("cmd"), F.col("target"), none, cli("CLI entrypoint", F.col("cmd"))))
+    found = union([main, many])
+    paths = entities.filter((F.col("type") == "file") & F.col("file_path").isNotNull()).select(F.col("id").alias("hit"), F.explode(path_suffixes(F.col("file_path"))).alias("tail")).groupBy("tail").agg(F.min("hit").alias("hit"))
+    found = found.withColumn("tail", X.normalize_path(F.col("file_path"))).join(paths, "tail", "left").withColumn("id", F.col("hit")).drop("tail", "hit")
+    files = entities.filter("type = 'file'").withColumn("seq", F.lit(0))
+    command = F.regexp_extract("file_path", r"(?:^|/)cmd/([^/]+)/", 1)
+    go = top(files.filter(F.col("file_path").rlike(r"(?:^|/)cmd/[^/]+/main\.go$")), 10, "file_path", "id").select(*row(1, "cli", command, F.col("file_path"), F.col("id"), cli("Go command", command)))
+    package = F.regexp_extract("file_path", r"([^/]+)/__main__\.py$", 1)
+    py = top(files.filter(F.col("file_path").endswith("/__main__.py")), 10, "file_path", "id").select(*row(2, "python_main", package, F.col("file_path"), F.col("id"), F.concat(F.lit("Python module `python -m "), package, F.lit("`"))))
+    routes = entities.filter("type = 'route' and file_path is not null").withColumn("seq", F.lit(0))
+    http = top(routes, 8, "name", "id").select(*row(3, "http_route", F.coalesce("qualified_name", "name"), F.col("file_path"), F.col("id"), F.lit("HTTP route handler")))
+    order = F.struct("o", "seq", "name")
+    once = union([found, go, py, http]).groupBy("kind", "file_path").agg(F.min(order).alias("first"), F.min_by(F.struct("id", "description"), order).alias("x"))
+    return top(once, limit, "first", "file_path").select("kind", "first.name", "file_path", "x.id", "x.description")
 
 
 def core_abstractions(entities: DataFrame, edges: DataFrame, types=CORE_TYPES, edge_types=CORE_EDGES, limit: int | None = 10) -> DataFrame:
@@ -89,7 +106,7 @@ def safe_change_score(files: DataFrame, limit: int | None = 5) -> DataFrame:
     """Files (path, tests, hotness, entities) by how safe a first change is, with reasons."""
     tested, cold, warm, small = F.col("tests") > 0, F.col("hotness") == 0, F.col("hotness").between(1, 2), F.col("entities") <= 8
     score = F.when(tested, 3).otherwise(0) + F.when(cold, 2).when(warm, 1).otherwise(0) + F.when(small, 1).otherwise(0)
-    reasons = F.filter(F.array(F.when(tested, "has tests"), F.when(cold, "stable").when(warm, "rarely changed"), F.when(small, "small")), lambda x: x.isNotNull())
+    reasons = F.filter(F.array(F.when(tested, "covered by tests"), F.when(cold, "stable (no recent commits)").when(warm, "few recent commits"), F.when(small, "small file")), lambda x: x.isNotNull())
     rows = files.filter(F.col("entities").between(2, 25) & ~X.is_excluded_path(F.col("path"))).withColumn("score", score.cast("int")).withColumn("reasons", reasons)
     return top(rows.filter("score >= 3"), limit, F.desc("score"), "entities", "path")
 
@@ -105,12 +122,12 @@ def type_stats(entities: DataFrame, total: bool = False) -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("n"))
 
 
-def project_overview(entities: DataFrame, edges: DataFrame, chunks: DataFrame, files: DataFrame, manifests: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
+def project_overview(entities: DataFrame, edges: DataFrame, chunks: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
     """The sub-results by name; they share scans of the same tables and run when used."""
     folders = folder_profile(entities)
     return {
-        "folders": folders, "dependencies": folder_dependencies(entities, edges, folders), "contributing": contribution_documents(chunks),
-        "entry_points": entry_points(files, manifests, entities), "core": core_abstractions(entities, edges), "safe_changes": safe_change_score(scores),
+        "architecture": flowchart(folders, folder_dependencies(entities, edges, folders)), "contributing": contribution_documents(chunks),
+        "entry_points": entry_points(chunks, entities), "core": core_abstractions(entities, edges), "safe_changes": safe_change_score(scores),
         "hot": hot_files(scores), "stats": type_stats(entities),
     }
 
@@ -131,21 +148,44 @@ def directory_rollup(files: DataFrame, measures: dict[str, Column], path: str =
 
 
 def setup_guide(files: DataFrame) -> DataFrame:
-    """(ord, step, command) from the shallowest manifest of each kind. files: rel_path, text."""
-    name = F.lower(F.element_at(F.split("rel_path", "/"), -1))
-    kinds = {"package.json": "node", "requirements.txt": "pip", "pyproject.toml": "python", "go.mod": "go", "makefile": "make", "docker-compose.yml": "docker", "readme.md": "readme"}
-    known = files.withColumn("name", name).filter(name.isin([*kinds, "pnpm-lock.yaml", "yarn.lock", "bun.lockb"]))
-    depth = F.size(F.split("rel_path", "/"))
-    nearest = lambda f: F.min_by(F.when(F.col("name") == f, F.col("text")), F.when(F.col("name") == f, F.struct(depth, F.col("rel_path"))))
-    one = known.agg(F.collect_set("name").alias("names"), *[nearest(f).alias(k) for f, k in kinds.items()])
-    manager = X.package_manager(F.col("names"))
-    scripts = F.from_json(F.get_json_object("node", "$.scripts"), "map<string,string>")
-    run = lambda names: F.concat(manager, F.lit(" run "), X.pick_script(scripts, names))
+    """(ord, kind, label, command, source) from the shallowest manifest of each kind. files: file_path, text."""
+    path, text = F.col("file_path"), F.col("text")
+    low = F.lower("file_path")
+    # Fixed order of the tests on a path; the first that holds names the kind.
+    tests = (
+        ("node", path.endswith("package.json")), ("python", path.endswith("pyproject.toml")), ("make", path.endswith("Makefile")), ("docker", path.endswith("Dockerfile")),
+        ("compose", low.contains("docker-compose")), ("go", (path == "go.mod") | path.endswith("/go.mod")), ("cargo", path == "Cargo.toml"), ("readme", low.contains("readme")),
+    )
+    kind = F.lit(None).cast("string")
+    for name, test in reversed(tests):
+        kind = F.when(test, name).otherwise(kind)
+    known = top(files.withColumn("kind", kind).filter("kind is not null"), 80, F.length("file_path"), "file_path")
+    order = F.struct(F.size(F.split("file_path", "/")), F.length("file_path"), "file_path")
+    pick = lambda k: F.min_by(F.when(F.col("kind") == k, F.struct(path.alias("path"), text.alias("text"))), F.when(F.col("kind") == k, order)).alias(k)
+    one = known.agg(*[pick(k) for k, _ in tests])
+    has = lambda k: F.col(k).isNotNull()
+    node, python = F.col("node.text"), F.col("python.text")
+    valid = has("node") & F.try_parse_json(node).isNotNull()
+    manager = X.package_manager(F.coalesce(F.get_json_object(node, "$.packageManager"), F.lit("")))
+    scripts = F.from_json(F.get_json_object(node, "$.scripts"), "map<string,string>")
+    prefix = F.when(manager == "pnpm", F.lit("")).otherwise(F.lit("run"))
+    run = lambda names: F.when(valid, F.concat(manager, F.lit(" "), prefix, F.lit(" "), X.pick_script(scripts, names)))
+    poetry, uv = python.contains("[tool.poetry]"), python.contains("[tool.uv]") | python.contains("uv.lock")
+    install = F.when(poetry, "poetry install").when(uv, "uv sync").otherwise("pip install -e .")
+    script = F.regexp_extract(F.regexp_extract(python, r"\[project\.scripts\]((?s:.*?))(?:\n\[|\n*\z)", 1), r"(?m)^\s*([a-zA-Z0-9_-]+)\s*=", 1)
+    command = F.when(script != "", F.when(poetry, F.concat(F.lit("poetry run "), script)).otherwise(script))
+    bare = lambda k: has(k) & ~has("node")
+    targets = F.transform(F.slice(X.make_targets(F.col("make.text")), 1, 5), lambda t: F.concat(F.lit("make "), t))
+    path_of = lambda k: F.col(f"{k}.path")
     steps = [
-        ("install", F.when(F.col("node").isNotNull(), F.concat(manager, F.lit(" install")))), ("install", F.when(F.col("pip").isNotNull(), "pip install -r requirements.txt")),
-        ("install", F.when(F.col("python").isNotNull(), "pip install -e .")), ("install", F.when(F.col("go").isNotNull(), "go mod download")),
-        ("run", run(["dev", "start", "serve"])), ("run", F.when(F.col("docker").isNotNull(), "docker compose up")), ("build", run(["build"])), ("test", run(["test"])),
-        ("test", F.when(F.col("go").isNotNull(), "go test ./...")), ("make", F.concat(F.lit("make "), F.array_join(X.make_targets(F.col("make")), " | "))), ("readme", X.readme_quickstart(F.col("readme"))),
+        ("docker", "Or use Docker Compose", F.when(has("compose"), "docker compose up"), F.lit("docker-compose.yml")),
+        ("install", "Install dependencies", F.when(valid, F.concat(manager, F.lit(" install"))), path_of("node")),
+        ("run", "Run the app", run(["dev", "start", "serve"]), path_of("node")), ("test", "Run tests", run(["test", "test:unit"]), path_of("node")),
+        ("install", "Install dependencies", F.when(bare("python"), install), path_of("python")), ("run", "Run the CLI", F.when(bare("python"), command), path_of("python")),
+        ("install", "Fetch dependencies", F.when(bare("go"), "go mod download"), F.lit("go.mod")), ("run", "Build & run", F.when(bare("go"), "go run ./..."), F.lit("go.mod")),
+        ("install", "Build dependencies", F.when(bare("cargo"), "cargo build"), F.lit("Cargo.toml")), ("run", "Run", F.when(bare("cargo"), "cargo run"), F.lit("Cargo.toml")),
+        ("note", "Makefile targets", F.when(F.size(targets) > 0, F.array_join(targets, "   ")), path_of("make")),
+        ("readme", "Quick start", X.readme_quickstart(F.col("readme.text")), path_of("readme")),
     ]
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("step"), c.alias("command")) for i, (s, c) in enumerate(steps)])
-    return one.select(F.explode(rows).alias("r")).select("r.*").filter("command is not null and trim(command) not in ('', 'make')")
+    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("kind"), F.lit(n).alias("label"), c.alias("command"), source.alias("source")) for i, (k, n, c, source) in enumerate(steps)])
+    return one.select(F.explode(rows).alias("r")).select("r.*").filter("command is not null")

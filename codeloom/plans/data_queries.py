@@ -114,7 +114,7 @@ def rrf_fusion(spark, d):
     return retrieval.fuse(a, b).select("chunk_id", F.round("rrf", 9).alias("rrf"))
 
 
-@query("""WITH h AS (SELECT c_custkey, sha256(c_name) AS x FROM customer), r AS (
+@query("""WITH h AS (SELECT c_custkey, sha256(lower(c_name)) AS x FROM customer), r AS (
 SELECT c_custkey, [('0x' || x[(i % 32) * 2 + 1:(i % 32) * 2 + 2])::INT::DOUBLE / 255 * 2 - 1 + sin(i * 0.013) for i in range(0, 64)] AS v FROM h)
 SELECT c_custkey, round(v[1] / sqrt(list_sum([e * e for e in v])), 6) AS first, round(v[64] / sqrt(list_sum([e * e for e in v])), 6) AS last FROM r""")
 def hash_embedding(spark, d):
@@ -138,7 +138,7 @@ def cost_estimate(spark, d):
 # ---- text functions and corpus
 
 
-@query(r"""SELECT doc_id, list_aggregate(regexp_extract_all(text, '\d+'), 'count')::BIGINT AS numbers, len(list_distinct(regexp_extract_all('fixes #' || doc_id || ', closes #7 and see #9 ' || lang, '(?i)(?:fix(?:e[sd])?|close[sd]?|resolve[sd]?)\s*:?\s+#(\d{1,7})', 1)))::BIGINT AS fixed FROM documents""")
+@query(r"""SELECT doc_id, list_aggregate(regexp_extract_all(text, '\d+'), 'count')::BIGINT AS numbers, len(list_distinct(regexp_extract_all('fixes #' || doc_id || ', closes #7 and see #9 ' || lang, '(?i)(?:fix(?:es|ed)?|close[sd]?|resolve[sd]?)\s+#(\d{1,7})', 1)))::BIGINT AS fixed FROM documents""")
 def fix_refs(spark, d):
     """F3 on texts with numbers put in."""
     text = F.concat(F.lit("fixes #"), F.col("doc_id").cast("string"), F.lit(", closes #7 and see #9 "), F.col("lang"))
@@ -153,14 +153,14 @@ def extract_refs(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(X.extract_refs(text), "|").alias("refs"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[#*_>`]+', '', 'g'), '\n{2,}', chr(10), 'g'), ' ') AS x FROM documents)
-SELECT doc_id, CASE WHEN length(x) > 280 THEN rtrim(x[1:280], ' ') || '…' ELSE x END AS excerpt FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '```(?s:.*?)```', '', 'g'), '\n{2,}', ' ', 'g'), '[#*_`>]', '', 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM documents)
+SELECT doc_id, CASE WHEN length(x) > 280 THEN x[1:277] || '…' ELSE x END AS excerpt FROM t""")
 def excerpt(spark, d):
     """F2."""
     return table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN text[1:100] || '… [' || (length(text) - 100) || ' chars truncated]' ELSE text END AS cut FROM documents")
+@query("SELECT doc_id, coalesce(CASE WHEN length(text) > 100 THEN text[1:100] || '… [truncated ' || (length(text) - 100) || ' chars]' ELSE text END, '') AS cut FROM documents")
 def truncate_marked(spark, d):
     """F8."""
     return table(spark, d, "documents").select("doc_id", X.truncate_marked(F.col("text"), 100).alias("cut"))
@@ -187,18 +187,18 @@ def citation_check(spark, d):
 
 @query(r"""WITH t AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS p FROM pages) SELECT page_id,
  CASE WHEN regexp_extract(p, '^([^/]+/[^/]+)', 1) <> '' THEN regexp_extract(p, '^([^/]+/[^/]+)', 1) WHEN regexp_extract(p, '^([^/]+)', 1) <> '' THEN regexp_extract(p, '^([^/]+)', 1) ELSE '(root)' END AS folder,
- len(list_intersect(string_split(lower(p), '/'), ['example','examples','demo','demos','sample','samples','fixtures','playground'])) > 0 AS is_example FROM t""")
+ len(list_intersect(string_split(lower(p), '/'), ['examples','example','samples','sample','demo','demos','sandbox','playground'])) > 0 AS is_example FROM t""")
 def path_flags(spark, d):
     """C4, F6, F14 on page paths."""
     path = F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)
     return table(spark, d, "pages").select("page_id", X.folder2(path).alias("folder"), corpus.is_example_path(X.normalize_path(path)).alias("is_example"))
 
 
-@query("""WITH t AS (SELECT page_id, ['.ts', '.py', '.go', '.tsx', '.md'][page_id % 5 + 1] AS e FROM pages)
+@query("""WITH t AS (SELECT page_id, ['.ts', '.py', '.go', '.vue', '.md'][page_id % 5 + 1] AS e FROM pages)
 SELECT CASE e WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' ELSE 'typescript' END AS language, count(*) AS n FROM t WHERE e <> '.md' GROUP BY 1""")
 def language_summary(spark, d):
     """S2, S4."""
-    ext = F.element_at(F.array(*[F.lit(x) for x in (".ts", ".py", ".go", ".tsx", ".md")]), (F.pmod("page_id", F.lit(5)) + 1).cast("int"))
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".ts", ".py", ".go", ".vue", ".md")]), (F.pmod("page_id", F.lit(5)) + 1).cast("int"))
     return files.summarise_languages(table(spark, d, "pages").select(files.language_of(F.concat(F.lit("a/b"), ext)).alias("language")))
 
 
@@ -273,7 +273,7 @@ def ordered_files(spark, d):
 @query(f"""WITH {star.COMMITS_SQL}, a AS (SELECT author, count(*) AS c FROM commits GROUP BY 1), b AS (SELECT row_number() OVER (ORDER BY c DESC, author) AS r, sum(c) OVER (ORDER BY c DESC, author ROWS UNBOUNDED PRECEDING) AS s, sum(c) OVER () AS t FROM a)
 SELECT max(ts) AS last_commit, count(*) AS commits, count(*) FILTER (ts >= as_of - INTERVAL 30 DAY) AS commits_30d, count(*) FILTER (ts >= as_of - INTERVAL 90 DAY) AS commits_90d,
  count(DISTINCT author) FILTER (ts >= as_of - INTERVAL 90 DAY) AS active_authors, count(*) FILTER (kind = 'fix') AS fixes, count(*) FILTER (kind = 'feat') AS features,
- round(count(*) FILTER (kind = 'fix') / count(*) FILTER (kind = 'feat'), 2) AS fix_feat_ratio, count(*) FILTER (breaking) AS breaking, (SELECT min(r) FROM b WHERE 2 * s >= t)::BIGINT AS bus_factor FROM commits""")
+ round(count(*) FILTER (kind = 'fix') / count(*) FILTER (kind = 'feat'), 2) AS fix_feat_ratio, count(*) FILTER (breaking AND ts >= as_of - INTERVAL 90 DAY) AS breaking, (SELECT min(r) FROM b WHERE 2 * s >= t)::BIGINT AS bus_factor FROM commits""")
 def git_insights(spark, d):
     """A1, A2."""
     commits = star.commits(spark, d)
@@ -352,7 +352,7 @@ def session_list(spark, d):
     return activity.session_list(star.turns(spark, d), None)
 
 
-@query("SELECT conv_id AS session_id, turn AS id, CASE WHEN length(text) > 50 THEN text[1:50] || '… [' || (length(text) - 50) || ' chars truncated]' ELSE text END AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 3")
+@query("SELECT conv_id AS session_id, turn AS id, CASE WHEN length(text) > 50 THEN text[1:50] || '… [truncated]' ELSE text END AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 3")
 def prior_turns(spark, d):
     """A10."""
     return activity.prior_turns(star.turns(spark, d), 3, 50).select("session_id", "id", "content")

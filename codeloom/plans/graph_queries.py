@@ -225,8 +225,8 @@ def derive_tested_by(spark, d):
     """G1: orders as test files importing parts without their extension."""
     imports = table(spark, d, "lineitem").select(F.concat(F.lit("test/"), F.col("l_orderkey").cast("string")).alias("test_file"), F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("target"))
     path = F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".ts"))
-    parts = table(spark, d, "part").select(star.ident("p", "p_partkey").alias("id"), path.alias("file_path"), F.concat(path, F.lit("::main")).alias("qualified_name"))
-    return build.tested_by_edges(imports, parts.select(F.col("file_path").alias("path")), parts)
+    parts = table(spark, d, "part").select(star.ident("p", "p_partkey").alias("id"), F.lit("function").alias("type"), path.alias("file_path"), F.concat(path, F.lit("::main")).alias("qualified_name"))
+    return build.tested_by_edges(imports, parts)
 
 
 @query("SELECT DISTINCT p_partkey AS entity_id, l_orderkey AS chunk_id FROM part JOIN lineitem ON l_partkey = p_partkey")
@@ -298,10 +298,10 @@ _PAIRS = """p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.
  FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id)"""
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.75")
+@query(f"WITH {_PAIRS} SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.35")
 def near_duplicate_pairs(spark, d):
-    """Pairs of one label from the flag threshold on."""
-    return resolve.similar_pairs(_vectors(spark, d), ["label"]).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Pairs of one label from a threshold on that the tables' vectors reach."""
+    return resolve.similar_pairs(_vectors(spark, d), ["label"], 0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -317,12 +317,12 @@ def duplicate_flags(spark, d):
     return flags.select("id", F.size("possible_duplicates").cast("long").alias("flags"), F.array_min(F.transform("possible_duplicates", lambda x: x.id)).alias("first"))
 
 
-@query("""WITH b AS (SELECT l_partkey AS k, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+@query("""WITH b AS (SELECT l_partkey AS k, arg_max(l_quantity, {'a': l_orderkey * 10 + l_linenumber, 'b': l_quantity}) AS v FROM lineitem GROUP BY 1)
 SELECT p_partkey AS id, coalesce(v, p_retailprice) AS value FROM part LEFT JOIN b ON k = p_partkey""")
 def upsert_last_wins(spark, d):
     """Line items update their part; the last wins."""
     target = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("value"))
-    batch = table(spark, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    batch = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("value"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("a"), F.col("l_quantity").alias("b")).alias("seq"))
     return sinks.upsert(target, batch, ["id"], "seq")
 
 

@@ -34,16 +34,17 @@ def owner_workspaces(spark, d):
     return activity.owner_workspaces(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_user_id"), F.col("o_orderdate").alias("created_at")), 7).select("id")
 
 
-@query("""WITH u AS (SELECT user_id AS identity, strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'signup') AS w, count(*) FILTER (event_type <> 'signup') AS m FROM events GROUP BY ALL)
-SELECT identity, day, CASE WHEN identity % 10 = 0 THEN 0 ELSE w END AS workspaces_used, CASE WHEN identity % 10 = 0 THEN 0 ELSE w END >= CASE identity % 2 WHEN 0 THEN 1 ELSE 5 END AS workspaces_exceeded,
- CASE WHEN identity % 10 = 0 THEN 0 ELSE m END AS messages_used, CASE WHEN identity % 10 = 0 THEN 0 ELSE m END >= CASE identity % 2 WHEN 0 THEN 20 ELSE 200 END AS messages_exceeded FROM u""")
+@query("""WITH u AS (SELECT user_id AS identity, strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'signup') AS w, count(*) FILTER (event_type NOT IN ('signup', 'click')) AS m, 1000 * count(*) FILTER (event_type = 'click') AS t FROM events GROUP BY ALL)
+SELECT identity, day, CASE WHEN identity % 10 = 0 THEN 0 ELSE w END AS workspaces_used, CASE WHEN identity % 10 = 0 THEN 0 ELSE w END >= CASE identity % 2 WHEN 0 THEN 0 ELSE 3 END AS workspaces_exceeded,
+ CASE WHEN identity % 10 = 0 THEN 0 ELSE m END AS messages_used, CASE WHEN identity % 10 = 0 THEN 0 ELSE m END >= CASE identity % 2 WHEN 0 THEN 10 ELSE 50 END AS messages_exceeded,
+ CASE WHEN identity % 10 = 0 THEN 0 ELSE t END AS tokens_used, CASE WHEN identity % 10 = 0 THEN 0 ELSE t END >= CASE identity % 2 WHEN 0 THEN 40000 ELSE 200000 END AS tokens_exceeded FROM u""")
 def quota_status(spark, d):
     """Guests have even ids, every tenth identity bypasses."""
     events = table(spark, d, "events")
-    usage = events.select(F.col("user_id").alias("identity"), "ts", F.when(F.col("event_type") == "signup", "workspaces").otherwise("messages").alias("counter"), F.lit(1).cast("long").alias("amount"))
+    usage = events.select(F.col("user_id").alias("identity"), "ts", F.when(F.col("event_type") == "signup", "workspaces").when(F.col("event_type") == "click", "tokens").otherwise("messages").alias("counter"), F.when(F.col("event_type") == "click", 1000).otherwise(1).cast("long").alias("amount"))
     who = events.select(F.col("user_id").alias("identity")).distinct().select("identity", F.when(F.pmod("identity", F.lit(2)) == 0, "guest").otherwise("user").alias("kind"), (F.pmod("identity", F.lit(10)) == 0).alias("bypass"))
     found = activity.quota_status(usage, who).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-    return found.select("identity", "day", F.col("workspaces_used").cast("long").alias("workspaces_used"), "workspaces_exceeded", F.col("messages_used").cast("long").alias("messages_used"), "messages_exceeded")
+    return found.select("identity", "day", F.col("workspaces_used").cast("long").alias("workspaces_used"), "workspaces_exceeded", F.col("messages_used").cast("long").alias("messages_used"), "messages_exceeded", F.col("tokens_used").cast("long").alias("tokens_used"), "tokens_exceeded")
 
 
 @query(f"WITH {star.COMMITS_SQL} SELECT author, count(*) AS commits FROM commits GROUP BY 1 ORDER BY commits DESC, author LIMIT 5")
@@ -101,8 +102,8 @@ def split_diffs(spark, d):
     return files.split_diffs(table(spark, d, "events").select(F.col("event_id").alias("sha"), F.concat(part(0), part(1)).alias("raw"))).select("sha", "pos", "file_path")
 
 
-@query("""WITH r AS (SELECT l_orderkey AS sha, l_linenumber AS pos, l_partkey, sum(least(l_quantity::INT, 20) + CASE WHEN l_quantity > 20 THEN 19 ELSE 0 END + 80) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity))
-SELECT sha, pos, (SELECT count(*) FROM r x WHERE x.sha = r.sha AND x.s > 250)::BIGINT AS elided FROM r WHERE s <= 250""")
+@query("""WITH r AS (SELECT l_orderkey AS sha, l_linenumber AS pos, l_partkey, sum(least(l_quantity::INT, 20) + CASE WHEN l_quantity > 20 THEN 15 ELSE 0 END + 11) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity))
+SELECT sha, pos, (SELECT count(*) FROM r x WHERE x.sha = r.sha AND x.s + 69 > 250)::BIGINT AS elided FROM r WHERE s + 69 <= 250""")
 def cap_diffs(spark, d):
     """Line items as diffs as long as their quantity."""
     first = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_quantity")).alias("m"))
@@ -165,13 +166,13 @@ def read_file(spark, d):
     return graph.read_file(rows, "./c12").select("file_path", "start_line")
 
 
-@query("""WITH m AS (SELECT CASE p_size % 4 WHEN 0 THEN 'contributing' WHEN 1 THEN 'readme' WHEN 2 THEN 'pr_template' END AS kind, 'd' || p_partkey || '/' || CASE p_size % 4 WHEN 0 THEN 'CONTRIBUTING.md' WHEN 1 THEN 'README.md' ELSE 'pull_request_template.md' END AS file_path FROM part),
-f AS (SELECT * FROM m WHERE kind IS NOT NULL ORDER BY length(file_path), file_path LIMIT 20), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY length(file_path), file_path) AS n FROM f) SELECT kind, file_path FROM r WHERE n <= 2""")
+@query("""WITH m AS (SELECT p_partkey, ['contributing', 'security', 'pr_template', NULL][p_size % 4 + 1] AS kind, 'd' || p_partkey || '/' || ['CONTRIBUTING.md', 'SECURITY.md', '.github/pull_request_template.md', 'contributing-notes.md'][p_size % 4 + 1] AS file_path FROM part),
+f AS (SELECT * FROM m ORDER BY length(file_path), file_path, p_partkey LIMIT 20), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY length(file_path), file_path) AS n FROM f WHERE kind IS NOT NULL) SELECT kind, file_path FROM r WHERE n <= 2""")
 def contribution_documents(spark, d):
-    """O4."""
-    k = F.pmod("p_size", F.lit(4))
-    name = F.when(k == 0, "CONTRIBUTING.md").when(k == 1, "README.md").when(k == 2, "pull_request_template.md").otherwise("other.md")
-    rows = table(spark, d, "part").select(F.concat(F.lit("d"), _text("p_partkey"), F.lit("/"), name).alias("file_path"), F.col("p_name").alias("text"), F.lit(1).alias("start_line"), F.col("p_partkey").alias("chunk_id"))
+    """Notes whose path is looked at but has no kind take part in the first cut."""
+    names = F.array(*[F.lit(x) for x in ("CONTRIBUTING.md", "SECURITY.md", ".github/pull_request_template.md", "contributing-notes.md")])
+    path = F.concat(F.lit("d"), _text("p_partkey"), F.lit("/"), F.element_at(names, (F.pmod("p_size", F.lit(4)) + 1).cast("int")))
+    rows = table(spark, d, "part").select(path.alias("file_path"), F.col("p_name").alias("text"), F.lit(1).alias("start_line"), F.col("p_partkey").alias("chunk_id"))
     return overview.contribution_documents(rows).select("kind", "file_path")
 
 

@@ -49,15 +49,18 @@ def test_sections(spark):
 
 def test_paths_and_lines(spark):
     r = spark.createDataFrame([("src/a/b.ts", "../c/./d", "x\ny\nz")], "f string, t string, s string").select(
-        corpus.resolve_import(F.col("f"), F.col("t")), corpus.slice_lines(F.col("s"), F.lit(2), F.lit(9)), corpus.slice_lines(F.col("s"), F.lit(0), F.lit(1)), corpus.is_test_path(F.lit("a/x.test.ts")), corpus.is_test_path(F.lit("src/latest.ts")), corpus.is_example_path(F.lit("Examples/x.ts"))
+        corpus.resolve_import(F.col("f"), F.col("t")), corpus.slice_lines(F.col("s"), F.lit(2), F.lit(9)), corpus.slice_lines(F.col("s"), F.lit(0), F.lit(1)), corpus.is_test_path(F.lit("a/x.test.ts")), corpus.is_test_path(F.lit("src/latest.ts")), corpus.is_example_path(F.lit("Examples/x.ts")), corpus.is_example_path(F.lit("fixtures/x.ts")), corpus.is_example_path(F.lit("a/sandbox/x.ts"))
     ).first()
-    assert tuple(r) == ("src/c/d", "y\nz", "x", True, False, True)
+    assert tuple(r) == ("src/c/d", "y\nz", "x", True, False, True, False, True)
+    tests = {"src/test.ts": True, "a/b.SPEC.TSX": True, "Tests/a.go": True, "a/x_test.go": False, "spec/a.rb": False, "e2e/a.ts": False, "a/__tests__/b": True}
+    rows = spark.createDataFrame([(p,) for p in tests], "p string").select("p", corpus.is_test_path(F.col("p")).alias("t")).collect()
+    assert {x.p: x.t for x in rows} == tests
 
 
 def test_code_chunks(spark):
     text = "\n".join(f"l{i}" for i in range(1, 401))
     files = spark.createDataFrame([("big", text), ("small", "a\nb"), ("bare", text)], "file_path string, text string")
-    rows = [("big", "class", "big::A", None, 1, 300), ("big", "function", "big::A::m", "big::A", 2, 20), ("big", "function", "big::f", None, 310, 320), ("big", "function", "big::t", None, 330, 331), ("small", "function", "small::g", None, 1, 2)]
+    rows = [("big", "class", "big::A", "big", 1, 300), ("big", "function", "big::A::m", "big::A", 2, 20), ("big", "function", "big::f", None, 310, 320), ("big", "function", "big::t", None, 330, 331), ("small", "function", "small::g", None, 1, 2)]
     ents = spark.createDataFrame(rows, "file_path string, type string, qualified_name string, parent string, start_line int, end_line int")
     got = sorted((r.file_path, r.start_line, r.end_line, r.qualified_name or "") for r in corpus.chunk_code(files, ents).collect())
     assert got == [("bare", 1, 400, ""), ("big", 2, 20, "big::A::m"), ("big", 310, 320, "big::f"), ("small", 1, 2, "")]
@@ -78,11 +81,18 @@ def test_symbols(spark):
 
 def test_tested_by(spark):
     imports = spark.createDataFrame([("t.test.ts", "src/orders"), ("t.test.ts", "lodash")], "test_file string, target string")
-    ents = spark.createDataFrame([("a", "src/orders/index.ts", "src/orders/index.ts::A"), ("b", "src/orders/index.ts", "src/orders/index.ts::A::b")], "id string, file_path string, qualified_name string")
-    found = build.tested_by_edges(imports, spark.createDataFrame([("src/orders/index.ts",)], "path string"), ents)
+    ents = spark.createDataFrame([("a", "class", "src/orders/index.ts", "src/orders/index.ts::A"), ("b", "function", "src/orders/index.ts", "src/orders/index.ts::A::b"), ("c", "class", "src/orders.mts", "src/orders.mts::C"), ("t", "test", "src/orders.ts", "src/orders.ts::T")], "id string, type string, file_path string, qualified_name string")
+    found = build.tested_by_edges(imports, ents)
     assert [tuple(r) for r in found.collect()] == [("a", "t.test.ts", "tested_by")]
 
 
+def test_resolution_order(spark):
+    paths = ["a/b", "a/b.go", "a/b/index.ts", "c.cjs", "c.vue", "d/index.py", "e.ts", "x::y.ts"]
+    ents = spark.createDataFrame([(p, p, None, i) for i, p in enumerate([*paths, "from"])], "id string, qualified_name string, name string, seq long")
+    edges = spark.createDataFrame([(i, "from", t, None, "imports") for i, t in enumerate(["a/b", "c", "d", "e", "f", "x::y"])], "seq long, from_qualified string, to_qualified string, to_name string, type string")
+    assert {r.seq: (r.dst, r.how) for r in build.resolve_edges(edges, ents).collect()} == {0: ("a/b", "exact"), 1: ("c.cjs", "path"), 2: ("d/index.py", "path"), 3: ("e.ts", "path")}
+
+
 def test_annotations(spark):
     rows = spark.createDataFrame([("OrderService", [("Order processing ", "q")], [("Service Layer", "high", "p")])], "entity_id string, concepts array<struct<name:string,evidence_quote:string>>, patterns array<struct<name:string,confidence:string,evidence_quote:string>>")
     assert {r.id for r in corpus.semantic_nodes(rows).collect()} == {"concept::order processing", "pattern::service layer"}

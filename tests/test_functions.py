@@ -11,14 +11,15 @@ def one(spark, make, *values, kind="string"):
 
 def test_refs_and_excerpts(spark):
     assert one(spark, X.extract_refs, "see `OrderService` and src/a/b.ts, `x`, `a  b`, `OrderService`") == ["OrderService", "src/a/b.ts"]
-    assert one(spark, X.excerpt, "# Title\n\n\n```\ncode\n```\n**bold** text") == "Title\nbold text"
-    assert one(spark, lambda c: X.excerpt(c, 5), "abcdefgh") == "abcde…"
+    assert one(spark, X.excerpt, "# Title\n\n\n```\ncode\n```\n**bold** text") == "Title bold text"
+    assert one(spark, lambda c: X.excerpt(c, 8), "abcdefghi") == "abcde…"
+    assert one(spark, X.extract_refs, "x/y.ts a/b.zip /c/d.py e/f.md") == ["x/y.ts", "e/f.md"]
 
 
 def test_fix_refs(spark):
     for word in ("fix", "fixes", "fixed", "close", "closes", "closed", "resolve", "resolves", "resolved", "FIXES"):
         assert one(spark, X.fix_refs, f"{word} #42") == [42]
-    for other in ("#42", "related to #42", "see #42 for context"):
+    for other in ("fixes: #42", "fixes:#42", "#42", "related to #42", "see #42 for context"):
         assert one(spark, X.fix_refs, other) == []
     assert one(spark, lambda c: X.fix_refs(c, "commit"), "fixes #421") == [421]
     assert one(spark, lambda c: X.fix_refs(c, "pull"), "closes #7x, closes #8.") == [8]
@@ -27,6 +28,7 @@ def test_fix_refs(spark):
 def test_commit_types(spark):
     assert one(spark, X.conventional_type, "fix(parser)!: y") == "fix"
     assert one(spark, X.is_breaking, "fix(x)!: y") and one(spark, X.is_breaking, "feat: a\n\nBREAKING CHANGE: z") and not one(spark, X.is_breaking, "feat: a")
+    assert one(spark, X.conventional_type, " Feat_2 : a") == "feat_2" and one(spark, X.conventional_type, "no type") == ""
 
 
 def test_citations(spark):
@@ -42,14 +44,18 @@ def test_diffs(spark):
 
 
 def test_small_functions(spark):
-    assert one(spark, X.truncate_marked.__get__(4) if False else (lambda c: X.truncate_marked(c, 4)), "abcdefg") == "abcd… [3 chars truncated]"
+    assert one(spark, X.truncate_marked.__get__(4) if False else (lambda c: X.truncate_marked(c, 4)), "abcdefg") == "abcd… [truncated 3 chars]"
     assert [one(spark, lambda c: X.clamp(c, 50, 20), v) for v in ("7", "99", "0", "x", None)] == [7, 50, 1, 20, 20]
     assert [one(spark, X.normalize_path, v) for v in ("./a/b", "/a/b", "a/b")] == ["a/b"] * 3
     assert [one(spark, X.folder2, v) for v in ("a/b/c.ts", "a", "")] == ["a/b", "a", "(root)"]
-    assert one(spark, X.sanitize_label, 'a "b"\n[c]') == "a b c" and one(spark, X.sanitize_label, "[]") == "node"
+    assert one(spark, X.sanitize_label, 'a "b"\n[c]') == "a__b___c_" and one(spark, X.sanitize_label, "") == "unknown"
     assert one(spark, X.escape_like, r"50%_\x") == r"50\%\_\\x"
-    assert one(spark, X.make_targets, "build: a\n\tx\ntest:\nV := 1\nbuild: b") == ["build", "test"]
+    assert one(spark, X.make_targets, "build: a\n\tx\ntest:\n.PHONY: x\n_v:= 1\nbuild: b") == ["build", "test", "_v"]
     assert one(spark, X.readme_quickstart, "# A\nx\n## Quick start\nrun it\n## Next\ny") == "run it"
+    assert one(spark, X.readme_quickstart, "# A\n## Usage notes\n" + "u" * 900) == "u" * 799 and one(spark, X.readme_quickstart, "# About usage\nx") is None
+    assert [one(spark, X.package_manager, v) for v in ("pnpm@9", "yarn@4", "bun@1", "npm@10", "")] == ["pnpm", "yarn", "bun", "npm", "npm"]
+    assert all(one(spark, X.is_excluded_path, p) for p in ("Tests/a.ts", "a/x.test.tsx", "a_test.go", "b/test_a.py", "vite.config.ts", "a/Package.json", "x.min.css", "poetry.lock"))
+    assert not any(one(spark, X.is_excluded_path, p) for p in ("docs/a.md", "examples/a.ts", "a/x.d.ts", "CHANGELOG.md"))
     assert one(spark, X.is_excluded_path, "node_modules/a.js") and not one(spark, X.is_excluded_path, "src/a.js")
     assert one(spark, X.json_field, None) if False else one(spark, lambda c: X.json_field(c, "$.k", "long", -1), '{"k": "x"}') == -1
     assert one(spark, X.first_line, " a\nb") == "a"

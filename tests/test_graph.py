@@ -57,7 +57,10 @@ def test_walkthrough_and_diagram(spark):
     e, edges = tables(spark)
     steps = graph.walkthrough(edges, seed(spark, "processPayment"))
     assert [(r.id, r.role) for r in steps.collect()] == [("processPayment", "target"), ("logEvent", "callee")]
-    assert graph.sequence_text(steps, e).first().diagram == "sequenceDiagram\n  processPayment->>logEvent: calls"
+    assert graph.sequence_text(steps, e).first().diagram.split("\n") == [
+        "sequenceDiagram", "    participant Caller", "    participant processPayment", "    Caller->>+processPayment: invoke",
+        "    processPayment->>+logEvent: call", "    logEvent-->>-processPayment: ok", "    processPayment-->>-Caller: return",
+    ]
 
 
 def test_neighbourhood(spark):

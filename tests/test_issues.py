@@ -72,11 +72,14 @@ def test_diffs(spark):
 
 
 def test_scan_and_flags(spark, tmp_path):
-    for name, text in (("src/a.ts", "x"), ("node_modules/b.ts", "x"), ("pic.png", "x"), ("README.md", "# hi")):
+    for name, text in (("src/a.ts", "x"), ("node_modules/b.ts", "x"), ("pic.dylib", "x"), ("README.md", "# hi")):
         (tmp_path / "repo" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "repo" / name).write_text(text)
     found = files.scan_tree(spark, str(tmp_path / "repo"))
     assert sorted(r.rel_path for r in found.collect()) == ["README.md", "src/a.ts"]
+    listed = {".gitignore": "*.log\n/tmp/\n# note\n!keep.log\n", "a.log": "x", "src/b.log": "x", "src/keep.log": "x", "tmp/x.ts": "x", "src/tmp/x.ts": "x", "src/.gitignore": "gen/**\nsrc/own.ts", "src/own.ts": "x", "own.ts": "x", ".idea/x": "x", "A.MAP": "x"}
+    rows = spark.createDataFrame([(p, len(t), bytearray(t.encode())) for p, t in listed.items()], "rel_path string, size_bytes long, content binary")
+    assert sorted(r.rel_path for r in files.keep_files(rows).collect()) == [".gitignore", "own.ts", "src/.gitignore", "src/keep.log", "src/tmp/x.ts"]
     r = spark.createDataFrame([("a.tsx", "go.mod", "\x01\x02\x03ab")], "p string, m string, t string").select(files.language_of(F.col("p")), files.manifest_languages(F.col("m")), files.looks_binary(F.col("t"))).first()
     assert tuple(r) == ("typescript", ["go"], True)
 
@@ -89,9 +92,32 @@ def test_directory_rollup(spark):
 
 def test_entry_points_and_setup(spark):
     manifest = '{"main": "./dist/i.js", "bin": {"cli": "./bin/c.js"}, "scripts": {"dev": "x", "test": "y"}}'
-    m = spark.createDataFrame([("w", "package.json", manifest), ("w", "sub/package.json", '{"main": "no.js"}')], "workspace_id string, rel_path string, text string")
-    f = spark.createDataFrame([("cmd/app/main.go",), ("pkg/__main__.py",)], "rel_path string")
-    e = spark.createDataFrame([("r", "route", "/x", None), ("f", "file", "c.js", "bin/c.js")], "id string, type string, name string, file_path string")
-    assert [(r.kind, r.path, r.id) for r in overview.entry_points(f, m, e).collect()] == [("main", "dist/i.js", None), ("bin", "bin/c.js", "f"), ("go", "cmd/app/main.go", None), ("python", "pkg/__main__.py", None), ("route", "/x", None)]
-    guide = overview.setup_guide(spark.createDataFrame([("package.json", manifest), ("yarn.lock", "")], "rel_path string, text string"))
-    assert [(r.step, r.command) for r in guide.orderBy("ord").collect()] == [("install", "yarn install"), ("run", "yarn run dev"), ("test", "yarn run test")]
+    m = spark.createDataFrame([("package.json", manifest), ("sub/package.json", '{"main": "no.js"}')], "file_path string, text string")
+    e = spark.createDataFrame(
+        [("r", "route", "/x", "GET /x", "src/r.ts"), ("f", "file", "c.js", None, "bin/c.js"), ("g", "file", "main.go", None, "cmd/app/main.go"), ("p", "file", "m", None, "pkg/__main__.py")],
+        "id string, type string, name string, qualified_name string, file_path string",
+    )
+    assert [(r.kind, r.name, r.file_path, r.id) for r in overview.entry_points(m, e).collect()] == [
+        ("main", "./dist/i.js", "./dist/i.js", None), ("cli", "cli", "./bin/c.js", "f"), ("cli", "app", "cmd/app/main.go", "g"), ("python_main", "pkg", "pkg/__main__.py", "p"), ("http_route", "GET /x", "src/r.ts", "r"),
+    ]
+    more = [("package.json", manifest.replace("{", '{"packageManager": "pnpm@9", ', 1)), ("a/docker-compose.yml", ""), ("Makefile", "all:\n"), ("README.md", "# Setup\nread")]
+    guide = overview.setup_guide(spark.createDataFrame(more, "file_path string, text string"))
+    assert [(r.kind, r.command) for r in guide.orderBy("ord").collect()] == [("docker", "docker compose up"), ("install", "pnpm install"), ("run", "pnpm  dev"), ("test", "pnpm  test"), ("note", "make all"), ("readme", "read")]
+    python = [("x/pyproject.toml", "[tool.uv]\n[project.scripts]\nrun-it = 'a:b'\n[x]\n"), ("go.mod", "module x")]
+    guide = overview.setup_guide(spark.createDataFrame(python, "file_path string, text string"))
+    assert [r.command for r in guide.orderBy("ord").collect()] == ["uv sync", "run-it", "go mod download", "go run ./..."]
+
+
+def test_flowchart(spark):
+    folders = spark.createDataFrame([("a/b", 5), ("c", 3)], "folder string, n long")
+    arrows = spark.createDataFrame([("a/b", "c", 4)], "from_folder string, to_folder string, n long")
+    assert overview.flowchart(folders, arrows).first().chart == 'flowchart LR\n    a_b["a/b<br/>5"]\n    c["c<br/>3"]\n    a_b -->|4| c'
+    assert overview.flowchart(folders, arrows.limit(0)).first().chart is None
+
+
+def test_whole_file_chunks(spark):
+    rows = [("package.json", 9, "{}"), ("x/Makefile", 5, "a:\nb:"), ("tsconfig.json", 5, "{}"), ("a.ts", 5, "x"), ("empty.sql", 0, ""), ("b.sql", 5, "x\ny"), ("pic.svg", 5, "x"), ("seen.css", 5, "x"), ("c.dat", 5, "\x01\x02\x03ab"), ("latin.txt", 5, "\x80\x85\x9fab")]
+    found = spark.createDataFrame(rows, "rel_path string, size_bytes long, text string")
+    assert [(r.file_path, r.end_line, r.source_type) for r in files.config_chunks(found).orderBy("file_path").collect()] == [("package.json", 1, "config"), ("x/Makefile", 2, "config")]
+    rest = files.fallback_chunks(found, spark.createDataFrame([("seen.css",)], "file_path string"))
+    assert [(r.file_path, r.end_line, r.source_type, r.language) for r in rest.orderBy("file_path").collect()] == [("b.sql", 2, "code", "unknown"), ("latin.txt", 1, "code", "unknown"), ("tsconfig.json", 1, "code", "unknown")]
