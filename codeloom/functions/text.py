@@ -170,10 +170,10 @@ def parse_sse(block: Column) -> Column:
 
 
 def relative_age(then: Column, now: Column) -> Column:
-    """today, days, months or years ago."""
-    days = F.datediff(now, then)
+    """today, days, months of 30 days up to eleven, or years of 365 days ago, by whole spans of 24 hours."""
+    days = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 86_400_000_000)
     of = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
-    return F.when(days < 1, "today").when(days < 30, of(days, "d ago")).when(days < 365, of(F.floor(days / 30), "mo ago")).otherwise(of(F.floor(days / 365), "y ago"))
+    return F.when(days < 1, "today").when(days < 30, of(days, "d ago")).when(F.floor(days / 30) < 12, of(F.floor(days / 30), "mo ago")).otherwise(of(F.floor(days / 365), "y ago"))
 
 
 def trim_items(items: Column, limit: int = 30) -> Column:

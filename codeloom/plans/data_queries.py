@@ -406,14 +406,17 @@ def pull_evidence(spark, d):
 
 
 @query(f"""WITH {_PULLS}, p AS (SELECT number, bool_or(open AND NOT merged AND NOT draft AND NOT stale) AS ready, bool_or(open AND NOT merged AND draft) AS drafted, bool_or(open AND NOT merged AND stale) AS staled FROM q WHERE r <= 5 GROUP BY 1),
-c AS (SELECT DISTINCT l_orderkey AS number FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)
-SELECT o_orderkey AS number, CASE WHEN c.number IS NOT NULL THEN 'merged' WHEN ready THEN 'open_pr' WHEN drafted THEN 'draft_pr' WHEN staled THEN 'stale_pr' ELSE 'none' END AS status,
- CASE WHEN c.number IS NOT NULL THEN 'high' WHEN ready OR drafted THEN 'medium' ELSE 'low' END AS confidence FROM orders LEFT JOIN c ON c.number = o_orderkey LEFT JOIN p ON p.number = o_orderkey""")
+c AS (SELECT DISTINCT l_orderkey AS number FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1),
+s AS (SELECT l_orderkey AS number, bool_or(l_linestatus = 'F' AND l_quantity >= 42.5) AS dup, bool_or(l_quantity >= 35) AS rel FROM lineitem WHERE l_linenumber > 4 GROUP BY 1)
+SELECT o_orderkey AS number, CASE WHEN c.number IS NOT NULL THEN 'merged' WHEN ready THEN 'open_pr' WHEN drafted THEN 'draft_pr' WHEN staled THEN 'stale_pr' WHEN dup THEN 'duplicate_closed' WHEN rel THEN 'related' ELSE 'none' END AS status,
+ CASE WHEN c.number IS NOT NULL THEN 'high' WHEN ready OR drafted THEN 'medium' WHEN staled THEN 'low' WHEN dup THEN 'medium' ELSE 'low' END AS confidence
+FROM orders LEFT JOIN c ON c.number = o_orderkey LEFT JOIN p ON p.number = o_orderkey LEFT JOIN s ON s.number = o_orderkey""")
 def resolution_status(spark, d):
     """Every order's status."""
     orders, commits, pulls, now = _order_issues(spark, d)
-    none = spark.createDataFrame([], "number long, other long, state string, similarity double")
-    return issues.find_resolution(orders, issues.fix_commits(commits), issues.pull_evidence(pulls, now), none).select("number", "status", "confidence")
+    items = table(spark, d, "lineitem").filter("l_linenumber > 4")
+    similar = items.select(F.col("l_orderkey").alias("number"), F.col("l_partkey").alias("other"), F.when(F.col("l_linestatus") == "F", "closed").otherwise("open").alias("state"), (F.col("l_quantity") / 50).cast("double").alias("similarity"))
+    return issues.find_resolution(orders, issues.fix_commits(commits), issues.pull_evidence(pulls, now), similar).select("number", "status", "confidence")
 
 
 # ---- streams, as their batch twins
