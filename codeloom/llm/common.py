@@ -32,9 +32,11 @@ _B2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder the cluster names; a temporary folder where none is set."""
+    """Cut lineage into the shared folder the cluster names; in local mode (tests) a temporary one where none is set."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
     return df.checkpoint()
 

@@ -6,9 +6,12 @@ over its segmentations in proportion to their probability under the public score
 expectation step); counts are smoothed towards the prior of those scores. A text's
 probability in a language is the product over its words of the sum over all segmentations,
 by the forward recursion of lattice.py. Words are cut at ASCII white space and lower-cased.
+The score is the share of the predicted language in the geometric mean of its words' likelihoods
+over all languages: a text's length doesn't push it to one, as it does a posterior.
 
-The model (pieces x languages) goes to the tasks in the closure; its size is bounded by the
-vocabulary and MAX_LANGUAGES, and is checked.
+The expected counts come to the driver as one array a language and the model (pieces x languages)
+goes to the tasks in the closure; both are bounded by the vocabulary and MAX_LANGUAGES and checked.
+A worker remembers words of up to LONGEST_KNOWN bytes, KNOWN_VALUES log probabilities in all.
 
 Edge cases: null text or text without a letter is `und` with score 0; rows without a lang are
 not learned from; with no language learned at all every text is `und`; ties go to the first
@@ -30,7 +33,7 @@ from .lattice import expected_counts, pieces, word_logprobs
 UNKNOWN = "und"
 MAX_LANGUAGES = 512
 SMOOTHING = 1000.0
-KNOWN = 200_000
+KNOWN_VALUES, LONGEST_KNOWN = 800_000, 32
 
 
 def _count_words(frames):
@@ -76,8 +79,9 @@ def train(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", smoothing: f
         columns = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("c"))), F.lit(0)).cast("double") for x in languages]
         by_word = counts.groupBy("word").agg(F.array(*columns).alias("counts"))
         sums = by_word.mapInPandas(_expect(path, languages), "piece int, lang int, e double").groupBy("piece", "lang").agg(F.sum("e").alias("e"))
-        for piece, lang, e in sums.collect():  # at most pieces x languages
-            expected[piece, lang] = e
+        packed = sums.groupBy("lang").agg(F.collect_list("piece").alias("pieces"), F.collect_list("e").alias("e"))
+        for r in packed.toLocalIterator():  # a row a language, at most as long as the vocabulary
+            expected[r.pieces, r.lang] = r.e
     p = (expected + smoothing * prior[:, None]) / (expected.sum(0) + smoothing)
     return languages, np.log(np.where(p > 0, p, 1e-300))
 
@@ -102,8 +106,9 @@ def _predict(path: str, languages: list[str], logp: np.ndarray):
             seen = [w for w in distinct if w in known]
             if seen:
                 table[[place[w] for w in seen]] = [known[w] for w in seen]
-            for w, row in zip(unseen[: max(0, KNOWN - len(known))], fresh.tolist() if unseen else []):
-                known[w] = row
+            room = KNOWN_VALUES // max(1, len(languages)) - len(known)
+            for i in [i for i, w in enumerate(unseen) if len(w) <= LONGEST_KNOWN][: max(0, room)]:
+                known[unseen[i]] = fresh[i].copy()
             preds, scores = [], []
             for text, ws in zip(texts, words):
                 if not languages or not any(map(str.isalpha, text)):
@@ -113,7 +118,7 @@ def _predict(path: str, languages: list[str], logp: np.ndarray):
                 total = table[[place[w] for w in ws]].sum(0)
                 best = int(total.argmax())
                 preds.append(languages[best])
-                scores.append(float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum()))
+                scores.append(float(1.0 / np.exp(np.clip((total - total[best]) / len(ws), -700, 0)).sum()))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": preds, "score": scores})
 
     return run

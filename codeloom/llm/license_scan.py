@@ -165,8 +165,8 @@ def _windows(model: Model, all_terms: list[str], key, threshold: float):
             yield i - length + 1, i + 1
 
 
-def _passages(low: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int]], int]:
-    """Terms of the whole text, the ranges of its lines and of its blocks, and the terms of the first line."""
+def _passages(low: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Terms of the whole text, and the ranges of its lines and of its blocks."""
     found, lines, blocks, opened = [], [], [], 0
     for line in low.split("\n"):
         at = len(found)
@@ -176,17 +176,17 @@ def _passages(low: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[in
             blocks.append((opened, at))
             opened = at
     blocks.append((opened, len(found)))
-    return found, [x for x in lines if x[0] < x[1]], [x for x in blocks if x[0] < x[1]], lines[0][1]
+    return found, [x for x in lines if x[0] < x[1]], [x for x in blocks if x[0] < x[1]]
 
 
 def candidates(model: Model, text: str, threshold: float) -> list[tuple[str, float, float, bool, dict]]:
-    """(licence, dot, squared norm on the vocabulary, leads, other terms) of the passages that may be the text's best match."""
+    """(licence, dot, squared norm on the vocabulary, mostly, other terms) of the passages that may be the text's best match."""
     low = text.lower()
     known = model.idf.keys() & set(_TERM.findall(low))
     keys = model.possible(known, threshold) if known else []
     if not keys:
         return []
-    all_terms, lines, blocks, first = _passages(low)
+    all_terms, lines, blocks = _passages(low)
     rows, floor = [], threshold
     for key in keys:
         name, kind = kind_of(key)
@@ -205,17 +205,17 @@ def candidates(model: Model, text: str, threshold: float) -> list[tuple[str, flo
             if most < threshold - EPSILON:
                 continue
             floor = max(floor, dot / math.sqrt(norm + others * model.rare**2))
-            rows.append((most, (name, dot, norm, a < first, {t: c for t, c in tf.items() if t not in model.idf})))
+            rows.append((most, (name, dot, norm, 2 * (b - a) > len(all_terms), {t: c for t, c in tf.items() if t not in model.idf})))
     return [x for most, x in rows if most >= floor - EPSILON]
 
 
 def choose(rows: list, idf: dict[str, float], threshold: float) -> tuple[str, float, bool] | None:
-    """(licence, score, leads) of the best candidate by the weights of the other terms; ties to the smaller name."""
+    """(licence, score, mostly) of the best candidate by the weights of the other terms; ties to the smaller name."""
     best = None
-    for name, dot, norm, leads, others in rows:
+    for name, dot, norm, mostly, others in rows:
         score = min(1.0, dot / math.sqrt(norm + sum((c * idf[t]) ** 2 for t, c in others.items())))
-        if score >= threshold - EPSILON and (best is None or (-round(score, 9), name, not leads) < (-round(best[1], 9), best[0], not best[2])):
-            best = (name, score, leads)
+        if score >= threshold - EPSILON and (best is None or (-round(score, 9), name, not mostly) < (-round(best[1], 9), best[0], not best[2])):
+            best = (name, score, mostly)
     return best
 
 
@@ -229,7 +229,7 @@ def _document_frequency(frames):
             yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
 
 
-FOUND = "path string, own_license string, own_score double, leads boolean"
+FOUND = "path string, own_license string, own_score double, mostly boolean"
 
 
 def _scan(model: Model, threshold: float, n_chunks: int):
@@ -242,7 +242,7 @@ def _scan(model: Model, threshold: float, n_chunks: int):
                 best = None if asked else choose(rows, {}, threshold)
                 chunk = zlib.crc32(f"{path}\0{text}".encode("utf-8", "replace")) % n_chunks if asked else None
                 out.append((path, *(best or (None, None, False)), chunk, asked or None, json.dumps(rows) if asked else None))
-            yield pd.DataFrame(out, columns=["path", "own_license", "own_score", "leads", "chunk", "asked", "pending"]).astype({"chunk": "Int32"})
+            yield pd.DataFrame(out, columns=["path", "own_license", "own_score", "mostly", "chunk", "asked", "pending"]).astype({"chunk": "Int32"})
 
     return run
 
@@ -251,13 +251,13 @@ def _settle(n_files: int, threshold: float):
     def run(pending, answers):
         idf = {t: weight(n_files, n) for t, n in zip(answers["term"], answers["n"])}
         out = [(path, *(choose(json.loads(rows), idf, threshold) or (None, None, False))) for path, rows in zip(pending["path"], pending["pending"])]
-        return pd.DataFrame(out, columns=["path", "own_license", "own_score", "leads"])
+        return pd.DataFrame(out, columns=["path", "own_license", "own_score", "mostly"])
 
     return run
 
 
 def detect(files: DataFrame, templates: dict | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """path, own_license, own_score, leads (the match begins in the file's first line) for each row of (path, text)."""
+    """path, own_license, own_score, mostly (the match is over half of the file's terms) for each row of (path, text)."""
     templates = known_templates() if templates is None else templates
     rows = files.select("path", "text")
     counts = C.checkpoint(rows.select("text").mapInPandas(_document_frequency, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
@@ -270,7 +270,7 @@ def detect(files: DataFrame, templates: dict | None = None, threshold: float = T
     pending = scanned.filter("chunk is not null")
     answers = pending.select(F.col("chunk").alias("to"), F.explode("asked").alias("term")).distinct().join(counts, "term")
     settled = pending.select("chunk", "path", "pending").groupBy("chunk").cogroup(answers.groupBy("to")).applyInPandas(_settle(n_files, threshold), FOUND)
-    return scanned.filter("chunk is null").select("path", "own_license", "own_score", "leads").unionByName(settled)
+    return scanned.filter("chunk is null").select("path", "own_license", "own_score", "mostly").unionByName(settled)
 
 
 def directory(path):
@@ -299,11 +299,11 @@ def inherit(found: DataFrame, is_license_file) -> DataFrame:
 def scan_documents(docs: DataFrame) -> DataFrame:
     """doc_id, own_license, own_score, license, inherited_from.
 
-    A document's path is source/thousand/hundred/doc_id; one that holds a notice counts as a
-    licence file of its directory.
+    A document's path is source/thousand/hundred/doc_id; one that is for the most part a notice or a
+    licence's text counts as a licence file of its directory, one that only holds a notice doesn't.
     """
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID))
     path = F.concat_ws("/", F.coalesce(F.col("source").cast("string"), F.lit("none")), F.floor(ident / 1000).cast("string"), F.floor(ident / 100).cast("string"), ident.cast("string"))
-    found = inherit(C.checkpoint(detect(docs.select(path.alias("path"), "text"))), F.lit(True))
+    found = inherit(C.checkpoint(detect(docs.select(path.alias("path"), "text"))), F.col("mostly"))
     out = found.withColumn("doc_id", F.substring_index("path", "/", -1).cast("long"))
     return out.select(C.id_or_null(), "own_license", F.round("own_score", 6).alias("own_score"), "license", "inherited_from")

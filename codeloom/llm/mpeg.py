@@ -11,6 +11,13 @@ version, layer and rate, or the data end there; otherwise the search goes on at
 so payloads full of false sync words are read back right. Both operators work file by file
 where the rows are, without a shuffle.
 
+Tags: text frames of ID3v2.2 to 2.4 in all four encodings, with unsynchronisation, extended header
+and footer; the fields of ID3v1 (`ID3v1.title` and so on) where they are filled. Tables: Xing, Info
+and VBRI with their seek tables; an encoder's delay and padding, where they are stated, are taken
+off the samples, so durations are those of the sound. Checksums are verified for Layers I and III;
+those of Layer II, whose protected length depends on its allocation tables, are not judged. A
+free-format stream counts as junk.
+
 Edge cases: null media gives null fields; data without a frame have 0 frames and duration 0;
 trailing bytes and a cut last frame are counted as junk; null text is an empty payload.
 """
@@ -58,10 +65,11 @@ def crc16(data: bytes) -> int:
 
 
 class Header:
-    __slots__ = ("bitrate", "crc", "kind", "layer", "length", "mono", "rate", "samples", "version")
+    __slots__ = ("bitrate", "bound", "crc", "kind", "layer", "length", "mono", "rate", "samples", "version")
 
-    def __init__(self, version, layer, bitrate, rate, padding, crc, mono):
+    def __init__(self, version, layer, bitrate, rate, padding, crc, mono, bound):
         generation = 1 if version == 3 else 2
+        self.bound = bound  # first subband that both channels share
         self.version, self.layer, self.bitrate, self.rate, self.crc, self.mono = version, layer, bitrate, rate, crc, mono
         self.samples = SAMPLES[generation, layer]
         if layer == 1:
@@ -75,6 +83,11 @@ class Header:
         """Bytes of Layer III side information."""
         return (17 if self.mono else 32) if self.version == 3 else (9 if self.mono else 17)
 
+    @property
+    def protected(self) -> int:
+        """Bytes after the checksum that it covers: side information, or the bit allocation of Layer I."""
+        return self.side if self.layer == 3 else 16 if self.mono else (32 + self.bound) // 2
+
 
 @lru_cache(maxsize=65536)
 def header(four: bytes) -> Header | None:
@@ -84,32 +97,62 @@ def header(four: bytes) -> Header | None:
     version, layer, rate_i, bit_i = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3), four[2] >> 2 & 3, four[2] >> 4
     if version == 1 or layer == 4 or rate_i == 3 or bit_i in (0, 15):
         return None
-    return Header(version, layer, BITRATES[1 if version == 3 else 2, layer][bit_i], SAMPLE_RATES[version][rate_i], four[2] >> 1 & 1, not four[1] & 1, four[3] >> 6 == 3)
+    return Header(version, layer, BITRATES[1 if version == 3 else 2, layer][bit_i], SAMPLE_RATES[version][rate_i], four[2] >> 1 & 1, not four[1] & 1, four[3] >> 6 == 3, ((four[3] >> 4 & 3) + 1) * 4 if four[3] >> 6 == 1 else 32)
 
 
 def _syncsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+ID3V1 = {"title": (3, 33), "artist": (33, 63), "album": (63, 93), "year": (93, 97)}
+
+
+def _id3v2(data: bytes, at: int, tags: dict) -> int:
+    """Reads the text frames of the tag at `at`; returns where it ends."""
+    version, flags, size = data[at + 3], data[at + 5], _syncsafe(data[at + 6 : at + 10])
+    body = data[at + 10 : at + 10 + size]
+    if flags & 0x80:
+        body = body.replace(b"\xff\0", b"\xff")
+    width, p = (3, 0) if version == 2 else (4, 0)
+    if flags & 0x40 and version >= 3 and len(body) >= 4:
+        p = _syncsafe(body[:4]) if version >= 4 else 4 + int.from_bytes(body[:4], "big")
+    head = 6 if version == 2 else 10
+    while p + head <= len(body) and body[p : p + width].isalnum():
+        n = _syncsafe(body[p + 4 : p + 8]) if version >= 4 else int.from_bytes(body[p + width : p + 2 * width], "big")
+        text = body[p + head : p + head + n]
+        if body[p : p + 1] == b"T" and text and text[0] < len(ENCODINGS):
+            tags[body[p : p + width].decode("latin-1")] = text[1:].decode(ENCODINGS[text[0]], "replace").rstrip("\0")
+        p += head + n
+    return at + 10 + size + (10 if flags & 0x10 and version >= 4 else 0)
+
+
+def _vbri(data: bytes, at: int, out: dict) -> None:
+    out["vbr"], out["vbr_bytes"], out["vbr_frames"] = "VBRI", *struct.unpack(">II", data[at + 10 : at + 18])
+    entries, _, width, _ = struct.unpack(">4H", data[at + 18 : at + 26])
+    out["toc"] = data[at + 26 : at + 26 + entries * width]
+
+
+def _trimmed(tag: bytes) -> int:
+    """Samples of delay and padding that an encoder's tag after the table states."""
+    if tag[:4] not in (b"LAME", b"Lavf", b"Lavc") or len(tag) < 24:
+        return 0
+    return (tag[21] << 4 | tag[22] >> 4) + ((tag[22] & 15) << 8 | tag[23])
+
+
 def parse(data: bytes) -> dict:
     """What a stream holds; `offsets` has the place of each audio frame, `bodies` its ancillary spans for Layer III."""
     at, end, tags = 0, len(data), {}
     n_tags = 0
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = _syncsafe(data[at + 6 : at + 10])
-        stop = at + 10 + size
-        p = at + 10
-        while p + 10 <= stop and data[p : p + 1].isalnum():
-            n = _syncsafe(data[p + 4 : p + 8]) if data[at + 3] >= 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-            body = data[p + 10 : p + 10 + n]
-            if body[:1] == b"\x03":
-                tags[data[p : p + 4].decode("latin-1")] = body[1:].rstrip(b"\0").decode("utf-8", "replace")
-            p += 10 + n
-        at, n_tags = stop, n_tags + 1
+        at, n_tags = _id3v2(data, at, tags), n_tags + 1
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+        old = data[end - 128 : end]
+        filled = {f"ID3v1.{name}": old[a:b].split(b"\0")[0].decode("latin-1").strip() for name, (a, b) in ID3V1.items()}
+        tags.update({name: text for name, text in filled.items() if text})
         end, n_tags = end - 128, n_tags + 1
     out = {"tags": tags, "n_tags": n_tags, "frames": 0, "samples": 0, "rate": 0, "crc_ok": 0, "crc_bad": 0, "junk": 0, "vbr": "", "vbr_frames": 0, "vbr_bytes": 0, "toc": b"", "offsets": [], "bodies": [], "kbits": 0}
-    locked, first = None, True
+    locked, first, cut = None, True, 0
     while at + 4 <= end:
         h = header(data[at : at + 4])
         after = at + h.length if h else 0
@@ -140,15 +183,16 @@ def parse(data: bytes) -> dict:
                 if flags & 2:
                     out["vbr_bytes"], p = int.from_bytes(data[p : p + 4], "big"), p + 4
                 if flags & 4:
-                    out["toc"] = data[p : p + 100]
+                    out["toc"], p = data[p : p + 100], p + 100
+                cut = _trimmed(data[p + 4 * (flags >> 3 & 1) : after])
                 at = after
                 continue
-            if data[at + 36 : at + 40] == b"VBRI":
-                out["vbr"], out["vbr_bytes"], out["vbr_frames"] = "VBRI", *struct.unpack(">II", data[at + 46 : at + 54])
+            if data[at + 36 : at + 40] == b"VBRI" and at + 62 <= after:
+                _vbri(data, at + 36, out)
                 at = after
                 continue
-        if h.crc and h.layer == 3:
-            good = crc16(data[at + 2 : at + 4] + data[at + 6 : body]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.crc and h.layer != 2:
+            good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.protected]) == int.from_bytes(data[at + 4 : at + 6], "big")
             out["crc_ok" if good else "crc_bad"] += 1
         out["frames"] += 1
         out["samples"] += h.samples
@@ -159,6 +203,7 @@ def parse(data: bytes) -> dict:
             out["bodies"].append((body, after))
         at = after
     out["junk"] += end - at
+    out["samples"] = max(0, out["samples"] - cut)
     return out
 
 

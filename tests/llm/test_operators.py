@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -430,6 +431,56 @@ def test_language_held_out_accuracy(docs, rows):
     assert sum(r.lang_pred == lang[r.doc_id] for r in out) / len(out) > 0.97
 
 
+def test_language_score_is_no_posterior(docs):
+    found = langid.identify_documents(docs).filter("lang_pred <> 'und'").collect()
+    assert all(0 < r.score <= 1 for r in found) and sum(r.score < 0.9999 for r in found) > len(found) / 4
+
+
+def test_language_matches_brute_force():
+    """Sums over all segmentations in each language, piece by piece."""
+    path = common.vocabulary_path("piece_bpe_32k.model")
+    v = lattice.pieces(path)
+    rng = np.random.default_rng(0)
+    logp = np.log(rng.dirichlet(np.ones(v.size), 3).T)
+
+    def total(text, column):
+        if not text:
+            return 1.0
+        return sum(np.exp(logp[v.ids[text[:n]], column]) * total(text[n:], column) for n in range(1, len(text) + 1) if text[:n] in v.ids)
+
+    for scaled in (False, True):
+        got = lattice.word_logprobs(v, ["bridge", "a", "stones"], logp, scaled=scaled)
+        want = [[np.log(total(lattice.MARK + w, c)) for c in range(3)] for w in ("bridge", "a", "stones")]
+        assert np.allclose(got, want)
+
+
+def test_mpeg_tags_tables_and_checksums():
+    v1 = (b"TAG" + b"Old".ljust(30, b"\0") + b"Band".ljust(30, b"\0") + b"\0" * 30 + b"1999").ljust(128, b"\0")
+    frame = lambda name, text: name + struct.pack(">I", len(text)) + b"\0\0" + text
+    body = frame(b"TIT2", b"\0caf\xe9") + frame(b"TPE1", b"\x01" + "日本".encode("utf-16")) + frame(b"TALB", b"\x02" + "x".encode("utf-16-be")) + frame(b"TCON", "\x03é".encode())
+    tag = b"ID3\x03\0\0" + bytes([0, 0, len(body) >> 7, len(body) & 127]) + body
+    stream = mpeg.build(b"q" * 4000)
+    p = mpeg.parse(tag + stream + v1)
+    assert p["tags"] == {"TIT2": "café", "TPE1": "日本", "TALB": "x", "TCON": "é", "TSSE": "payload", "ID3v1.title": "Old", "ID3v1.artist": "Band", "ID3v1.year": "1999"} and p["n_tags"] == 3
+    assert p["samples"] == p["frames"] * 1152 and mpeg.payload_of(tag + stream + v1, p) == b"q" * 4000
+    # A Layer I stream (32 kbit/s, 32 kHz, mono): the checksum covers the header and 16 bytes of allocation.
+    head = b"\xff\xfe\x18\xc0"
+    alloc = bytes(range(16))
+    length = (12000 * 32 // 32000) * 4
+    one = lambda crc: (head + crc.to_bytes(2, "big") + alloc).ljust(length, b"\0")
+    good = mpeg.crc16(head[2:] + alloc)
+    p = mpeg.parse(one(good) + one(good ^ 1) + one(good))
+    assert (p["frames"], p["crc_ok"], p["crc_bad"], p["samples"]) == (3, 2, 1, 3 * 384)
+    # An encoder's delay and padding, and a VBRI seek table.
+    plain = (b"\xff\xfb" + bytes([5 << 4 | 1 << 2, 0xC0])).ljust(192, b"\0")
+    lame = plain[:21] + b"Xing" + struct.pack(">I", 0) + b"LAME3.100" + b"\0" * 12 + bytes([0x24, 0x01, 0x00]) + b"\0" * 40
+    p = mpeg.parse(lame.ljust(192, b"\0") + plain * 4)
+    assert p["samples"] == 4 * 1152 - 0x240 - 0x100
+    vbri = plain[:36] + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 960, 4, 2, 1, 2, 2) + b"\1\2\3\4"
+    p = mpeg.parse(vbri.ljust(192, b"\0") + plain * 4)
+    assert (p["vbr"], p["vbr_bytes"], p["vbr_frames"], p["toc"]) == ("VBRI", 960, 4, b"\1\2\3\4")
+
+
 def test_language_und(spark):
     df = spark.createDataFrame([(0, "the cat sat on the mat", "en"), (2, "der Hund lief in das Haus", "de"), (3, "12 34 !?", None), (4, None, "en"), (5, "das Haus", None)], "doc_id long, text string, lang string")
     languages, logp = langid.train(df)
