@@ -2,8 +2,9 @@
 
 Edges have columns src, dst, type; entities have id, type, name. Traversals run level by level:
 a join of the frontier with the edges, distinct, and an anti join with what was seen. The
-frontier is made distinct before each join, so a hub is joined on once; large tables are cut
-from their lineage through the shared checkpoint folder.
+frontier is made distinct before each join, so a hub is joined on once. The edges are neither
+shuffled nor written: a frontier whose counted size allows is sent to where they are read, and
+only the frontier and what was seen are cut from their lineage through the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as X
 from codeloom.runtime import checkpoint, top, union
 
+#: Most ids of a frontier that are broadcast.
+SMALL_FRONTIER = 100_000
 #: Mode of a call hierarchy to edge type and direction.
 HIERARCHY = {"callees": ("calls", "out"), "callers": ("calls", "in"), "tests": ("tested_by", "out"), "parents": ("contained_in", "out")}
 
@@ -32,13 +35,15 @@ def traverse(edges: DataFrame, seeds: DataFrame, types: list[str] | None = None,
     Cycles end because a node is kept at its first depth only. The limit is one ordered cut at
     the end, by depth and id.
     """
-    links = checkpoint(hops(edges, types, direction).filter("at is not null and next is not null").distinct())
+    links = hops(edges, types, direction).filter("at is not null and next is not null")
     seen = frontier = checkpoint(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(links, F.col("id") == F.col("at")).select(F.col("next").alias("id")).distinct()
-        frontier = checkpoint(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             break
+        at = frontier.select(F.col("id").alias("at"))
+        reached = links.join(F.broadcast(at) if size <= SMALL_FRONTIER else at, "at").select(F.col("next").alias("id")).distinct()
+        frontier = checkpoint(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return top(seen.filter("depth > 0"), limit, "depth", "id")
 
@@ -157,8 +162,10 @@ def entity_details(edges: DataFrame, ids: DataFrame, limit: int = 200) -> DataFr
     """(id, direction, type, other, total) with the first `limit` edges of each id and direction, and their full number."""
     keep = lambda side, other, name: edges.join(ids.select(F.col("id").alias(side)), side, "left_semi").select(F.col(side).alias("id"), F.lit(name).alias("direction"), "type", F.col(other).alias("other"))
     rows = keep("dst", "src", "incoming").unionByName(keep("src", "dst", "outgoing"))
-    by = Window.partitionBy("id", "direction")
-    return rows.withColumn("r", F.row_number().over(by.orderBy("type", "other"))).withColumn("total", F.count(F.lit(1)).over(by)).filter(F.col("r") <= limit).drop("r")
+    # Counted by an aggregate, so that the rank's limit holds below the exchange and a hub is never sorted whole.
+    totals = rows.groupBy("id", "direction").agg(F.count(F.lit(1)).alias("total"))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("id", "direction").orderBy("type", "other"))).filter(F.col("r") <= limit).drop("r")
+    return first.join(totals, ["id", "direction"]).select("id", "direction", "type", "other", "total")
 
 
 def subgraph(entities: DataFrame, edges: DataFrame, types: list[str], language: str | None = None, max_nodes: int | None = 5000, context: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -449,9 +449,12 @@ def spend_alerts(spark, d):
     return streams.spend_alerts(rows, 800.0).select("event_id", "running", "level", "is_first_crossing")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events WHERE event_type = 'error'),
+w AS (SELECT key, n, event_id, ms AS last, true AS sent FROM e WHERE n = 1
+ UNION ALL SELECT e.key, e.n, e.event_id, CASE WHEN e.ms - w.last >= 3600000 THEN e.ms ELSE w.last END, e.ms - w.last >= 3600000 FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
+SELECT key, event_id, sent FROM w""")
 def alert_cooldown(spark, d):
-    """T4: errors of a user at most once an hour; a state machine, so rows only."""
+    """T4: errors of a user at most once an hour."""
     return streams.alert_cooldown(_keyed(spark, d).join(table(spark, d, "events").filter("event_type = 'error'").select("event_id"), "event_id", "left_semi"), 3600)
 
 

@@ -22,7 +22,7 @@ def _seed(spark, ident: str):
 @query(_WALK.format(edges=star.EDGES_SQL, seed="'r:0'", to="src", at="dst", table="edges", most=3, more=""))
 def reach_region(spark, d):
     """K4: everything that leads to a region within three hops."""
-    return graph.traverse(star.edges(spark, d), _seed(spark, "r:0"), None, "in", 3, None)
+    return graph.traverse(star.edges(spark, d, False), _seed(spark, "r:0"), None, "in", 3, None)
 
 
 @query(_WALK.format(edges=star.EVENT_EDGES_SQL, seed="'purchase:8'", to="src", at="dst", table="event_edges", most=5, more=""))
@@ -42,7 +42,7 @@ walk AS (SELECT 'c:1' AS id, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN
 SELECT id, min(depth)::INT AS depth FROM walk GROUP BY id""")
 def neighbourhood_2hop(spark, d):
     """Nodes around a customer with their distance."""
-    return graph.neighbourhood(star.edges(spark, d), _seed(spark, "c:1"), 2)[0]
+    return graph.neighbourhood(star.edges(spark, d, False), _seed(spark, "c:1"), 2)[0]
 
 
 @query(f"WITH {star.NODES_SQL} SELECT id, type, name FROM nodes WHERE lower(name) = 'red widget'")
@@ -101,7 +101,7 @@ SELECT id, arg_min(role, ord) AS role, min(ord)::INT AS ord FROM f GROUP BY id""
 def walkthrough(spark, d):
     """K10 from the customers of a nation."""
     seeds = table(spark, d, "customer").filter("c_nationkey = 3").select(star.ident("c", "c_custkey").alias("id"))
-    return graph.walkthrough(star.edges(spark, d), seeds, None)
+    return graph.walkthrough(star.edges(spark, d, False), seeds, None)
 
 
 @query(f"""WITH {star.EDGES_SQL}, e AS (SELECT dst AS id, 'incoming' AS direction, type, src AS other FROM edges UNION ALL SELECT src, 'outgoing', type, dst FROM edges),
@@ -123,7 +123,7 @@ def subgraph_view(spark, d):
 def call_hierarchy(spark, d):
     """W11 in mode callers."""
     ids = table(spark, d, "customer").select(star.ident("c", "c_custkey").alias("id")).filter("id like 'c:1%'")
-    return graph.hierarchy_children(star.edges(spark, d), ids, "callers")
+    return graph.hierarchy_children(star.edges(spark, d, False), ids, "callers")
 
 
 @query(f"""WITH {star.NODES_SQL}, {star.EDGES_SQL} SELECT id, name, nodes.type AS type, count(*) AS degree FROM nodes JOIN edges e ON e.dst = id AND e.type IN ('imports', 'calls')

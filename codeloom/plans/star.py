@@ -18,13 +18,14 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return union([table(spark, d, t).select(ident(p, k).alias("id"), F.lit(t).alias("type"), F.col(n).alias("name")) for t, p, k, n in rows])
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """(src, dst, type)."""
+def edges(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
+    """(src, dst, type), each once; traversals, which don't count edges, take them as they lie."""
     e = lambda t, sp, sk, dp, dk, kind: table(spark, d, t).select(ident(sp, sk).alias("src"), ident(dp, dk).alias("dst"), F.lit(kind).alias("type"))
+    each = lambda df: df.distinct() if once else df
     return union([
         e("nation", "n", "n_nationkey", "r", "n_regionkey", "contained_in"), e("customer", "c", "c_custkey", "n", "c_nationkey", "contained_in"),
         e("supplier", "s", "s_suppkey", "n", "s_nationkey", "contained_in"), e("orders", "o", "o_orderkey", "c", "o_custkey", "calls"),
-        e("lineitem", "o", "l_orderkey", "p", "l_partkey", "imports").distinct(), e("lineitem", "p", "l_partkey", "s", "l_suppkey", "imports").distinct(),
+        each(e("lineitem", "o", "l_orderkey", "p", "l_partkey", "imports")), each(e("lineitem", "p", "l_partkey", "s", "l_suppkey", "imports")),
     ])
 
 

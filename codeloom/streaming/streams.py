@@ -83,13 +83,22 @@ def daily_spend(costs: DataFrame, watermark: str | None = None) -> DataFrame:
 
 
 def spend_alerts(costs: DataFrame, cap: float) -> DataFrame:
-    """Adds running, level (ok, warn from 80 %, critical from 100 %) and is_first_crossing within the day."""
-    rows = costs.filter(~F.coalesce("own_key", F.lit(False))).withColumn("day", F.to_date("ts"))
-    w = Window.partitionBy("day").orderBy("ts", "event_id")
-    rows = rows.withColumn("running", F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    level = F.when(F.col("running") >= cap, "critical").when(F.col("running") >= 0.8 * cap, "warn").otherwise("ok")
-    rows = rows.withColumn("level", level)
-    return rows.withColumn("is_first_crossing", (F.col("level") != "ok") & (F.col("level") != F.coalesce(F.lag("level").over(w), F.lit("ok"))))
+    """Adds running, level (ok, warn from 80 %, critical from 100 %) and is_first_crossing within the day.
+
+    A day's sum runs within its minutes; a minute starts from the sums of the minutes before it, so
+    that a busy day isn't one task.
+    """
+    rows = costs.filter(~F.coalesce("own_key", F.lit(False))).withColumn("day", F.to_date("ts")).withColumn("_minute", F.date_trunc("minute", "ts"))
+    sums = rows.groupBy(F.col("_minute").alias("_m")).agg(F.sum("amount").alias("_sum"))
+    past = Window.partitionBy(F.to_date("_m")).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_m", F.coalesce(F.sum("_sum").over(past), F.lit(0)).alias("_start"))
+    w = Window.partitionBy("_minute").orderBy("ts", "event_id")
+    before = F.col("_start") + F.coalesce(F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = lambda spent: F.when(spent >= cap, "critical").when(spent >= 0.8 * cap, "warn").otherwise("ok")
+    placed = rows.join(starts, F.col("_minute").eqNullSafe(F.col("_m"))).withColumn("_before", before).withColumn("running", F.col("_before") + F.coalesce("amount", F.lit(0)))
+    placed = placed.withColumn("level", level(F.col("running")))
+    crossing = (F.col("level") != "ok") & (F.col("level") != level(F.col("_before")))
+    return placed.withColumn("is_first_crossing", crossing).drop("_minute", "_m", "_start", "_before")
 
 
 def _cooldown(cooldown_ms: int):
