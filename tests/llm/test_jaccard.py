@@ -1,5 +1,7 @@
 import random
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from codeloom.llm import jaccard
@@ -85,3 +87,29 @@ def test_long_chain_of_links(spark):
     random.Random(0).shuffle(links)
     found = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 103: 100}
+
+
+@pytest.mark.parametrize("pct", [80, 85])
+def test_linkable_sizes_share_a_band_scheme(pct):
+    sizes = np.arange(1, 3000)
+    band = jaccard.size_bands(sizes, pct)
+    for n in range(1, 2400):
+        assert band[n * 100 // pct - 1] - band[n - 1] <= 1
+
+
+def test_keys_grow_in_proportion_to_a_text_of_frequent_shingles():
+    rng = np.random.default_rng(0)
+    found = []
+    for n in (2_000, 20_000):
+        one = SimpleNamespace(hash=rng.integers(0, 1 << 63, n, dtype=np.uint64), doc=np.zeros(n, np.int64), size=np.array([n]), nodes=np.array([0]))
+        found.append(len(jaccard._keys(one, np.full(n, 20, np.uint8), 85, 9)[0]))
+    assert found[0] < 4_000 and found[1] < 12 * found[0]
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(12))
+    rows = [(None, one), (None, two), (7, one + " x"), (3, two), (3, one), (3, one)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in found.collect()) == [(0, 9, 3), (0, 27, 3), (3, 9, 3), (3, 27, 3), (3, 27, 3), (7, 28, 3)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted(tuple(r) for r in kept) == [(3, one), (3, two)]
