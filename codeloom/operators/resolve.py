@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.vectors import cosine, norm
+from codeloom.functions.blocks import SLACK, Block, exact, rough
 from codeloom.runtime import checkpoint
 
 MERGE, FLAG = 0.9, 0.75
+TILE_ROWS = 2048
 
 
 def merge_by_name(entities: DataFrame, types: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
@@ -22,35 +23,44 @@ def merge_by_name(entities: DataFrame, types: list[str] | None = None, by: list[
     return rows.join(first, by).filter("id <> canonical_id").select(F.col("id").alias("dup_id"), "canonical_id")
 
 
-def similar_pairs(vectors: DataFrame, block: list[str], least: float = FLAG) -> DataFrame:
-    """(a, b, similarity) of entities of one block with a before b, cosine at least `least`, and different names.
+def similar_pairs(vectors: DataFrame, block: list[str], least: float = FLAG, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b, ord_a, ord_b, similarity) of entities of one block with a before b, cosine at least `least`, and different names.
 
-    vectors: id, ord, name, embedding and the block columns. Blocks are meant to be small; for
-    large ones use lsh_pairs.
+    vectors: id, ord, name, embedding and the block columns; rows without an embedding, and those with
+    a null in a block column, have no partner. Exact: every vector meets every other of its block. A
+    block is dealt by a hash of id to tiles of about tile_rows; a task holds two tiles, takes their
+    matrix product and returns only the pairs found, so a block of any size is spread over tasks.
     """
-    ready = vectors.filter("embedding is not null").withColumn("norm", norm(F.col("embedding")))
-    left = ready.select(*block, *[F.col(c).alias(f"{c}_a") for c in ("id", "ord", "name", "embedding", "norm")])
-    right = ready.select(*block, *[F.col(c).alias(f"{c}_b") for c in ("id", "ord", "name", "embedding", "norm")])
-    joined = left.join(right, block).filter("ord_a < ord_b and not (name_a <=> name_b)")
-    scored = joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("ord_a"), F.col("ord_b"), cosine(F.col("embedding_a"), F.col("embedding_b"), F.col("norm_a"), F.col("norm_b")).alias("similarity"))
-    return scored.filter(F.col("similarity") >= least)
+    held = vectors.filter("embedding is not null").select(*block, "id", "ord", "name", "embedding").dropna(subset=block)
+    tiles = held.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_tiles"))
+    dealt = held.join(tiles, block).withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    met = met.select(*block, F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), "_tile", "id", "ord", "name", "embedding")
+    kinds = {c: held.schema[c].dataType.simpleString() for c in ("id", "ord")}
+    schema = f"a {kinds['id']}, b {kinds['id']}, ord_a {kinds['ord']}, ord_b {kinds['ord']}, similarity double"
+    return met.groupBy(*block, "_i", "_j").applyInPandas(_tile_pairs(least), schema)
 
 
-def lsh_pairs(vectors: DataFrame, block: list[str], least: float = FLAG, planes: int = 16, tables: int = 8, dims: int | None = None, seed: int = 7) -> DataFrame:
-    """similar_pairs for large blocks: only pairs that agree on a signature of sign projections in some table.
-
-    Approximate: a pair of cosine c is found with probability 1 - (1 - (1 - acos(c)/pi)^planes)^tables.
-    """
+def _tile_pairs(least: float):
     import numpy as np
-
-    dims = dims or len(vectors.select("embedding").filter("embedding is not null").first()[0])
-    rng = np.random.default_rng(seed)
-    signs = []
-    for t in range(tables):
-        bits = [F.when(F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in rng.normal(size=dims)]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0, F.lit("1")).otherwise(F.lit("0")) for _ in range(planes)]
-        signs.append(F.concat(F.lit(f"{t}:"), *bits))
-    ready = vectors.filter("embedding is not null").withColumn("sig", F.explode(F.array(*signs)))
-    return similar_pairs(ready, [*block, "sig"], least).dropDuplicates(["a", "b"])
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one_tile = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+        x, y = (pdf[pdf["_tile"] == pdf[c]] for c in ("_i", "_j"))
+        a, b = Block(x["embedding"]), Block(y["embedding"])
+        i, j = np.nonzero(rough(a, b) >= least - SLACK)
+        if one_tile:  # each pair once
+            i, j = i[i < j], j[i < j]
+        similarity = exact(a, b, i, j)
+        ids, ords, names = ([side[c].to_numpy()[at] for side, at in ((x, i), (y, j))] for c in ("id", "ord", "name"))
+        keep = (similarity >= least) & (ords[0] != ords[1]) & (pd.Series(names[0]).fillna("\0") != pd.Series(names[1]).fillna("\0")).to_numpy()
+        first = (ords[0] < ords[1])[keep]
+        pick = lambda c: (np.where(first, c[0][keep], c[1][keep]), np.where(first, c[1][keep], c[0][keep]))
+        (one, two), (ord_one, ord_two) = pick(ids), pick(ords)
+        return pd.DataFrame({"a": one, "b": two, "ord_a": ord_one, "ord_b": ord_two, "similarity": similarity[keep]})
+
+    return run
 
 
 def greedy_merge(pairs: DataFrame, merge: float = MERGE) -> DataFrame:

@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.functions.blocks import SLACK, Block, exact, rough
 from codeloom.functions.vectors import cosine
 from codeloom.runtime import checkpoint, top, union
 
 RRF_K = 60
 ARM = 4
+#: Vectors of queries that go to every task at once, and the sides of a task's matrix product.
+BLOCK_BYTES = 32 << 20
+QUERY_ROWS, CHUNK_ROWS = 1024, 4096
 #: Fixed list: English words that a text search leaves out.
 STOP_WORDS = ("a an and are as at be but by for from has have he her his i in is it its me my no not of on or our she so "
               "such that the their them then there these they this to was we were will with you your").split()
@@ -96,32 +100,66 @@ def nearest(chunks: DataFrame, query: list[float] | Column, limit: int) -> DataF
     return ranked(scored, limit, "distance", "chunk_id")
 
 
-def nearest_batch(chunks: DataFrame, queries: DataFrame, limit: int, max_queries: int = 1000) -> DataFrame:
+def nearest_batch(chunks: DataFrame, queries: DataFrame, limit: int, max_queries: int | None = None) -> DataFrame:
     """V2 for a table of queries (query_id, vector): (query_id, chunk_id, distance, rank).
 
-    Any number of queries: more than max_queries are dealt by a hash to blocks of half as many on
-    average, small enough to broadcast; each block is a pass over the chunks whose best rows are
-    kept before the next, and the rows of all blocks are ranked once more. Each chunk is scored
-    against a block where it lies, and only each query's best rows move (the rank limit is pushed
-    below the exchange).
+    Any number of queries: they are dealt by a hash to passes of at most about BLOCK_BYTES of vectors
+    (or max_queries), small enough to go to every task. A task takes the matrix product of its chunks with
+    the pass's queries and keeps each query's best rows, so only tasks x queries x limit rows are
+    shuffled. Ties go to the smaller chunk_id. Queries and chunks without a vector are left out.
     """
     by = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    held = chunks.filter("embedding is not null")
-
-    def best(scored: DataFrame) -> DataFrame:
-        return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
-
-    def block(asked: DataFrame) -> DataFrame:
-        pairs = held.crossJoin(F.broadcast(asked))
-        return best(pairs.select("query_id", "chunk_id", (1 - cosine(F.col("embedding"), F.col("vector"))).alias("distance")))
-
-    n = queries.count()
-    if n <= max_queries:
-        return block(queries)
-    numbered = checkpoint(queries.select("query_id", "vector").withColumn("_row", F.monotonically_increasing_id()))
-    blocks = -(-2 * n // max_queries)
-    found = [checkpoint(block(numbered.filter(F.pmod(F.xxhash64("_row"), F.lit(blocks)) == i).drop("_row"))) for i in range(blocks)]
-    return best(union(found).drop("rank"))
+    held = chunks.filter("embedding is not null").select("chunk_id", "embedding")
+    asked = queries.filter("vector is not null").select("query_id", "vector")
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {held.schema['chunk_id'].dataType.simpleString()}, distance double"
+
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    each = max_queries or max(1, BLOCK_BYTES // (8 * max(1, width or 0)))
+    passes = max(1, -(-n // each))
+    if passes > 1:
+        asked = checkpoint(asked.withColumn("_pass", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(passes))))
+    found = []
+    for i in range(passes):
+        block = (asked.filter(F.col("_pass") == i).drop("_pass") if passes > 1 else asked).toPandas()  # about `each` rows
+        best = held.mapInPandas(_best_of(block["query_id"].to_numpy(), list(block["vector"]), limit), schema)
+        found.append(checkpoint(best) if passes > 1 else best)
+    return union(found).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
+
+
+def _best_of(query_ids, vectors: list, limit: int):
+    """For mapInPandas over chunks: the best rows of each query among all of a task's."""
+    import numpy as np
+    import pandas as pd
+
+    starts = range(0, len(vectors), QUERY_ROWS)
+
+    def run(frames):
+        blocks = [Block(vectors[a : a + QUERY_ROWS]) for a in starts]
+        best: list = [None] * len(blocks)
+        for whole in frames:
+            for at in range(0, len(whole), CHUNK_ROWS):
+                pdf = whole.iloc[at : at + CHUNK_ROWS]
+                held, ids = Block(pdf["embedding"]), pdf["chunk_id"].to_numpy()
+                for k, block in enumerate(blocks):
+                    near = rough(block, held)
+                    top = min(limit, len(ids))
+                    least = np.partition(near, len(ids) - top, axis=1)[:, len(ids) - top]
+                    if best[k] is not None:
+                        least = np.maximum(least, best[k]["least"])
+                    q, c = np.nonzero(near >= least[:, None] - SLACK)
+                    rows = pd.DataFrame({"q": q, "chunk_id": ids[c], "distance": 1 - exact(block, held, q, c)})
+                    if best[k] is not None:
+                        rows = pd.concat([best[k]["rows"], rows], ignore_index=True)
+                    rows = rows.sort_values(["q", "distance", "chunk_id"]).groupby("q", sort=False).head(limit)
+                    full = rows.groupby("q")["distance"].agg(["size", "max"])
+                    floor = np.full(block.n, -np.inf)
+                    floor[full.index[full["size"] == limit]] = 1 - full["max"][full["size"] == limit]
+                    best[k] = {"rows": rows, "least": floor}
+        for a, kept in zip(starts, best):
+            if kept is not None:
+                yield pd.DataFrame({"query_id": query_ids[a + kept["rows"]["q"].to_numpy()], "chunk_id": kept["rows"]["chunk_id"].to_numpy(), "distance": kept["rows"]["distance"].to_numpy()})
+
+    return run
 
 
 def search_text(chunks: DataFrame, query: str, limit: int, stem: bool = False) -> DataFrame:

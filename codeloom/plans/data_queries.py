@@ -46,28 +46,32 @@ def cosine_topk(spark, d):
     return retrieval.nearest(_chunks(spark, d), _query_vector(spark, d), 20).withColumn("distance", F.round("distance", 6))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20), p AS (
+def _batch_sql(limit):
+    return f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), p AS (
 SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 1 - s, chunk_id) AS rank FROM p)
-SELECT query_id, chunk_id, round(1 - s, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5""")
-def nearest_batch(spark, d):
-    """V2 for a block of 20 queries."""
-    vectors = table(spark, d, "embeddings")
-    asked = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = retrieval.nearest_batch(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, 5)
-    return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+SELECT query_id, chunk_id, round(1 - s, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= {limit}"""
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), p AS (
-SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 1 - s, chunk_id) AS rank FROM p)
-SELECT query_id, chunk_id, round(1 - s, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5""")
-def nearest_batch_twentieth(spark, d):
-    """V2 for each row whose id is divisible by 20, so that the queries grow with the table."""
+def _batch(spark, d, limit):
+    """Each row whose id is divisible by 20 against all rows, so that the queries grow with the table."""
     vectors = table(spark, d, "embeddings")
     asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = retrieval.nearest_batch(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, 5)
+    found = retrieval.nearest_batch(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, limit)
     return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query(_batch_sql(10))
+def nearest_batch(spark, d):
+    """V2: the ten nearest of each query."""
+    return _batch(spark, d, 10)
+
+
+@query(_batch_sql(5))
+def nearest_batch_twentieth(spark, d):
+    """V2: the five nearest of each query."""
+    return _batch(spark, d, 5)
+
+
 @query(f"WITH {_TOKENS} SELECT chunk_id, {_score('tion', 're')} AS score FROM t WHERE list_contains(toks, 'tion') AND list_contains(toks, 're')")
 def text_search(spark, d):
     """V3: all matches of two words."""

@@ -304,9 +304,13 @@ def near_duplicate_pairs(spark, d):
     return resolve.similar_pairs(_vectors(spark, d), ["label"], 0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, n AS (SELECT b AS id, list(a ORDER BY a) AS earlier, row_number() OVER (ORDER BY b) AS k FROM p WHERE s >= 0.3 GROUP BY b),
+r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone, NULL::BIGINT AS dup_id, NULL::BIGINT AS canonical_id
+ UNION ALL SELECT x.k, CASE WHEN x.into_id IS NULL THEN x.gone ELSE list_append(x.gone, x.id) END, CASE WHEN x.into_id IS NOT NULL THEN x.id END, x.into_id
+ FROM (SELECT n.k, n.id, r.gone, list_filter(n.earlier, lambda z: NOT list_contains(r.gone, z))[1] AS into_id FROM r JOIN n ON n.k = r.k + 1) x)
+SELECT dup_id, canonical_id FROM r WHERE dup_id IS NOT NULL""")
 def greedy_merge(spark, d):
-    """Who merges into whom; iterative, so rows only."""
+    """Who merges into whom, in order."""
     return resolve.greedy_merge(resolve.similar_pairs(_vectors(spark, d), ["label"], 0.3), 0.3)
 
 

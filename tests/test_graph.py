@@ -100,6 +100,24 @@ def test_vector_merge_and_flag(spark):
     assert flags == {"c": ["a", "b"]}
 
 
+def test_pairs_over_tiles_match_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, i % 2 if i % 17 else None, f"n{i % 25}" if i % 9 else None, i, None if i % 13 == 0 else [0.0] * 3 if i % 11 == 0 else [rng.choice((-1.0, 0.5, 1.0)) for _ in range(3 + i % 2)]) for i in range(160)]
+    v = spark.createDataFrame(rows, "id long, label int, name string, ord long, embedding array<float>")
+
+    def cosine(x, y):
+        n = sum(a * a for a in x) ** 0.5 * sum(a * a for a in y) ** 0.5
+        return 0.0 if len(x) != len(y) or n == 0 else sum(a * b for a, b in zip(x, y)) / n
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1] and a[2] != b[2] and a[4] and b[4] and cosine(a[4], b[4]) >= 0.75}
+    for tile_rows in (7, 1000):
+        found = [(r.a, r.b) for r in resolve.similar_pairs(v, ["label"], 0.75, tile_rows).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
+    assert resolve.similar_pairs(v.limit(0), ["label"]).collect() == []
+
+
 def test_greedy_merge_is_not_transitive(spark):
     import math
 

@@ -65,6 +65,27 @@ def test_nearest_batch_of_more_queries_than_a_block(spark):
     assert len(cut) == 180 and cut == key(retrieval.nearest_batch(rows, asked, 3))
 
 
+def test_nearest_batch_matches_brute_force_with_ties(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 5)
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 9)
+    rng = random.Random(6)
+    vectors = [None if i % 19 == 0 else [0.0, 0.0] if i % 23 == 0 else [float(rng.randint(-2, 2)) for _ in range(2 + (i % 7 == 0))] for i in range(120)]
+    rows = spark.createDataFrame([(f"c{i:03}", v) for i, v in enumerate(vectors)], "chunk_id string, embedding array<float>").repartition(3)
+
+    def distance(x, y):
+        n = sum(a * a for a in x) ** 0.5 * sum(a * a for a in y) ** 0.5
+        return 1 - (0.0 if len(x) != len(y) or n == 0 else sum(a * b for a, b in zip(x, y)) / n)
+
+    held = [(f"c{i:03}", v) for i, v in enumerate(vectors) if v is not None]
+    found = retrieval.nearest_batch(rows, rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), 4).collect()
+    want = {(q, c, n) for q, x in held for n, (_, c) in enumerate(sorted((distance(x, y), c) for c, y in held)[:4], 1)}
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in found} == want and len(found) == len(want)
+    none = rows.limit(0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    assert retrieval.nearest_batch(rows, none, 4).collect() == []
+
+
 def test_nearest_batch_twentieth_grows_with_the_table(spark):
     from codeloom.plans import QUERIES
 
