@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as X
 from codeloom.functions.vectors import micro_cents, token_estimate
 from codeloom.operators.issues import path_suffixes, ranked_in
-from codeloom.runtime import any_of, top
+from codeloom.runtime import top
 
 # Daily limits by kind of identity.
 COUNTERS = ("workspaces", "messages", "tokens")
@@ -22,13 +22,17 @@ def days_before(as_of: Column, days: int) -> Column:
 def bus_factor(commits: DataFrame, author: str = "author") -> DataFrame:
     """A2: one row `bus_factor`: the fewest top authors with half of the commits; 0 without commits.
 
-    The running sum is over authors, after the count.
+    The running sum is over the distinct numbers of commits an author has, not over authors: of those
+    there are at most about the square root of twice the commits.
     """
     counts = commits.groupBy(author).agg(F.count(F.lit(1)).alias("c"))
-    order = Window.orderBy(F.desc("c"), F.col(author))
+    levels = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = counts.select(F.row_number().over(order).alias("r"), F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("s"), F.sum("c").over(whole).alias("t"))
-    return run.filter("2 * s >= t").agg(F.coalesce(F.min("r"), F.lit(0)).cast("long").alias("bus_factor"))
+    sums = [F.coalesce(F.sum(x).over(above), F.lit(0)).alias(name) for x, name in ((F.col("n"), "authors"), (F.col("n") * F.col("c"), "before"))]
+    run = levels.select("c", "n", *sums, F.sum(F.col("n") * F.col("c")).over(whole).alias("t"))
+    reached = run.filter("2 * (before + n * c) >= t").select((F.col("authors") + F.greatest(F.ceil((F.col("t") / 2 - F.col("before")) / F.col("c")), F.lit(0))).alias("r"))
+    return reached.agg(F.coalesce(F.min("r"), F.lit(0)).cast("long").alias("bus_factor"))
 
 
 def git_insights(commits: DataFrame, as_of: Column) -> DataFrame:
@@ -210,7 +214,3 @@ def pinned_chunks(links: DataFrame, chunks: DataFrame, entities: DataFrame, limi
     """Chunks of the pinned entities (id)."""
     wanted = links.join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("chunk_id").distinct()
     return top(chunks.join(wanted, "chunk_id", "left_semi"), limit, "chunk_id")
-
-
-def has_any(text: Column, words: list[str]) -> Column:
-    return any_of([F.lower(text).contains(w) for w in words])

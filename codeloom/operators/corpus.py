@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions import text as X
 from codeloom.runtime import top
 from codeloom.sources.files import language_of
 
@@ -110,6 +109,7 @@ IMPORTS = (
     ("python", r"^\s*from\s+([\w.]+)\s+import"), ("python", r"^\s*import\s+([\w.]+)"), ("go", r"""^\s*(?:import\s+)?(?:\w+\s+)?"([\w./\-]+)"\s*$"""),
 )
 CALL = r"\b([A-Za-z_]\w*)\s*\("
+LINE_BLOCK = 64
 CALL_WORDS = ("if", "for", "while", "switch", "return", "catch", "function", "def", "func", "class", "print", "range", "len", "super", "elif", "with", "and", "or", "not", "in")
 
 
@@ -140,12 +140,16 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     lines = source_lines(files)
     found = lines.withColumn("hit", F.try_element_at(_by_language(DECLARATIONS, F.col("line"), F.col("language")), F.lit(1))).withColumn("indent", F.length("line") - F.length(F.ltrim("line")))
     decl = found.filter("hit is not null").select("file_path", "language", "line_no", "line", "indent", "hit.kind", "hit.name")
-    last = lines.groupBy("file_path").agg(F.max("line_no").alias("last_line"))
-    by_file = decl.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line_no", "indent", "name", "kind"))).alias("all"))
-    rows = decl.join(by_file, "file_path").join(last, "file_path")
-    later = F.filter("all", lambda x: (x.line_no > F.col("line_no")) & (x.indent <= F.col("indent")))
-    above = F.filter("all", lambda x: (x.line_no < F.col("line_no")) & (x.indent < F.col("indent")))
-    rows = rows.withColumn("end_line", F.coalesce(F.try_element_at(later, F.lit(1)).line_no - 1, F.col("last_line"))).withColumn("up", F.try_element_at(above, F.lit(-1)))
+    last = files.groupBy("file_path").agg(F.max(F.size(F.split("text", "\n", -1))).alias("last_line"))
+    by_file = decl.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line_no", "indent", "name", "kind", "language", "line"))).alias("all"))
+
+    def placed(x: Column) -> Column:
+        later = F.filter("all", lambda y: (y.line_no > x.line_no) & (y.indent <= x.indent))
+        above = F.filter("all", lambda y: (y.line_no < x.line_no) & (y.indent < x.indent))
+        return F.struct(x.alias("d"), F.try_element_at(later, F.lit(1)).line_no.alias("next"), F.try_element_at(above, F.lit(-1)).alias("up"))
+
+    rows = by_file.join(last, "file_path").select("file_path", "last_line", F.explode(F.transform("all", placed)).alias("p"))
+    rows = rows.select("file_path", "p.d.*", "p.up", F.coalesce(F.col("p.next") - 1, F.col("last_line")).alias("end_line"))
     kind = F.when((F.col("kind") == "method") | ((F.col("language") == "python") & F.col("up").isNotNull()), "function").otherwise(F.col("kind"))
     parent = F.when(F.col("up").isNotNull(), F.concat_ws("::", "file_path", "up.name"))
     return rows.select(
@@ -166,7 +170,10 @@ def extract_calls(files: DataFrame, symbols: DataFrame) -> DataFrame:
     lines = source_lines(files).filter(~F.col("line").rlike(r"^\s*(?:def|func|class|export\s+(?:async\s+)?function|function)\b"))
     calls = lines.select("file_path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(CALL), F.lit(1))).alias("to_name")).filter(~F.col("to_name").isin(list(CALL_WORDS)))
     owners = symbols.filter(F.col("type") == "function").select("file_path", "qualified_name", "start_line", "end_line")
-    inside = calls.join(owners, "file_path").filter((F.col("line_no") > F.col("start_line")) & (F.col("line_no") <= F.col("end_line")))
+    # A call meets the functions that cross its block of lines, not all of its file.
+    block = lambda line: F.floor(line / LINE_BLOCK)
+    owners = owners.withColumn("block", F.explode(F.sequence(block(F.col("start_line")), block(F.col("end_line")))))
+    inside = calls.withColumn("block", block(F.col("line_no"))).join(owners, ["file_path", "block"]).filter((F.col("line_no") > F.col("start_line")) & (F.col("line_no") <= F.col("end_line")))
     own = inside.groupBy("file_path", "line_no", "to_name").agg(F.max_by("qualified_name", "start_line").alias("src"))
     return own.select("src", "to_name").distinct()
 
@@ -229,7 +236,3 @@ def entity_code(entities: DataFrame, chunks: DataFrame, limit: int = 6000) -> Da
     """C14: (id, code): the start of the chunk with the entity's qualified name."""
     first = chunks.filter("qualified_name is not null").groupBy("qualified_name").agg(F.min_by("text", "chunk_id").alias("text"))
     return entities.join(first, "qualified_name").select("id", F.substring("text", 1, limit).alias("code"))
-
-
-def author_doc_line(text: Column) -> Column:
-    return X.first_line(text)

@@ -8,6 +8,7 @@ keys expire (idle_ms); an available-now run can't, as timeouts keep it from endi
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -60,11 +61,12 @@ def _stateful(rows: DataFrame, step: Callable, order: list[str], out: str, state
 
 def _rate_step(limit: int, window_ms: int) -> Callable:
     def step(key, batch: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
-        seen, out = list(state[0]), []
+        seen, out, first = [int(x) for x in state[0]], [], 0
         for event_id, ms in zip(batch["event_id"], batch["ms"]):
-            seen = [x for x in seen if x > ms - window_ms] + [int(ms)]
-            out.append((key, event_id, len(seen), len(seen) <= limit))
-        return out, (seen,)
+            insort(seen, int(ms), lo=first)  # at the end but for late events
+            first = max(first, bisect_right(seen, ms - window_ms))
+            out.append((key, event_id, len(seen) - first, len(seen) - first <= limit))
+        return out, (seen[first:],)
 
     return step
 

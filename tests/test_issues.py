@@ -121,3 +121,17 @@ def test_whole_file_chunks(spark):
     assert [(r.file_path, r.end_line, r.source_type) for r in files.config_chunks(found).orderBy("file_path").collect()] == [("package.json", 1, "config"), ("x/Makefile", 2, "config")]
     rest = files.fallback_chunks(found, spark.createDataFrame([("seen.css",)], "file_path string"))
     assert [(r.file_path, r.end_line, r.source_type, r.language) for r in rest.orderBy("file_path").collect()] == [("b.sql", 2, "code", "unknown"), ("latin.txt", 1, "code", "unknown"), ("tsconfig.json", 1, "code", "unknown")]
+
+
+def test_bus_factor_matches_plain_count(spark):
+    import random
+
+    from codeloom.operators import activity
+
+    rng = random.Random(1)
+    for n in (1, 2, 7, 30):
+        counts = [rng.randint(1, 6) for _ in range(n)]
+        rows = [(f"a{i}",) for i, c in enumerate(counts) for _ in range(c)]
+        want = next(k for k in range(1, n + 1) if 2 * sum(sorted(counts, reverse=True)[:k]) >= sum(counts))
+        assert activity.bus_factor(spark.createDataFrame(rows, "author string")).first()[0] == want
+    assert activity.bus_factor(spark.createDataFrame([], "author string")).first()[0] == 0
