@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 TERMINAL = ("ready", "failed")
+GROUP_ROWS = 10_000
 BUCKETS_MS = (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 20000)
 
 
@@ -117,9 +118,21 @@ def _cooldown(cooldown_ms: int):
 
 
 def alert_cooldown(events: DataFrame, cooldown_s: int) -> DataFrame:
-    """T4, batch: (key, event_id, sent); the cooldown restarts at the last alert sent. One key's alerts are one group."""
-    rows = events.select("key", "event_id", millis(F.col("ts")).alias("ms"))
-    return rows.groupBy("key").applyInPandas(_cooldown(cooldown_s * 1000), f"key {_kind(events, 'key')}, event_id long, sent boolean")
+    """T4, batch: (key, event_id, sent); the cooldown restarts at the last alert sent.
+
+    After a pause of a cooldown the next alert is sent whatever came before, so a key's alerts can be cut
+    there: groups hold the bursts that start within GROUP_ROWS alerts. Pauses are looked for between
+    cells one cooldown wide, which hold none: the window sees a row a cell, not an alert.
+    """
+    cooldown_ms = max(1, cooldown_s * 1000)
+    rows = events.select("key", "event_id", millis(F.col("ts")).alias("ms")).withColumn("cell", F.floor(F.col("ms") / cooldown_ms))
+    cells = rows.groupBy(F.col("key").alias("k"), F.col("cell").alias("c")).agg(F.min("ms").alias("low"), F.max("ms").alias("high"), F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("k").orderBy("c")
+    pause = F.col("low") - F.lag("high").over(along) >= cooldown_ms
+    starts = cells.withColumn("at", F.when(pause, F.sum("n").over(along) - F.col("n")))
+    groups = starts.select("k", "c", F.floor(F.coalesce(F.last("at", ignorenulls=True).over(along), F.lit(0)) / GROUP_ROWS).alias("group"))
+    placed = rows.join(groups, F.col("key").eqNullSafe(F.col("k")) & F.col("cell").eqNullSafe(F.col("c"))).select("key", "event_id", "ms", "group")
+    return placed.groupBy("key", "group").applyInPandas(_cooldown(cooldown_s * 1000), f"key {_kind(events, 'key')}, event_id long, sent boolean")
 
 
 def _cooldown_step(cooldown_ms: int) -> Callable:

@@ -33,6 +33,21 @@ def test_same_millisecond(spark):
     assert [r.in_window for r in streams.rate_limit(events(spark, [0, 0, 0]), 2, 10).orderBy("event_id").collect()] == [1, 2, 3]
 
 
+def test_cooldown_over_bursts_matches_plain_loop(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(streams, "GROUP_ROWS", 20)
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i, T0 + dt.timedelta(seconds=rng.choice((1, 5)) * rng.randint(0, 900))) for i in range(500)]
+    last, want = {}, {}
+    for key, i, ts in sorted(rows, key=lambda r: (r[2], r[1])):
+        want[i] = key not in last or ts - last[key] >= dt.timedelta(seconds=40)
+        if want[i]:
+            last[key] = ts
+    found = streams.alert_cooldown(spark.createDataFrame(rows, "key string, event_id long, ts timestamp"), 40).collect()
+    assert {r.event_id: r.sent for r in found} == want and len(found) == 500 and 50 < sum(want.values()) < 300
+
+
 def test_cooldown(spark, tmp_path):
     df = events(spark, [m * 60 for m in (0, 30, 61, 90, 122)])
     batch = {r.event_id: r.sent for r in streams.alert_cooldown(df, 3600).collect()}
