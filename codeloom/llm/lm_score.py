@@ -5,6 +5,12 @@ by expectation-maximisation on the training documents' word counts; a text's pro
 the sum over all segmentations of its words, times the end token. The recursion is that of
 lattice.py, in log space.
 
+A word of the training documents is an edge of its own across the whole lattice, and so is the
+end: with c uses among N training tokens of V kinds, a token's probability is (c + V * L) / (N + V),
+where L is its marginal over the pieces (Witten and Bell's weight for what is new). The words that
+get an edge, and the weight of the edges, grow with the training documents. `lattice_score` is the
+marginal over the pieces alone.
+
 Word counts are exact and cover all training documents: chunks send each shard of the words
 their distinct words with counts, the shard adds them up and answers with the corpus count of
 each (see common.py). Expectation steps run over the shards' word tables; only the piece sums
@@ -13,7 +19,7 @@ each (see common.py). Expectation steps run over the shards' word tables; only t
 The base score is the additive unigram model over the same tokens.
 
 Edge cases: null and empty texts are the end token alone; with no training documents every
-count is 0 and the model is the public prior; a null doc_id folds as empty text and comes back
+count is 0, no word has an edge and the model is the public prior; a null doc_id folds as empty text and comes back
 null; repeated rows are separate documents.
 """
 
@@ -106,11 +112,22 @@ def fit(types: DataFrame, n_docs: int, path: str, iterations: int = ITERATIONS,
     return np.log(np.where(p > 0, p, 1e-300)) + np.log1p(-p_end), float(np.log(p_end))
 
 
+def with_edges(log_lattice: np.ndarray, counts: np.ndarray, n_all: int, n_types: int) -> np.ndarray:
+    """log10 probability of tokens from that of their pieces (log10 as well) and their training counts."""
+    if not n_all:
+        return log_lattice
+    with np.errstate(divide="ignore"):
+        seen = np.log10(counts / (n_all + n_types))
+    return np.logaddexp(seen * np.log(10), (log_lattice + np.log10(n_types / (n_all + n_types))) * np.log(10)) / np.log(10)
+
+
 def _score(shards: int, path: str, logp: np.ndarray, log_end: float, end_count: int, n_all: int, n_types: int):
     denominator = n_all + 0.1 * (n_types + 1)
+    lattice_end = np.array([log_end / np.log(10)])
+    end = float(with_edges(lattice_end, np.array([end_count]), n_all, n_types)[0])
 
     def run(key, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+        columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "lattice_score"]
         if not len(pdf):
             return pd.DataFrame({c: [] for c in columns}, dtype=object)
         words, by_shard = _distinct(pdf["body"].tolist(), shards)
@@ -120,20 +137,21 @@ def _score(shards: int, path: str, logp: np.ndarray, log_end: float, end_count:
         assert len(counts) == len(distinct), "a shard's reply is missing"
         base = np.log10((counts + 0.1) / denominator)
         lattice = word_logprobs(pieces(path), [w.decode("utf-8", "replace") for w in distinct], logp[:, None])[:, 0] / np.log(10)
+        score = with_edges(lattice, counts, n_all, n_types)
         place = {w: i for i, w in enumerate(distinct)}
         base_end = float(np.log10((end_count + 0.1) / denominator))
         rows = []
         for ws in words:
             at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-            rows.append((len(ws) + 1, int((counts[at] > 0).sum()) + (end_count > 0), float(base[at].sum()) + base_end, float(lattice[at].sum()) + log_end / np.log(10)))
-        n_tokens, n_known, base_score, score = zip(*rows)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": score})
+            rows.append((len(ws) + 1, int((counts[at] > 0).sum()) + (end_count > 0), float(base[at].sum()) + base_end, float(score[at].sum()) + end, float(lattice[at].sum()) + float(lattice_end[0])))
+        out = pd.DataFrame(rows, columns=columns[2:])
+        return pd.concat([pdf[["doc_id", "held_out"]].reset_index(drop=True), out], axis=1)
 
     return run
 
 
 def score_documents(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", iterations: int = ITERATIONS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score."""
     path = C.vocabulary_path(vocabulary)
     _, total = C.volume(docs)
     n_chunks = C.chunk_count(total)
@@ -149,6 +167,6 @@ def score_documents(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", it
     n_all, n_distinct = n_words + n_docs, n_types + (n_docs > 0)
     replies = tables.filter(F.col("chunk") != TYPES).select("chunk", "shard", "n", "counts")
     scored = texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(
-        _score(shards, path, logp, log_end, n_docs, n_all, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _score(shards, path, logp, log_end, n_docs, n_all, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double"
     )
-    return scored.select(C.id_or_null(), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(C.id_or_null(), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")

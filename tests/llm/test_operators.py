@@ -442,6 +442,36 @@ def test_lm_scores(docs, rows):
     prior = {r.doc_id: r.score for r in lm_score.score_documents(docs, iterations=0).collect()}
     out = [i for i in held if held[i]]
     assert sum(found[i].score for i in out) > sum(prior[i] for i in out)
+    assert sum(found[i].score for i in out) > sum(found[i].lattice_score for i in out)
+
+
+def test_lm_matches_brute_force(spark):
+    """Without EM rounds: (c + V * L) / (N + V) for each token, L over all segmentations under the prior."""
+    texts = [(0, "the bridge the stones"), (1, "the Bridge of ☃"), (2, None), (3, ""), (4, "unseen bridge"), (5, "the the"), (6, "of stones"), (None, "of")]
+    v = lattice.pieces(common.vocabulary_path("piece_bpe_32k.model"))
+    logp = np.log(np.where(v.prior > 0, v.prior, 1e-300)) + math.log(0.5)
+    words = {i: [w.lower() for w in (t or "").split()] for i, t in texts}
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in texts}
+    c = Counter(w for i in words if not held[i] for w in words[i])
+    ends = sum(not h for h in held.values())
+    n, kinds = sum(c.values()) + ends, len(c) + 1
+    token = lambda k, x: math.log10((k + kinds * x) / (n + kinds))
+    found = lm_score.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), iterations=0).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        want = sum(token(c[w], _brute_word(v, w, logp)) for w in words[r.doc_id]) + token(ends, 0.5)
+        assert abs(r.score - want) < 1e-6, r
+    # An EM round: each segmentation's share of its word's probability, times the word's count.
+    names = {i: w for w, i in v.ids.items()}
+    word = lattice.MARK + "of"
+    ways = [[word[a:b] for a, b in zip((0, *cut), (*cut, len(word)))] for cut in ((), (1,), (2,), (1, 2))]
+    spelled = lambda x: math.exp(sum(logp[v.bytes[b]] for b in x.encode())) if len(x) == 1 else 0.0
+    p = [math.prod(math.exp(logp[v.ids[x]]) if x in v.ids else spelled(x) for x in way) for way in ways]
+    want = Counter()
+    for way, x in zip(ways, p):
+        want.update({piece: 3 * x / sum(p) for piece in way} if x else {})
+    got = lattice.expected_counts(v, ["of"], np.full((1, 1), 3.0), logp)[:, 0]
+    assert {names[i]: round(e, 9) for i, e in enumerate(got) if e and i in names} == {w: round(e, 9) for w, e in want.items() if w in v.ids}
 
 
 def test_language_held_out_accuracy(docs, rows):
