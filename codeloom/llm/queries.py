@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, license_scan, lm_score, mixing, mpeg, packing, quality, sharding, substring
+from . import jaccard, langid, license_scan, lm_score, mixing, mpeg, negatives, packing, privacy, quality, repair, sharding, substring
 from .common import read_table
 
 
@@ -48,6 +48,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negatives_digest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.privacy_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digest(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_karmarkar_karp_sharding": op1_karmarkar_karp_sharding,
     "op2_first_fit_packing": op2_first_fit_packing,
@@ -59,6 +71,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_lattice_likelihood": op9_lattice_likelihood,
     "op10_language_id": op10_language_id,
+    "op11_angular_negatives": op11_angular_negatives,
+    "op12_disclosure_sanitisation": op12_disclosure_sanitisation,
+    "op13_glr_repair": op13_glr_repair,
 }
 
 #: Words of a document in DuckDB.
