@@ -245,11 +245,11 @@ def _verify(pct: int):
     return run
 
 
-def _met_by_deltas(deltas: DataFrame, label: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a list and whose deltas share a prefix token; none that links is missing.
+def _entries(deltas: DataFrame, label: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
+    """The prefixes of deltas, one row a token: x, documents outside their centre's component, and y, all documents of such centres.
 
-    x: documents outside their centre's component; y: all documents of the same centre. The smallest
-    cost among the others of a centre bounds from below what two deltas must share.
+    A token stands for itself and its centre. The smallest cost among the others of a centre bounds from
+    below what two deltas must share, and so how long the prefixes are.
     """
     root = label.withColumnRenamed("node", "at")
     placed = deltas.join(root.select(F.col("at").alias("node"), "root"), "node", "left").join(root.select(F.col("at").alias("p"), F.col("root").alias("main")), "p", "left")
@@ -263,11 +263,34 @@ def _met_by_deltas(deltas: DataFrame, label: DataFrame, pct: int) -> DataFrame:
         length = F.col("able") - F.greatest(shared, F.lit(1)) + 1
         return F.explode(F.when(length > 0, F.slice("delta", F.lit(1), length.cast("int"))))
 
-    y = placed.select(prefix("least_x").alias("token"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("cost").alias("cy"), F.col("able").alias("ay"), F.col("n").alias("ny"))
-    x = placed.filter(outside).select(prefix("least_y").alias("token"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("cost").alias("cx"), F.col("able").alias("ax"), F.col("n").alias("nx"), "room")
+    kept = lambda x, other: [prefix(other).alias("token"), F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("cost").alias(f"c{x}"), F.col("able").alias(f"a{x}"), F.col("n").alias(f"n{x}")]
+    return placed.filter(outside).select(*kept("x", "least_y"), "room"), placed.select(*kept("y", "least_x"))
+
+
+def _component_pairs(x: DataFrame, y: DataFrame, pct: int) -> DataFrame:
+    """(token, rx, ry): components that meet at a token and whose figures there don't rule out a link."""
+    both = x.groupBy("token", F.col("rx").alias("r")).agg(F.lit(1).alias("one")).unionByName(y.groupBy("token", F.col("ry").alias("r")).agg(F.lit(1).alias("one")))
+    shared = both.groupBy("token").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low < high").select("token")
+    sides = []
+    for side, frame, more in (("x", x, [F.first("room").alias("room")]), ("y", y, [])):
+        held = frame.groupBy("token", f"r{side}").agg(F.min(f"c{side}").alias(f"c{side}"), F.max(f"a{side}").alias(f"a{side}"), F.min(f"n{side}").alias(f"least_n{side}"), F.max(f"n{side}").alias(f"most_n{side}"), *more)
+        sides.append(held.join(shared, "token", "left_semi"))
+    enough = F.col("cx") + F.col("cy") - F.col("room") <= F.least("ax", "ay") * (100 + pct)
+    sizes = (F.col("most_nx") * 100 >= F.col("least_ny") * pct) & (F.col("most_ny") * 100 >= F.col("least_nx") * pct)
+    return sides[0].join(sides[1], "token").filter((F.col("rx") != F.col("ry")) & enough & sizes).select("token", "rx", "ry")
+
+
+def _met_by_deltas(deltas: DataFrame, label: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list and whose deltas share a prefix token; none that links is missing.
+
+    Components meet at a token first, by grouped figures, and only documents of components that can link
+    there are joined: a family that shares a list with another family's centre costs its own number of tokens.
+    """
+    x, y = _entries(deltas, label, pct)
+    pairs = C.checkpoint(_component_pairs(x, y, pct))
     enough = F.col("cx") + F.col("cy") - F.col("room") <= F.least("ax", "ay") * (100 + pct)
     sizes = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * pct
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("rx") != F.col("ry")) & enough & sizes)
+    met = pairs.join(x, ["token", "rx"]).join(y, ["token", "ry"]).filter(enough & sizes)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -113,3 +113,44 @@ def test_texts_of_one_id_stay_apart(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in found.collect()) == [(0, 9, 3), (0, 27, 3), (3, 9, 3), (3, 27, 3), (3, 27, 3), (7, 28, 3)]
     kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
     assert sorted(tuple(r) for r in kept) == [(3, one), (3, two)]
+
+
+def families(n, size=250, passage=100):
+    """Two families; n near copies of each have a passage in common, six times as many don't, so the passage's words are the rarer ones."""
+    rng = random.Random(7)
+    fresh = (f"v{i}" for i in range(10**9))
+    shared = [next(fresh) for _ in range(passage)]
+    rows = []
+    for _ in range(2):
+        base = [next(fresh) for _ in range(size)]
+        for k in range(7 * n):
+            w = list(base)
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(size)] = next(fresh)
+            rows.append((len(rows), " ".join(w[:120] + (shared if k < n else []) + w[120:])))
+    return rows
+
+
+def test_families_that_share_a_passage_cost_their_own_size(spark, monkeypatch):
+    """Pairs of one component are never made, however many documents of it lie outside a centre's."""
+    seen = {}
+    real = jaccard._met_by_deltas
+
+    def met(deltas, label, pct):
+        x, y = jaccard._entries(deltas, label, pct)
+        seen["x"], seen["pairs"] = x.count(), jaccard._component_pairs(x, y, pct).count()
+        out = real(deltas, label, pct)
+        seen["met"] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "_met_by_deltas", met)
+    figures = []
+    for n in (24, 48):
+        rows = families(n)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        if n == 24:
+            assert got == brute(rows, 4, 85)
+        assert len({c for _, c in got.values()}) == 4
+        figures.append(dict(seen))
+    assert figures[0]["x"] > 0 and figures[1]["x"] < 3 * figures[0]["x"]
+    assert figures[1]["pairs"] <= 2 * figures[0]["pairs"] + 10 and figures[1]["met"] <= 2 * figures[0]["met"] + 10
