@@ -31,7 +31,7 @@ from . import common as C
 from .lattice import expected_counts, pieces, word_logprobs
 
 UNKNOWN = "und"
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 128
 SMOOTHING = 1000.0
 KNOWN_VALUES, LONGEST_KNOWN = 800_000, 32
 
@@ -62,35 +62,54 @@ def _expect(path: str, languages: list[str]):
     return run
 
 
-def train(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray]:
-    """Languages in code point order and the log probability of each piece in each (pieces x languages).
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, c) of the labelled rows of docs (text, lang), written once."""
+    labelled = docs.filter("text is not null and lang is not null").select("lang", F.col("text").cast("binary").alias("body"))
+    return C.checkpoint(labelled.mapInPandas(_count_words, "lang string, word binary, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")))
 
-    docs: text, lang; rows without either are left out.
-    """
+
+def fit(counts: DataFrame, languages: list[str], vocabulary: str = "piece_bpe_32k.model", smoothing: float = SMOOTHING) -> np.ndarray:
+    """The log probability of each piece in each of some languages (pieces x languages)."""
     path = C.vocabulary_path(vocabulary)
-    labelled = docs.filter("text is not null and lang is not null").select("lang", F.col("text").cast("binary").alias("body"))
-    counts = C.checkpoint(labelled.mapInPandas(_count_words, "lang string, word binary, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")))
-    languages = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     prior = pieces(path).prior
     expected = np.zeros((len(prior), len(languages)))
     if languages:
         columns = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("c"))), F.lit(0)).cast("double") for x in languages]
-        by_word = counts.groupBy("word").agg(F.array(*columns).alias("counts"))
+        by_word = counts.filter(F.col("lang").isin(languages)).groupBy("word").agg(F.array(*columns).alias("counts"))
         sums = by_word.mapInPandas(_expect(path, languages), "piece int, lang int, e double").groupBy("piece", "lang").agg(F.sum("e").alias("e"))
         packed = sums.groupBy("lang").agg(F.collect_list("piece").alias("pieces"), F.collect_list("e").alias("e"))
         for r in packed.toLocalIterator():  # a row a language, at most as long as the vocabulary
             expected[r.pieces, r.lang] = r.e
     p = (expected + smoothing * prior[:, None]) / (expected.sum(0) + smoothing)
-    return languages, np.log(np.where(p > 0, p, 1e-300))
+    return np.log(np.where(p > 0, p, 1e-300))
+
+
+def known_languages(counts: DataFrame) -> list[str]:
+    """Languages in code point order."""
+    return sorted(r[0] for r in counts.select("lang").distinct().toLocalIterator())
+
+
+def train(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray]:
+    """Languages in code point order and the log probability of each piece in each (pieces x languages).
+
+    docs: text, lang; rows without either are left out.
+    """
+    counts = word_counts(docs)
+    languages = known_languages(counts)
+    return languages, fit(counts, languages, vocabulary, smoothing)
 
 
 class _Scores(dict):
     """Word to its log probability in each language; bounded."""
 
 
+CARRIED = "doc_id long, held_out boolean, body binary, lang_pred string, best double, shares double"
+
+
 def _predict(path: str, languages: list[str], logp: np.ndarray):
+    """Adds a block of languages to what earlier blocks have found: the best language so far, its log probability, and the
+    sum of all languages' shares relative to it. Ties stay with the earlier language."""
+
     def run(frames):
         vocabulary, known = pieces(path), _Scores()
         for pdf in C.by_bytes(frames, "body", 4 << 20):
@@ -109,26 +128,47 @@ def _predict(path: str, languages: list[str], logp: np.ndarray):
             room = KNOWN_VALUES // max(1, len(languages)) - len(known)
             for i in [i for i, w in enumerate(unseen) if len(w) <= LONGEST_KNOWN][: max(0, room)]:
                 known[unseen[i]] = fresh[i].copy()
-            preds, scores = [], []
-            for text, ws in zip(texts, words):
-                if not languages or not any(map(str.isalpha, text)):
-                    preds.append(UNKNOWN)
-                    scores.append(0.0)
+            out = []
+            for text, ws, pred, best, shares in zip(texts, words, pdf["lang_pred"], pdf["best"], pdf["shares"]):
+                if not any(map(str.isalpha, text)):
+                    out.append((UNKNOWN, -np.inf, 0.0))
                     continue
                 total = table[[place[w] for w in ws]].sum(0)
-                best = int(total.argmax())
-                preds.append(languages[best])
-                scores.append(float(1.0 / np.exp(np.clip((total - total[best]) / len(ws), -700, 0)).sum()))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": preds, "score": scores})
+                at = int(total.argmax())
+                own = float(np.exp(np.clip((total - total[at]) / len(ws), -700, 0)).sum())
+                if total[at] > best:
+                    out.append((languages[at], float(total[at]), own + shares * float(np.exp(max((best - total[at]) / len(ws), -700)))))
+                else:
+                    out.append((pred, best, shares + own * float(np.exp(max((total[at] - best) / len(ws), -700)))))
+            yield pdf.assign(**dict(zip(("lang_pred", "best", "shares"), map(list, zip(*out))))) if out else pdf
 
     return run
 
 
 def predict(docs: DataFrame, languages: list[str], logp: np.ndarray, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id, held_out, lang_pred, score; docs: doc_id, held_out, text."""
-    rows = docs.select(C.id_or_last(docs), "held_out", F.col("text").cast("binary").alias("body"))
-    out = rows.mapInPandas(_predict(C.vocabulary_path(vocabulary), languages, logp), "doc_id long, held_out boolean, lang_pred string, score double")
-    return out.select(C.id_or_null(), "held_out", "lang_pred", "score")
+    return _scores(_with_block(_unscored(docs), languages, logp, vocabulary))
+
+
+def _unscored(docs: DataFrame) -> DataFrame:
+    return docs.select(C.id_or_last(docs), "held_out", F.col("text").cast("binary").alias("body"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("-inf")).alias("best"), F.lit(0.0).alias("shares"))
+
+
+def _with_block(rows: DataFrame, languages: list[str], logp: np.ndarray, vocabulary: str) -> DataFrame:
+    return rows.mapInPandas(_predict(C.vocabulary_path(vocabulary), languages, logp), CARRIED) if languages else rows
+
+
+def _scores(rows: DataFrame) -> DataFrame:
+    return rows.select(C.id_or_null(), "held_out", "lang_pred", F.when(F.col("shares") > 0, 1 / F.col("shares")).otherwise(0.0).alias("score"))
+
+
+def identify(docs: DataFrame, labelled: DataFrame, vocabulary: str = "piece_bpe_32k.model", block: int = MAX_LANGUAGES) -> DataFrame:
+    """Languages are taken `block` at a time, so that a model of any number of them fits a task; a block's rows are written before the next."""
+    counts = word_counts(labelled)
+    languages, rows = known_languages(counts), _unscored(docs)
+    for a in range(0, len(languages), block):
+        rows = _with_block(C.checkpoint(rows) if a else rows, languages[a : a + block], fit(counts, languages[a : a + block], vocabulary), vocabulary)
+    return _scores(rows)
 
 
 def fold(modulus: int):
@@ -139,5 +179,4 @@ def fold(modulus: int):
 def identify_documents(docs: DataFrame) -> DataFrame:
     """Learns from the documents outside fold 1 of 3 and predicts all."""
     folded = docs.select("doc_id", "text", "lang", (fold(3) == 1).alias("held_out"))
-    languages, logp = train(folded.filter("not held_out"))
-    return predict(folded, languages, logp)
+    return identify(folded, folded.filter("not held_out"))

@@ -12,6 +12,8 @@ import numpy as np
 
 MARK = "▁"
 TOGETHER = 2048
+#: Columns of probabilities that one recursion takes.
+COLUMNS = 16
 
 
 class Pieces:
@@ -126,12 +128,13 @@ def _lse(terms: np.ndarray) -> np.ndarray:
         return safe + np.log(np.exp(terms - safe[:, None]).sum(1))
 
 
-def _by_length(words: list[str]):
+def _by_length(words: list[str], columns: int = 1):
+    """Rows of words of one length, as many together as keep length x words x columns bounded."""
     order: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         order.setdefault(len(w), []).append(i)
     for length, rows in order.items():
-        step = max(1, min(TOGETHER, 400_000 // max(1, length)))
+        step = max(1, min(TOGETHER, 4 * 400_000 // max(4, length * max(4, columns))))
         for a in range(0, len(rows), step):
             yield length, rows[a : a + step]
 
@@ -169,11 +172,13 @@ def word_logprobs(vocabulary: Pieces, words: list[str], logp: np.ndarray, scaled
     """Natural log probability of each word, summed over its segmentations, for each column of logp.
 
     The recursion runs in log space or, with `scaled`, on scaled probabilities, which is faster
-    for several columns.
+    for several columns. More than COLUMNS columns are taken in blocks, so that memory doesn't grow with them.
     """
+    if logp.shape[1] > COLUMNS:
+        return np.concatenate([word_logprobs(vocabulary, words, logp[:, a : a + COLUMNS], scaled) for a in range(0, logp.shape[1], COLUMNS)], axis=1)
     out = np.zeros((len(words), logp.shape[1]))
     marked = [MARK + w for w in words]
-    for length, rows in _by_length(marked):
+    for length, rows in _by_length(marked, logp.shape[1]):
         ids, spelled = _edges(vocabulary, [marked[r] for r in rows], length)
         table = _table(vocabulary, logp, spelled)
         # Spelled characters are too unlikely for a common scale; their words take the log-space way.

@@ -5,11 +5,10 @@ by expectation-maximisation on the training documents' word counts; a text's pro
 the sum over all segmentations of its words, times the end token. The recursion is that of
 lattice.py, in log space.
 
-A word of the training documents is an edge of its own across the whole lattice, and so is the
-end: with c uses among N training tokens of V kinds, a token's probability is (c + V * L) / (N + V),
-where L is its marginal over the pieces (Witten and Bell's weight for what is new). The words that
-get an edge, and the weight of the edges, grow with the training documents. `lattice_score` is the
-marginal over the pieces alone.
+`score` is that marginal, over the pieces alone. Beside it stands `edged_score`, for which a word of
+the training documents is an edge of its own across the whole lattice, and so is the end: with c
+uses among N training tokens of V kinds, a token's probability is (c + V * L) / (N + V), where L is its
+marginal (Witten and Bell's weight for what is new).
 
 Word counts are exact and cover all training documents: chunks send each shard of the words
 their distinct words with counts, the shard adds them up and answers with the corpus count of
@@ -127,7 +126,7 @@ def _score(shards: int, path: str, logp: np.ndarray, log_end: float, end_count:
     end = float(with_edges(lattice_end, np.array([end_count]), n_all, n_types)[0])
 
     def run(key, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "lattice_score"]
+        columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "edged_score"]
         if not len(pdf):
             return pd.DataFrame({c: [] for c in columns}, dtype=object)
         words, by_shard = _distinct(pdf["body"].tolist(), shards)
@@ -137,13 +136,13 @@ def _score(shards: int, path: str, logp: np.ndarray, log_end: float, end_count:
         assert len(counts) == len(distinct), "a shard's reply is missing"
         base = np.log10((counts + 0.1) / denominator)
         lattice = word_logprobs(pieces(path), [w.decode("utf-8", "replace") for w in distinct], logp[:, None])[:, 0] / np.log(10)
-        score = with_edges(lattice, counts, n_all, n_types)
+        edged = with_edges(lattice, counts, n_all, n_types)
         place = {w: i for i, w in enumerate(distinct)}
         base_end = float(np.log10((end_count + 0.1) / denominator))
         rows = []
         for ws in words:
             at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-            rows.append((len(ws) + 1, int((counts[at] > 0).sum()) + (end_count > 0), float(base[at].sum()) + base_end, float(score[at].sum()) + end, float(lattice[at].sum()) + float(lattice_end[0])))
+            rows.append((len(ws) + 1, int((counts[at] > 0).sum()) + (end_count > 0), float(base[at].sum()) + base_end, float(lattice[at].sum()) + float(lattice_end[0]), float(edged[at].sum()) + end))
         out = pd.DataFrame(rows, columns=columns[2:])
         return pd.concat([pdf[["doc_id", "held_out"]].reset_index(drop=True), out], axis=1)
 
@@ -151,7 +150,7 @@ def _score(shards: int, path: str, logp: np.ndarray, log_end: float, end_count:
 
 
 def score_documents(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", iterations: int = ITERATIONS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, edged_score."""
     path = C.vocabulary_path(vocabulary)
     _, total = C.volume(docs)
     n_chunks = C.chunk_count(total)
@@ -167,6 +166,6 @@ def score_documents(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", it
     n_all, n_distinct = n_words + n_docs, n_types + (n_docs > 0)
     replies = tables.filter(F.col("chunk") != TYPES).select("chunk", "shard", "n", "counts")
     scored = texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(
-        _score(shards, path, logp, log_end, n_docs, n_all, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double"
+        _score(shards, path, logp, log_end, n_docs, n_all, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, edged_score double"
     )
-    return scored.select(C.id_or_null(), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")
+    return scored.select(C.id_or_null(), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "edged_score")

@@ -64,6 +64,8 @@ LANGUAGE_BANDS = {"en": Band((1.5, 12.0), 0.05, 3.5)}
 FENCE_SPREADS, FENCE_TEXTS, FENCE_TOKENS = 3, 50, 64
 FENCED = ("chars_per_token", "byte_share", "token_entropy", "token_ratio")
 SECOND = "byte_bpe_multi_50k.tiktoken"
+#: So many rows of fences may go to every task.
+FEW_GROUPS = 10_000
 MIN_WORDS = 10
 REPEAT_PCT = 20
 REPEAT_WINDOW = 5
@@ -249,7 +251,9 @@ def judge(measured: DataFrame, languages: dict[str, Band] | None = None, scripts
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PCT)
     group = F.coalesce(F.concat(F.lit("lang "), F.col("lang").cast("string")), F.concat(F.lit("script "), "script"))
     judged = C.checkpoint(measured.withColumn("base_failed", failed).withColumn("fence_group", group))
-    fenced = judged.join(F.broadcast(fences(judged)), "fence_group", "left")  # a row for each language of enough texts
+    found = C.checkpoint(fences(judged))
+    few = found.count() <= FEW_GROUPS  # `lang` may have any number of values
+    fenced = judged.join(F.broadcast(found) if few else found, "fence_group", "left")
     within = F.lit(True)
     for c in FENCED:
         near = F.col("fences")[c]

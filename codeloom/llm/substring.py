@@ -24,8 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common as C
 
@@ -143,10 +146,10 @@ def _exact(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"], "kind": EXACT, "shard": pdf["shard"], "n": pdf["n"], "body": [C.pack_bits(smaller[e - n : e]) for e, n in zip(ends, pdf["n"])]})
 
 
-def _mark(k: int, bits: int, layout: bool, more: tuple):
-    def run(key, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({c: [] for c in ("doc_id", "n_words", "n_removed", "kept", *more)}, dtype=object)
+def _mark(k: int, bits: int, layout: bool):
+    """Word counts and kept texts of a chunk's documents, in their order."""
+
+    def run(pdf: pd.DataFrame, replies: pd.DataFrame) -> tuple[np.ndarray, list[int], list[bytes]]:
         w = _Windows(pdf, k)
         pick = _estimated(w, replies, bits)
         elsewhere = np.zeros(len(w.keys), bool)
@@ -164,7 +167,34 @@ def _mark(k: int, bits: int, layout: bool, more: tuple):
             if removed[-1]:
                 words = [x for x, y in zip(words, keep.tolist()) if y]
             texts.append(body if layout and not removed[-1] else b" ".join(words))
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": w.lens, "n_removed": removed, "kept": texts, **{c: pdf[c] for c in more}})
+        return w.lens, removed, texts
+
+    return run
+
+
+OWN = ["doc_id", "body"]
+
+
+def _on_texts(f, ddl: str):
+    """A function on a chunk's documents (and packets) as frames, with Arrow around it, so that columns carried along are never converted."""
+    schema = to_arrow_schema(T._parse_datatype_string(ddl))
+
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        return pa.Table.from_pandas(f((key[0].as_py(),), docs.select(OWN).to_pandas()), schema, preserve_index=False)
+
+    def run_both(key: tuple, docs: pa.Table, packets: pa.Table) -> pa.Table:
+        return pa.Table.from_pandas(f((key[0].as_py(),), docs.select(OWN).to_pandas(), packets.to_pandas()), schema, preserve_index=False)
+
+    return run, run_both
+
+
+def _marked(k: int, bits: int, layout: bool, more: list[str]):
+    mark = _mark(k, bits, layout)
+
+    def run(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        lens, removed, texts = mark(docs.select(OWN).to_pandas(), replies.to_pandas()) if docs.num_rows else ([], [], [])
+        made = [docs["doc_id"], pa.array(lens, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary())]
+        return pa.table([*made, *(docs[c] for c in more)], names=["doc_id", "n_words", "n_removed", "kept", *more])
 
     return run
 
@@ -173,34 +203,34 @@ def dedup_substrings(docs: DataFrame, window: int = 13, layout: bool = False, mo
     """doc_id, n_words, n_removed and `kept` (binary: the words that stay, joined by one space).
 
     With `layout`, texts that lose nothing stay as they are, null included. `more` names further
-    string columns to carry along.
+    columns to carry along, of any type that Arrow has.
     """
     more = more or {}
-    carried = "".join(f", {c} string" for c in more)
     _, total = C.volume(docs)
     bits = C.sketch_bits(total)
     shard_bits = C.shard_bits_for(total, bits)
     texts = C.chunked(docs, C.chunk_count(total), *[x.alias(c) for c, x in more.items()])
-    packets = texts.groupBy("chunk").applyInPandas(_sketch(window, bits, shard_bits), "kind int, shard int, chunk int, n long, flags binary, body binary")
+    sketched = "kind int, shard int, chunk int, n long, flags binary, body binary"
+    packets = texts.groupBy("chunk").applyInArrow(_on_texts(_sketch(window, bits, shard_bits), sketched)[0], sketched)
     reply = "chunk int, kind int, shard int, n long, body binary"
     rows = packets.groupBy("kind", "shard").applyInPandas(_merge_sketch, reply)
-    asked = texts.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInPandas(_candidates(window, bits, shard_bits), "shard int, chunk int, n long, k1 binary, k2 binary, low binary")
+    keyed = "shard int, chunk int, n long, k1 binary, k2 binary, low binary"
+    asked = texts.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(_on_texts(_candidates(window, bits, shard_bits), keyed)[1], keyed)
     exact = asked.groupBy("shard").applyInPandas(_exact, reply)
     both = rows.unionByName(exact)
-    marked = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(_mark(window, bits, layout, tuple(more)), "doc_id long, n_words long, n_removed long, kept binary" + carried)
+    fields = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept binary").fields
+    schema = T.StructType(fields + [texts.schema[c] for c in more])
+    marked = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_marked(window, bits, layout, list(more)), schema)
     return marked.select(C.id_or_null(), "n_words", "n_removed", "kept", *more)
 
 
 def cut_repeats(docs: DataFrame, window: int) -> DataFrame:
-    """docs with repeated passages cut from `text`, and `n_chars`, where there is one, brought up to date."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    row = F.to_json(F.struct(*others)) if others else F.lit("{}")
-    cut = dedup_substrings(docs, window, layout=True, more={"_row": row})
-    schema = docs.select(*others).schema if others else "a int"
+    """docs with repeated passages cut from `text`, and `n_chars`, where there is one, brought up to date; other columns pass as they are."""
+    others = {f"_c{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    cut = dedup_substrings(docs, window, layout=True, more={n: F.col(c) for n, c in others.items()})
     text = F.col("kept").cast("string")
-    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text, "n_chars": F.length(text).cast("long")}
-    restored = cut.withColumn("_row", F.from_json("_row", schema))
-    return restored.select(*[(made[c] if c in made else F.col("_row")[c]).alias(c) for c in docs.columns])
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(n) for n, c in others.items()}
+    return cut.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def substring_digest(docs: DataFrame, window: int = 13) -> DataFrame:

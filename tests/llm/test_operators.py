@@ -387,6 +387,18 @@ def test_cut_repeats_keeps_rows(spark, edges, edge_rows):
     assert substring.cut_repeats(edges, 50).count() == len(edge_rows)
 
 
+def test_cut_repeats_carries_any_type(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(1, passage), (2, "x " + passage), (3, None)], "doc_id int, text string").selectExpr(
+        "doc_id", "text", "timestamp'2024-05-06 07:08:09.123456' AS at", "timestamp_ntz'2024-05-06 07:08:09.654321' AS plain", "map(doc_id, 'v') AS m", "cast('ab' AS binary) AS body",
+        "double('NaN') AS x", "float('inf') AS y", "cast(1.5 AS decimal(20, 3)) AS _row", "struct(doc_id AS a, array(date'2020-01-01') AS b) AS kept", "cast(NULL AS string) AS chunk", "interval '1' day AS n_words", "doc_id AS n_removed")
+    out = substring.cut_repeats(df, 50)
+    assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    others = [c for c in df.columns if c != "text"]
+    assert sorted(map(str, out.select(others).collect())) == sorted(map(str, df.select(others).collect()))
+    assert {r.doc_id: r.text for r in out.collect()} == {1: passage, 2: "x", 3: None}
+
+
 # 9 and 10
 
 
@@ -442,11 +454,11 @@ def test_lm_scores(docs, rows):
     prior = {r.doc_id: r.score for r in lm_score.score_documents(docs, iterations=0).collect()}
     out = [i for i in held if held[i]]
     assert sum(found[i].score for i in out) > sum(prior[i] for i in out)
-    assert sum(found[i].score for i in out) > sum(found[i].lattice_score for i in out)
+    assert sum(found[i].edged_score for i in out) > sum(found[i].score for i in out)
 
 
 def test_lm_matches_brute_force(spark):
-    """Without EM rounds: (c + V * L) / (N + V) for each token, L over all segmentations under the prior."""
+    """Without EM rounds: each token's sum over all segmentations under the prior, and with its edge (c + V * L) / (N + V)."""
     texts = [(0, "the bridge the stones"), (1, "the Bridge of ☃"), (2, None), (3, ""), (4, "unseen bridge"), (5, "the the"), (6, "of stones"), (None, "of")]
     v = lattice.pieces(common.vocabulary_path("piece_bpe_32k.model"))
     logp = np.log(np.where(v.prior > 0, v.prior, 1e-300)) + math.log(0.5)
@@ -459,8 +471,9 @@ def test_lm_matches_brute_force(spark):
     found = lm_score.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), iterations=0).collect()
     assert len(found) == len(texts)
     for r in found:
-        want = sum(token(c[w], _brute_word(v, w, logp)) for w in words[r.doc_id]) + token(ends, 0.5)
-        assert abs(r.score - want) < 1e-6, r
+        pieces = [_brute_word(v, w, logp) for w in words[r.doc_id]]
+        assert abs(r.score - sum(map(math.log10, pieces)) - math.log10(0.5)) < 1e-6, r
+        assert abs(r.edged_score - sum(token(c[w], x) for w, x in zip(words[r.doc_id], pieces)) - token(ends, 0.5)) < 1e-6, r
     # An EM round: each segmentation's share of its word's probability, times the word's count.
     names = {i: w for w, i in v.ids.items()}
     word = lattice.MARK + "of"
