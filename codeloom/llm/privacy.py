@@ -141,9 +141,11 @@ def disclosing(docs: DataFrame, base: DataFrame, near: DataFrame) -> DataFrame:
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0)))).alias("term"))
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     told = witnesses.join(together, ["entity", "term"]).join(of_term, "term").join(of_entity, "entity").join(of_kind, "kind")
-    bits = lambda part, whole: -F.log2(part / whole)
-    told = told.withColumns({"ic": bits(F.col("n_c"), F.lit(total)), "pmi": F.log2(F.lit(total) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))), "left": bits(F.col("n_ct"), F.col("n_t")), "kind_ic": bits(F.col("n_k"), F.lit(total))})
-    action = F.when(F.col("left") <= REMOVE_BITS, 1).when((F.col("left") <= GENERALISE_BITS) & (F.col("pmi") > F.col("kind_ic")), 0)
+    exact = lambda *names: [F.col(n).cast("decimal(19,0)") for n in names]  # noqa: E731  products of counts fit 38 digits
+    n_ct, n_c, n_t, n_k = exact("n_ct", "n_c", "n_t", "n_k")
+    leaves = lambda bits: F.col("n_ct") * 2.0**bits >= F.col("n_t")  # noqa: E731  -log2(n_ct / n_t) <= bits
+    told = told.withColumns({"ic": -F.log2(F.col("n_c") / F.lit(total)), "pmi": F.log2(F.col("n_ct") / F.col("n_c") * F.lit(total) / F.col("n_t"))})
+    action = F.when(leaves(REMOVE_BITS), 1).when(leaves(GENERALISE_BITS) & (n_ct * n_k > n_c * n_t), 0)  # PMI > IC of the kind
     return told.withColumn("action", action).filter("action is not null").select("entity", "term", "action", "ic", "pmi")
 
 

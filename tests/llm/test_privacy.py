@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+from fractions import Fraction
 
 import pytest
 import regex
@@ -55,8 +56,9 @@ def plain(rows):
     n, bad = len(rows), {}
     for (e, w), docs in together.items():
         if len(witnesses[e, w]) >= P.SUPPORT:
-            left, pmi, kind = -math.log2(len(docs) / n_t[w]), math.log2(n * len(docs) / (n_c[e] * n_t[w])), -math.log2(n_k[e[1]] / n)
-            if left <= P.REMOVE_BITS or left <= P.GENERALISE_BITS and pmi > kind:
+            left = -math.log2(len(docs) / n_t[w])
+            more_than_kind = Fraction(n * len(docs), n_c[e] * n_t[w]) > Fraction(n, n_k[e[1]])
+            if left <= P.REMOVE_BITS or left <= P.GENERALISE_BITS and more_than_kind:
                 bad[e, w] = 1 if left <= P.REMOVE_BITS else 0
     out = []
     for i, (r, t, spans) in enumerate(zip(rows, texts, base)):
