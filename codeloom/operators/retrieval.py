@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.functions.blocks import SLACK, Block, exact, rough
+from codeloom.functions.stem import STOP_WORDS, let, may_have_stem
+from codeloom.functions.stem import stem as stem_of
 from codeloom.functions.vectors import cosine
 from codeloom.runtime import checkpoint, top, union
 
@@ -18,74 +22,155 @@ ARM = 4
 #: Vectors of queries that go to every task at once, and the sides of a task's matrix product.
 BLOCK_BYTES = 32 << 20
 QUERY_ROWS, CHUNK_ROWS = 1024, 4096
-#: Fixed list: English words that a text search leaves out.
-STOP_WORDS = ("a an and are as at be but by for from has have he her his i in is it its me my no not of on or our she so "
-              "such that the their them then there these they this to was we were will with you your").split()
+#: Fixed values of text ranking: the weight of a position, the last position, positions kept of a lexeme, the sum of all 1/i^2.
+WEIGHT, LAST_POSITION, MAX_POSITIONS, ALL_SQUARES = 0.1, 16383, 256, 1.64493406685
 
 
-def tokens(text: Column, stop: tuple | list = STOP_WORDS) -> Column:
-    """Lower-cased runs of letters and digits without stop words."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.filter(words, lambda w: ~w.isin(list(stop))) if stop else words
+class Term(NamedTuple):
+    """A word, or the words of a phrase with their distances from its first one."""
 
+    words: tuple[tuple[str, int], ...]
+    negated: bool
 
-def light_stem(word: Column) -> Column:
-    """Plural, past and -ing endings off, so that inflected forms of an English word meet; stays in the JVM."""
-    w = F.regexp_replace(word, r"(?<=\p{L}{3})(?:ies|y)$", "i")
-    w = F.regexp_replace(w, r"(?<=\p{L}{3})(?:ing|edly|ed|ly)$", "")
-    return F.regexp_replace(F.regexp_replace(w, r"(?<=\p{L}{2}[^s])(?:es|s)$", ""), r"(?<=\p{L}{3})e$", "")
 
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
-def index_tokens(text: Column, stem: bool = False) -> Column:
-    return F.transform(tokens(text), light_stem) if stem else tokens(text)
 
+def tokens(text: Column, stop: tuple | list = STOP_WORDS) -> Column:
+    """Words without stop words."""
+    return F.filter(words(text), lambda w: ~w.isin(list(stop))) if stop else words(text)
 
-def parse_query(query: str) -> list[tuple[list[list[str]], bool]]:
-    """Web-search syntax: a list of (phrase alternatives, negated); all parts must hold."""
-    parts: list[tuple[list[list[str]], bool]] = []
-    either = False
-    quoted = query.split('"')
-    for i, piece in enumerate(quoted):
-        items = [piece.split()] if i % 2 else [[w] for w in piece.split()]
-        for words in items:
-            raw = words[0] if len(words) == 1 and not i % 2 else ""
-            if raw.lower() == "or":
-                either = bool(parts)
-                continue
-            phrase = [w for x in words for w in "".join(c.lower() if c.isalnum() else " " for c in x).split() if w not in STOP_WORDS]
-            if not phrase:
+
+def parse_query(query: str) -> list[list[Term]]:
+    """Web-search syntax: alternatives (split at "or") of terms that must all hold; quotes make a phrase, a leading minus excludes.
+
+    Stop words go, but keep their place within a phrase.
+    """
+    alternatives: list[list[Term]] = [[]]
+    for i, piece in enumerate(query.split('"')):
+        before = query.split('"')[i - 1] if i else ""
+        for item in [piece] if i % 2 else piece.split():
+            if not i % 2 and item.lower() == "or":
+                alternatives.append([])
                 continue
-            if either:
-                parts[-1][0].append(phrase)
-            else:
-                parts.append(([phrase], raw.startswith("-")))
-            either = False
-    return parts
-
-
-def _holds(toks: Column, phrase: list[str], stem: bool) -> Column:
-    words = [light_stem(F.lit(w)) if stem else F.lit(w) for w in phrase]
-    if len(words) == 1:
-        return F.array_contains(toks, words[0])
-    run = F.sequence(F.lit(1), F.greatest(F.size(toks) - len(words) + 1, F.lit(1)))
-    return F.exists(run, lambda i: F.slice(toks, i, F.lit(len(words))) == F.array(*words))
-
-
-def text_match(toks: Column, query: str, stem: bool = False) -> tuple[Column, Column]:
-    """V3: (whether the tokens match, score). The score saturates in each term's frequency and falls with length."""
-    match, score = F.lit(True), F.lit(0.0)
-    parts = parse_query(query)
-    for phrases, negated in parts:
-        held = F.lit(False)
-        for phrase in phrases:
-            held = held | _holds(toks, phrase, stem)
-            if not negated:
-                for w in phrase:
-                    word = light_stem(F.lit(w)) if stem else F.lit(w)
-                    tf = (F.size(toks) - F.size(F.array_remove(toks, word))).cast("double")
-                    score = score + tf / (tf + 1.5)
-        match = match & (~held if negated else held)
-    return (match if parts else F.lit(False)), score / F.log(F.size(toks) + F.lit(2.718281828459045))
+            split = "".join(c.lower() if c.isalnum() else " " for c in item).split()
+            placed = [(w, at) for at, w in enumerate(split) if w not in STOP_WORDS]
+            if placed:
+                negated = before.endswith("-") if i % 2 else item.startswith("-")
+                alternatives[-1].append(Term(tuple((w, at - placed[0][1]) for w, at in placed), negated))
+    return [a for a in alternatives if a]
+
+
+def stems_of(spark: SparkSession, some: list[str]) -> dict[str, str]:
+    """Stems of a query's words, by the same columns that the table's words go through."""
+    row = spark.range(1).select(*[stem_of(F.lit(w)).alias(f"w{i}") for i, w in enumerate(some)]).first() if some else ()
+    return dict(zip(some, row))
+
+
+def lexemes(text: Column, wanted: list[str], stem: bool = True) -> Column:
+    """The wanted lexemes of a text with their places: array of (lexeme, place), places from 1 with stop words counted, up to the last one kept."""
+    placed = F.transform(words(text), lambda w, i: F.struct(w.alias("lexeme"), F.least(i + 1, F.lit(LAST_POSITION)).alias("place")))
+    if not stem:
+        return F.filter(placed, lambda x: x["lexeme"].isin(wanted))
+    near = F.filter(placed, lambda x: may_have_stem(x["lexeme"], wanted) & ~x["lexeme"].isin(STOP_WORDS))
+    stemmed = F.transform(near, lambda x: F.struct(stem_of(x["lexeme"]).alias("lexeme"), x["place"].alias("place")))
+    return F.filter(stemmed, lambda x: x["lexeme"].isin(wanted))
+
+
+def _places(found: Column, lexeme: str) -> Column:
+    """Distinct places of a lexeme, the first MAX_POSITIONS."""
+    return F.slice(F.array_distinct(F.transform(F.filter(found, lambda x: x["lexeme"] == lexeme), lambda x: x["place"])), 1, MAX_POSITIONS)
+
+
+def _holds(places: dict[str, Column], term: Term) -> Column:
+    (first, _), *rest = term.words
+    if not rest:
+        return F.size(places[first]) > 0
+    follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(places[w], p + at) for w, at in rest])
+    return F.exists(places[first], follows)
+
+
+def _closeness(places: dict[str, Column]) -> Column:
+    """1 - product of (1 - weight) over all pairs of places of two lexemes; pairs of one place don't count."""
+    lists = list(places.values())
+    pairs = [(a, b) for i, b in enumerate(lists) for a in lists[:i]]
+
+    def of(a: Column, b: Column) -> Column:
+        each = lambda x: F.transform(b, lambda y: F.abs(x - y))
+        return F.filter(F.flatten(F.transform(a, each)), lambda d: d > 0)
+
+    far = F.concat(*[of(a, b) for a, b in pairs])
+    weight = lambda d: F.when(d > 100, 1e-30).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+    left = F.aggregate(far, F.lit(1.0), lambda acc, d: acc * (1 - WEIGHT * F.sqrt(weight(d))))
+    return let(far, lambda f: F.when(F.size(f) > 0, 1 - left).otherwise(1e-20))
+
+
+def _frequency(places: dict[str, Column]) -> Column:
+    """Mean over the lexemes of the weights of their places, the i-th worth 1/i^2."""
+    of = lambda p: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.when(i <= F.size(p), WEIGHT / (i * i)).otherwise(0.0))
+    return reduce(lambda a, b: a + b, [of(p) for p in places.values()]) / ALL_SQUARES / len(places)
+
+
+def text_rank(found: Column, alternatives: list[list[Term]]) -> Column:
+    """V3: (match, score) of a text from its lexemes (see `lexemes`).
+
+    Where the query is one alternative of several lexemes the score is their closeness; else it is the frequency of each. Lexemes that are
+    excluded count as lexemes of the query.
+    """
+    names = sorted({w for a in alternatives for t in a for w, _ in t.words})
+
+    def both(places: Column) -> Column:
+        of = {w: places[f"p{i}"] for i, w in enumerate(names)}
+        holds = [reduce(lambda x, y: x & y, [~_holds(of, t) if t.negated else _holds(of, t) for t in a]) for a in alternatives]
+        one = len(alternatives) == 1 and (len(alternatives[0]) > 1 or len(alternatives[0][0].words) > 1 and not alternatives[0][0].negated)
+        score = _closeness(of) if one and len(names) > 1 else _frequency(of)
+        return F.struct(reduce(lambda x, y: x | y, holds).alias("match"), score.alias("score"))
+
+    return let(F.struct(*[_places(found, w).alias(f"p{i}") for i, w in enumerate(names)]), both)
+
+
+def prepared(spark: SparkSession, query: str, stem: bool = True) -> list[list[Term]]:
+    """A parsed query over lexemes."""
+    alternatives = parse_query(query)
+    to = stems_of(spark, sorted({w for a in alternatives for t in a for w, _ in t.words})) if stem else {}
+    return [[Term(tuple((to.get(w, w), at) for w, at in t.words), t.negated) for t in a] for a in alternatives]
+
+
+def text_matches(chunks: DataFrame, query: str, stem: bool = True) -> DataFrame:
+    """V3: (chunk_id, score) of all chunks that match. A text is read once; only words that can have a wanted stem are stemmed."""
+    alternatives = prepared(chunks.sparkSession, query, stem)
+    if not alternatives:
+        return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    wanted = sorted({w for a in alternatives for t in a for w, _ in t.words})
+    found = let(lexemes(F.coalesce("text", F.lit("")), wanted, stem), lambda f: text_rank(f, alternatives))
+    # A generator, so that the filter isn't pushed below and the rank worked out twice.
+    return chunks.select("chunk_id", F.inline(F.filter(F.array(found), lambda r: r["match"]))).select("chunk_id", "score")
+
+
+def text_index(chunks: DataFrame) -> DataFrame:
+    """(lexeme, chunk_id, places): the inverted index of a table. Each distinct word is stemmed once, whatever its number of uses."""
+    placed = chunks.select("chunk_id", F.posexplode(words(F.coalesce("text", F.lit("")))).alias("at", "word")).filter(~F.col("word").isin(STOP_WORDS))
+    placed = placed.select("chunk_id", "word", F.least(F.col("at") + 1, F.lit(LAST_POSITION)).alias("place"))
+    stems = placed.groupBy("word").agg(F.lit(1).alias("one")).select("word", stem_of(F.col("word")).alias("lexeme"))
+    return placed.join(stems, "word").groupBy("lexeme", "chunk_id").agg(F.slice(F.sort_array(F.collect_set("place")), 1, MAX_POSITIONS).alias("places"))
+
+
+def search_index(index: DataFrame, query: str) -> DataFrame:
+    """V3 on an index: (chunk_id, score) of all chunks that match; only the query's lexemes are read.
+
+    Every alternative needs a word that isn't excluded, as chunks without any of the words aren't in those rows.
+    """
+    alternatives = prepared(index.sparkSession, query)
+    if any(all(t.negated for t in a) for a in alternatives):
+        raise ValueError("a query of excluded words only can't be answered from an index")
+    if not alternatives:
+        return index.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    wanted = sorted({w for a in alternatives for t in a for w, _ in t.words})
+    entry = F.explode(F.transform("places", lambda p: F.struct(F.col("lexeme").alias("lexeme"), p.alias("place"))))
+    found = index.filter(F.col("lexeme").isin(wanted)).select("chunk_id", entry.alias("x")).groupBy("chunk_id").agg(F.sort_array(F.collect_list("x")).alias("found"))
+    return found.select("chunk_id", F.inline(F.filter(F.array(text_rank(F.col("found"), alternatives)), lambda r: r["match"]))).select("chunk_id", "score")
 
 
 def ranked(df: DataFrame, limit: int, *order) -> DataFrame:
@@ -162,11 +247,10 @@ def _best_of(query_ids, vectors: list, limit: int):
     return run
 
 
-def search_text(chunks: DataFrame, query: str, limit: int, stem: bool = False) -> DataFrame:
+def search_text(chunks: DataFrame, query: str, limit: int, stem: bool = True) -> DataFrame:
     """V3: (chunk_id, score, rank)."""
-    toks = chunks.select("chunk_id", index_tokens(F.col("text"), stem).alias("toks"))
-    match, score = text_match(F.col("toks"), query, stem)
-    return ranked(toks.filter(match).select("chunk_id", score.alias("score")), limit, F.desc("score"), "chunk_id")
+    scored = text_matches(chunks, query, stem).withColumn("score", F.round("score", 9))  # so that equal scores tie, in whatever order they were summed
+    return ranked(scored, limit, F.desc("score"), "chunk_id")
 
 
 def fuse(*lists: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.functions import stem
 from codeloom.functions import text as X
 from codeloom.functions import vectors as V
 from codeloom.operators import activity, corpus, graph, issues, retrieval
-from codeloom.plans import star
+from codeloom.plans import search_sql, star
 from codeloom.plans.registry import query
 from codeloom.runtime import table
 from codeloom.sources import files, sinks
@@ -28,18 +29,6 @@ def _query_vector(spark, d):
 
 _NEAR = """q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
 n AS (SELECT vec_id AS chunk_id, 1 - list_cosine_similarity(embedding::DOUBLE[], q) AS distance FROM embeddings, q WHERE vec_id IN (SELECT doc_id FROM documents))"""
-_TOKENS = r"""t AS (SELECT doc_id AS chunk_id, source, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '' AND NOT list_contains([' + STOP + '], x)) AS toks FROM documents)"""
-_TOKENS = _TOKENS.replace("' + STOP + '", ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS))
-
-
-def _tf(word):
-    return f"(len(list_filter(toks, lambda x: x = '{word}')) / (len(list_filter(toks, lambda x: x = '{word}')) + 1.5))"
-
-
-def _score(*words):
-    return f"round(({' + '.join(map(_tf, words))}) / ln(len(toks) + 2.718281828459045), 9)"
-
-
 @query(f"WITH {_NEAR} SELECT chunk_id, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, chunk_id)::INT AS rank FROM n ORDER BY n.distance, chunk_id LIMIT 20")
 def cosine_topk(spark, d):
     """V1, V2."""
@@ -72,38 +61,56 @@ def nearest_batch_twentieth(spark, d):
     return _batch(spark, d, 5)
 
 
-@query(f"WITH {_TOKENS} SELECT chunk_id, {_score('tion', 're')} AS score FROM t WHERE list_contains(toks, 'tion') AND list_contains(toks, 're')")
+def _texts(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+_BOTH = f"WITH {search_sql.found(['thing', 'ere'])}, x AS ({search_sql.closeness('ere', 'thing')}) SELECT chunk_id, round(score, 9) AS score FROM x"
+
+
+@query(_BOTH)
 def text_search(spark, d):
-    """V3: all matches of two words."""
-    toks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), retrieval.tokens(F.col("text")).alias("toks"))
-    match, score = retrieval.text_match(F.col("toks"), "tion re")
-    return toks.filter(match).select("chunk_id", F.round(score, 9).alias("score"))
+    """V3: all matches of two words in any of their forms, by how close they stand."""
+    return retrieval.text_matches(_texts(spark, d), "Things ering").select("chunk_id", F.round("score", 9).alias("score"))
+
 
+@query(_BOTH)
+def text_search_index(spark, d):
+    """V3 by way of the inverted index, in which each distinct word is stemmed once."""
+    return retrieval.search_index(retrieval.text_index(_texts(spark, d)), "Things ering").select("chunk_id", F.round("score", 9).alias("score"))
 
-@query(f"""WITH {_TOKENS} SELECT chunk_id FROM t WHERE (list_contains(toks, 'tion') OR list_contains(toks, 'haben')) AND NOT list_contains(toks, 're')""")
+
+@query(f"""WITH {search_sql.found(['erin', 'thing', 'tion', 'ha'])}, x AS ({search_sql.frequency(['erin', 'thing', 'tion', 'ha'])}), m AS (
+SELECT a.chunk_id FROM pl a JOIN pl b ON a.chunk_id = b.chunk_id AND a.lexeme = 'erin' AND b.lexeme = 'thing' WHERE len(list_intersect(list_transform(a.places, lambda p: p + 2), b.places)) > 0
+UNION SELECT chunk_id FROM pl WHERE lexeme = 'tion' AND chunk_id NOT IN (SELECT chunk_id FROM pl WHERE lexeme = 'ha')) SELECT chunk_id, round(score, 9) AS score FROM x WHERE chunk_id IN (SELECT chunk_id FROM m)""")
 def text_search_syntax(spark, d):
-    """V3: or, and a word that must not occur."""
-    toks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), retrieval.tokens(F.col("text")).alias("toks"))
-    return toks.filter(retrieval.text_match(F.col("toks"), "tion or haben -re")[0]).select("chunk_id")
+    """V3: a phrase with a stop word between, or a word without another; every lexeme counts by its frequency."""
+    return retrieval.text_matches(_texts(spark, d), '"erines and thing" OR tioned -haing').select("chunk_id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {search_sql.found([])} SELECT word, lexeme FROM st")
+def word_stems(spark, d):
+    """V3: the lexeme of each distinct word that isn't a stop word."""
+    words = table(spark, d, "documents").select(F.explode(retrieval.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", stem.stem(F.col("word")).alias("lexeme"))
 
 
-_HYBRID = """{near}, {tokens}, v AS (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM n {where_n} ORDER BY distance, chunk_id LIMIT {arm}),
-x AS (SELECT chunk_id, {score} AS s FROM t WHERE list_contains(toks, 'tion') {and_t}), w AS (SELECT chunk_id, row_number() OVER (ORDER BY s DESC, chunk_id) AS rank FROM x ORDER BY s DESC, chunk_id LIMIT {arm}),
+_HYBRID = """WITH {near}, {found}, v AS (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM n {where_n} ORDER BY distance, chunk_id LIMIT {arm}),
+x AS ({score}), w AS (SELECT chunk_id, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM x ORDER BY round(score, 9) DESC, chunk_id LIMIT {arm}),
 u AS (SELECT * FROM v UNION ALL SELECT * FROM w) SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM u GROUP BY 1 ORDER BY sum(1.0::DOUBLE / (60 + rank)) DESC, chunk_id LIMIT {limit}"""
 
 
-@query("WITH " + _HYBRID.format(near=_NEAR, tokens=_TOKENS, where_n="", and_t="", arm=40, limit=10, score=_score("tion")))
+@query(_HYBRID.format(near=_NEAR, found=search_sql.found(["tion", "ere"]), where_n="", arm=40, limit=10, score=search_sql.closeness("tion", "ere")))
 def hybrid_search(spark, d):
-    """K6, V4: both arms, without stemming for the oracle's sake."""
-    found = retrieval.hybrid_search(_chunks(spark, d), "tion", _query_vector(spark, d), 10, stem=False)
-    return found.select("chunk_id", F.round("rrf", 9).alias("rrf"))
+    """K6, V4: both arms."""
+    return retrieval.hybrid_search(_chunks(spark, d), "tioning eredly", _query_vector(spark, d), 10).select("chunk_id", F.round("rrf", 9).alias("rrf"))
 
 
-@query("WITH " + _HYBRID.format(near=_NEAR, tokens=_TOKENS, where_n="WHERE chunk_id IN (SELECT doc_id FROM documents WHERE source = 'src1')", and_t="AND source = 'src1'", arm=48, limit=12, score=_score("tion")))
+@query(_HYBRID.format(near=_NEAR, found=search_sql.found(["one"], "source = 'src1'"), where_n="WHERE chunk_id IN (SELECT doc_id FROM documents WHERE source = 'src1')", arm=48, limit=12, score=search_sql.frequency(["one"])))
 def search_docs(spark, d):
     """K7: one source stands for the documentation."""
     chunks = _chunks(spark, d).withColumn("source_type", F.when(F.col("source") == "src1", "doc").otherwise("code"))
-    return retrieval.search_docs(chunks, "tion", _query_vector(spark, d), 12, stem=False).select("chunk_id", F.round("rrf", 9).alias("rrf"))
+    return retrieval.search_docs(chunks, "oning", _query_vector(spark, d), 12).select("chunk_id", F.round("rrf", 9).alias("rrf"))
 
 
 @query("""WITH a AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings), b AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY vec_id DESC) AS rank FROM embeddings WHERE vec_id % 2 = 0),

@@ -35,6 +35,64 @@ def test_query_syntax(spark):
     assert ids("red green") == [0, 1] and ids('"red green"') == [0] and ids("red -green") == [2] and ids("yellow or blue") == [0, 2, 3]
 
 
+def plain_rank(text, alternatives):
+    """Match and rank from places of lexemes, by the public definition of text ranking."""
+    import math
+    import re
+
+    from test_stem import plain
+
+    found = {}
+    for place, w in enumerate([w for w in re.split(r"[\W_]+", text.lower()) if w], 1):
+        if w not in retrieval.STOP_WORDS:
+            found.setdefault(plain(w), [])
+            if len(found[plain(w)]) < 256 and min(place, 16383) not in found[plain(w)]:
+                found[plain(w)].append(min(place, 16383))
+
+    def holds(t):
+        (first, _), *rest = t.words
+        return any(all(p + at in found.get(w, []) for w, at in rest) for p in found.get(first, []))
+
+    if not any(all(holds(t) != t.negated for t in a) for a in alternatives):
+        return None
+    names = sorted({w for a in alternatives for t in a for w, _ in t.words})
+    if len(alternatives) == 1 and len(names) > 1:
+        left, pairs = 1.0, 0
+        for i, a in enumerate(names):
+            for b in names[:i]:
+                for p in found.get(a, []):
+                    for q in found.get(b, []):
+                        if p != q:
+                            d, pairs = abs(p - q), pairs + 1
+                            left *= 1 - 0.1 * math.sqrt(1e-30 if d > 100 else 1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2)))
+        return 1 - left if pairs else 1e-20
+    return sum(0.1 / i**2 for n in names for i in range(1, len(found.get(n, [])) + 1)) / 1.64493406685 / len(names)
+
+
+def test_rank_against_plain(spark):
+    import random
+
+    rnd = random.Random(3)
+    vocabulary = "order orders ordering paid payment payments the of running runs connected connection red green".split()
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.randrange(0, 40))) for _ in range(80)] + ["", None, "order " * 400 + "payment", "payment. " + "x " * 17000 + "order order run", "Zürich ORDER—run_2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").cache()
+    index = retrieval.text_index(df).cache()
+    for q in ["orders", "ordered payment", '"orders the payment"', "order -payment", "run or connecting red", '"red the running" or paid', '-"red green" order', "the of", "run run", "connect OR", "-red"]:
+        alternatives = retrieval.prepared(spark, q)
+        want = {i: r for i, t in enumerate(texts) if (r := plain_rank(t or "", alternatives)) is not None} if alternatives else {}
+        got = {r.chunk_id: r.score for r in retrieval.text_matches(df, q).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 1e-12 + 1e-9 * want[i] for i in got), q
+        if q != "-red":
+            got = {r.chunk_id: r.score for r in retrieval.search_index(index, q).collect()}
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 1e-12 + 1e-9 * want[i] for i in got), q
+
+
+def test_query_precedence():
+    P = lambda *w, no=False: retrieval.Term(tuple(w), no)
+    assert retrieval.parse_query('signal or noise filter -"big the cat"') == [[P(("signal", 0))], [P(("noise", 0)), P(("filter", 0)), P(("big", 0), ("cat", 2), no=True)]]
+    assert retrieval.parse_query('or the "of" -') == []
+
+
 def test_rrf_is_order_insensitive(spark):
     a = spark.createDataFrame([(1, 1), (2, 2)], "chunk_id long, rank int")
     b = spark.createDataFrame([(2, 1), (3, 2)], "chunk_id long, rank int")
