@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.stem import let
 from codeloom.runtime import top
 from codeloom.sources.files import language_of
 
@@ -131,27 +132,54 @@ def visibility(language: Column, name: Column, line: Column) -> Column:
     return F.when(public, "public").otherwise("private")
 
 
+SCOPE_BLOCK = 256
+_OPEN = "struct<line_no:int,indent:int,name:string,kind:string,language:string,line:string,up:string>"
+_CLOSED = "struct<d:" + _OPEN + ",end_line:int>"
+
+
+def nested_scopes(declarations: Column, last_line: Column) -> Column:
+    """Declarations (line_no, indent, name, kind, language, line), in order, as (d, end_line), where d.up names what they lie in.
+
+    One pass with the stack of open scopes: a declaration closes the open ones of its indent or more, and what is
+    left on top is its parent. Closed ones are gathered block by block, so that no long array is copied for each of them.
+    """
+    def closed(some: Column, end: Column) -> Column:
+        return F.transform(some, lambda s: F.struct(s.alias("d"), end.cast("int").alias("end_line")))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = F.filter(acc["open"], lambda s: s["indent"] < x["indent"])
+        gone = F.filter(acc["open"], lambda s: s["indent"] >= x["indent"])
+
+        def pushed(rest: Column) -> Column:
+            own = F.struct(*[x[c].alias(c) for c in ("line_no", "indent", "name", "kind", "language", "line")], F.try_element_at(rest, F.lit(-1))["name"].alias("up"))
+            return F.struct(F.concat(rest, F.array(own)).alias("open"), F.concat(acc["done"], closed(gone, x["line_no"] - 1)).alias("done"))
+
+        return let(left, pushed)
+
+    def block(acc: Column, b: Column) -> Column:
+        start = F.struct(acc["open"].alias("open"), F.array().cast(f"array<{_CLOSED}>").alias("done"))
+        folded = F.aggregate(F.slice(declarations, b * SCOPE_BLOCK + 1, SCOPE_BLOCK), start, step)
+        return let(folded, lambda f: F.struct(f["open"].alias("open"), F.concat(acc["done"], F.array(f["done"])).alias("done")))
+
+    start = F.struct(F.array().cast(f"array<{_OPEN}>").alias("open"), F.array().cast(f"array<array<{_CLOSED}>>").alias("done"))
+    blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(declarations), F.lit(1)) - 1) / SCOPE_BLOCK).cast("int"))
+    return F.aggregate(blocks, start, block, lambda acc: F.flatten(F.concat(acc["done"], F.array(closed(acc["open"], last_line)))))
+
+
 def extract_symbols(files: DataFrame) -> DataFrame:
     """(file_path, language, type, name, parent, qualified_name, start_line, end_line, visibility, signature).
 
-    A declaration ends before the next one of its indent or less (windows are within a file). In
-    Python and TypeScript the nearest earlier declaration of smaller indent that still runs is the parent.
+    A declaration ends before the next one of its indent or less. In Python and TypeScript the nearest earlier
+    declaration of smaller indent that still runs is the parent.
     """
     lines = source_lines(files)
     found = lines.withColumn("hit", F.try_element_at(_by_language(DECLARATIONS, F.col("line"), F.col("language")), F.lit(1))).withColumn("indent", F.length("line") - F.length(F.ltrim("line")))
     decl = found.filter("hit is not null").select("file_path", "language", "line_no", "line", "indent", "hit.kind", "hit.name")
     last = files.groupBy("file_path").agg(F.max(F.size(F.split("text", "\n", -1))).alias("last_line"))
     by_file = decl.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line_no", "indent", "name", "kind", "language", "line"))).alias("all"))
-
-    def placed(x: Column) -> Column:
-        later = F.filter("all", lambda y: (y.line_no > x.line_no) & (y.indent <= x.indent))
-        above = F.filter("all", lambda y: (y.line_no < x.line_no) & (y.indent < x.indent))
-        return F.struct(x.alias("d"), F.try_element_at(later, F.lit(1)).line_no.alias("next"), F.try_element_at(above, F.lit(-1)).alias("up"))
-
-    rows = by_file.join(last, "file_path").select("file_path", "last_line", F.explode(F.transform("all", placed)).alias("p"))
-    rows = rows.select("file_path", "p.d.*", "p.up", F.coalesce(F.col("p.next") - 1, F.col("last_line")).alias("end_line"))
+    rows = by_file.join(last, "file_path").select("file_path", F.inline(nested_scopes(F.col("all"), F.col("last_line")))).select("file_path", "d.*", "end_line")
     kind = F.when((F.col("kind") == "method") | ((F.col("language") == "python") & F.col("up").isNotNull()), "function").otherwise(F.col("kind"))
-    parent = F.when(F.col("up").isNotNull(), F.concat_ws("::", "file_path", "up.name"))
+    parent = F.when(F.col("up").isNotNull(), F.concat_ws("::", "file_path", "up"))
     return rows.select(
         "file_path", "language", kind.alias("type"), "name", parent.alias("parent"), F.concat_ws("::", F.coalesce(parent, F.col("file_path")), "name").alias("qualified_name"),
         F.col("line_no").alias("start_line"), "end_line", visibility(F.col("language"), F.col("name"), F.col("line")).alias("visibility"), F.trim("line").alias("signature"),
@@ -179,18 +207,29 @@ def extract_calls(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def doc_tags(comment: Column) -> Column:
-    """struct(description, params, returns, examples, deprecated, tags) of a doc comment."""
+    """struct(description, params, returns, examples, deprecated, tags) of a doc comment.
+
+    A tag's text runs to the next tag. Of several returns or deprecations the last with a text counts; `deprecated` is null where
+    there is none, and empty without a text. Other tags, as (name, text), need a text.
+    """
     plain = F.regexp_replace(F.regexp_replace(comment, r"^\s*/\*\*|\*/\s*$", ""), r"(?m)^\s*\*[ \t]?", "")
-    every = lambda p, g=1: F.transform(F.regexp_extract_all(plain, F.lit(p), F.lit(g)), lambda t: F.trim(t))
-    params = F.transform(every(r"(?m)^@param[ \t]+(.+)$"), lambda x: F.regexp_replace(x, r"^\{[^}]*\}\s*", ""))
-    return F.struct(
-        F.trim(F.regexp_extract(plain, r"(?s)^(.*?)(?=\n\s*@|$)", 1)).alias("description"),
-        F.transform(params, lambda x: F.struct(F.regexp_extract(x, r"^(\S+)", 1).alias("name"), F.regexp_replace(F.regexp_extract(x, r"^\S+\s*(.*)$", 1), r"^-\s*", "").alias("text"))).alias("params"),
-        F.nullif(F.trim(F.regexp_extract(plain, r"(?m)^@returns?[ \t]+(.+)$", 1)), F.lit("")).alias("returns"),
-        every(r"(?ms)^@example[ \t]*\n?(.*?)(?=^@|\z)").alias("examples"),
-        plain.rlike(r"(?m)^@deprecated\b").alias("deprecated"),
-        every(r"(?m)^@(?!param|returns?\b|example|deprecated)(\w+)").alias("tags"),
-    )
+    parts = F.split(plain, r"(?m)^[ \t]*@(?=\w)")
+    blank = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    tags = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.struct(F.regexp_extract(x, r"^(\w+)", 1).alias("name"), blank(F.regexp_replace(x, r"^\w+", "")).alias("text")))
+
+    def split(tags: Column) -> Column:
+        of = lambda *names: F.transform(F.filter(tags, lambda t: t["name"].isin(*names) & (t["text"] != "")), lambda t: t["text"])
+        params = F.transform(of("param", "parameter"), lambda x: F.regexp_replace(x, r"^\{[^}]*\}\s*", ""))
+        name = r"(?s)^(\S+)\s*-?\s*(.*)$"
+        old = F.filter(tags, lambda t: t["name"] == "deprecated")
+        return F.struct(
+            blank(parts[0]).alias("description"),
+            F.transform(F.filter(params, lambda x: x != ""), lambda x: F.struct(F.regexp_extract(x, name, 1).alias("name"), blank(F.regexp_extract(x, name, 2)).alias("text"))).alias("params"),
+            F.try_element_at(of("returns", "return"), F.lit(-1)).alias("returns"), of("example").alias("examples"), F.try_element_at(old, F.lit(-1))["text"].alias("deprecated"),
+            F.filter(tags, lambda t: ~t["name"].isin("param", "parameter", "returns", "return", "example", "deprecated") & (t["text"] != "")).alias("tags"),
+        )
+
+    return let(tags, split)
 
 
 def annotation_candidates(entities: DataFrame, limit: int | None = 500, least: int = 8) -> DataFrame:
@@ -208,12 +247,15 @@ def within_budget(rows: DataFrame, cost: Column, budget: float, order: list[str]
 
 
 def author_docs(docs: Column) -> Column:
-    """A doc struct (C8) as text."""
-    params = F.array_join(F.transform(docs["params"], lambda p: F.concat(F.lit("- "), p["name"], F.lit(": "), p["text"])), "\n")
-    return F.concat_ws(
-        "\n", F.nullif(docs["description"], F.lit("")), F.nullif(params, F.lit("")), F.concat(F.lit("Returns: "), docs["returns"]),
-        F.when(docs["deprecated"], "Deprecated"), F.nullif(F.array_join(docs["examples"], "\n"), F.lit("")),
+    """A doc struct (C8) as text; null if there is nothing in it."""
+    listed = F.transform(docs["params"], lambda p: F.concat(F.lit("  - "), p["name"], F.lit(": "), p["text"]))
+    fenced = F.flatten(F.transform(docs["examples"], lambda x: F.array(F.lit("```"), x, F.lit("```"))))
+    headed = lambda head, some: F.when(F.size(some) > 0, F.array_join(F.concat(F.array(F.lit(head)), some), "\n"))
+    lines = F.concat_ws(
+        "\n", F.nullif(docs["description"], F.lit("")), headed("Parameters:", listed), F.concat(F.lit("Returns: "), docs["returns"]),
+        F.when(docs["deprecated"] == "", "Deprecated").otherwise(F.concat(F.lit("Deprecated: "), docs["deprecated"])), headed("Examples:", fenced),
     )
+    return F.nullif(lines, F.lit(""))
 
 
 def semantic_nodes(annotations: DataFrame) -> DataFrame:

@@ -299,17 +299,57 @@ def assemble_context(pinned: DataFrame, results: list[DataFrame], fallback: Data
 
 
 def render_entities(entities: DataFrame, files: int = 30) -> DataFrame:
-    """(id, block): one text block an entity by its type."""
-    kind = F.col("type")
-    place = F.concat_ws(":", "file_path", F.col("start_line").cast("string"))
-    listed = F.array_join(F.slice(F.coalesce("files_changed", F.array().cast("array<string>")), 1, files), "\n  ")
-    block = (
-        F.when(kind == "commit", F.concat_ws("\n", F.concat(F.lit("commit "), "id"), F.col("description"), F.concat(F.lit("  "), listed)))
-        .when(kind == "person", F.concat(F.lit("person "), F.col("name")))
-        .when(kind == "file", F.concat(F.lit("file "), F.coalesce("file_path", "name")))
-        .otherwise(F.concat_ws("\n", F.concat_ws(" ", kind, "name", F.concat(F.lit("("), place, F.lit(")"))), F.col("signature"), F.col("description")))
-    )
-    return entities.select("id", block.alias("block"))
+    """(id, block): an entity as prompt lines: header, place, language, signature, description, and what its type's metadata says.
+
+    entities: id, type, name and, where there, qualified_name, file_path, start_line, end_line, language, signature,
+    description, metadata (variant or JSON text). Commits show author, date, message, files and diff; persons e-mail and
+    commits; files hotness; functions, classes and types their docs; others up to 12 entries of metadata, keys in order.
+    """
+    col = lambda c: F.col(c) if c in entities.columns else F.lit(None).cast("string")
+    meta = col("metadata") if dict(entities.dtypes).get("metadata") == "variant" else F.try_parse_json(col("metadata"))
+    line = lambda label, x, end="": F.concat(F.lit(f"- {label}: "), F.nullif(x, F.lit("")), F.lit(end))
+    several = lambda head, some: F.when(F.size(some) > 0, F.array_join(F.concat(F.array(head), some), "\n"))
+    indent = lambda x, by: F.concat(F.lit(by), F.replace(x, F.lit("\n"), F.lit("\n" + by)))
+    fenced = lambda x, kind="": F.concat(F.lit(f"  ```{kind}\n"), indent(x, "  "), F.lit("\n  ```"))
+
+    def block(m: Column) -> Column:
+        text = lambda path, kind="string": F.try_variant_get(m, f"$.{path}", kind)
+        said = lambda path: F.nullif(text(path), F.lit(""))
+        number = lambda path: F.when(F.schema_of_variant(text(path, "variant")).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), text(path))
+        changed = F.coalesce(text("filesChanged", "array<string>"), F.array().cast("array<string>"))
+        more = F.when(F.size(changed) > files, F.array(F.concat(F.lit("    - … and "), (F.size(changed) - files).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+        commit = (
+            line("sha", text("sha")), F.concat(F.lit("- author: "), said("author"), F.coalesce(F.concat(F.lit(" <"), said("email"), F.lit(">")), F.lit(""))), line("date", text("date")),
+            F.concat(F.lit("- message:\n"), indent(said("message"), "    ")),
+            several(F.concat(F.lit("- files changed ("), F.size(changed).cast("string"), F.lit("):")), F.concat(F.transform(F.slice(changed, 1, files), lambda f: F.concat(F.lit("    - "), f)), more)),
+            F.concat(F.lit("- diff"), F.when(text("diffTruncated", "boolean"), " (truncated)").otherwise(""), F.lit(":\n"), fenced(said("diff"), "diff")),
+        )
+        params = F.coalesce(text("docs.params", "array<struct<name:string,description:string>>"), F.array().cast("array<struct<name:string,description:string>>"))
+        examples = F.coalesce(text("docs.examples", "array<string>"), F.array().cast("array<string>"))
+        docs = (
+            line("jsdoc", text("docs.description")), several(F.lit("- jsdoc params:"), F.transform(params, lambda p: F.concat(F.lit("    - "), p["name"], F.lit(": "), p["description"]))),
+            line("jsdoc returns", text("docs.returns")), F.when(text("docs.deprecated", "boolean"), "- deprecated").otherwise(line("deprecated", F.nullif(text("docs.deprecated"), F.lit("false")))),
+            several(F.lit("- jsdoc examples:"), F.transform(examples, lambda x: fenced(x))),
+        )
+        entries = F.filter(F.map_entries(F.try_variant_get(m, "$", "map<string,variant>")), lambda e: ~F.is_variant_null(e["value"]) & F.coalesce(e["value"].cast("string") != "", F.lit(True)))
+        shown = F.transform(entries, lambda e: F.concat(F.lit("    - "), e["key"], F.lit(": "), F.left(F.coalesce(e["value"].cast("string"), F.to_json(e["value"])), F.lit(200))))
+        other = (several(F.lit("- metadata:"), F.when(F.size(entries) <= 12, shown)),)
+        kind, where = F.col("type"), F.nullif(col("file_path"), F.lit(""))
+        span = F.when(col("start_line").cast("int") > 0, F.concat(F.lit(":"), col("start_line").cast("string"), F.lit("-"), F.coalesce(col("end_line").cast("string"), col("start_line").cast("string"))))
+        quoted = lambda label, x: line(label, F.concat(F.lit("`"), F.nullif(x, F.lit("")), F.lit("`")))
+        lines = lambda some: F.concat_ws("\n", *some)
+        own = (
+            F.when(kind == "commit", lines(commit)).when(kind == "person", lines((line("email", text("email")), line("commits", number("commitCount")))))
+            .when(kind == "file", lines((line("hotness", number("hotness"), " modification(s) in last 90 days"),)))
+            .when(kind.isin("function", "class", "type") & text("docs", "variant").isNotNull(), lines(docs)).when(m.isNotNull(), lines(other))
+        )
+        head = F.concat(F.lit("### [entity:"), F.col("id"), F.lit("] "), F.col("name"), F.lit(" ("), kind, F.lit(")"))
+        return lines((
+            head, quoted("qualified", col("qualified_name")), quoted("location", F.concat(where, F.coalesce(span, F.lit("")))), line("language", col("language")),
+            quoted("signature", F.left(col("signature"), F.lit(240))), line("description", col("description")), F.nullif(own, F.lit("")),
+        ))
+
+    return entities.select("id", let(meta, block).alias("block"))
 
 
 def unknown_citations(messages: DataFrame, chunks: DataFrame) -> DataFrame:

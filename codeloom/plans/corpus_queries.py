@@ -157,13 +157,21 @@ def code_calls(spark, d):
     return corpus.extract_calls(sources, corpus.extract_symbols(sources))
 
 
-@query("""SELECT p_partkey, p_name || chr(10) || '- size: of ' || p_brand || chr(10) || 'Returns: a part' || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Deprecated' ELSE '' END AS docs FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_name || chr(10) || p_type || chr(10) ELSE '' END || CASE WHEN p_size % 2 = 1 THEN 'Parameters:' || chr(10) || '  - size: of ' || p_brand || chr(10) || '  and more' || chr(10) || '  - other: ' || chr(10) ELSE '' END
+|| 'Returns: a part' || CASE p_size % 5 WHEN 0 THEN chr(10) || 'Deprecated' WHEN 1 THEN chr(10) || 'Deprecated: use ' || p_type ELSE '' END
+|| CASE WHEN p_size % 3 = 0 THEN chr(10) || 'Examples:' || chr(10) || '```' || chr(10) || 'make(' || p_partkey || ')' || chr(10) || '  .go()' || chr(10) || '```' ELSE '' END AS docs,
+CASE WHEN p_size % 7 = 0 THEN 'see:' || p_brand ELSE '' END AS other FROM part""")
 def author_docs(spark, d):
-    """A doc comment for each part, parsed and rendered."""
-    old = F.when(F.pmod("p_size", F.lit(2)) == 0, "\n * @deprecated").otherwise("")
-    comment = F.concat(F.lit("/**\n * "), "p_name", F.lit("\n * @param size - of "), "p_brand", F.lit("\n * @returns a part"), old, F.lit("\n */"))
+    """A doc comment for each part, with every kind of tag, parsed and rendered."""
+    odd = lambda n, k, *text: F.when(F.pmod("p_size", F.lit(n)) == k, F.concat(*[F.lit(x) if not hasattr(x, "cast") else x for x in text])).otherwise("")
+    comment = F.concat(
+        F.lit("/**\n"), F.when(F.pmod("p_partkey", F.lit(3)) > 0, F.concat(F.lit(" * "), F.col("p_name"), F.lit("\n * "), F.col("p_type"), F.lit("\n"))).otherwise(""),
+        odd(2, 1, " * @param {number} size - of ", F.col("p_brand"), "\n *   and more\n * @parameter other\n"), F.lit(" * @return\n * @returns a part\n"), odd(5, 0, " * @deprecated\n"),
+        odd(5, 1, " * @deprecated use ", F.col("p_type"), "\n"), odd(3, 0, " * @example\n * make(", F.col("p_partkey").cast("string"), ")\n *   .go()\n"), odd(7, 0, " * @see ", F.col("p_brand"), "\n"), F.lit(" * @internal\n */"),
+    )
     rows = table(spark, d, "part").select("p_partkey", corpus.doc_tags(comment).alias("tags"))
-    return rows.select("p_partkey", corpus.author_docs(F.col("tags")).alias("docs"))
+    other = F.array_join(F.transform("tags.tags", lambda t: F.concat_ws(":", t["name"], t["text"])), ",")
+    return rows.select("p_partkey", corpus.author_docs(F.col("tags")).alias("docs"), other.alias("other"))
 
 
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) SELECT 'commit:' || o AS entity_id, count(*) AS chunks FROM l GROUP BY 1
@@ -347,14 +355,37 @@ def answer_context(spark, d):
     return found.select("id", "kind", "source", F.length("text").alias("n"))
 
 
-@query("""SELECT 'c:' || c_custkey AS id, 'class ' || c_name || ' (c.ts:' || c_nationkey || ')' || chr(10) || 'sig' || chr(10) || c_mktsegment AS block FROM customer
-UNION ALL SELECT 'o:' || o_orderkey, 'commit o:' || o_orderkey || chr(10) || o_orderpriority || chr(10) || '  a' || chr(10) || '  b' FROM orders""")
+@query("""WITH n AS (SELECT chr(10) AS x), f AS (SELECT l_orderkey, list('p' || l_partkey ORDER BY l_linenumber, l_partkey) AS files FROM lineitem GROUP BY 1)
+SELECT 'c' || c_custkey AS id, '### [entity:c' || c_custkey || '] ' || c_name || ' (class)' || x || '- qualified: `c.ts::' || c_name || '`' || x || '- location: `c.ts' || CASE WHEN c_nationkey > 0 THEN ':' || c_nationkey || '-' || c_nationkey ELSE '' END || '`'
+ || x || '- language: typescript' || x || '- signature: `' || left('class ' || c_name || repeat(' x', 150), 240) || '`' || x || '- description: ' || c_mktsegment || x || '- jsdoc: of ' || c_name || x || '- jsdoc params:' || x || '    - size: in ' || c_nationkey
+ || x || '- jsdoc returns: it' || CASE c_custkey % 3 WHEN 0 THEN x || '- deprecated' WHEN 1 THEN x || '- deprecated: since ' || c_nationkey ELSE '' END || x || '- jsdoc examples:' || x || '  ```' || x || '  one' || x || '  two' || x || '  ```' AS block FROM customer, n
+UNION ALL SELECT 'o' || o_orderkey, '### [entity:o' || o_orderkey || '] order (commit)' || x || '- sha: ' || o_orderkey || x || '- author: ' || o_custkey || CASE WHEN o_orderstatus = 'O' THEN ' <' || o_custkey || '@x.org>' ELSE '' END || x || '- message:' || x || '    ' || o_orderpriority || x || '    '
+ || x || '    done' || CASE WHEN files IS NULL THEN '' ELSE x || '- files changed (' || len(files) || '):' || x || array_to_string(list_transform(files[:3], lambda p: '    - ' || p), chr(10)) || CASE WHEN len(files) > 3 THEN x || '    - … and ' || (len(files) - 3) || ' more' ELSE '' END END
+ || x || '- diff' || CASE WHEN o_orderstatus = 'F' THEN ' (truncated)' ELSE '' END || ':' || x || '  ```diff' || x || '  -a' || x || '  +' || o_orderstatus || x || '  ```' FROM orders LEFT JOIN f ON l_orderkey = o_orderkey, n
+UNION ALL SELECT 's' || s_suppkey, '### [entity:s' || s_suppkey || '] ' || s_name || ' (person)' || x || '- email: s' || s_suppkey || '@x.org' || CASE WHEN s_suppkey % 2 = 0 THEN x || '- commits: ' || s_nationkey ELSE '' END FROM supplier, n
+UNION ALL SELECT 'p' || p_partkey, '### [entity:p' || p_partkey || '] ' || p_name || ' (file)' || x || '- hotness: ' || p_size || ' modification(s) in last 90 days' FROM part, n
+UNION ALL SELECT 'n' || n_nationkey, '### [entity:n' || n_nationkey || '] ' || n_name || ' (concept)' || x || '- metadata:' || x || '    - list: [1,2]' || x || '    - region: ' || n_regionkey || x || '    - word: ' || n_name FROM nation, n""")
 def evidence_blocks(spark, d):
-    """Customers as classes, orders as commits."""
-    none = F.lit(None).cast("array<string>")
-    classes = table(spark, d, "customer").select(star.ident("c", "c_custkey").alias("id"), F.lit("class").alias("type"), F.col("c_name").alias("name"), F.lit("c.ts").alias("file_path"), F.col("c_nationkey").alias("start_line"), F.lit("sig").alias("signature"), F.col("c_mktsegment").alias("description"), none.alias("files_changed"))
-    commits = table(spark, d, "orders").select(star.ident("o", "o_orderkey").alias("id"), F.lit("commit").alias("type"), F.lit("x").alias("name"), F.lit(None).cast("string").alias("file_path"), F.lit(1).alias("start_line"), F.lit(None).cast("string").alias("signature"), F.col("o_orderpriority").alias("description"), F.array(F.lit("a"), F.lit("b")).alias("files_changed"))
-    return retrieval.render_entities(classes.unionByName(commits))
+    """Every kind of block: customers as classes, orders as commits, suppliers as persons, parts as files, nations as concepts."""
+    def entity(name, key, kind, label, meta, **more):
+        fields = {"qualified_name": F.lit(None), "file_path": F.lit(None), "start_line": F.lit(None).cast("int"), "language": F.lit(None), "signature": F.lit(None), "description": F.lit(None)} | more
+        rows = name if not isinstance(name, str) else table(spark, d, name)
+        return rows.select(key.alias("id"), F.lit(kind).alias("type"), label.alias("name"), *[(v if k == "start_line" else v.cast("string")).alias(k) for k, v in fields.items()], F.to_json(meta).alias("metadata"))
+
+    ident = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    old = F.when(F.pmod("c_custkey", F.lit(3)) == 0, "true").when(F.pmod("c_custkey", F.lit(3)) == 1, F.concat(F.lit("\"since "), F.col("c_nationkey").cast("string"), F.lit("\""))).otherwise("false")
+    docs = F.struct(F.concat(F.lit("of "), "c_name").alias("description"), F.array(F.struct(F.lit("size").alias("name"), F.concat(F.lit("in "), F.col("c_nationkey").cast("string")).alias("description"))).alias("params"), F.lit("it").alias("returns"), F.array(F.lit("one\ntwo")).alias("examples"), F.parse_json(old).alias("deprecated"))
+    classes = entity("customer", ident("c", "c_custkey"), "class", F.col("c_name"), F.struct(docs.alias("docs")), qualified_name=F.concat(F.lit("c.ts::"), "c_name"), file_path=F.lit("c.ts"), start_line=F.col("c_nationkey").cast("int"), language=F.lit("typescript"), signature=F.concat(F.lit("class "), "c_name", F.repeat(F.lit(" x"), F.lit(150))), description=F.col("c_mktsegment"))
+    changed = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("p"), x["l_partkey"].cast("string"))).alias("files"))
+    orders = table(spark, d, "orders").join(changed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    text = lambda c: F.col(c).cast("string")
+    commits = entity(orders, ident("o", "o_orderkey"), "commit", F.lit("order"), F.struct(
+        text("o_orderkey").alias("sha"), text("o_custkey").alias("author"), F.when(F.col("o_orderstatus") == "O", F.concat(text("o_custkey"), F.lit("@x.org"))).alias("email"), F.lit("").alias("date"), F.concat("o_orderpriority", F.lit("\n\ndone")).alias("message"),
+        F.col("files").alias("filesChanged"), F.concat(F.lit("-a\n+"), "o_orderstatus").alias("diff"), (F.col("o_orderstatus") == "F").alias("diffTruncated")))
+    people = entity("supplier", ident("s", "s_suppkey"), "person", F.col("s_name"), F.struct(F.concat(ident("s", "s_suppkey"), F.lit("@x.org")).alias("email"), F.parse_json(F.when(F.pmod("s_suppkey", F.lit(2)) == 0, text("s_nationkey")).otherwise(F.lit("\"none\""))).alias("commitCount")))
+    parts = entity("part", ident("p", "p_partkey"), "file", F.col("p_name"), F.struct(F.col("p_size").alias("hotness")))
+    nations = entity("nation", ident("n", "n_nationkey"), "concept", F.col("n_name"), F.struct(F.col("n_name").alias("word"), F.col("n_regionkey").alias("region"), F.array(F.lit(1), F.lit(2)).alias("list"), F.lit("").alias("none")))
+    return retrieval.render_entities(union([classes, commits, people, parts, nations]), files=3)
 
 
 @query("SELECT o_orderkey AS chunk_id FROM orders WHERE o_custkey = 7 AND o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.runtime import top
@@ -27,6 +27,37 @@ def upsert(target: DataFrame, batch: DataFrame, key: list[str], seq: str, keep_i
     return untouched.unionByName(keyed.select(*columns)).unionByName(batch.filter(~whole).select(*columns))
 
 
+class VersionedTable:
+    """A table as numbered versions in a folder that all executors share. A version counts once Spark has marked it as written whole.
+
+    The newest `keep` versions stay, so that readers of the one before aren't cut off.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        self.spark, self.path, self.keep = spark, path, keep
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs, self._root = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), root
+
+    def versions(self) -> list[int]:
+        if not self._fs.exists(self._root):
+            return []
+        numbers = [int(name[2:]) for f in self._fs.listStatus(self._root) if (name := f.getPath().getName()).startswith("v=")]
+        return sorted(n for n in numbers if self.has(n))
+
+    def has(self, number: int) -> bool:
+        return self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._root, f"v={number}/_SUCCESS"))
+
+    def load(self, before: int | None = None) -> DataFrame | None:
+        """The newest version, or the newest below a number; None if there is none."""
+        found = [n for n in self.versions() if before is None or n < before]
+        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
+
+    def save(self, rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/v={number}")
+        for old in self.versions()[: -self.keep]:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._root, f"v={old}"), True)
+
+
 def insert_absent(target: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
     """The rows to append: one for each key that the target lacks."""
     return batch.dropDuplicates(key).join(target.select(*key), key, "left_anti").select(*batch.columns)

@@ -1,20 +1,19 @@
 """Streaming operators (T1-T9), each with a batch twin over the same rows.
 
-Rate limit, cooldown and change feed keep state by key in applyInPandasWithState; spend, rates
-and quantiles are windowed aggregates under a watermark. State is bounded: the rate limit
-keeps a window's timestamps, the others one value a key. A stream that runs on can let idle
-keys expire (idle_ms); an available-now run can't, as timeouts keep it from ending.
+Rate limit, alerts, cooldown, quota and change feed keep state by key (state.py); spend, rates and quantiles are
+windowed aggregates under a watermark. State is bounded: the rate limit keeps a window's timestamps, the
+others one value a key, and rows wait in it until the watermark has passed them. Event-time timers close days and
+clear idle keys; the change feed's keys can have a time to live.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-from collections.abc import Callable, Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+
+from codeloom.sources.sinks import VersionedTable, upsert
+from codeloom.streaming import state
 
 TERMINAL = ("ready", "failed")
 GROUP_ROWS = 10_000
@@ -38,44 +37,10 @@ def rate_limit(events: DataFrame, limit: int, window_s: int) -> DataFrame:
     return rows.select(*events.columns, F.col("in_window").cast("long").alias("in_window"), (F.col("in_window") <= limit).alias("ok"), F.greatest(F.lit(limit) - F.col("in_window"), F.lit(0)).cast("long").alias("remaining"), F.when(F.col("in_window") > limit, F.col("_first") + w_ms - F.col("_ms")).otherwise(0).cast("long").alias("retry_after_ms"))
 
 
-def _with_state(step: Callable, order: list[str], columns: list[str], first: tuple, idle_ms: int | None) -> Callable:
-    """A state function: the key's new rows in order go through step(key, row tuples, state) -> (out rows, state)."""
-
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        batch = pd.concat(list(frames)).sort_values(order)
-        out, new = step(key[0], batch, state.get if state.exists else first)
-        state.update(new)
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=columns)
-
-    return run
-
-
-def _stateful(rows: DataFrame, step: Callable, order: list[str], out: str, state: str, first: tuple, idle_ms: int | None) -> DataFrame:
-    names = [x.split()[0] for x in out.split(", ")]
-    return rows.groupBy("key").applyInPandasWithState(_with_state(step, order, names, first, idle_ms), out, state, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
-
-
-def _rate_step(limit: int, window_ms: int) -> Callable:
-    def step(key, batch: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
-        seen, out, first = [int(x) for x in state[0]], [], 0
-        for event_id, ms in zip(batch["event_id"], batch["ms"]):
-            insort(seen, int(ms), lo=first)  # at the end but for late events
-            first = max(first, bisect_right(seen, ms - window_ms))
-            out.append((key, event_id, len(seen) - first, len(seen) - first <= limit))
-        return out, (seen[first:],)
-
-    return step
-
-
-def rate_limit_stream(events: DataFrame, limit: int, window_s: int, idle_ms: int | None = None) -> DataFrame:
-    """T1, stream: (key, event_id, in_window, ok)."""
-    rows = events.select("key", "event_id", millis(F.col("ts")).alias("ms"))
-    return _stateful(rows, _rate_step(limit, window_s * 1000), ["ms", "event_id"], f"key {_kind(events, 'key')}, event_id long, in_window long, ok boolean", "seen array<long>", ([],), idle_ms)
+def rate_limit_stream(events: DataFrame, limit: int, window_s: int, watermark: str = "0 seconds") -> DataFrame:
+    """T1, stream: (key, event_id, in_window, ok, remaining, retry_after_ms), once the watermark has passed an event."""
+    rows = events.select("key", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.lit(0.0).alias("amount"))
+    return state.in_order(rows, state.RateLimit(["key"], limit, window_s * 1000), "event_id long, in_window long, ok boolean, remaining long, retry_after_ms long", watermark)
 
 
 def daily_spend(costs: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -104,6 +69,15 @@ def spend_alerts(costs: DataFrame, cap: float) -> DataFrame:
     return placed.withColumn("is_first_crossing", crossing).drop("_minute", "_m", "_start", "_before")
 
 
+def spend_alerts_stream(costs: DataFrame, cap: float, watermark: str = "48 hours") -> DataFrame:
+    """T3, stream: (day, event_id, running, level) of each first crossing, and a row of level closed with the day's sum once the day is over.
+
+    A day is one key: its sum decides on every cost, in order.
+    """
+    rows = costs.filter(~F.coalesce("own_key", F.lit(False))).select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.coalesce("amount", F.lit(0.0)).alias("amount")).withColumn("day", F.to_date("ts"))
+    return state.in_order(rows, state.DayAlerts(["day"], cap), "event_id long, running double, level string", watermark)
+
+
 def _cooldown(cooldown_ms: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ms", "event_id"])
@@ -135,22 +109,10 @@ def alert_cooldown(events: DataFrame, cooldown_s: int) -> DataFrame:
     return placed.groupBy("key", "group").applyInPandas(_cooldown(cooldown_s * 1000), f"key {_kind(events, 'key')}, event_id long, sent boolean")
 
 
-def _cooldown_step(cooldown_ms: int) -> Callable:
-    def step(key, batch: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
-        last, out = state[0], []
-        for event_id, ms in zip(batch["event_id"], batch["ms"]):
-            fire = last is None or ms - last >= cooldown_ms
-            last = int(ms) if fire else last
-            out.append((key, event_id, fire))
-        return out, (last,)
-
-    return step
-
-
-def alert_cooldown_stream(events: DataFrame, cooldown_s: int, idle_ms: int | None = None) -> DataFrame:
+def alert_cooldown_stream(events: DataFrame, cooldown_s: int, watermark: str = "0 seconds") -> DataFrame:
     """T4, stream."""
-    rows = events.select("key", "event_id", millis(F.col("ts")).alias("ms"))
-    return _stateful(rows, _cooldown_step(cooldown_s * 1000), ["ms", "event_id"], f"key {_kind(events, 'key')}, event_id long, sent boolean", "last long", (None,), idle_ms)
+    rows = events.select("key", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.lit(0.0).alias("amount"))
+    return state.in_order(rows, state.Cooldown(["key"], cooldown_s * 1000), "event_id long, sent boolean", watermark)
 
 
 def daily_quota(events: DataFrame, limit: float) -> DataFrame:
@@ -160,6 +122,12 @@ def daily_quota(events: DataFrame, limit: float) -> DataFrame:
     return rows.withColumn("used_before", F.coalesce(F.sum("amount").over(w), F.lit(0.0))).withColumn("allowed", F.col("used_before") < limit)
 
 
+def daily_quota_stream(events: DataFrame, limit: float, watermark: str = "1 hour") -> DataFrame:
+    """T5, stream: (key, day, event_id, used_before, allowed); a key's day is forgotten once it is over."""
+    rows = events.select("key", F.col("ts").cast("timestamp").alias("ts"), "event_id", "amount").withColumn("day", F.to_date("ts"))
+    return state.in_order(rows, state.DayQuota(["key", "day"], limit), "event_id long, used_before double, allowed boolean", watermark)
+
+
 def change_feed(snapshots: DataFrame) -> DataFrame:
     """T6, batch: snapshots (key, seq, status, snapshot) that differ from the one before; a key ends at its first terminal status."""
     w = Window.partitionBy("key").orderBy("seq")
@@ -169,22 +137,11 @@ def change_feed(snapshots: DataFrame) -> DataFrame:
     return rows.filter("_changed and _ended = 0").drop("_changed", "_ended")
 
 
-def _feed_step(key, batch: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
-    last, known, ended = state
-    out = []
-    for seq, status, snapshot in zip(batch["seq"], batch["status"], batch["snapshot"]):
-        if ended:
-            break
-        if not known or snapshot != last:
-            out.append((key, seq, status, snapshot))
-        last, known, ended = snapshot, True, status in TERMINAL
-    return out, (last, known, ended)
-
-
 def change_feed_stream(snapshots: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """T6, stream."""
+    """T6, stream; with idle_ms a key that has been idle so long is forgotten."""
     rows = snapshots.select("key", "seq", "status", "snapshot")
-    return _stateful(rows, _feed_step, ["seq"], f"key {_kind(snapshots, 'key')}, seq long, status string, snapshot string", "last string, known boolean, ended boolean", (None, False, False), idle_ms)
+    out = f"key {_kind(snapshots, 'key')}, seq long, status string, snapshot string"
+    return rows.groupBy("key").transformWithStateInPandas(state.Feed(TERMINAL, idle_ms), out, "append", "processingTime" if idle_ms else "none")
 
 
 def counter_rate(events: DataFrame, label: str, duration: str, slide: str, seconds: int, watermark: str | None = None) -> DataFrame:
@@ -212,12 +169,26 @@ def bucket_quantiles(events: DataFrame, by: list[Column], value: str, quantiles:
     return out.drop(*names)
 
 
-def upsert_stream(stream: DataFrame, key: list[str], seq: str, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str):
-    """A writer whose micro-batches are upserted (S11); replayed batches give the same table."""
-    from codeloom.sources.sinks import upsert
+def upsert_stream(stream: DataFrame, key: list[str], seq: str, table: VersionedTable, checkpoint: str, event_time: str | None = None, delay: str | None = None):
+    """A writer whose micro-batches are upserted (S11), each exactly once.
 
-    def each(batch: DataFrame, _: int) -> None:
-        save(upsert(load(), batch, key, seq))
+    A batch writes the version of its own number, from the version before it; a batch that is replayed after a crash
+    finds its version there and changes nothing, or finds it unfinished and writes it again from the same base. With event_time and
+    delay, rows sent again within the delay are dropped before they get here.
+    """
+    if event_time:
+        stream = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([*key, seq])
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # read once: what lies upstream may keep state
+        try:
+            if table.has(number):
+                batch.count()  # the state upstream is still to be brought up to this batch
+            else:
+                base = table.load(before=number)
+                table.save(upsert(batch.limit(0) if base is None else base, batch, key, seq), number)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 

@@ -103,8 +103,45 @@ def test_doc_tags(spark):
     comment = "/**\n * Pays an order.\n * @param {string} id - the order\n * @returns nothing\n * @deprecated\n * @since 2\n */"
     d = spark.createDataFrame([(comment,)], "c string").select(corpus.doc_tags(F.col("c")).alias("d"))
     r = d.first().d
-    assert (r.description, r.params[0].name, r.params[0].text, r.returns, r.deprecated, r.tags) == ("Pays an order.", "id", "the order", "nothing", True, ["since"])
-    assert "- id: the order" in d.select(corpus.author_docs(F.col("d"))).first()[0]
+    assert (r.description, r.params[0].name, r.params[0].text, r.returns, r.deprecated, [tuple(t) for t in r.tags]) == ("Pays an order.", "id", "the order", "nothing", "", [("since", "2")])
+    assert d.select(corpus.author_docs(F.col("d"))).first()[0] == "Pays an order.\nParameters:\n  - id: the order\nReturns: nothing\nDeprecated"
+    none = spark.createDataFrame([("/** */",), ("/**\n * @internal\n */",), (None,)], "c string").select(corpus.author_docs(corpus.doc_tags(F.col("c"))))
+    assert [r[0] for r in none.collect()] == [None] * 3
+
+
+def plain_scopes(rows, last):
+    out = []
+    for i, (line, indent) in enumerate(rows):
+        up = next((rows[j][0] for j in range(i - 1, -1, -1) if rows[j][1] < indent), None)
+        end = next((rows[j][0] - 1 for j in range(i + 1, len(rows)) if rows[j][1] <= indent), last)
+        out.append((line, up and f"n{up}", end))
+    return sorted(out)
+
+
+def test_scopes_in_one_pass(spark):
+    import random
+    import time
+
+    rnd = random.Random(1)
+    struct = lambda rows: [(a, b, f"n{a}", "function", "python", "x") for a, b in rows]
+    files = {k: [(3 * i + 1, 4 * rnd.randrange(5)) for i in range(n)] for k, n in (("a", 1), ("b", 700), ("c", corpus.SCOPE_BLOCK), ("d", 30))}
+    df = spark.createDataFrame([(k, struct(rows), 9999) for k, rows in files.items()], "f string, all array<struct<line_no:int,indent:int,name:string,kind:string,language:string,line:string>>, last int")
+    got = df.select("f", F.inline(corpus.nested_scopes(F.col("all"), F.col("last")))).collect()
+    for k, rows in files.items():
+        assert sorted((r.d.line_no, r.d.up, r.end_line) for r in got if r.f == k) == plain_scopes(rows, 9999)
+    text = "\n".join(f"{'    ' * (i % 4)}def f{i}():" for i in range(50_000))
+    big = spark.createDataFrame([("big.py", "python", text)], "file_path string, language string, text string")
+    start = time.time()
+    assert corpus.extract_symbols(big).filter("end_line >= start_line").count() == 50_000 and time.time() - start < 60
+
+
+def test_evidence_of_odd_metadata(spark):
+    from codeloom.operators import retrieval
+
+    rows = [("1", "commit", "x", None), ("2", "commit", "x", "no json"), ("3", "thing", "x", "[1]"), ("4", "thing", "x", '{"a": null, "b": "", "c": {"d": 1.5}}'), ("5", "thing", "x", "{" + ",".join(f'"k{i}": {i}' for i in range(13)) + "}"),
+            ("6", "person", "x", '{"commitCount": "9"}'), ("7", "file", "x", '{"hotness": 0}'), ("8", "commit", "x", '{"email": "a@b.c", "message": "m"}')]
+    got = {r.id: r.block.split("\n")[1:] for r in retrieval.render_entities(spark.createDataFrame(rows, "id string, type string, name string, metadata string")).collect()}
+    assert got == {"1": [], "2": [], "3": [], "4": ["- metadata:", '    - c: {"d":1.5}'], "5": [], "6": [], "7": ["- hotness: 0 modification(s) in last 90 days"], "8": ["- message:", "    m"]}
 
 
 def test_budget(spark):
