@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions import angles
 from codeloom.functions.blocks import SLACK, Block, exact, rough
+from codeloom.operators import neighbours
 from codeloom.runtime import checkpoint
 
 MERGE, FLAG = 0.9, 0.75
@@ -27,15 +29,23 @@ def similar_pairs(vectors: DataFrame, block: list[str], least: float = FLAG, til
     """(a, b, ord_a, ord_b, similarity) of entities of one block with a before b, cosine at least `least`, and different names.
 
     vectors: id, ord, name, embedding and the block columns; rows without an embedding, and those with
-    a null in a block column, have no partner. Exact: every vector meets every other of its block. A
-    block is dealt by a hash of id to tiles of about tile_rows; a task holds two tiles, takes their
-    matrix product and returns only the pairs found, so a block of any size is spread over tasks.
+    a null in a block column, have no partner. Exact: a block lies in regions around pivots, and every two regions that can
+    hold a pair (neighbours.py) meet, in tiles of about tile_rows. A task holds two tiles, takes their matrix product and
+    returns only the pairs found, so a block of any size is spread over tasks.
     """
-    held = vectors.filter("embedding is not null").select(*block, "id", "ord", "name", "embedding").dropna(subset=block)
-    tiles = held.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_tiles"))
-    dealt = held.join(tiles, block).withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
-    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    met = met.select(*block, F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), "_tile", "id", "ord", "name", "embedding")
+    held = vectors.filter("embedding is not null").select(*block, "id", "ord", "name", F.col("embedding").cast("array<double>").alias("vector")).dropna(subset=block)
+    pivots = angles.sampled(held.filter(F.size("vector") > 0), "id", "vector", neighbours.PIVOTS)
+    placed = neighbours.in_regions(held, pivots, block, tile_rows)
+    pairs = checkpoint(neighbours.region_pairs(placed, len(pivots), block, least))
+    tile = lambda region, part: F.struct(F.col(region).alias("region"), F.col(part).alias("part"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = []
+    for own, other in (("a", "b"), ("b", "a")):
+        side = placed.drop("parts").withColumnRenamed("region", f"{own}_region").withColumnRenamed("part", f"{own}_part").join(pairs, [*block, f"{own}_region"]).withColumn(f"{other}_part", every(f"{other}_parts"))
+        # Within one region each pair of tiles meets once, and a tile meets itself once.
+        side = side.filter((F.col("a_region") < F.col("b_region")) | (F.col("a_part") <= F.col("b_part")))
+        sides.append(side.select(*block, tile("a_region", "a_part").alias("_i"), tile("b_region", "b_part").alias("_j"), F.lit(own == "b").alias("_right"), "id", "ord", "name", "vector"))
+    met = sides[0].unionByName(sides[1].filter("_i <> _j"))
     kinds = {c: held.schema[c].dataType.simpleString() for c in ("id", "ord")}
     schema = f"a {kinds['id']}, b {kinds['id']}, ord_a {kinds['ord']}, ord_b {kinds['ord']}, similarity double"
     return met.groupBy(*block, "_i", "_j").applyInPandas(_tile_pairs(least), schema)
@@ -46,9 +56,9 @@ def _tile_pairs(least: float):
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one_tile = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
-        x, y = (pdf[pdf["_tile"] == pdf[c]] for c in ("_i", "_j"))
-        a, b = Block(x["embedding"]), Block(y["embedding"])
+        one_tile = not pdf["_right"].any()
+        x, y = (pdf, pdf) if one_tile else (pdf[~pdf["_right"]], pdf[pdf["_right"]])
+        a, b = Block(x["vector"]), Block(y["vector"])
         i, j = np.nonzero(rough(a, b) >= least - SLACK)
         if one_tile:  # each pair once
             i, j = i[i < j], j[i < j]

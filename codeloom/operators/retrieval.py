@@ -15,7 +15,8 @@ from codeloom.functions.blocks import SLACK, Block, exact, rough
 from codeloom.functions.stem import STOP_WORDS, let, may_have_stem
 from codeloom.functions.stem import stem as stem_of
 from codeloom.functions.vectors import cosine
-from codeloom.runtime import checkpoint, top, union
+from codeloom.operators import neighbours
+from codeloom.runtime import top, union
 
 RRF_K = 60
 ARM = 4
@@ -188,27 +189,21 @@ def nearest(chunks: DataFrame, query: list[float] | Column, limit: int) -> DataF
 def nearest_batch(chunks: DataFrame, queries: DataFrame, limit: int, max_queries: int | None = None) -> DataFrame:
     """V2 for a table of queries (query_id, vector): (query_id, chunk_id, distance, rank).
 
-    Any number of queries: they are dealt by a hash to passes of at most about BLOCK_BYTES of vectors
-    (or max_queries), small enough to go to every task. A task takes the matrix product of its chunks with
-    the pass's queries and keeps each query's best rows, so only tasks x queries x limit rows are
-    shuffled. Ties go to the smaller chunk_id. Queries and chunks without a vector are left out.
+    Queries whose vectors take BLOCK_BYTES at most (or max_queries) go to every task: a task takes the matrix product of its chunks with
+    them and keeps each query's best rows, so only tasks x queries x limit rows are shuffled. More of them stay in their
+    table and meet the chunks by regions (neighbours.py). Ties go to the smaller chunk_id. Queries and
+    chunks without a vector are left out.
     """
     by = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     held = chunks.filter("embedding is not null").select("chunk_id", "embedding")
     asked = queries.filter("vector is not null").select("query_id", "vector")
-    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {held.schema['chunk_id'].dataType.simpleString()}, distance double"
-
     n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    each = max_queries or max(1, BLOCK_BYTES // (8 * max(1, width or 0)))
-    passes = max(1, -(-n // each))
-    if passes > 1:
-        asked = checkpoint(asked.withColumn("_pass", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(passes))))
-    found = []
-    for i in range(passes):
-        block = (asked.filter(F.col("_pass") == i).drop("_pass") if passes > 1 else asked).toPandas()  # about `each` rows
-        best = held.mapInPandas(_best_of(block["query_id"].to_numpy(), list(block["vector"]), limit), schema)
-        found.append(checkpoint(best) if passes > 1 else best)
-    return union(found).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
+    if n > (max_queries or BLOCK_BYTES // (8 * max(1, width or 0))):
+        return neighbours.nearest(held, asked, limit)
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {held.schema['chunk_id'].dataType.simpleString()}, distance double"
+    block = asked.toPandas()  # its size has been checked
+    best = held.mapInPandas(_best_of(block["query_id"].to_numpy(), list(block["vector"]), limit), schema)
+    return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
 
 
 def _best_of(query_ids, vectors: list, limit: int):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import stem
 from codeloom.functions import text as X
 from codeloom.functions import vectors as V
-from codeloom.operators import activity, corpus, graph, issues, retrieval
+from codeloom.operators import activity, corpus, graph, issues, neighbours, retrieval
 from codeloom.plans import search_sql, star
 from codeloom.plans.registry import query
 from codeloom.runtime import table
@@ -41,11 +41,11 @@ SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[],
 SELECT query_id, chunk_id, round(1 - s, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= {limit}"""
 
 
-def _batch(spark, d, limit):
+def _batch(spark, d, limit, search=retrieval.nearest_batch):
     """Each row whose id is divisible by 20 against all rows, so that the queries grow with the table."""
     vectors = table(spark, d, "embeddings")
     asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = retrieval.nearest_batch(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, limit)
+    found = search(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, limit)
     return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
@@ -65,6 +65,12 @@ def _texts(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
+@query(_batch_sql(7))
+def nearest_by_regions(spark, d):
+    """V2: the seven nearest of each query, where the queries are too many for one block."""
+    return _batch(spark, d, 7, neighbours.nearest)
+
+
 _BOTH = f"WITH {search_sql.found(['thing', 'ere'])}, x AS ({search_sql.closeness('ere', 'thing')}) SELECT chunk_id, round(score, 9) AS score FROM x"
 
 
