@@ -1,7 +1,10 @@
-"""Scalar text functions (F1-F22) as column expressions: no Python runs per row."""
+"""Scalar text functions (F1-F22) as column expressions; only trim_result, which is recursive, runs Python."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,6 +184,23 @@ def trim_items(items: Column, limit: int = 30) -> Column:
     return F.slice(items, 1, limit)
 
 
+def trim_result(document: Column, items: int = 30, chars: int = 4000) -> Column:
+    """F20 on a JSON text of any depth: arrays to their first items, strings of objects to their first characters with a mark."""
+
+    def trimmed(x):
+        if isinstance(x, list):
+            return [trimmed(v) for v in x[:items]]
+        if isinstance(x, dict):
+            return {k: v[:chars] + "… [truncated]" if isinstance(v, str) and len(v) > chars else trimmed(v) for k, v in x.items()}
+        return x
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else json.dumps(trimmed(json.loads(t)), ensure_ascii=False, separators=(",", ":")))
+
+    return run(F.when(F.try_parse_json(document).isNotNull(), document))
+
+
 def strip_keys(metadata: Column, keys: list[str]) -> Column:
     """a map without some keys."""
     return F.map_filter(metadata, lambda k, _: ~k.isin(keys))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.functions.vectors import micro_cents, token_estimate
 from codeloom.operators.issues import path_suffixes, ranked_in
-from codeloom.runtime import top
+from codeloom.runtime import checkpoint, top, union
 
 # Daily limits by kind of identity.
 COUNTERS = ("workspaces", "messages", "tokens")
@@ -66,11 +68,16 @@ def sparkline(monthly: DataFrame, months: int = 12, least: int = 4) -> DataFrame
 
 
 def user_report(users: DataFrame, workspaces: DataFrame, sessions: DataFrame, messages: DataFrame, as_of: Column, limit: int | None = 200) -> DataFrame:
-    """A4: users with workspaces owned and own messages in 30 days; measures are aggregated before the joins."""
+    """A4: users with workspaces owned, own messages in 30 days and whether they brought a key; measures are aggregated before the joins.
+
+    The key itself (encrypted_byok_api_key, where users have it) doesn't come out.
+    """
     owned = workspaces.groupBy(F.col("owner_user_id").alias("id")).agg(F.count(F.lit(1)).alias("workspaces"))
     recent = messages.filter((F.col("role") == "user") & (F.col("created_at") >= days_before(as_of, 30)))
     sent = recent.join(sessions.select(F.col("id").alias("session_id"), "user_id"), "session_id").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("messages_30d"))
     rows = users.join(owned, "id", "left").join(sent, "id", "left").fillna(0, ["workspaces", "messages_30d"])
+    if "encrypted_byok_api_key" in users.columns:
+        rows = rows.withColumn("has_byok", F.col("encrypted_byok_api_key").isNotNull()).drop("encrypted_byok_api_key")
     return top(rows, limit, F.desc("created_at"), "id")
 
 
@@ -135,13 +142,48 @@ def owner_workspaces(workspaces: DataFrame, owner, limit: int = 100) -> DataFram
     return top(workspaces.filter(F.col("owner_user_id") == owner), limit, F.desc("created_at"), "id")
 
 
+BUCKETS = 1024
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """by and one column for each of the quantiles (name to share): exact, between ranks linear, of the finite values.
+
+    A rank is looked for in buckets between the least and the largest value; the bucket that holds it becomes the next range, until all its
+    values are one. A pass keeps BUCKETS counts a range, never the values, and narrows the range BUCKETS times.
+    """
+    held = rows.select(*by, F.col(value).cast("double").alias("_v")).filter("abs(_v) < double('infinity')")
+    whole = held.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    same = lambda a, b, keys: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+    ranks = []
+    for name, q in quantiles.items():
+        at = F.lit(q) * (F.col("_n") - 1)
+        ranks += [whole.select(*by, "_low", "_high", F.lit(name).alias("_q"), (at - F.floor(at)).alias("_share"), F.lit(top_end).alias("_up"), end(at).cast("long").alias("_rank")) for top_end, end in ((False, F.floor), (True, F.ceil))]
+    ranks = checkpoint(union(ranks))
+    while not (wide := ranks.filter("_low < _high")).isEmpty():
+        spans = wide.select(*by, "_low", "_high").distinct()
+        inside = held.alias("r").join(spans.alias("s"), same("r", "s", by) & F.col("_v").between(F.col("_low"), F.col("_high"))).select(*[f"s.{k}" for k in by], "_low", "_high", "_v")
+        half = lambda c: F.col(c) / 2 - F.col("_low") / 2  # noqa: E731  a whole difference may not fit a double
+        bucket = F.when(half("_high") > 0, F.least(F.floor(half("_v") / half("_high") * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.when(F.col("_v") > F.col("_low"), BUCKETS - 1).otherwise(0))
+        counts = inside.groupBy(*by, "_low", "_high", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        upto = F.sum("_c").over(Window.partitionBy(*by, "_low", "_high").orderBy("_b"))
+        found = counts.withColumn("_before", upto - F.col("_c"))
+        keys = [*by, "_low", "_high"]
+        next_ = wide.alias("w").join(found.alias("f"), same("w", "f", keys) & (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+        next_ = next_.select(*[f"w.{k}" for k in by], F.col("_from").alias("_low"), F.col("_to").alias("_high"), "_q", "_share", "_up", (F.col("_rank") - F.col("_before")).alias("_rank"))
+        ranks = checkpoint(ranks.filter("_low >= _high").unionByName(next_))
+    ends = ranks.groupBy(*by, "_q").agg(F.max(F.when(~F.col("_up"), F.col("_low"))).alias("a"), F.max(F.when(F.col("_up"), F.col("_low"))).alias("b"), F.max("_share").alias("s"))
+    return ends.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == name, F.col("a") + (F.col("b") - F.col("a")) * F.col("s"))).alias(name) for name in quantiles])
+
+
 def trace_rollup(traces: DataFrame) -> DataFrame:
     """Runs, failures, failure rate and latency by operator. traces: op, ok, duration_ms."""
-    d = F.col("duration_ms")
-    return traces.groupBy("op").agg(
+    sums = traces.groupBy("op").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("ok")).alias("failures"), F.round(F.count_if(~F.col("ok")) / F.count(F.lit(1)), 4).alias("failure_rate"),
-        F.round(F.avg(d), 4).alias("avg_ms"), F.round(F.percentile(d, 0.5), 4).alias("p50_ms"), F.round(F.percentile(d, 0.95), 4).alias("p95_ms"),
+        F.round(F.avg("duration_ms"), 4).alias("avg_ms"),
     )
+    ends = exact_percentiles(traces, ["op"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95}).withColumnRenamed("op", "_op")
+    joined = sums.join(ends, F.col("op").eqNullSafe(F.col("_op")), "left").drop("_op")
+    return joined.withColumns({c: F.round(c, 4) for c in ("p50_ms", "p95_ms")})
 
 
 def slowest(traces: DataFrame, n: int = 10) -> DataFrame:
@@ -193,10 +235,10 @@ def public_listing(workspaces: DataFrame, query: str = "", limit: int | None = 5
 
 
 def public_stats(workspaces: DataFrame) -> DataFrame:
-    """(id, stats): only the top-level finite numbers of the stats document."""
-    number = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
-    fields = F.from_json("stats", "map<string,string>")
-    return workspaces.select("id", F.map_filter(fields, lambda _, v: v.rlike(number)).alias("stats"))
+    """(id, stats): only the top-level finite numbers of the stats document, as doubles; a string that looks like one is none."""
+    fields = F.try_variant_get(F.try_parse_json("stats"), "$", "map<string,variant>")
+    numbers = F.map_filter(fields, lambda _, v: F.schema_of_variant(v).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    return workspaces.select("id", F.transform_values(numbers, lambda _, v: v.cast("double")).alias("stats"))
 
 
 def chunks_for_paths(chunks: DataFrame, paths: DataFrame, per_path: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.stem import let
-from codeloom.runtime import top
+from codeloom.runtime import checkpoint, top
 from codeloom.sources.files import language_of
 
 # Fixed names.
@@ -239,11 +239,27 @@ def annotation_candidates(entities: DataFrame, limit: int | None = 500, least: i
 
 
 def within_budget(rows: DataFrame, cost: Column, budget: float, order: list[str], by: list[str]) -> DataFrame:
-    """C11: rows in order while the cost spent before them is below the budget; `exhausted` tells the groups cut short."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    spent = F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = rows.withColumn("spent", spent).withColumn("_keep", F.col("spent") < budget)
-    return out.withColumn("exhausted", F.bool_or(~F.col("_keep")).over(Window.partitionBy(*by))).filter("_keep").drop("_keep")
+    """C11: rows in order while the cost spent before them is below the budget; `exhausted` tells the groups cut short.
+
+    Rows are sorted in ranges over all tasks; a range starts from the sums of the ranges before it, so that a large group
+    isn't one task.
+    """
+    ranged = checkpoint(rows.withColumn("_cost", cost).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_cost").alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    w = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.col("_start") + F.coalesce(F.sum("_cost").over(w), F.lit(0))
+    out = ranged.join(starts, same).withColumn("spent", spent).drop("_start", "_r", *[f"_{c}" for c in by])
+    over = out.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max("spent").alias("_most"))
+    ends = F.lit(True)
+    for c in by:
+        ends = ends & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    kept = out.filter(F.col("spent") < budget).join(over, ends).withColumn("exhausted", F.col("_most") >= budget)
+    return kept.select(*rows.columns, "spent", "exhausted")
 
 
 def author_docs(docs: Column) -> Column:

@@ -168,6 +168,30 @@ def entity_details(edges: DataFrame, ids: DataFrame, limit: int = 200) -> DataFr
     return first.join(totals, ["id", "direction"]).select("id", "direction", "type", "other", "total")
 
 
+def entity_page(entities: DataFrame, edges: DataFrame, links: DataFrame, chunks: DataFrame, ids: DataFrame, chunk_limit: int = 20) -> dict[str, DataFrame]:
+    """What the page of each id shows: the entity itself, its edges (with the entity at the other end), its linked chunks and the counts.
+
+    links: entity_id, chunk_id. Chunks are the first chunk_limit by path, line and id.
+    """
+    own = entities.join(ids, "id", "left_semi")
+    other = entities.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("type").alias("other_type"))
+    rows = entity_details(edges, ids).join(other, "other")
+    linked = links.join(ids.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").join(chunks, "chunk_id")
+    first = Window.partitionBy("entity_id").orderBy("file_path", "start_line", "chunk_id")
+    shown = linked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= chunk_limit).drop("r").withColumnRenamed("entity_id", "id")
+    counts = rows.groupBy("id").agg(F.count_if(F.col("direction") == "incoming").alias("incoming"), F.count_if(F.col("direction") == "outgoing").alias("outgoing"))
+    return {"entity": own, "edges": rows, "chunks": shown, "counts": counts}
+
+
+def subgraph_summary(entities: DataFrame, nodes: DataFrame, max_nodes: int) -> DataFrame:
+    """(type, total, shown, truncated): entities of each type in all, those among a view's nodes, and whether the view was cut at its limit."""
+    primary = nodes.filter("not context").select("id")
+    cut = primary.agg((F.count(F.lit(1)) >= max_nodes).alias("truncated"))  # one row
+    shown = entities.join(primary, "id", "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("shown"))
+    totals = entities.groupBy("type").agg(F.count(F.lit(1)).alias("total"))
+    return totals.join(shown, "type", "left").fillna(0, ["shown"]).crossJoin(F.broadcast(cut))
+
+
 def subgraph(entities: DataFrame, edges: DataFrame, types: list[str], language: str | None = None, max_nodes: int | None = 5000, context: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges). Nodes of the types, and with `context` up to that many neighbours; edges with both ends visible.
 

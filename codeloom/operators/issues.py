@@ -57,7 +57,12 @@ def chunks_per_entity(links: DataFrame, chunks: DataFrame, entities: DataFrame,
 
 
 def list_issues(issues: DataFrame, labels: list[str] | None = None, state: str = "open", limit: int | None = 15, number: int | None = None, match: str = "all") -> DataFrame:
-    """Issues by state and labels, newest first; if no issue has the labels, all of the state."""
+    """Issues by state and labels, newest first; if no issue has the labels, all of the state.
+
+    Pull requests (rows with `pull_request`, where issues have that column) are none; the limit is held to 1 to 30.
+    """
+    issues = issues.filter(F.col("pull_request").isNull()) if "pull_request" in issues.columns else issues
+    limit = None if limit is None else min(max(limit, 1), 30)
     if number is not None:
         return issues.filter(F.col("number") == number)
     rows = issues if state == "all" else issues.filter(F.col("state") == state)

@@ -256,6 +256,16 @@ def trimmed_items(spark, d):
     return table(spark, d, "documents").select("doc_id", kept.alias("w")).select("doc_id", F.size("w").alias("items"), F.element_at("w", -1).alias("last"))
 
 
+@query(r"""SELECT doc_id, '{"items":[' || array_to_string(list_transform(range(least(doc_id % 40, 30)), lambda i: i::VARCHAR), ',') || '],"deep":{"text":"' || CASE WHEN length(t) > 50 THEN t[:50] || '… [truncated]' ELSE t END || '"},"kept":["' || t || '"]}' AS trimmed
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g') AS t FROM documents)""")
+def trimmed_results(spark, d):
+    """results as JSON: arrays cut, strings of objects cut, strings of arrays not."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")
+    items = F.when(F.pmod("doc_id", F.lit(40)) == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(0).cast("long"), F.pmod("doc_id", F.lit(40)) - 1))
+    document = F.to_json(F.struct(items.alias("items"), F.struct(t.alias("text")).alias("deep"), F.array(t).alias("kept")))
+    return table(spark, d, "documents").select("doc_id", X.trim_result(document, chars=50).alias("trimmed"))
+
+
 @query("""WITH o AS (SELECT o_orderkey, date_diff('day', o_orderdate, max(o_orderdate) OVER ()) AS d FROM orders)
 SELECT o_orderkey, CASE WHEN d < 1 THEN 'today' WHEN d < 30 THEN d || 'd ago' WHEN d // 30 < 12 THEN (d // 30) || 'mo ago' ELSE (d // 365) || 'y ago' END AS age FROM o""")
 def relative_ages(spark, d):
@@ -286,11 +296,11 @@ def sequence_diagram(spark, d):
     return graph.sequence_text(steps, nodes.select("id", F.col("id").alias("name"), F.lit("function").alias("type")))
 
 
-@query("SELECT o_orderkey AS number FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 15")
+@query("SELECT o_orderkey AS number FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_orderkey % 3 > 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 30")
 def list_issues(spark, d):
-    """Open orders of a priority as labelled issues."""
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("number"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"), F.array("o_orderpriority").alias("labels"), F.col("o_orderdate").alias("updated_at"))
-    return issues.list_issues(rows, ["1-URGENT"]).select("number")
+    """Open orders of a priority as labelled issues, a third of them pull requests; more asked for than are given."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("number"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"), F.array("o_orderpriority").alias("labels"), F.col("o_orderdate").alias("updated_at"), F.when(F.pmod("o_orderkey", F.lit(3)) == 0, "pull").alias("pull_request"))
+    return issues.list_issues(rows, ["1-URGENT"], limit=100).select("number")
 
 
 @query("""WITH r AS (SELECT vec_id AS other, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 2 = 0 THEN 'closed' ELSE 'open' END AS state FROM embeddings ORDER BY vec_id DESC LIMIT 60),
@@ -395,12 +405,16 @@ def latest_chunk(spark, d):
     return activity.latest_chunk(rows, "c:7").select("chunk_id")
 
 
-@query("SELECT c_custkey AS id, 2::INT AS n, c_custkey::VARCHAR AS files FROM customer")
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 3 WHEN 3 THEN 0 ELSE 2 END::INT AS n, CASE WHEN c_custkey % 4 IN (0, 1) THEN c_custkey::DOUBLE END AS files,
+CASE WHEN c_custkey % 4 < 3 THEN -150.0 END AS ratio, CASE WHEN c_custkey % 4 IN (0, 2) THEN c_acctbal END AS balance FROM customer""")
 def public_stats(spark, d):
-    """Two of four fields are numbers."""
-    text = F.concat(F.lit('{"files": '), _s("c_custkey"), F.lit(', "name": "'), "c_mktsegment", F.lit('", "ratio": -1.5e2, "list": [1]}'))
-    found = activity.public_stats(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("stats")))
-    return found.select("id", F.size("stats").alias("n"), F.col("stats")["files"].alias("files"))
+    """Numbers, strings that look like numbers, nested values; a fourth of the documents are no objects."""
+    kind, n = F.pmod("c_custkey", F.lit(4)), _s("c_custkey")
+    files = F.when(kind.isin(0, 1), n).otherwise(F.concat(F.lit('"'), n, F.lit('"')))
+    balance = F.when(kind.isin(0, 2), _s("c_acctbal")).otherwise(F.lit("null"))
+    text = F.concat(F.lit('{"files": '), files, F.lit(', "name": "'), "c_mktsegment", F.lit('", "ratio": -1.5e2, "list": [1], "deep": {"files": 1}, "yes": true, "balance": '), balance, F.lit("}"))
+    found = activity.public_stats(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(kind == 3, "[1, 2]").otherwise(text).alias("stats")))
+    return found.select("id", F.coalesce(F.size("stats"), F.lit(0)).alias("n"), *[F.col("stats")[c].alias(c) for c in ("files", "ratio", "balance")])
 
 
 @query("SELECT './src/f' || p_partkey || '.ts' AS path, p_partkey AS chunk_id FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'f' || p_partkey || '.ts', p_partkey FROM part WHERE p_partkey % 3 = 1")

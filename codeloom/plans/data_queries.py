@@ -310,10 +310,11 @@ def commit_type(spark, d):
     return star.commits(spark, d).groupBy(X.conventional_type(m).alias("kind"), X.is_breaking(m).alias("breaking")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_custkey, o_orderkey, rank::INT AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 2")
+@query("SELECT o_custkey, o_orderkey, rank::INT AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders WHERE o_orderstatus <> 'F') WHERE rank <= 2")
 def latest_commits(spark, d):
-    """The two newest orders of each customer."""
-    return files.latest_commits(table(spark, d, "orders"), ["o_custkey"], 2, "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "rank")
+    """The two newest orders of each customer; filled ones are merges."""
+    parents = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("a"), F.lit("b"))).when(F.col("o_orderstatus") == "O", F.array(F.lit("a")))
+    return files.latest_commits(table(spark, d, "orders").withColumn("parents", parents), ["o_custkey"], 2, "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "rank")
 
 
 @query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, (props::JSON ->> 'none') AS missing FROM events")
@@ -340,11 +341,13 @@ def _tenants(spark, d):
 
 
 @query("""WITH w AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'view' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY 1)
-SELECT c_custkey AS id, c_name AS login, coalesce(w.n, 0) AS workspaces, coalesce(m.n, 0) AS messages_30d FROM customer LEFT JOIN w ON o_custkey = c_custkey LEFT JOIN m ON user_id = c_custkey""")
+SELECT c_custkey AS id, c_name AS login, coalesce(w.n, 0) AS workspaces, coalesce(m.n, 0) AS messages_30d, c_acctbal > 0 AS has_byok FROM customer LEFT JOIN w ON o_custkey = c_custkey LEFT JOIN m ON user_id = c_custkey""")
 def user_report(spark, d):
-    """A4."""
+    """A4: customers with a balance brought a key."""
     users, spaces, sessions, messages, _ = _tenants(spark, d)
-    return activity.user_report(users, spaces, sessions, messages, star.as_of(messages, "created_at"), None).select("id", "login", "workspaces", "messages_30d")
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, "secret").alias("encrypted_byok_api_key"))
+    users = users.join(keys, "id")
+    return activity.user_report(users, spaces, sessions, messages, star.as_of(messages, "created_at"), None).select("id", "login", "workspaces", "messages_30d", "has_byok")
 
 
 @query("""WITH s AS (SELECT user_id, sum(floor(value * 100))::BIGINT AS m FROM events GROUP BY 1)

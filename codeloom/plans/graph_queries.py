@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import build, graph, overview, resolve
 from codeloom.plans import star
 from codeloom.plans.registry import query
-from codeloom.runtime import table
+from codeloom.runtime import table, union
 from codeloom.sources import sinks
 
 _WALK = """WITH RECURSIVE {edges}, walk AS (
@@ -112,6 +112,29 @@ def entity_details(spark, d):
     return graph.entity_details(star.edges(spark, d), table(spark, d, "supplier").select(star.ident("s", "s_suppkey").alias("id")), 20)
 
 
+@query(f"""WITH {star.NODES_SQL}, {star.EDGES_SQL}, i AS (SELECT 'n:' || n_nationkey AS id FROM nation), e AS (SELECT dst AS id, 'incoming' AS direction, type, src AS other FROM edges UNION ALL SELECT src, 'outgoing', type, dst FROM edges),
+r AS (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY e.id, direction ORDER BY type, other) AS n FROM e JOIN i USING (id)) WHERE n <= 200),
+c AS (SELECT 'n:' || c_nationkey AS id, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS n FROM customer)
+SELECT 'entity' AS part, id, name AS item FROM nodes JOIN i USING (id) UNION ALL SELECT 'edge', r.id, direction || ' ' || nodes.type || ' ' || nodes.name FROM r JOIN nodes ON nodes.id = other
+UNION ALL SELECT 'chunk', id, c_custkey::VARCHAR FROM c WHERE n <= 20 UNION ALL SELECT 'counts', id, count(*) FILTER (direction = 'incoming') || '/' || count(*) FILTER (direction = 'outgoing') FROM r GROUP BY id""")
+def entity_page(spark, d):
+    """W4 of all nations: the nation, its edges with their other ends, its customers as linked chunks, and counts."""
+    links = table(spark, d, "customer").select(star.ident("n", "c_nationkey").alias("entity_id"), F.col("c_custkey").alias("chunk_id"))
+    chunks = table(spark, d, "customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_mktsegment").alias("file_path"), F.lit(1).alias("start_line"))
+    ids = table(spark, d, "nation").select(star.ident("n", "n_nationkey").alias("id"))
+    page = graph.entity_page(star.nodes(spark, d), star.edges(spark, d), links, chunks, ids)
+    row = lambda part, item: page[part].select(F.lit({"edges": "edge", "chunks": "chunk"}.get(part, part)).alias("part"), "id", item.cast("string").alias("item"))
+    return union([row("entity", F.col("name")), row("edges", F.concat_ws(" ", "direction", "other_type", "other_name")), row("chunks", F.col("chunk_id")), row("counts", F.concat_ws("/", F.col("incoming").cast("string"), F.col("outgoing").cast("string")))])
+
+
+@query(f"""WITH {star.NODES_SQL}, p AS (SELECT id, type FROM nodes WHERE type IN ('customer', 'nation') ORDER BY id LIMIT 100)
+SELECT type, count(*) AS total, count(*) FILTER (id IN (SELECT id FROM p)) AS shown, (SELECT count(*) FROM p) >= 100 AS truncated FROM nodes GROUP BY 1""")
+def subgraph_stats(spark, d):
+    """Types in all and in a view cut at 100 nodes."""
+    nodes = star.nodes(spark, d)
+    return graph.subgraph_summary(nodes, graph.subgraph(nodes, star.edges(spark, d), ["customer", "nation"], max_nodes=100)[0], 100)
+
+
 @query(f"""WITH {star.NODES_SQL}, {star.EDGES_SQL}, v AS (SELECT id FROM nodes WHERE type IN ('customer', 'nation', 'region'))
 SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)""")
 def subgraph_view(spark, d):

@@ -111,12 +111,24 @@ def cap_diffs(spark, d):
     return files.cap_diffs(rows, 20, 250, 80).select("sha", "pos", F.col("elided").cast("long").alias("elided"))
 
 
+@query("""SELECT c_custkey AS id, '{"a":' || CASE WHEN c_acctbal > 0 THEN '"2"' ELSE '1' END || ',"b":{"c":[1,' || c_custkey || ']},"d":true' || CASE WHEN c_acctbal > 0 THEN ',"e":{"c":null}' ELSE '' END || '}' AS merged FROM customer""")
+def merge_stats_json(spark, d):
+    """S15 on JSON texts: a number by a string, nested values whole."""
+    left = F.concat(F.lit('{"d": true, "a": 1, "b": {"c": [1, '), _text("c_custkey"), F.lit("]}}"))
+    right = F.when(F.col("c_acctbal") > 0, '{"a": "2", "e": {"c": null}}').otherwise("not json")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.from_json(sinks.merge_stats_json(left, right), "map<string,string>").alias("m"))
+    # JSON objects have no order; by key they are equal texts.
+    entries = F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.when(k == "a", F.when(F.col("c_acctbal") > 0, F.concat(F.lit('"'), F.col("m")[k], F.lit('"'))).otherwise(F.col("m")[k])).otherwise(F.col("m")[k])))
+    rows = rows.join(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), "id")
+    return rows.select("id", F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("merged"))
+
+
 @query("SELECT o_orderkey AS number, 'closes #' || o_custkey AS excerpt, 1::BIGINT AS issues FROM (SELECT * FROM orders WHERE o_orderstatus <> 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 200) WHERE o_orderstatus = 'F'")
 def merged_pulls(spark, d):
     """Orders as pull requests."""
     status = F.col("o_orderstatus")
     rows = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("number"), F.lit("t").alias("title"), F.concat(F.lit("**closes** "), F.lit("#"), _text("o_custkey")).alias("b"), F.concat(F.lit("closes #"), _text("o_custkey")).alias("body"), F.when(status == "O", "open").otherwise("closed").alias("state"),
+        F.col("o_orderkey").alias("number"), F.lit("fixes #1").alias("title"), F.concat(F.lit("**closes** "), F.lit("#"), _text("o_custkey")).alias("b"), F.concat(F.lit("closes #"), _text("o_custkey")).alias("body"), F.when(status == "O", "open").otherwise("closed").alias("state"),
         F.when(status == "F", F.col("o_orderdate")).alias("merged_at"), F.col("o_orderdate").alias("updated_at"), F.array(F.lit("x")).alias("labels"), F.lit("me").alias("author"),
     )
     found = files.merged_pulls(rows)

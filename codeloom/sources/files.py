@@ -25,7 +25,10 @@ def scan_tree(spark: SparkSession, root: str, limit: int | None = MAX_FILES) ->
     Spark doesn't list files whose names begin with a dot: ignore files take effect where a table of files has them (keep_files).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + root.rstrip("/").rsplit("/", 1)[-1].replace(".", r"\.") + "/", "")
+    # Paths come back as whole URIs; the root, whole as well, is what is cut.
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    rel = F.substring(F.col("path"), F.locate(whole, F.col("path")) + len(whole), F.length("path"))
     return keep_files(files.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), "content"), limit)
 
 
@@ -117,7 +120,8 @@ def fallback_chunks(files: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def latest_commits(commits: DataFrame, by: list[str], limit: int = 200, ts: str = "ts", key: str = "sha") -> DataFrame:
-    """The newest commits of each repository, with their rank."""
+    """The newest commits of each repository, with their rank. Merges (more than one of `parents`, where commits have them) don't count."""
+    commits = commits.filter(F.coalesce(F.size("parents") <= 1, F.lit(True))) if "parents" in commits.columns else commits
     w = Window.partitionBy(*by).orderBy(F.desc(ts), key)
     return commits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
@@ -148,5 +152,4 @@ def cap_diffs(diffs: DataFrame, per_file: int = FILE_DIFF, per_commit: int = COM
 def merged_pulls(pulls: DataFrame, limit: int = 200) -> DataFrame:
     """Merged pull requests among the newest closed ones, with the issues they close and an excerpt."""
     newest = top(pulls.filter(F.col("state") == "closed"), limit, F.desc("updated_at"), "number")
-    text = F.concat_ws("\n", "title", "body")
-    return newest.filter("merged_at is not null").select("number", "title", X.excerpt(F.col("body"), 400).alias("excerpt"), X.fix_refs(text, "index").alias("issues"), "labels", "author", "merged_at")
+    return newest.filter("merged_at is not null").select("number", "title", X.excerpt(F.col("body"), 400).alias("excerpt"), X.fix_refs(F.coalesce("body", F.lit("")), "index").alias("issues"), "labels", "author", "merged_at")

@@ -79,6 +79,12 @@ def merge_stats(left: Column, right: Column) -> Column:
     return F.when(right.isNull(), left).when(left.isNull(), right).otherwise(F.map_concat(mine, right))
 
 
+def merge_stats_json(left: Column, right: Column) -> Column:
+    """S15 on JSON texts: nested values and types of the winning side stay whole; a text that is no object counts as none."""
+    fields = lambda x: F.try_variant_get(F.try_parse_json(x), "$", "map<string,variant>")
+    return F.to_json(merge_stats(fields(left), fields(right)))
+
+
 def append(rows: DataFrame, path: str) -> None:
     """S16."""
     rows.write.mode("append").parquet(path)

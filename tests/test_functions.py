@@ -79,3 +79,13 @@ def test_costs(spark):
     price = lambda v: one(spark, lambda c: V.micro_cents(c, 15), v, kind="long")
     assert (price(1_000_000), price(None), price(-5), price(3)) == (150_000, 0, 0, 0)
     assert one(spark, V.token_estimate, "abcde") == 2 and one(spark, V.token_estimate, None) == 0
+
+
+def test_trim_result(spark):
+    import json
+
+    rows = [(json.dumps({"a": list(range(40)), "b": {"s": "x" * 5000, "l": ["y" * 5000, {"t": "z" * 4001}]}, "c": None}),), ('"' + "s" * 5000 + '"',), ("no json",), (None,), ("[[1, 2], 3]",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "d string").select(X.trim_result(F.col("d"))).collect()]
+    first = json.loads(got[0])
+    assert first["a"] == list(range(30)) and first["b"]["s"] == "x" * 4000 + "… [truncated]" and first["b"]["l"] == ["y" * 5000, {"t": "z" * 4000 + "… [truncated]"}] and first["c"] is None
+    assert got[1:] == ['"' + "s" * 5000 + '"', None, None, "[[1,2],3]"]
