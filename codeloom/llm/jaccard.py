@@ -331,7 +331,8 @@ def _classes(docs: DataFrame, shingle: int, threshold_pct: int, frequent: int) -
         if not more.isEmpty():
             label = connected(links.unionByName(more))
     found = copies.join(signed.select("node", "n"), "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = found.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("head"))
+    # A row a component, written, so that the join back deals the texts of a large component to several tasks.
+    heads = C.checkpoint(found.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("head")))
     return found.join(heads, "root").select("h1", "h2", "rep", "n", F.col("head.rep").alias("component"), (F.col("head.node") == F.col("node")).alias("first"))
 
 
