@@ -26,3 +26,8 @@ def test_latest_commits_takes_every_order(spark):
     assert found == expected
     orders = spark.read.parquet(f"{SMALL}/orders.parquet")
     assert len(found) == sum(min(r["count"], 2) for r in orders.groupBy("o_custkey").count().collect())
+
+
+def test_setup_guide_without_a_package_file_near(spark):
+    found, expected = both(spark, LARGE, "setup_guide")
+    assert found == expected and found
