@@ -14,7 +14,6 @@ driver and a key that every document has costs one entry per chunk.
 from __future__ import annotations
 
 import os
-import tempfile
 import zlib
 
 import numpy as np
@@ -22,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.runtime import checkpoint  # noqa: F401
+
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 NULL_ID = np.iinfo(np.int64).max
 CHUNK_BYTES = 4 << 20
@@ -31,16 +32,6 @@ _B1 = np.uint64(0x9E3779B97F4A7C15)
 _B2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder the cluster names; in local mode (tests) a temporary one where none is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
-    return df.checkpoint()
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
