@@ -46,23 +46,29 @@ def chunk_code(files: DataFrame, entities: DataFrame) -> DataFrame:
     whole; otherwise one chunk for each top-level entity of LEAST_SPAN lines, a large one giving
     way to its children; a file that ends up without chunks stays whole.
     """
-    sized = files.withColumn("n_lines", F.size(F.split("text", "\n", -1)))
     spans = entities.filter(F.col("type") != "file").withColumn("span", F.col("end_line") - F.col("start_line") + 1)
     at_top = F.col("parent").isNull() | (F.col("parent") == F.col("file_path"))
     children = spans.filter(~at_top).select("file_path", F.col("parent").alias("p"), F.struct("start_line", "end_line", "qualified_name", "type").alias("child"))
     tops = spans.filter(at_top & (F.col("span") >= LEAST_SPAN))
-    kids = tops.filter(F.col("span") > LARGE_ENTITY).join(children.withColumnRenamed("p", "qualified_name"), ["file_path", "qualified_name"])
+    # Spark guesses long texts and computed spans to be small; a merge join never holds them in the driver.
+    kids = tops.filter(F.col("span") > LARGE_ENTITY).join(children.withColumnRenamed("p", "qualified_name").hint("merge"), ["file_path", "qualified_name"])
     by_child = kids.select("file_path", "child.start_line", "child.end_line", "child.qualified_name", "child.type")
     replaced = kids.select("file_path", "qualified_name").distinct()
-    by_top = tops.join(replaced, ["file_path", "qualified_name"], "left_anti").select("file_path", "start_line", "end_line", "qualified_name", "type")
-    picked = by_top.unionByName(by_child).join(sized.filter(F.col("n_lines") > SMALL_FILE).select("file_path", "text", "n_lines"), "file_path")
-    first, last = F.greatest("start_line", F.lit(1)).cast("int"), F.least("end_line", "n_lines").cast("int")
-    cut = picked.select("file_path", first.alias("start_line"), last.alias("end_line"), "qualified_name", slice_lines(F.col("text"), first, last).alias("text"), F.col("type").alias("entity_type"))
-    rest = sized.join(cut.select("file_path").distinct(), "file_path", "left_anti")
-    none = F.lit(None).cast("string")
-    whole = rest.select("file_path", F.lit(1).alias("start_line"), F.col("n_lines").alias("end_line"), none.alias("qualified_name"), "text", none.alias("entity_type"))
+    by_top = tops.join(replaced.hint("merge"), ["file_path", "qualified_name"], "left_anti").select("file_path", "start_line", "end_line", "qualified_name", "type")
+    picked = by_top.unionByName(by_child).groupBy("file_path").agg(F.collect_list(F.struct("start_line", "end_line", "qualified_name", "type")).alias("spans"))
+    joined = files.join(picked.hint("merge"), "file_path", "left")
+
+    def cut(lines: Column) -> Column:
+        n, text = F.size(lines), lambda a, b: F.array_join(F.slice(lines, a, F.greatest(b - a + 1, F.lit(0))), "\n")
+        chunk = lambda a, b, name, text, kind: F.struct(a.alias("start_line"), b.alias("end_line"), name.alias("qualified_name"), text.alias("text"), kind.alias("entity_type"))
+        first, last = lambda x: F.greatest(x["start_line"], F.lit(1)).cast("int"), lambda x: F.least(x["end_line"], n).cast("int")
+        none = F.lit(None).cast("string")
+        own = F.transform("spans", lambda x: chunk(first(x), last(x), x["qualified_name"], text(first(x), last(x)), x["type"]))
+        return F.when((n > SMALL_FILE) & F.col("spans").isNotNull(), own).otherwise(F.array(chunk(F.lit(1), n, none, F.col("text"), none)))
+
     kind = F.when(is_example_path(F.col("file_path")), "example").otherwise("code")
-    return cut.unionByName(whole).withColumn("language", language_of(F.col("file_path"))).withColumn("source_type", kind)
+    chunks = joined.select("file_path", F.inline(let(F.split("text", "\n", -1), cut)))
+    return chunks.withColumn("language", language_of(F.col("file_path"))).withColumn("source_type", kind)
 
 
 def section_chunks(docs: DataFrame, key: str = "file_path", heading: str = r"^#{1,3}\s+\S") -> DataFrame:

@@ -156,3 +156,11 @@ def test_history(spark):
     assert [tuple(r) for r in build.author_counts(commits).collect()] == [("tester::t@example.com", 3)]
     assert build.history_edges(commits, files).count() == 3 + 4
     assert build.history_nodes(commits).count() == 4
+
+
+def test_chunks_never_broadcast_texts(spark, tmp_path):
+    spark.createDataFrame([("a", "x\ny")], "file_path string, text string").write.parquet(str(tmp_path / "files"))
+    spark.createDataFrame([("a", "class", "A", None, 1, 300)], "file_path string, type string, qualified_name string, parent string, start_line int, end_line int").write.parquet(str(tmp_path / "spans"))
+    found = corpus.chunk_code(spark.read.parquet(str(tmp_path / "files")), spark.read.parquet(str(tmp_path / "spans")))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.start_line, r.end_line, r.text) for r in found.collect()] == [(1, 2, "x\ny")]
