@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codeloom.functions import text as X
 from codeloom.functions.blocks import SLACK, Block, exact, rough
@@ -270,16 +272,18 @@ def search_docs(chunks: DataFrame, query: str, vector: list[float] | Column | No
 def embed_pending(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = 64) -> DataFrame:
     """V5: rows with the null embeddings filled by a model, called in the tasks on batches of texts."""
 
-    def run(frames):
-        for pdf in frames:
-            vectors: list = []
-            for a in range(0, len(pdf), batch):
-                vectors += model(pdf[text].iloc[a : a + batch].fillna("").tolist())
-            yield pd.DataFrame({c: pdf[c] for c in columns if c != "embedding"} | {"embedding": vectors})[columns]
-
-    columns = rows.columns
-    pending = rows.filter("embedding is null")
-    return rows.filter("embedding is not null").unionByName(pending.mapInPandas(run, pending.schema))
+    kind = rows.schema["embedding"].dataType
+
+    @F.arrow_udf(kind)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        to = to_arrow_type(kind)
+        for part in parts:
+            done = [pa.array(model([t or "" for t in part.slice(a, batch).to_pylist()]), to) for a in range(0, len(part), batch)]
+            yield pa.concat_arrays(done) if done else pa.array([], to)
+
+    # Only the texts go to Python, as Arrow, and only vectors come back.
+    filled = rows.filter("embedding is null").withColumn("embedding", run(F.col(text)))
+    return rows.filter("embedding is not null").unionByName(filled)
 
 
 def assemble_context(pinned: DataFrame, results: list[DataFrame], fallback: DataFrame | None = None) -> DataFrame:

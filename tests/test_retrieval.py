@@ -150,3 +150,16 @@ def test_nearest_batch_twentieth_grows_with_the_table(spark):
     for sf in ("sf0.001", "sf0.01"):
         n = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").filter("vec_id % 20 = 0").count()
         assert QUERIES["nearest_batch_twentieth"](spark, f"/root/testdata/{sf}").count() == 5 * n
+
+
+def test_embed_pending_sends_texts_only(spark):
+    rows = spark.createDataFrame([(i, "ab" * i if i else None, "other", None) for i in range(130)], "chunk_id long, text string, more string, embedding array<float>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(len(texts) > 64)
+        return [[float(len(t))] for t in texts]
+
+    done = retrieval.embed_pending(rows, model)
+    assert "MapInPandas" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {r.chunk_id: (r.more, r.embedding) for r in done.collect()} == {i: ("other", [2.0 * i]) for i in range(130)} and calls.value == 0
