@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codeloom.functions.stem import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -23,11 +25,10 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """V6: digest bytes of the lower-cased text in turn, disturbed by a sine and scaled to unit length."""
     digest = F.sha2(F.lower(text), 256)
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.conv(F.substring(digest, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1 + F.sin(i * 0.013),
-    )
-    return F.zip_with(raw, F.array_repeat(norm(raw), dims), lambda x, n: x / F.greatest(n, F.lit(1e-12)))
+    number = lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1)
+    turns = F.slice(F.flatten(F.array_repeat(let(digest, number), -(-dims // 32))), 1, dims)
+    raw = F.zip_with(turns, F.array(*[F.sin(F.lit(i * 0.013)) for i in range(dims)]), lambda x, y: x + y)
+    return let(raw, lambda r: let(F.greatest(norm(r), F.lit(1e-12)), lambda n: F.transform(r, lambda x: x / n)))
 
 
 def token_estimate(text: Column) -> Column:

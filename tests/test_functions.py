@@ -89,3 +89,22 @@ def test_trim_result(spark):
     first = json.loads(got[0])
     assert first["a"] == list(range(30)) and first["b"]["s"] == "x" * 4000 + "… [truncated]" and first["b"]["l"] == ["y" * 5000, {"t": "z" * 4000 + "… [truncated]"}] and first["c"] is None
     assert got[1:] == ['"' + "s" * 5000 + '"', None, None, "[[1,2],3]"]
+
+
+def test_hash_embedding_against_plain(spark):
+    import hashlib
+    import math
+
+    for dims in (64, 40):
+        got = one(spark, lambda c: V.hash_embedding(c, dims), "Some Name")
+        digest = hashlib.sha256(b"some name").digest()
+        raw = [digest[i % 32] / 255 * 2 - 1 + math.sin(i * 0.013) for i in range(dims)]
+        norm = math.sqrt(sum(x * x for x in raw))
+        assert len(got) == dims and all(abs(x - y / norm) < 1e-12 for x, y in zip(got, raw))
+
+
+def test_hash_embedding_uses_every_core(spark):
+    import __spark_entry__ as entry
+
+    found = entry.queries()["hash_embedding"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
