@@ -152,11 +152,21 @@ def text_matches(chunks: DataFrame, query: str, stem: bool = True) -> DataFrame:
     return chunks.select("chunk_id", F.inline(F.filter(F.array(found), lambda r: r["match"]))).select("chunk_id", "score")
 
 
-def text_index(chunks: DataFrame) -> DataFrame:
-    """(lexeme, chunk_id, places): the inverted index of a table. Each distinct word is stemmed once, whatever its number of uses."""
+def query_lexemes(spark: SparkSession, query: str) -> list[str]:
+    return sorted({w for a in prepared(spark, query) for t in a for w, _ in t.words})
+
+
+def text_index(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(lexeme, chunk_id, places): the inverted index of a table. Each distinct word is stemmed once, whatever its number of uses.
+
+    With `only`, the entries of these lexemes. A lexeme has as many words as there are endings to it, so they go to every task, and the
+    words of the texts are shuffled neither for them nor for the places.
+    """
     placed = chunks.select("chunk_id", F.posexplode(words(F.coalesce("text", F.lit("")))).alias("at", "word")).filter(~F.col("word").isin(STOP_WORDS))
     placed = placed.select("chunk_id", "word", F.least(F.col("at") + 1, F.lit(LAST_POSITION)).alias("place"))
-    stems = placed.groupBy("word").agg(F.lit(1).alias("one")).select("word", stem_of(F.col("word")).alias("lexeme"))
+    able = placed if only is None else placed.filter(may_have_stem(F.col("word"), only))
+    stems = able.groupBy("word").agg(F.lit(1).alias("one")).select("word", stem_of(F.col("word")).alias("lexeme"))
+    stems = stems if only is None else F.broadcast(stems.filter(F.col("lexeme").isin(only)))
     return placed.join(stems, "word").groupBy("lexeme", "chunk_id").agg(F.slice(F.sort_array(F.collect_set("place")), 1, MAX_POSITIONS).alias("places"))
 
 

@@ -163,3 +163,12 @@ def test_embed_pending_sends_texts_only(spark):
     done = retrieval.embed_pending(rows, model)
     assert "MapInPandas" not in done._jdf.queryExecution().executedPlan().toString()
     assert {r.chunk_id: (r.more, r.embedding) for r in done.collect()} == {i: ("other", [2.0 * i]) for i in range(130)} and calls.value == 0
+
+
+def test_index_of_some_lexemes(spark):
+    df = spark.createDataFrame([(1, "orders paid ordering"), (2, "the payment, red order"), (3, None), (4, "green")], "chunk_id long, text string")
+    rows = lambda x: sorted((r.lexeme, r.chunk_id, r.places) for r in x.collect())
+    only = retrieval.query_lexemes(spark, "ordered red")
+    some = retrieval.text_index(df, only)
+    assert rows(some) == [r for r in rows(retrieval.text_index(df)) if r[0] in only] and len(rows(some)) == 3
+    assert "SortMergeJoin" not in some._jdf.queryExecution().executedPlan().toString()
