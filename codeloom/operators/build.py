@@ -2,7 +2,8 @@
 
 A resolution cascade indexes the known paths instead of the edges: a path is found under itself and
 under what is left without its extension or index name, each with its priority. An edge then takes
-part in one equi join, whatever the number of extensions.
+part in one equi join, whatever the number of extensions. Targets and names that very many edges share,
+such as a package outside the corpus, are counted and dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 # Fixed lists of the file extensions that an import path may leave out.
 IMPORT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts")
 TARGET_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs", ".cts", ".cjs", ".vue", ".py", ".go")
+#: Rows with one key that a join leaves to one task.
+PIECE_ROWS = 500_000
 
 
 def stems(path: Column, extensions: tuple[str, ...], interleaved: bool) -> Column:
@@ -49,7 +52,22 @@ def short_names(entities: DataFrame) -> DataFrame:
     return entities.filter("name is not null").groupBy(F.lower("name").alias("short")).agg(F.min_by("id", F.struct("seq", "id")).alias("id"))
 
 
-def resolve_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+def left_join_dealt(rows: DataFrame, index: DataFrame, key: str, counts: DataFrame, by: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """rows left join index on key, where a key of many rows is cut into pieces by a hash of the column `by`.
+
+    counts: (key, n), how often a key occurs at most. Keys of more than piece_rows (n / piece_rows of all rows at most, so
+    few) are broadcast, and what the index has for them is repeated for each piece; rows without a key are spread.
+    """
+    heavy = F.broadcast(counts.filter(F.col("n") > piece_rows).select(key, F.ceil(F.col("n") / piece_rows).alias("_pieces")))
+    hashed = F.xxhash64(by)
+    piece = F.when(F.col(key).isNull(), hashed).when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(hashed, "_pieces"))
+    left = rows.join(heavy, key, "left").withColumn("_piece", piece).drop("_pieces")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_pieces"), F.lit(1).cast("long")) - 1))
+    right = index.join(heavy, key, "left").withColumn("_piece", every).drop("_pieces")
+    return left.join(right, [key, "_piece"], "left").drop("_piece")
+
+
+def resolve_edges(edges: DataFrame, entities: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Edges (seq, from_qualified, to_qualified, to_name, type) to (seq, src, dst, type, how).
 
     A target is looked up by qualified name; without `::` also with each extension and as an
@@ -62,7 +80,11 @@ def resolve_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
     indexed = indexed.filter((F.col("s.priority") == 0) | ~F.col("s.stem").contains("::"))
     direct = indexed.groupBy(F.col("s.stem").alias("to_qualified")).agg(F.min_by(F.struct("node", "s.priority"), "s.priority").alias("d"))
     short = short_names(entities).select("short", F.col("id").alias("by_short"))
-    found = rows.join(direct, "to_qualified", "left").join(short, F.lower("to_name") == F.col("short"), "left")
+    counts = lambda key: edges.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found = left_join_dealt(rows, direct, "to_qualified", counts("to_qualified"), "seq", piece_rows)
+    # Only an edge that isn't found yet asks for a name.
+    found = found.withColumn("short", F.when(F.col("d").isNull(), F.lower("to_name")))
+    found = left_join_dealt(found, short, "short", counts(F.lower("to_name").alias("short")), "seq", piece_rows)
     how = F.when(F.col("d").isNull(), "short").when(F.col("d.priority") == 0, "exact").otherwise("path")
     return found.select("seq", "src", F.coalesce("d.node", "by_short").alias("dst"), "type", how.alias("how")).filter("dst is not null")
 

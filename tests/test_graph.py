@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from codeloom.operators import build, graph, resolve
 from codeloom.sources import sinks
@@ -77,6 +80,26 @@ def test_resolve_edges(spark):
     assert {(r.seq, r.dst, r.how) for r in build.resolve_edges(edges, known).collect()} == {(1, "telemetryFile", "path"), (2, "logEvent", "exact"), (3, "logEvent", "short")}
 
 
+def test_resolve_edges_deals_frequent_targets(spark):
+    """Edges that share a target, found or not, or a name don't meet in one task, whatever adaptive execution does."""
+    known = spark.createDataFrame([("f", "src/f.ts", "main", 1), ("g", "src/g.ts", "Log", 2)], "id string, qualified_name string, name string, seq long")
+    share = F.pmod("id", F.lit(4))
+    to = F.when(share == 0, "src/g").when(share == 1, "src/g.ts").when(share == 2, "react").otherwise(F.lit(None))
+    edges = spark.range(4000).select(F.col("id").alias("seq"), F.lit("src/f.ts").alias("from_qualified"), to.alias("to_qualified"), F.lit("log").alias("to_name"), F.lit("imports").alias("type"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = build.resolve_edges(edges, known, piece_rows=50).select("seq", "dst", "how", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 4000
+    assert all((r.dst, r.how) == ("g", ("path", "exact", "short", "short")[r.seq % 4]) for r in rows)
+    assert max(Counter(r.part for r in rows).values()) < 1000
+
+
 def test_name_merge_moves_edges(spark):
     nodes = spark.createDataFrame([("w", "c1", "concept", "order processing", 1), ("w", "c2", "concept", "order processing", 2), ("v", "c3", "concept", "order processing", 1)], "workspace_id string, id string, type string, normalized_name string, created_at long")
     edges = spark.createDataFrame([("k", "c1", "implements_concept"), ("k", "c2", "implements_concept"), ("c1", "c2", "related")], "src string, dst string, type string")
