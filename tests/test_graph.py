@@ -141,6 +141,33 @@ def test_pairs_over_tiles_match_brute_force(spark):
     assert resolve.similar_pairs(v.limit(0), ["label"]).collect() == []
 
 
+def test_pairs_send_a_row_to_few_tiles(spark, monkeypatch):
+    """Small regions share a tile: 300 rows without clusters in 3 tiles, not once for each of the other regions."""
+    rng = random.Random(5)
+    rows = [(i, 0, f"n{i}", i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "id long, label int, name string, ord long, embedding array<float>")
+    cosine = lambda x, y: sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+    want = {(a[0], b[0]) for a in rows for b in rows[a[0] + 1:] if cosine(a[4], b[4]) >= 0.5}
+    monkeypatch.setattr(resolve, "TILE_WIDTH", 1, raising=False)
+    monkeypatch.setattr(resolve, "STRIP_ROWS", 7, raising=False)
+    found = [(r.a, r.b) for r in resolve.similar_pairs(v, ["label"], 0.5, 100).collect()]
+    assert len(found) == len(want) > 100 and set(found) == want
+    monkeypatch.setattr(resolve, "_tile_pairs", lambda least: lambda pdf: pdf.assign(a=pdf["id"], b=pdf["id"], ord_a=0, ord_b=0, similarity=1.0)[["a", "b", "ord_a", "ord_b", "similarity"]])
+    assert resolve.similar_pairs(v, ["label"], 0.5, 100).count() <= 300 * 4
+
+
+def test_greedy_merge_matches_a_plain_loop(spark):
+    rng = random.Random(6)
+    pairs = [(a, b) for b in range(150) for a in range(b) if rng.random() < 0.08]
+    into = {}
+    for b in range(150):
+        first = next((a for a, x in pairs if x == b and a not in into), None)
+        if first is not None:
+            into[b] = first
+    df = spark.createDataFrame([(a, b, a, b, 0.95) for a, b in pairs], "a long, b long, ord_a long, ord_b long, similarity double")
+    assert {tuple(r) for r in resolve.greedy_merge(df).collect()} == set(into.items())
+
+
 def test_greedy_merge_is_not_transitive(spark):
     import math
 
