@@ -43,8 +43,10 @@ def tested_by_edges(imports: DataFrame, entities: DataFrame) -> DataFrame:
     top_level = entities.filter((F.size(F.split("qualified_name", "::")) == 2) & ~F.col("type").isin("file", "test", "document"))
     index = top_level.select("file_path").distinct().select("file_path", F.explode(stems(F.col("file_path"), IMPORT_EXTENSIONS, True)).alias("s"))
     best = index.groupBy(F.col("s.stem").alias("target")).agg(F.min_by("file_path", "s.priority").alias("file_path"))
-    reached = imports.filter(F.col("target").contains("/") & ~F.col("target").contains(":")).join(best, "target").select("test_file", "file_path").distinct()
-    return top_level.join(reached, "file_path").select(F.col("id").alias("src"), F.col("test_file").alias("dst"), F.lit("tested_by").alias("type")).distinct()
+    reached = imports.filter(F.col("target").contains("/") & ~F.col("target").contains(":")).join(best, "target").select("test_file", "file_path")
+    # Rows are dealt before the one distinct: nearly all differ, so a table of a whole input split would only take memory.
+    found = top_level.join(reached, "file_path").select(F.col("id").alias("src"), F.col("test_file").alias("dst")).repartition("src", "dst")
+    return found.distinct().withColumn("type", F.lit("tested_by"))
 
 
 def short_names(entities: DataFrame) -> DataFrame:

@@ -183,3 +183,12 @@ def test_upsert(spark):
     rows = {tuple(r) for r in sinks.upsert(target, batch, ["key"], "seq", "id").collect()}
     assert rows == {("k1", "old1", 11), ("k2", "old2", 2), ("k3", "z", 12), (None, "n", 3), (None, "m", 13)}
     assert {r.key for r in sinks.insert_absent(target, batch.select("key", "id", "v").filter("key is not null"), ["key"]).collect()} == {"k3"}
+
+
+def test_tested_by_deals_rows_before_its_distinct(spark):
+    """A test that imports a file twice counts once; no task builds a table of its input split for that."""
+    known = spark.createDataFrame([("f", "function", "src/f.ts", "src/f.ts::main")], "id string, type string, file_path string, qualified_name string")
+    found = build.tested_by_edges(spark.createDataFrame([("t", "src/f"), ("t", "src/f.ts"), ("t", "src/f")], "test_file string, target string"), known)
+    assert [tuple(r) for r in found.collect()] == [("f", "t", "tested_by")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan.split("HashAggregate(keys=[src", 2)[2] and "Exchange" not in plan.split("HashAggregate(keys=[src", 2)[1]
