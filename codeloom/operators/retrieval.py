@@ -316,49 +316,50 @@ def render_entities(entities: DataFrame, files: int = 30) -> DataFrame:
     """
     col = lambda c: F.col(c) if c in entities.columns else F.lit(None).cast("string")
     meta = col("metadata") if dict(entities.dtypes).get("metadata") == "variant" else F.try_parse_json(col("metadata"))
-    line = lambda label, x, end="": F.concat(F.lit(f"- {label}: "), F.nullif(x, F.lit("")), F.lit(end))
-    several = lambda head, some: F.when(F.size(some) > 0, F.array_join(F.concat(F.array(head), some), "\n"))
+    kind, documented = F.col("type"), F.col("type").isin("function", "class", "type")
+    read = lambda when, path, schema: F.when(when, F.try_variant_get("meta", path, schema))
+    seen = F.filter(F.map_entries(F.try_variant_get("meta", "$", "map<string,variant>")), lambda e: ~F.is_variant_null(e["value"]) & F.coalesce(e["value"].cast("string") != "", F.lit(True)))
+    # Parsed once and read into columns, as an expression in a lambda is worked out again wherever it's named.
+    parts = ("qualified_name", "file_path", "start_line", "end_line", "language", "signature", "description")
+    parsed = entities.select("id", "type", "name", *[col(c).alias(c) for c in parts], meta.alias("meta"))
+    rows = parsed.select(
+        "id", "type", "name", *parts,
+        read(kind == "commit", "$", "struct<sha:string,author:string,email:string,date:string,message:string,filesChanged:array<string>,diff:string,diffTruncated:boolean>").alias("commit"),
+        read(kind == "person", "$", "struct<email:string,commitCount:variant>").alias("person"), read(kind == "file", "$", "struct<hotness:variant>").alias("file"),
+        read(documented, "$.docs", "struct<description:string,params:array<struct<name:string,description:string>>,returns:string,examples:array<string>,deprecated:variant>").alias("docs"),
+        F.when(kind.isin("commit", "person", "file") | (documented & F.try_variant_get("meta", "$.docs", "variant").isNotNull()), None).otherwise(seen).alias("entries"),
+    )
+
+    said = lambda path: F.nullif(F.col(path), F.lit(""))
+    line = lambda label, path: F.concat(F.lit(f"- {label}: "), said(path))
+    quoted = lambda label, x: F.concat(F.lit(f"- {label}: `"), x, F.lit("`"))
+    several = lambda head, n, some: F.when(n > 0, F.array_join(F.concat(F.array(head), some), "\n"))
     indent = lambda x, by: F.concat(F.lit(by), F.replace(x, F.lit("\n"), F.lit("\n" + by)))
     fenced = lambda x, kind="": F.concat(F.lit(f"  ```{kind}\n"), indent(x, "  "), F.lit("\n  ```"))
-
-    def block(m: Column) -> Column:
-        text = lambda path, kind="string": F.try_variant_get(m, f"$.{path}", kind)
-        said = lambda path: F.nullif(text(path), F.lit(""))
-        number = lambda path: F.when(F.schema_of_variant(text(path, "variant")).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), text(path))
-        changed = F.coalesce(text("filesChanged", "array<string>"), F.array().cast("array<string>"))
-        more = F.when(F.size(changed) > files, F.array(F.concat(F.lit("    - … and "), (F.size(changed) - files).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
-        commit = (
-            line("sha", text("sha")), F.concat(F.lit("- author: "), said("author"), F.coalesce(F.concat(F.lit(" <"), said("email"), F.lit(">")), F.lit(""))), line("date", text("date")),
-            F.concat(F.lit("- message:\n"), indent(said("message"), "    ")),
-            several(F.concat(F.lit("- files changed ("), F.size(changed).cast("string"), F.lit("):")), F.concat(F.transform(F.slice(changed, 1, files), lambda f: F.concat(F.lit("    - "), f)), more)),
-            F.concat(F.lit("- diff"), F.when(text("diffTruncated", "boolean"), " (truncated)").otherwise(""), F.lit(":\n"), fenced(said("diff"), "diff")),
-        )
-        params = F.coalesce(text("docs.params", "array<struct<name:string,description:string>>"), F.array().cast("array<struct<name:string,description:string>>"))
-        examples = F.coalesce(text("docs.examples", "array<string>"), F.array().cast("array<string>"))
-        docs = (
-            line("jsdoc", text("docs.description")), several(F.lit("- jsdoc params:"), F.transform(params, lambda p: F.concat(F.lit("    - "), p["name"], F.lit(": "), p["description"]))),
-            line("jsdoc returns", text("docs.returns")), F.when(text("docs.deprecated", "boolean"), "- deprecated").otherwise(line("deprecated", F.nullif(text("docs.deprecated"), F.lit("false")))),
-            several(F.lit("- jsdoc examples:"), F.transform(examples, lambda x: fenced(x))),
-        )
-        entries = F.filter(F.map_entries(F.try_variant_get(m, "$", "map<string,variant>")), lambda e: ~F.is_variant_null(e["value"]) & F.coalesce(e["value"].cast("string") != "", F.lit(True)))
-        shown = F.transform(entries, lambda e: F.concat(F.lit("    - "), e["key"], F.lit(": "), F.left(F.coalesce(e["value"].cast("string"), F.to_json(e["value"])), F.lit(200))))
-        other = (several(F.lit("- metadata:"), F.when(F.size(entries) <= 12, shown)),)
-        kind, where = F.col("type"), F.nullif(col("file_path"), F.lit(""))
-        span = F.when(col("start_line").cast("int") > 0, F.concat(F.lit(":"), col("start_line").cast("string"), F.lit("-"), F.coalesce(col("end_line").cast("string"), col("start_line").cast("string"))))
-        quoted = lambda label, x: line(label, F.concat(F.lit("`"), F.nullif(x, F.lit("")), F.lit("`")))
-        lines = lambda some: F.concat_ws("\n", *some)
-        own = (
-            F.when(kind == "commit", lines(commit)).when(kind == "person", lines((line("email", text("email")), line("commits", number("commitCount")))))
-            .when(kind == "file", lines((line("hotness", number("hotness"), " modification(s) in last 90 days"),)))
-            .when(kind.isin("function", "class", "type") & text("docs", "variant").isNotNull(), lines(docs)).when(m.isNotNull(), lines(other))
-        )
-        head = F.concat(F.lit("### [entity:"), F.col("id"), F.lit("] "), F.col("name"), F.lit(" ("), kind, F.lit(")"))
-        return lines((
-            head, quoted("qualified", col("qualified_name")), quoted("location", F.concat(where, F.coalesce(span, F.lit("")))), line("language", col("language")),
-            quoted("signature", F.left(col("signature"), F.lit(240))), line("description", col("description")), F.nullif(own, F.lit("")),
-        ))
-
-    return entities.select("id", let(meta, block).alias("block"))
+    whole = lambda path, type="string": F.try_variant_get(path, "$", type)
+    number = lambda label, path, end="": F.when(F.schema_of_variant(path).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.concat(F.lit(f"- {label}: "), whole(path), F.lit(end)))
+    span = F.when(F.col("start_line").cast("int") > 0, F.concat(F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.coalesce(F.col("end_line").cast("string"), F.col("start_line").cast("string"))))
+    changed, entries = F.col("commit.filesChanged"), F.col("entries")
+    more = F.when(F.size(changed) > files, F.array(F.concat(F.lit("    - … and "), (F.size(changed) - files).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    block = (
+        F.concat(F.lit("### [entity:"), F.col("id"), F.lit("] "), F.col("name"), F.lit(" ("), kind, F.lit(")")),
+        quoted("qualified", said("qualified_name")), quoted("location", F.concat(said("file_path"), F.coalesce(span, F.lit("")))), line("language", "language"),
+        quoted("signature", F.left(said("signature"), F.lit(240))), line("description", "description"),
+        # commits
+        line("sha", "commit.sha"), F.concat(line("author", "commit.author"), F.coalesce(F.concat(F.lit(" <"), said("commit.email"), F.lit(">")), F.lit(""))), line("date", "commit.date"),
+        F.concat(F.lit("- message:\n"), indent(said("commit.message"), "    ")),
+        several(F.concat(F.lit("- files changed ("), F.size(changed).cast("string"), F.lit("):")), F.size(changed), F.concat(F.transform(F.slice(changed, 1, files), lambda f: F.concat(F.lit("    - "), f)), more)),
+        F.concat(F.lit("- diff"), F.when(F.col("commit.diffTruncated"), " (truncated)").otherwise(""), F.lit(":\n"), fenced(said("commit.diff"), "diff")),
+        # persons, files
+        line("email", "person.email"), number("commits", "person.commitCount"), number("hotness", "file.hotness", " modification(s) in last 90 days"),
+        # functions, classes and types
+        line("jsdoc", "docs.description"), several(F.lit("- jsdoc params:"), F.size("docs.params"), F.transform("docs.params", lambda p: F.concat(F.lit("    - "), p["name"], F.lit(": "), p["description"]))),
+        line("jsdoc returns", "docs.returns"), F.when(whole("docs.deprecated", "boolean"), "- deprecated").when(~whole("docs.deprecated").isin("", "false"), F.concat(F.lit("- deprecated: "), whole("docs.deprecated"))),
+        several(F.lit("- jsdoc examples:"), F.size("docs.examples"), F.transform("docs.examples", lambda x: fenced(x))),
+        # others
+        several(F.lit("- metadata:"), F.when(F.size(entries) <= 12, F.size(entries)), F.transform(entries, lambda e: F.concat(F.lit("    - "), e["key"], F.lit(": "), F.left(F.coalesce(e["value"].cast("string"), F.to_json(e["value"])), F.lit(200))))),
+    )
+    return rows.select("id", F.concat_ws("\n", *block).alias("block"))
 
 
 def unknown_citations(messages: DataFrame, chunks: DataFrame) -> DataFrame:

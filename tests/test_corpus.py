@@ -144,6 +144,21 @@ def test_evidence_of_odd_metadata(spark):
     assert got == {"1": [], "2": [], "3": [], "4": ["- metadata:", '    - c: {"d":1.5}'], "5": [], "6": [], "7": ["- hotness: 0 modification(s) in last 90 days"], "8": ["- message:", "    m"]}
 
 
+def test_evidence_reads_metadata_once(spark):
+    from codeloom.operators import retrieval
+
+    rows = spark.createDataFrame([("1", '{"sha": "1", "author": "a", "email": "e", "message": "m\\nn", "filesChanged": ["f", null, "g"], "diff": "+x", "diffTruncated": true}')], "id string, metadata string")
+    found = retrieval.render_entities(rows.withColumn("type", F.lit("commit")).withColumn("name", F.lit("x")), files=2)
+    assert found.first().block == "### [entity:1] x (commit)\n- sha: 1\n- author: a <e>\n- message:\n    m\n    n\n- files changed (3):\n    - f\n    - … and 1 more\n- diff (truncated):\n  ```diff\n  +x\n  ```"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("parseJson"), plan.count("try_variant_get")) == (1, 1)
+    docs = '{"docs": {"description": "d", "params": [{"name": "p", "description": "q"}, {"name": "r"}], "deprecated": %s}}'
+    odd = [("1", "class", docs % "true"), ("2", "type", docs % '"false"'), ("3", "function", docs % '"since 2"'), ("4", "class", '{"docs": null, "a": 1}'), ("5", "class", '{"a": 1}'), ("6", None, '{"a": 1}'), ("7", "person", '{"email": "", "commitCount": 2.5}')]
+    got = {r.id: r.block.split("\n")[1:] for r in retrieval.render_entities(spark.createDataFrame(odd, "id string, type string, metadata string").withColumn("name", F.lit("x"))).collect()}
+    said = ["- jsdoc: d", "- jsdoc params:", "    - p: q"]
+    assert got == {"1": [*said, "- deprecated"], "2": said, "3": [*said, "- deprecated: since 2"], "4": [], "5": ["- metadata:", "    - a: 1"], "6": ["    - a: 1"], "7": ["- commits: 2.5"]}
+
+
 def test_budget(spark):
     rows = spark.createDataFrame([("a", i, 4) for i in range(5)] + [("b", 0, 4)], "g string, i int, c int")
     got = corpus.within_budget(rows, F.col("c"), 9, ["i"], ["g"]).collect()
