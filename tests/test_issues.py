@@ -135,3 +135,12 @@ def test_bus_factor_matches_plain_count(spark):
         want = next(k for k in range(1, n + 1) if 2 * sum(sorted(counts, reverse=True)[:k]) >= sum(counts))
         assert activity.bus_factor(spark.createDataFrame(rows, "author string")).first()[0] == want
     assert activity.bus_factor(spark.createDataFrame([], "author string")).first()[0] == 0
+
+
+def test_setup_guide_without_caps(spark):
+    makefile = "".join(f"t{i}:\n" for i in range(7))
+    rows = [(f"{i}/README.md", "") for i in range(100)] + [("src/deep/package.json", '{"scripts": {"test": "x"}}'), ("src/deep/Makefile", makefile)]
+    files = spark.createDataFrame(rows, "file_path string, text string")
+    some, every = ({r.ord: r.command for r in guide.collect()} for guide in (overview.setup_guide(files), overview.setup_guide(files, targets=None)))
+    assert some == {1: "npm install", 3: "npm run test", 10: "make t0   make t1   make t2   make t3   make t4"}
+    assert every == some | {10: "   ".join(f"make t{i}" for i in range(7))}

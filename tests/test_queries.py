@@ -56,3 +56,14 @@ def test_rate_limit_with_events_without_id(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
     found, expected = both(spark, tmp_path, "rate_limit")
     assert found == expected and len(found) == 4
+
+
+def test_setup_guide_takes_every_manifest(spark):
+    found, expected = both(spark, LARGE, "setup_guide")
+    assert found == expected and [r[0] for r in found] == [0, 1, 10, 11, 2]
+
+
+def test_setup_guide_without_any_package_file(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in range(1, 600) if k % 5], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    found, expected = both(spark, tmp_path, "setup_guide")
+    assert found == expected and {r[1] for r in found} >= {"go mod download", "go run ./..."}
